@@ -1,0 +1,218 @@
+"""Selectors as data, answered by expressions on the elements of a page."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from shelfmark.functions.base import first, let, strip
+
+Predicate = Callable[[Column], Column]
+
+
+@dataclass(frozen=True)
+class Sel:
+    """One selector; all stated conditions must hold.
+
+    ``part_class`` tests for a piece of a class name, ``op`` is one of ``has``,
+    ``contains``, ``prefix``, ``equals`` and applies to ``attr``. ``text``
+    tests the trimmed text, ``text_part`` a piece of it. ``inside`` is an
+    ancestor, ``child_of`` the parent, ``after`` the element just before.
+    ``holds`` is a descendant.
+    """
+
+    tags: tuple[str, ...] = ()
+    classes: tuple[str, ...] = ()
+    part_class: str | None = None
+    attr: str | None = None
+    op: str = "has"
+    value: str = ""
+    text: str | None = None
+    text_part: str | None = None
+    inside: "Sel | None" = None
+    child_of: "Sel | None" = None
+    after: "Sel | None" = None
+    holds: "Sel | None" = None
+
+
+class Page:
+    """Expressions over one parsed page: its ``elements`` and ``runs``."""
+
+    def __init__(self, elements: Column | str = "elements", runs: Column | str = "runs") -> None:
+        self.elements = F.col(elements) if isinstance(elements, str) else elements
+        self.runs = F.col(runs) if isinstance(runs, str) else runs
+
+    # -- text -------------------------------------------------------------
+    def _slice(self, e: Column) -> Column:
+        return F.slice(self.runs, e["run_from"] + 1, e["run_to"] - e["run_from"])
+
+    def text(self, e: Column) -> Column:
+        """All text inside an element, as it stands."""
+        return F.array_join(self._slice(e), "")
+
+    def trimmed(self, e: Column) -> Column:
+        return strip(self.text(e))
+
+    def joined(self, e: Column) -> Column:
+        """Text pieces trimmed one by one, then joined without a space."""
+        return F.array_join(F.filter(F.transform(self._slice(e), strip), lambda t: t != ""), "")
+
+    # -- matching ---------------------------------------------------------
+    def at(self, pos: Column) -> Column:
+        return F.try_element_at(self.elements, pos + 1)
+
+    def select(self, sel: Sel, scope: Column | None = None) -> Column:
+        """Matching elements in page order, below ``scope`` when given."""
+        own = F.filter(self.elements, lambda e: self._own(e, sel, scope))
+        if sel.after is not None:
+            own = F.filter(own, lambda e: self._follows(e, sel.after))
+        if sel.holds is not None:
+            own = let(self.select(sel.holds), lambda held: F.filter(
+                own, lambda e: F.exists(held, lambda d: self.below(d, e))
+            ))
+        if sel.inside is not None:
+            own = let(self.select(sel.inside), lambda outer: F.filter(
+                own, lambda e: F.exists(outer, lambda a: self.below(e, a))
+            ))
+        return own
+
+    def select_any(self, sels: tuple[Sel, ...], scope: Column | None = None) -> Column:
+        """Elements matching any selector, in page order."""
+        if len(sels) == 1:
+            return self.select(sels[0], scope)
+        found = F.array_union(
+            *[F.transform(self.select(s, scope), lambda e: e["pos"]) for s in sels[:2]]
+        )
+        for s in sels[2:]:
+            found = F.array_union(found, F.transform(self.select(s, scope), lambda e: e["pos"]))
+        return F.transform(F.sort_array(found), self.at)
+
+    @staticmethod
+    def below(e: Column, a: Column) -> Column:
+        return (e["pos"] > a["pos"]) & (e["pos"] <= a["last_pos"])
+
+    def _own(self, e: Column, sel: Sel, scope: Column | None) -> Column:
+        tests = []
+        if scope is not None:
+            tests.append(self.below(e, scope))
+        if sel.tags:
+            tests.append(e["tag"].isin(*sel.tags))
+        tests += [F.array_contains(e["classes"], name) for name in sel.classes]
+        if sel.part_class is not None:
+            tests.append(F.exists(e["classes"], lambda c: F.contains(c, F.lit(sel.part_class))))
+        if sel.attr is not None:
+            value = F.try_element_at(e["attrs"], F.lit(sel.attr))
+            if sel.op == "has":
+                tests.append(value.isNotNull())
+            elif sel.op == "contains":
+                tests.append(F.contains(value, F.lit(sel.value)))
+            elif sel.op == "prefix":
+                tests.append(F.startswith(value, F.lit(sel.value)))
+            elif sel.op == "equals":
+                tests.append(value == sel.value)
+            else:
+                raise ValueError(f"unknown op {sel.op!r}")
+        if sel.text is not None:
+            tests.append(self.trimmed(e) == sel.text)
+        if sel.text_part is not None:
+            tests.append(F.contains(self.text(e), F.lit(sel.text_part)))
+        if sel.child_of is not None:
+            parent = self.at(e["parent_pos"])
+            tests.append(parent.isNotNull() & self._own(parent, sel.child_of, None))
+        result = F.lit(True)
+        for test in tests:
+            result = result & test
+        return F.coalesce(result, F.lit(False))
+
+    def _follows(self, e: Column, sel: Sel) -> Column:
+        """The sibling just before ``e`` matches ``sel``.
+
+        That sibling's subtree ends right before ``e`` and it has the same
+        parent.
+        """
+        return F.exists(
+            self.elements,
+            lambda s: (s["parent_pos"] == e["parent_pos"]) & (s["last_pos"] == e["pos"] - 1)
+            & (s["pos"] < e["pos"]) & self._own(s, sel, None),
+        )
+
+    def nearest(self, e: Column, tags: tuple[str, ...]) -> Column:
+        """Innermost ancestor of ``e`` with one of the tags."""
+        around = F.filter(self.elements, lambda a: self.below(e, a) & a["tag"].isin(*tags))
+        return F.try_element_at(around, F.lit(-1))
+
+    # -- values -----------------------------------------------------------
+    def first_text(self, *sels: Sel, scope: Column | None = None) -> Column:
+        """Trimmed text of the first match, blank or not."""
+        return let(first(self.select_any(sels, scope)), self.trimmed)
+
+    def first_filled_text(self, *sels: Sel, scope: Column | None = None) -> Column:
+        """Trimmed text of the first match that has any."""
+        return first(self.texts(*sels, scope=scope))
+
+    def texts(self, *sels: Sel, scope: Column | None = None) -> Column:
+        """Trimmed non-blank texts of all matches, in page order."""
+        found = F.transform(self.select_any(sels, scope), self.trimmed)
+        return F.filter(found, lambda t: t != "")
+
+    def first_attr(self, name: str, *sels: Sel, scope: Column | None = None) -> Column:
+        return F.try_element_at(first(self.select_any(sels, scope))["attrs"], F.lit(name))
+
+    def attr_values(self, name: str, *sels: Sel, scope: Column | None = None) -> Column:
+        return F.transform(self.select_any(sels, scope), lambda e: F.try_element_at(e["attrs"], F.lit(name)))
+
+    def text_or(self, primary: tuple[Sel, ...], fallback: tuple[Sel, ...] = (), default: str = "N/A",
+                scope: Column | None = None) -> Column:
+        """First match of ``primary``; without one the matches of ``fallback``
+        joined by a space; blank results give ``default``."""
+        main = let(first(self.select_any(primary, scope)), lambda e: F.when(e.isNotNull(), self.joined(e)))
+        if fallback:
+            other = F.transform(self.select_any(fallback, scope), self.text)
+            main = F.coalesce(main, strip(F.array_join(other, " ")))
+        return F.coalesce(F.nullif(main, F.lit("")), F.lit(default))
+
+
+# The selectors of the directory's pages, by field.
+REGISTRY: dict[str, tuple[Sel, ...]] = {
+    "tool_card": (Sel(tags=("div",), part_class="tool-item"),),
+    "name": (
+        Sel(classes=("text-base", "font-medium")),
+        Sel(classes=("text-lg", "font-medium")),
+        Sel(tags=("h1", "h2", "h3", "h4")),
+        Sel(tags=("div",), part_class="title"),
+    ),
+    "description": (
+        Sel(classes=("text-sm", "text-gray-500")),
+        Sel(classes=("text-base", "text-gray-500")),
+        Sel(tags=("p",), part_class="description"),
+    ),
+    "category": (Sel(classes=("text-xs", "text-gray-400")),),
+    "monthly_traffic": (Sel(tags=("span",), inside=Sel(classes=("text-sm",))),),
+    "rating": (Sel(classes=("rating-value",)),),
+    "image_url": (Sel(tags=("img",), attr="src"),),
+    "pricing_link": (Sel(tags=("a",), attr="href", op="contains", value="pricing"),),
+    "twitter_link": (Sel(tags=("a",), attr="href", op="contains", value="twitter.com"),),
+    "facebook_link": (Sel(tags=("a",), attr="href", op="contains", value="facebook.com"),),
+    "linkedin_link": (Sel(tags=("a",), attr="href", op="contains", value="linkedin.com"),),
+    "instagram_link": (Sel(tags=("a",), attr="href", op="contains", value="instagram.com"),),
+    "features": (Sel(tags=("li",), inside=Sel(classes=("features-list",))),),
+    "pricing_model": (Sel(classes=("pricing-model",)),),
+    "api_info": (Sel(classes=("api-info",)),),
+}
+# What is tried when the selectors above find nothing.
+FALLBACKS: dict[str, tuple[Sel, ...]] = {
+    "name": (Sel(tags=("h2", "h3", "h4")),),
+    "description": (Sel(tags=("p",)),),
+    "category": (Sel(tags=("a",), attr="href", op="contains", value="/category/"),),
+    "monthly_traffic": (Sel(tags=("span",), after=Sel(tags=("span",), text_part="Monthly Visits")),),
+    "rating": (Sel(tags=("span",), part_class="group-hover:text-purple-1300"),),
+    "image_url": (Sel(tags=("img",), attr="src"),),
+    "pricing_link": (Sel(tags=("a",), text_part="Pricing"),),
+    "twitter_link": (Sel(tags=("a",), attr="href", op="contains", value="twitter.com"),),
+    "linkedin_link": (Sel(tags=("a",), attr="href", op="contains", value="linkedin.com"),),
+    "support_email": (Sel(tags=("a",), attr="href", op="prefix", value="mailto:"),),
+    "features": (Sel(tags=("li",), child_of=Sel(tags=("ul",), part_class="features")),),
+}
