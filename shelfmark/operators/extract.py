@@ -29,6 +29,7 @@ CARD_TOOL_LINK = Sel(tags=("a",), attr="href", op="prefix", value="/tool/")
 IMAGE = Sel(tags=("img",))
 ITEM_HEADING = Sel(tags=("h2", "h3", "h4"))
 PARAGRAPH = Sel(tags=("p",))
+BLOCK = Sel(tags=("div", "article"))
 
 def _link_to(domain: str) -> Sel:
     return Sel(tags=("a",), attr="href", op="contains", value=domain)
@@ -227,9 +228,9 @@ def grid_records(page: Page, site: SiteProfile) -> Column:
 def anchor_records(page: Page, site: SiteProfile) -> Column:
     """Records of listing links, described by the block around them."""
 
-    def record(link: Column) -> Column:
+    def record(link: Column, blocks: Column) -> Column:
         return let(
-            page.nearest(link, ("div", "article")),
+            page.nearest(link, blocks),
             lambda block: F.when(
                 block.isNotNull(),
                 _listing(page.joined(link), _paragraph(page, block),
@@ -237,7 +238,10 @@ def anchor_records(page: Page, site: SiteProfile) -> Column:
             ),
         )
 
-    return _usable(F.transform(page.select(_link_to(site.listing_path)), record))
+    links = page.select(_link_to(site.listing_path))
+    return _usable(
+        let(page.select(BLOCK), lambda blocks: F.transform(links, lambda link: record(link, blocks)))
+    )
 
 
 def _usable(records: Column) -> Column:

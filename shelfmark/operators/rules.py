@@ -305,8 +305,8 @@ _SALTS = 16
 
 
 def _fragments(text: Column, size: int) -> Column:
-    """Distinct fragments of ``size`` characters; at most 37**size of them."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=(.{{{size}}}))"), F.lit(1)))
+    """Fragments of ``size`` characters at every place of a text."""
+    return F.regexp_extract_all(text, F.lit(f"(?=(.{{{size}}}))"), F.lit(1))
 
 
 def category_scores_by_join(
@@ -319,19 +319,22 @@ def category_scores_by_join(
     by equi-join, and each meeting is then tested on the whole text. Frequent
     fragments are salted by record, so no fragment lands in one task.
     """
-    records = df.select(key, _texts(name, description).alias("text"))
-    fragments = F.concat(*[_fragments(F.col("text.combined"), size) for size in (1, 2, 3)])
-    salted = records.select(
-        key, F.explode(fragments).alias("fragment"), F.pmod(F.xxhash64(key), F.lit(_SALTS)).alias("salt")
-    )
     cleaned = (
         rules.select("category", "cat_order", match_text("keyword").alias("keyword"),
                      F.col("weight").cast("double").alias("weight"))
         .filter("keyword <> ''")
         .withColumn("fragment", F.left("keyword", F.lit(3)))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        .withColumn("salt", F.col("salt").cast("bigint"))
     )
+    # Fragments are made of 37 characters, so there are fewer than 52,100 of
+    # them however many rules there are; they fit into the plan.
+    wanted = [row["fragment"] for row in cleaned.select("fragment").distinct().collect()]
+    records = df.select(key, _texts(name, description).alias("text"))
+    found = F.concat(*[_fragments(F.col("text.combined"), size) for size in sorted({len(w) for w in wanted} or {3})])
+    fragments = F.array_intersect(found, F.from_json(F.lit(json.dumps(wanted)), "array<string>"))
+    salted = records.select(
+        key, F.explode(fragments).alias("fragment"), F.pmod(F.xxhash64(key), F.lit(_SALTS)).alias("salt")
+    )
+    cleaned = cleaned.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)).cast("array<bigint>")))
     meetings = salted.join(cleaned, ["fragment", "salt"]).drop("fragment", "salt")
     text = F.col("text")
     score = _hit_score(text, F.col("keyword"), F.lit("keyword"), F.col("weight"))

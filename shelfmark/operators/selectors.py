@@ -47,7 +47,9 @@ class Page:
 
     # -- text -------------------------------------------------------------
     def _slice(self, e: Column) -> Column:
-        return F.slice(self.runs, e["run_from"] + 1, e["run_to"] - e["run_from"])
+        # By position: slice() would copy all pieces of the page first.
+        at = F.filter(F.sequence(e["run_from"], e["run_to"]), lambda i: i < e["run_to"])
+        return F.transform(at, lambda i: F.get(self.runs, i))
 
     def text(self, e: Column) -> Column:
         """All text inside an element, as it stands."""
@@ -62,13 +64,20 @@ class Page:
 
     # -- matching ---------------------------------------------------------
     def at(self, pos: Column) -> Column:
-        return F.try_element_at(self.elements, pos + 1)
+        return F.get(self.elements, pos)
+
+    def _within(self, scope: Column | None) -> Column:
+        """Elements below ``scope``, which follow it directly, or all."""
+        if scope is None:
+            return self.elements
+        below = F.filter(F.sequence(scope["pos"], scope["last_pos"]), lambda i: i > scope["pos"])
+        return F.transform(below, self.at)
 
     def select(self, sel: Sel, scope: Column | None = None) -> Column:
         """Matching elements in page order, below ``scope`` when given."""
-        own = F.filter(self.elements, lambda e: self._own(e, sel, scope))
-        if sel.after is not None:
-            own = F.filter(own, lambda e: self._follows(e, sel.after))
+        own = self._following(sel, scope) if sel.after is not None else F.filter(
+            self._within(scope), lambda e: self._own(e, sel)
+        )
         if sel.holds is not None:
             own = let(self.select(sel.holds), lambda held: F.filter(
                 own, lambda e: F.exists(held, lambda d: self.below(d, e))
@@ -94,10 +103,8 @@ class Page:
     def below(e: Column, a: Column) -> Column:
         return (e["pos"] > a["pos"]) & (e["pos"] <= a["last_pos"])
 
-    def _own(self, e: Column, sel: Sel, scope: Column | None) -> Column:
+    def _own(self, e: Column, sel: Sel) -> Column:
         tests = []
-        if scope is not None:
-            tests.append(self.below(e, scope))
         if sel.tags:
             tests.append(e["tag"].isin(*sel.tags))
         tests += [F.array_contains(e["classes"], name) for name in sel.classes]
@@ -121,28 +128,30 @@ class Page:
             tests.append(F.contains(self.text(e), F.lit(sel.text_part)))
         if sel.child_of is not None:
             parent = self.at(e["parent_pos"])
-            tests.append(parent.isNotNull() & self._own(parent, sel.child_of, None))
+            tests.append(parent.isNotNull() & self._own(parent, sel.child_of))
         result = F.lit(True)
         for test in tests:
             result = result & test
         return F.coalesce(result, F.lit(False))
 
-    def _follows(self, e: Column, sel: Sel) -> Column:
-        """The sibling just before ``e`` matches ``sel``.
+    def _following(self, sel: Sel, scope: Column | None) -> Column:
+        """Matches of ``sel`` right after a sibling that matches ``sel.after``.
 
-        That sibling's subtree ends right before ``e`` and it has the same
-        parent.
+        The next sibling of an element starts where its subtree ends.
         """
-        return F.exists(
-            self.elements,
-            lambda s: (s["parent_pos"] == e["parent_pos"]) & (s["last_pos"] == e["pos"] - 1)
-            & (s["pos"] < e["pos"]) & self._own(s, sel, None),
-        )
 
-    def nearest(self, e: Column, tags: tuple[str, ...]) -> Column:
-        """Innermost ancestor of ``e`` with one of the tags."""
-        around = F.filter(self.elements, lambda a: self.below(e, a) & a["tag"].isin(*tags))
-        return F.try_element_at(around, F.lit(-1))
+        def leads(s: Column) -> Column:
+            follower = self.at(s["last_pos"] + 1)
+            return F.coalesce(
+                (follower["parent_pos"] == s["parent_pos"]) & self._own(follower, sel), F.lit(False)
+            ) & self._own(s, sel.after)
+
+        leaders = F.filter(self._within(scope), leads)
+        return F.transform(F.sort_array(F.transform(leaders, lambda s: s["last_pos"] + 1)), self.at)
+
+    def nearest(self, e: Column, blocks: Column) -> Column:
+        """Innermost of ``blocks`` (in page order) around ``e``."""
+        return F.try_element_at(F.filter(blocks, lambda a: self.below(e, a)), F.lit(-1))
 
     # -- values -----------------------------------------------------------
     def first_text(self, *sels: Sel, scope: Column | None = None) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -14,26 +16,35 @@ def category_counts(df: DataFrame, category: str = "category") -> DataFrame:
     return named.groupBy("category").agg(F.count("*").alias("n_tools"))
 
 
-def by_category(df: DataFrame, category: str = "category") -> DataFrame:
+def by_category(df: DataFrame, category: str = "category", max_inline: int = 10_000) -> DataFrame:
     """The records with their category filled in and its record count.
 
-    Groups stay as rows: the largest category never gathers in one task.
+    The counts are worked out first. Up to ``max_inline`` categories they go
+    into the plan and the records stay where they are; more are joined. Groups
+    stay as rows, so the largest category never gathers in one task.
     """
     filled = df.withColumn(category, F.coalesce(category, F.lit(OTHER)))
     counts = filled.groupBy(category).agg(F.count("*").alias("n_in_category"))
-    return filled.join(counts, category)
+    rows = counts.limit(max_inline + 1).collect()
+    if len(rows) > max_inline:
+        return filled.join(counts, category)
+    known = F.from_json(F.lit(json.dumps({r[0]: r[1] for r in rows})), "map<string,bigint>")
+    return filled.withColumn("n_in_category", F.try_element_at(known, F.col(category)))
 
 
 def category_summary(df: DataFrame, category: str = "category", name: str = "name") -> DataFrame:
-    """Sorted categories with their count and sorted names.
+    """Sorted categories, each with its count and then its sorted names.
 
-    One row per category and name; ``copies`` says how often the name occurs.
-    The sort is a range partitioning, so large categories are split by name.
+    Rows of ``level`` *category* hold the count of a category, rows of level
+    *name* how often a name occurs in it. Both come from one grouped pass, and
+    the sort is a range partitioning, so large categories are split by name.
     """
     filled = df.select(F.coalesce(category, F.lit(OTHER)).alias("category"), F.col(name).alias("name"))
-    names = filled.groupBy("category", "name").agg(F.count("*").alias("copies"))
-    totals = names.groupBy("category").agg(F.sum("copies").alias("n_tools"))
-    return names.join(totals, "category").select("category", "n_tools", "name", "copies").orderBy("category", "name")
+    total = F.grouping("name") == 1
+    grouped = filled.groupingSets([["category"], ["category", "name"]], "category", "name").agg(
+        F.when(total, "category").otherwise("name").alias("level"), F.count("*").alias("n_tools")
+    )
+    return grouped.select("category", "level", "name", "n_tools").orderBy("category", "level", "name")
 
 
 def column_profile(df: DataFrame, *columns: str) -> DataFrame:

@@ -25,8 +25,8 @@ def detail_records(pages: DataFrame, site: SiteProfile, rules: RuleSet | None =
     if own_sites is None:
         logo = shown
     else:
-        pictures = parse_pages(own_sites, keep=("url",)).select(
-            F.col("url").alias("website"), extract.images(Page()).alias("_site_images")
+        pictures = parse_pages(own_sites, keep=("url",)).groupBy(F.col("url").alias("website")).agg(
+            F.max(extract.images(Page())).alias("_site_images")
         )
         found = found.join(pictures, "website", "left")
         logo = F.coalesce(logos.best_in_page(F.col("_site_images"), F.col("name"), F.col("website")), shown)

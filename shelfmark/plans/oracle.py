@@ -506,8 +506,8 @@ def oracle_sql() -> dict[str, str]:
         "tools_by_category": SUMMARISED
             + "SELECT category, tool_id, name, count(*) OVER (PARTITION BY category) AS n_in_category FROM c2",
         "category_summary": SUMMARISED + """
-            SELECT category, CAST(sum(count(*)) OVER (PARTITION BY category) AS BIGINT) AS n_tools, name, count(*) AS copies
-            FROM c2 GROUP BY category, name ORDER BY category, name""",
+            SELECT category, 'category' AS level, CAST(NULL AS VARCHAR) AS name, count(*) AS n_tools FROM c2 GROUP BY category
+            UNION ALL SELECT category, 'name', name, count(*) FROM c2 GROUP BY category, name""",
         "run_metrics": f"""
             SELECT count(*) AS n_rows, count(DISTINCT url) AS n_unique,
               count(DISTINCT url) FILTER (WHERE page_id % 3 = 0) AS n_processed,

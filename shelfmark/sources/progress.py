@@ -20,16 +20,27 @@ class Progress:
     def __init__(self, spark: SparkSession, path: str, layout: Layout) -> None:
         self.spark, self.path, self.layout = spark, path.rstrip("/"), layout
 
-    def _exists(self) -> bool:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return root.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(root)
+    def _finished(self) -> list[str]:
+        """Folders of the batches that were written to the end."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/run=*/batch_id=*/_SUCCESS")
+        marks = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(root)
+        return sorted(mark.getPath().getParent().toString() for mark in marks or [])
 
     def results(self) -> DataFrame:
         """All stored rows with ``run`` and ``batch_id``; empty before the first batch."""
-        stored = ddl({**self.layout, "run": "string", "batch_id": "int"})
-        if not self._exists():
+        stored, folders = ddl({**self.layout, "run": "string", "batch_id": "int"}), self._finished()
+        if not folders:
             return self.spark.createDataFrame([], stored)
-        return self.spark.read.schema(stored).parquet(self.path)
+        return self.spark.read.schema(stored).option("basePath", self.path).parquet(*folders)
+
+    def processed(self, key: str = "url") -> DataFrame:
+        """Addresses done so far."""
+        return self.results().select(key)
+
+    def next_batch(self, run: str) -> int:
+        """Number after the last finished batch; an unfinished one is redone."""
+        mine = [f.rsplit("/batch_id=", 1) for f in self._finished()]
+        return 1 + max((int(n) for folder, n in mine if folder.endswith(f"/run={run}")), default=-1)
 
     def before(self, run: str, batch_id: int) -> DataFrame:
         """Rows stored by other runs and by earlier batches of this run."""

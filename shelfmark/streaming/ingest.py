@@ -39,8 +39,8 @@ def start_stream(spark: SparkSession, folder: str, progress: Progress, work: Wor
                  files_per_trigger: int = 1000, run: str = "stream") -> StreamingQuery:
     """Process the page files that arrived in ``folder``, then stop.
 
-    ``folder`` is a folder or a path pattern.     ``checkpoint`` must be on storage every executor and a later driver can
-    reach; see ``shared_folder``.
+    ``folder`` is a folder or a path pattern. ``checkpoint`` must be on storage
+    every executor and a later driver can reach; see ``shared_folder``.
     """
     arriving = (
         spark.readStream.schema(ddl(PAGES)).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
