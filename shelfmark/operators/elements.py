@@ -1,17 +1,18 @@
 """Raw pages to one row of elements per page.
 
 The page is parsed once by a narrow Arrow job; every later question about it is
-a row-local expression (see selectors.py). Text is held once per page, as the
+a row-local expression (see matching.py). Text is held once per page, as the
 ordered text pieces in ``runs``; an element names its slice of them, so nested
 elements do not repeat their text and a page stays linear in its source size.
 """
 
 from __future__ import annotations
 
+import re
 import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -21,10 +22,12 @@ from pyspark.sql import functions as F
 # Executors get the parser with the task, so they need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Tags without content, subtrees that are not content, and tags
-# whose start ends an open paragraph.
+# Tags without content, subtrees that are not content, tags that
+# hold only text, list tags, and tags whose start ends an open paragraph.
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 DROPPED_TAGS = frozenset("script style iframe noscript".split())
+PLAIN_TAGS = frozenset(("title", "textarea"))
+LIST_TAGS = frozenset(("ul", "ol"))
 PARAGRAPH_ENDERS = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre "
     "section table ul".split()
@@ -42,121 +45,138 @@ ELEMENTS_COLUMNS = f"runs array<string>, elements array<{ELEMENT}>, parse_error
 _FLUSH_ELEMENTS = 50_000
 
 
-class _Page(HTMLParser):
-    """Collects elements and text pieces of one page, in page order."""
-
-    def __init__(self, attrs: frozenset[str] | None) -> None:
-        super().__init__(convert_charrefs=True)
-        self.wanted = attrs
-        self.elements: list[list] = []
-        self.runs: list[str] = []
-        self.open: list[int] = []
-        self.open_tags: Counter[str] = Counter()
-        self.lists: list[int] = [-1]
-        self.items: list[int] = [-1]
-        self.dropped: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in DROPPED_TAGS:
-            self.dropped.append(tag)
-        if self.dropped:
-            return
-        if tag in PARAGRAPH_ENDERS and self.open_tags["p"]:
-            self._close("p")
-        elif tag == "li" and self.items[-1] > self.lists[-1]:
-            self._close("li")
-        self._add(tag, attrs)
-        if tag not in VOID_TAGS:
-            at = len(self.elements) - 1
-            self.open.append(at)
-            self.open_tags[tag] += 1
-            if tag in ("ul", "ol"):
-                self.lists.append(at)
-            elif tag == "li":
-                self.items.append(at)
-
-    def handle_startendtag(self, tag, attrs):
-        # "<div/>" opens a div, as in browsers; only void tags end themselves.
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        if self.dropped:
-            if tag in self.dropped:
-                while self.dropped.pop() != tag:
-                    pass
-        elif self.open_tags[tag]:
-            self._close(tag)
-
-    def handle_data(self, data):
-        if not self.dropped:
-            self.runs.append(data)
-
-    def _add(self, tag, attrs):
-        values = {}
-        for key, value in attrs:
-            if key == "class" or self.wanted is None or key in self.wanted:
-                values.setdefault(key, value or "")
-        classes = values.pop("class", "").split()
-        parent = self.open[-1] if self.open else -1
-        at = len(self.elements)
-        self.elements.append([parent, at, tag, classes, values, len(self.runs), len(self.runs)])
-
-    def _close(self, tag):
-        while True:
-            at = self.open.pop()
-            element = self.elements[at]
-            element[1], element[6] = len(self.elements) - 1, len(self.runs)
-            closed = element[2]
-            self.open_tags[closed] -= 1
-            if closed in ("ul", "ol"):
-                self.lists.pop()
-            elif closed == "li":
-                self.items.pop()
-            if closed == tag:
-                return
-
-    def finish(self):
-        self.close()
-        while self.open:
-            self._close(self.elements[self.open[-1]][2])
+# Tags and comments; quotes hide ">" only in attribute values. What is open at
+# the end of the page runs to the end.
+_TOKEN = re.compile(
+    r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|/([a-zA-Z][^\s/>]*)[^>]*>?|/[^>]*>?
+    |([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+|["'])*+)(?:>|\Z))""",
+    re.S | re.X,
+)
+_ATTR = re.compile(r"""([^\s/>="'][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_END_OF = {tag: re.compile(rf"</{tag}[\s/>]|\Z", re.I) for tag in DROPPED_TAGS | PLAIN_TAGS}
+
+
+def _decoded(text: str) -> str:
+    return unescape(text) if "&" in text else text
 
 
 class _Columns:
     """Flat column buffers for a batch of parsed pages."""
 
-    def __init__(self) -> None:
+    def __init__(self, wanted: frozenset[str] | None) -> None:
+        self.wanted = wanted
         self.errors: list[str | None] = []
-        self.run_ends, self.runs = [0], []
-        self.element_ends = [0]
-        self.pos, self.parent, self.last, self.tags = [], [], [], []
+        self.run_ends, self.element_ends = [0], [0]
+        self.parent, self.last, self.tags, self.run_from, self.run_to = [], [], [], [], []
         self.class_ends, self.classes = [0], []
         self.attr_ends, self.keys, self.values = [0], [], []
-        self.run_from, self.run_to = [], []
+        self.runs = []
 
-    def add(self, html: str | None, wanted: frozenset[str] | None) -> None:
-        page, error = _Page(wanted), None
+    def add(self, html: str | None) -> None:
+        grown = (self.parent, self.last, self.tags, self.run_from, self.run_to, self.class_ends, self.classes,
+                 self.attr_ends, self.keys, self.values, self.runs)
+        before, error = [len(column) for column in grown], None
         try:
-            if html is not None:
-                page.feed(html)
-                page.finish()
+            self._parse(html or "")
         except Exception as problem:  # one bad page must not stop the job
-            page, error = _Page(wanted), f"{type(problem).__name__}: {problem}"
+            error = f"{type(problem).__name__}: {problem}"
+            for column, length in zip(grown, before):
+                del column[length:]
         self.errors.append(error)
-        self.runs += page.runs
         self.run_ends.append(len(self.runs))
-        for pos, (parent, last, tag, classes, attrs, start, end) in enumerate(page.elements):
-            self.pos.append(pos)
-            self.parent.append(parent)
-            self.last.append(last)
+        self.element_ends.append(len(self.tags))
+
+    def _parse(self, html: str) -> None:
+        """Append the elements and text pieces of one page, in page order.
+
+        Void tags end themselves; a new paragraph, block or list item ends the
+        paragraph or item that is open; the end of the page ends everything.
+        """
+        first, first_run = len(self.tags), len(self.runs)
+        opened: list[int] = []
+        counts: Counter[str] = Counter()
+        items, lists = [-1], [-1]
+        at, length = 0, len(html)
+
+        def close(tag: str | None) -> None:
+            while opened:
+                index = opened.pop()
+                closed = self.tags[index]
+                counts[closed] -= 1
+                self.last[index] = len(self.tags) - 1 - first
+                self.run_to[index] = len(self.runs) - first_run
+                if closed == "li":
+                    items.pop()
+                elif closed in LIST_TAGS:
+                    lists.pop()
+                if closed == tag:
+                    return
+
+        while at < length:
+            token = _TOKEN.search(html, at)
+            start = token.start() if token else length
+            if start > at:
+                self.runs.append(_decoded(html[at:start]))
+            if token is None:
+                break
+            at = token.end()
+            ended, tag, attrs = token.groups()
+            if ended:
+                ended = ended.lower()
+                if counts[ended]:
+                    close(ended)
+                continue
+            if not tag:
+                continue
+            tag = tag.lower()
+            if tag in DROPPED_TAGS:
+                found = _END_OF[tag].search(html, at)
+                # Continue inside the end tag, which then ends nothing.
+                at = found.start()
+                continue
+            if tag in PARAGRAPH_ENDERS:
+                if counts["p"]:
+                    close("p")
+            elif tag == "li" and items[-1] > lists[-1]:
+                close("li")
+            index = len(self.tags)
+            self.parent.append(opened[-1] - first if opened else -1)
+            self.last.append(index - first)
             self.tags.append(tag)
-            self.classes += classes
+            self.run_from.append(len(self.runs) - first_run)
+            self.run_to.append(len(self.runs) - first_run)
+            if attrs:
+                self._attributes(attrs)
             self.class_ends.append(len(self.classes))
-            self.keys += attrs.keys()
-            self.values += attrs.values()
             self.attr_ends.append(len(self.keys))
-            self.run_from.append(start)
-            self.run_to.append(end)
-        self.element_ends.append(len(self.pos))
+            if tag in VOID_TAGS:
+                continue
+            opened.append(index)
+            counts[tag] += 1
+            if tag == "li":
+                items.append(index)
+            elif tag in LIST_TAGS:
+                lists.append(index)
+            elif tag in PLAIN_TAGS:
+                end = _END_OF[tag].search(html, at).start()
+                if end > at:
+                    self.runs.append(_decoded(html[at:end]))
+                at = end
+        close(None)
+
+    def _attributes(self, text: str) -> None:
+        seen = set()
+        for key, double, single, bare in _ATTR.findall(text):
+            key = key.lower()
+            if key in seen:
+                continue
+            seen.add(key)
+            value = _decoded(double or single or bare)
+            if key == "class":
+                self.classes += value.split()
+            elif self.wanted is None or key in self.wanted:
+                self.keys.append(key)
+                self.values.append(value)
 
     def arrays(self) -> list[pa.Array]:
         i32, text = pa.int32(), pa.string()
@@ -164,9 +184,11 @@ class _Columns:
         def ends(values):
             return pa.array(values, i32)
 
+        pages = zip(self.element_ends, self.element_ends[1:])
+        positions = pa.array([i for start, end in pages for i in range(end - start)], i32)
         element = pa.StructArray.from_arrays(
             [
-                pa.array(self.pos, i32), pa.array(self.parent, i32), pa.array(self.last, i32),
+                positions, pa.array(self.parent, i32), pa.array(self.last, i32),
                 pa.array(self.tags, text),
                 pa.ListArray.from_arrays(ends(self.class_ends), pa.array(self.classes, text)),
                 pa.MapArray.from_arrays(ends(self.attr_ends), pa.array(self.keys, text), pa.array(self.values, text)),
@@ -185,15 +207,15 @@ def _parser(kept: list[str], wanted: frozenset[str] | None):
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             html = batch.column("html")
-            start, columns = 0, _Columns()
+            start, columns = 0, _Columns(wanted)
             for row in range(batch.num_rows):
-                columns.add(html[row].as_py(), wanted)
-                if len(columns.pos) >= _FLUSH_ELEMENTS or row == batch.num_rows - 1:
+                columns.add(html[row].as_py())
+                if len(columns.tags) >= _FLUSH_ELEMENTS or row == batch.num_rows - 1:
                     carried = [batch.column(name).slice(start, row + 1 - start) for name in kept]
                     yield pa.RecordBatch.from_arrays(
                         carried + columns.arrays(), names=[*kept, "runs", "elements", "parse_error"]
                     )
-                    start, columns = row + 1, _Columns()
+                    start, columns = row + 1, _Columns(wanted)
 
     return parse
 
@@ -224,11 +246,16 @@ class HtmlElements:
     """Table function: elements of one page as rows, for SQL with LATERAL."""
 
     def eval(self, html: str):
-        page = _Page(None)
-        page.feed(html or "")
-        page.finish()
-        for pos, (parent, last, tag, classes, attrs, start, end) in enumerate(page.elements):
-            yield pos, parent, last, tag, classes, attrs, "".join(page.runs[start:end])
+        page = _Columns(None)
+        page.add(html)
+        for pos, tag in enumerate(page.tags):
+            attrs = slice(page.attr_ends[pos], page.attr_ends[pos + 1])
+            yield (
+                pos, page.parent[pos], page.last[pos], tag,
+                page.classes[page.class_ends[pos]:page.class_ends[pos + 1]],
+                dict(zip(page.keys[attrs], page.values[attrs])),
+                "".join(page.runs[page.run_from[pos]:page.run_to[pos]]),
+            )
 
 
 def register_html_elements(spark: SparkSession, name: str = "html_elements") -> None:

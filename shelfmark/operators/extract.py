@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.base import first, let, strip
 from shelfmark.functions.text import collapse_once
 from shelfmark.functions.urls import asset_url
-from shelfmark.operators.selectors import FALLBACKS, REGISTRY, Page, Sel
+from shelfmark.operators.matching import FALLBACKS, REGISTRY, Page, Sel
 from shelfmark.settings import SiteProfile
 
 # Parts of a detail page.

@@ -234,18 +234,24 @@ def _context_hits(text: Column, rules: RuleSet) -> Column:
     return F.filter(stems, lambda s: F.contains(text["combined"], s))
 
 
-def _total(hits: Column, order: int) -> Column:
-    return F.aggregate(
-        hits, F.lit(0.0), lambda total, h: total + F.when(h["cat_order"] == order, h["score"]).otherwise(0.0)
-    )
+def _scores(hits: Column, context: Column, rules: RuleSet) -> Column:
+    categories = [{"cat_order": order, "category": category} for order, category in rules.categories]
+    known = F.from_json(F.lit(json.dumps(categories)), "array<struct<cat_order:int,category:string>>")
 
+    def total(order: Column) -> Column:
+        return F.aggregate(
+            hits, F.lit(0.0), lambda sum_, h: sum_ + F.when(h["cat_order"] == order, h["score"]).otherwise(0.0)
+        )
 
-def _scores(hits: Column, context: Column, rules: RuleSet) -> Column:
     base = F.size(context) * CONTEXT_BONUS
-    return F.array(*[
-        F.struct((base + _total(hits, order)).alias("score"), F.lit(-order).alias("rank"), F.lit(category).alias("category"))
-        for order, category in rules.categories
-    ])
+    return F.transform(
+        known,
+        lambda c: F.struct(
+            (base + total(c["cat_order"])).alias("score"),
+            (-c["cat_order"]).alias("rank"),
+            c["category"].alias("category"),
+        ),
+    )
 
 
 def verdict(name: ColumnLike, description: ColumnLike, rules: RuleSet) -> Column:

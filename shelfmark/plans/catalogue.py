@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators import extract, logos
 from shelfmark.operators.elements import parse_pages
 from shelfmark.operators.rules import RuleSet, category_of
-from shelfmark.operators.selectors import Page
+from shelfmark.operators.matching import Page
 from shelfmark.schemas import DETAIL
 from shelfmark.settings import SiteProfile
 

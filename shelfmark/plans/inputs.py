@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfmark.sources.readers import spread
+
 LISTINGS_SQL = """
 SELECT p_partkey AS tool_id,
   p_name AS name,
@@ -82,10 +84,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that is long per row."""
+    return spread(table(spark, sf_dir, name))
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(LISTINGS_SQL, part=table(spark, sf_dir, "part"))
 
 
+def wide_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(LISTINGS_SQL, part=wide_table(spark, sf_dir, "part"))
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = IMAGES_SQL.replace("{four}", "explode(array(0, 1, 2, 3))")
     return spark.sql(query, part=table(spark, sf_dir, "part"))
@@ -159,9 +170,9 @@ FROM {part}
 
 def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One detail page per part."""
-    return spark.sql(_DETAIL_PAGE, part=table(spark, sf_dir, "part"))
+    return spark.sql(_DETAIL_PAGE, part=wide_table(spark, sf_dir, "part"))
 
 
 def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One listing page per part."""
-    return spark.sql(_LIST_PAGE, part=table(spark, sf_dir, "part"))
+    return spark.sql(_LIST_PAGE, part=wide_table(spark, sf_dir, "part"))

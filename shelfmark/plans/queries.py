@@ -12,7 +12,7 @@ from shelfmark.functions import arrays, labels, sections, text, urls
 from shelfmark.functions.base import first_filled, strip
 from shelfmark.operators import extract, logos, merge, quality, records, rules, summary
 from shelfmark.operators.elements import explode_elements, parse_pages, register_html_elements
-from shelfmark.operators.selectors import Page, Sel
+from shelfmark.operators.matching import Page, Sel
 from shelfmark.plans import inputs
 from shelfmark.plans.catalogue import detail_records
 from shelfmark.schemas import FLAT_COLUMNS
@@ -42,20 +42,20 @@ def _sorted_text(array: Column) -> Column:
 # -- text ------------------------------------------------------------------
 @query
 def clean_match_text(spark, sf_dir):
-    docs = inputs.table(spark, sf_dir, "documents")
+    docs = inputs.wide_table(spark, sf_dir, "documents")
     return docs.select("doc_id", text.match_text("text").alias("match_text"))
 
 
 @query
 def clean_display_text(spark, sf_dir):
-    docs = inputs.table(spark, sf_dir, "documents")
+    docs = inputs.wide_table(spark, sf_dir, "documents")
     return docs.select("doc_id", text.display_text("text").alias("display_text"))
 
 
 @query
 def clean_description(spark, sf_dir):
-    tools = inputs.listings(spark, sf_dir)
-    docs = inputs.table(spark, sf_dir, "documents")
+    tools = inputs.wide_listings(spark, sf_dir)
+    docs = inputs.wide_table(spark, sf_dir, "documents")
     both = tools.select(F.col("tool_id").alias("id"), F.lit("listing").alias("kind"), F.col("full_description").alias("raw"))
     both = both.union(docs.select("doc_id", F.lit("document"), "text"))
     return both.select("id", "kind", text.description_text("raw").alias("description"))
@@ -140,7 +140,7 @@ def label_prompts(spark, sf_dir):
 # -- sections --------------------------------------------------------------
 @query
 def sections_text(spark, sf_dir):
-    return inputs.listings(spark, sf_dir).select(
+    return inputs.wide_listings(spark, sf_dir).select(
         "tool_id",
         sections.short_description("full_description").alias("short_description"),
         sections.how_to_use("full_description").alias("how_to_use"),
@@ -150,13 +150,13 @@ def sections_text(spark, sf_dir):
 @query
 def sections_features(spark, sf_dir):
     items = sections.features("full_description")
-    return inputs.listings(spark, sf_dir).select("tool_id", F.array_join(items, "|").alias("features"))
+    return inputs.wide_listings(spark, sf_dir).select("tool_id", F.array_join(items, "|").alias("features"))
 
 
 @query
 def sections_use_cases(spark, sf_dir):
     items = sections.use_cases("full_description")
-    return inputs.listings(spark, sf_dir).select("tool_id", F.array_join(items, "|").alias("use_cases"))
+    return inputs.wide_listings(spark, sf_dir).select("tool_id", F.array_join(items, "|").alias("use_cases"))
 
 
 @query
@@ -166,7 +166,7 @@ def section_links(spark, sf_dir):
         F.lit(" DISCORD.GG/d"), F.col("tool_id"), F.lit(" facebook.com/f\" youtube.com/@y Instagram.com/i/"),
         F.when(F.col("tool_id") % 2 == 0, F.lit(" Sign up Link:https://app.example.com/up")).otherwise(""),
     )
-    tools = inputs.listings(spark, sf_dir).select("tool_id", extra.alias("raw"))
+    tools = inputs.wide_listings(spark, sf_dir).select("tool_id", extra.alias("raw"))
     return tools.select(
         "tool_id", *[link.alias(f"{name}_link") for name, link in sections.link_columns("raw").items()]
     )
@@ -178,7 +178,7 @@ DEFAULT = rules.RuleSet.default()
 
 @query
 def classify_default_rules(spark, sf_dir):
-    return inputs.listings(spark, sf_dir).select(
+    return inputs.wide_listings(spark, sf_dir).select(
         "tool_id", rules.category_of("name", "full_description", DEFAULT).alias("category")
     )
 
@@ -186,36 +186,36 @@ def classify_default_rules(spark, sf_dir):
 @query
 def classify_documents(spark, sf_dir):
     found = rules.verdict("source", "text", DEFAULT)
-    docs = inputs.table(spark, sf_dir, "documents").select("doc_id", found.alias("v"))
+    docs = inputs.wide_table(spark, sf_dir, "documents").select("doc_id", found.alias("v"))
     return docs.select("doc_id", "v.category", "v.score")
 
 
 @query
 def classify_custom_rules(spark, sf_dir):
-    docs = inputs.table(spark, sf_dir, "documents")
+    docs = inputs.wide_table(spark, sf_dir, "documents")
     return rules.classify(docs, "doc_id", "source", "text", inputs.test_rules(spark), "none")
 
 
 @query
 def classify_by_rule_join(spark, sf_dir):
-    docs = inputs.table(spark, sf_dir, "documents")
+    docs = inputs.wide_table(spark, sf_dir, "documents")
     return rules.best_by_join(docs, "doc_id", "source", "text", inputs.test_rules(spark), "none")
 
 
 @query
 def scores_by_rule_join(spark, sf_dir):
-    docs = inputs.table(spark, sf_dir, "documents")
+    docs = inputs.wide_table(spark, sf_dir, "documents")
     return rules.category_scores_by_join(docs, "doc_id", "source", "text", inputs.test_rules(spark))
 
 
 @query
 def classify_scores(spark, sf_dir):
-    return rules.category_scores(inputs.listings(spark, sf_dir), "tool_id", "name", "full_description", DEFAULT)
+    return rules.category_scores(inputs.wide_listings(spark, sf_dir), "tool_id", "name", "full_description", DEFAULT)
 
 
 @query
 def classify_explain(spark, sf_dir):
-    return rules.explain_matches(inputs.listings(spark, sf_dir), "tool_id", "name", "full_description", DEFAULT)
+    return rules.explain_matches(inputs.wide_listings(spark, sf_dir), "tool_id", "name", "full_description", DEFAULT)
 
 
 # -- lists, maps, labels ---------------------------------------------------
@@ -293,7 +293,7 @@ def parse_replies(spark, sf_dir):
 
 # -- records ---------------------------------------------------------------
 def _raw_listings(spark, sf_dir) -> DataFrame:
-    return inputs.listings(spark, sf_dir).select(
+    return inputs.wide_listings(spark, sf_dir).select(
         "tool_id", "name", "full_description", "support_email", "pricing_link", "image_url", "rating",
         _items("features_csv").alias("features"), _items("links_csv").alias("social_links"),
     )
@@ -312,7 +312,7 @@ def clean_records(spark, sf_dir):
 
 @query
 def format_records(spark, sf_dir):
-    raw = inputs.listings(spark, sf_dir).select(
+    raw = inputs.wide_listings(spark, sf_dir).select(
         "tool_id", F.concat(F.lit(" "), "name", F.lit("\t")).alias("name"), "full_description", "support_email",
         "pricing_link", "image_url", F.when(F.col("tool_id") % 2 == 0, F.col("image_url")).alias("img_url"),
         F.lit("/logo.png").alias("logo_url"),
@@ -414,7 +414,7 @@ def valid_categories(spark, sf_dir):
 # -- summaries -------------------------------------------------------------
 def _categorised(spark, sf_dir) -> DataFrame:
     category = rules.category_of("name", sections.short_description("full_description"), DEFAULT)
-    return inputs.listings(spark, sf_dir).select(
+    return inputs.wide_listings(spark, sf_dir).select(
         "tool_id", "name", F.when(F.col("tool_id") % 10 != 3, category).alias("category")
     )
 
@@ -513,7 +513,7 @@ def listing_page_sequence(spark, sf_dir):
 
 # -- pages -----------------------------------------------------------------
 def _parsed(spark, sf_dir) -> DataFrame:
-    return parse_pages(inputs.table(spark, sf_dir, "pages"))
+    return parse_pages(inputs.wide_table(spark, sf_dir, "pages"))
 
 
 @query
