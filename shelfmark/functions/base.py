@@ -39,6 +39,16 @@ def first(array: Column) -> Column:
     return F.try_element_at(array, F.lit(1))
 
 
+def each(array: Column) -> Column:
+    """Generator with one row per element of a costly array.
+
+    For the inner form of explode Spark infers a filter on the array's size
+    and so works the array out a second time. This form gives an extra NULL
+    row for an empty array, which the caller filters out.
+    """
+    return F.explode_outer(array)
+
+
 def strip(c: ColumnLike) -> Column:
     """Remove Unicode white space at both ends."""
     return F.btrim(col(c), F.lit(WS_CHARS))

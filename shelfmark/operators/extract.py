@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.base import first, let, strip
+from shelfmark.functions.base import each, first, let, strip
 from shelfmark.functions.text import collapse_once
 from shelfmark.functions.urls import asset_url
 from shelfmark.operators.matching import FALLBACKS, REGISTRY, Page, Sel
@@ -158,9 +158,10 @@ def article_details(parsed: DataFrame, site: SiteProfile, keep: tuple[str, ...]
 
 
 def _ranked(parsed: DataFrame, records: Column, keep: tuple[str, ...]) -> DataFrame:
-    """Explode an array of records, numbered from 1 within their page."""
-    return parsed.select(*keep, F.posexplode(records).alias("_at", "_r")).select(
-        *keep, (F.col("_at") + 1).alias("ordinal"), "_r.*"
+    """One row per record of the array, numbered from 1 within the page."""
+    numbered = F.transform(records, lambda r, i: F.struct((i + 1).alias("ordinal"), r.alias("record")))
+    return parsed.select(*keep, each(numbered).alias("_r")).filter("_r IS NOT NULL").select(
+        *keep, "_r.ordinal", "_r.record.*"
     )
 
 
@@ -266,7 +267,7 @@ def tool_urls(parsed: DataFrame, site: SiteProfile) -> DataFrame:
     page = Page()
     hrefs = F.transform(page.select(CARD), lambda card: page.first_attr("href", CARD_NAME_LINK, scope=card))
     links = F.filter(hrefs, lambda h: h != "")
-    return parsed.select(F.explode(links).alias("href")).select(
+    return parsed.select(each(links).alias("href")).filter("href IS NOT NULL").select(
         F.concat(F.lit(site.base_url), "href").alias("url")
     ).distinct()
 

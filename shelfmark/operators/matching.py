@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfmark.functions.base import first, let, strip
+from shelfmark.functions.base import ColumnLike, col, first, let, strip
 
 Predicate = Callable[[Column], Column]
 
@@ -41,9 +41,16 @@ class Sel:
 class Page:
     """Expressions over one parsed page: its ``elements`` and ``runs``."""
 
-    def __init__(self, elements: Column | str = "elements", runs: Column | str = "runs") -> None:
-        self.elements = F.col(elements) if isinstance(elements, str) else elements
-        self.runs = F.col(runs) if isinstance(runs, str) else runs
+    def __init__(self, elements: ColumnLike = "elements", runs: ColumnLike = "runs") -> None:
+        self._elements, self._runs = elements, runs
+
+    @property
+    def elements(self) -> Column:
+        return col(self._elements)
+
+    @property
+    def runs(self) -> Column:
+        return col(self._runs)
 
     # -- text -------------------------------------------------------------
     def _slice(self, e: Column) -> Column:

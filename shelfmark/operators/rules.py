@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.base import ColumnLike, col, let
+from shelfmark.functions.base import ColumnLike, col, each, let
 from shelfmark.functions.labels import CATEGORIES
 from shelfmark.functions.text import match_text
 
@@ -293,7 +293,7 @@ def category_scores(df: DataFrame, key: str, name: ColumnLike, description: Colu
     """One row per record and category with a score above zero."""
     scored = df.select(key, verdict(name, description, rules)["scores"].alias("scores"))
     return (
-        scored.select(key, F.explode("scores").alias("s"))
+        scored.select(key, each(F.col("scores")).alias("s"))
         .select(key, F.col("s.category").alias("category"), F.col("s.score").alias("score"))
         .filter("score > 0")
     )
@@ -302,7 +302,7 @@ def category_scores(df: DataFrame, key: str, name: ColumnLike, description: Colu
 def explain_matches(df: DataFrame, key: str, name: ColumnLike, description: ColumnLike, rules: RuleSet) -> DataFrame:
     """One row per record and rule that scored, with the points it gave."""
     scored = df.select(key, verdict(name, description, rules)["hits"].alias("hits"))
-    return scored.select(key, F.explode("hits").alias("h")).select(
+    return scored.select(key, each(F.col("hits")).alias("h")).filter("h IS NOT NULL").select(
         key, "h.category", "h.keyword", "h.kind", "h.weight", "h.score"
     )
 
@@ -338,7 +338,7 @@ def category_scores_by_join(
     found = F.concat(*[_fragments(F.col("text.combined"), size) for size in sorted({len(w) for w in wanted} or {3})])
     fragments = F.array_intersect(found, F.from_json(F.lit(json.dumps(wanted)), "array<string>"))
     salted = records.select(
-        key, F.explode(fragments).alias("fragment"), F.pmod(F.xxhash64(key), F.lit(_SALTS)).alias("salt")
+        key, each(fragments).alias("fragment"), F.pmod(F.xxhash64(key), F.lit(_SALTS)).alias("salt")
     )
     cleaned = cleaned.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)).cast("array<bigint>")))
     meetings = salted.join(cleaned, ["fragment", "salt"]).drop("fragment", "salt")

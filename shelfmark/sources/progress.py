@@ -46,10 +46,6 @@ class Progress:
         """Rows stored by other runs and by earlier batches of this run."""
         return self.results().filter((F.col("run") != run) | (F.col("batch_id") < batch_id))
 
-    def next_batch(self, run: str) -> int:
-        last = self.results().filter(F.col("run") == run).agg(F.max("batch_id")).first()[0]
-        return 0 if last is None else last + 1
-
     def save(self, rows: DataFrame, run: str, batch_id: int) -> None:
         """Store a batch; repeating it replaces its earlier rows."""
         kept = rows.select(*[F.col(name).cast(kind).alias(name) for name, kind in self.layout.items()])

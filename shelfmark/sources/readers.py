@@ -37,7 +37,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
     """Raw pages from a folder of page files; the file path is the address."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     url = F.input_file_name()
     return files.select(F.xxhash64(url).alias("page_id"), url.alias("url"), F.col("value").alias("html"))
 
