@@ -47,15 +47,19 @@ def _standard_names() -> dict[str, str]:
     return {**{name: name for name in DOMAIN}, **ALIASES}
 
 
-def standard_category(c: ColumnLike) -> Column:
-    """Standard name of a category or alias; unknown names are ``Other``."""
-    pairs = [F.lit(text) for pair in _standard_names().items() for text in pair]
+def standard_category(c: ColumnLike, names: dict[str, str] | None = None) -> Column:
+    """Standard name of a category or alias; unknown names are ``Other``.
+
+    ``names`` replaces the standard table of names.
+    """
+    pairs = [F.lit(text) for pair in (names or _standard_names()).items() for text in pair]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), col(c)), F.lit(OTHER))
 
 
-def consolidate(c: ColumnLike) -> Column:
+def consolidate(c: ColumnLike, names: dict[str, str] | None = None) -> Column:
     """Standard names of a list of categories, distinct and sorted."""
-    return F.sort_array(F.array_distinct(F.transform(or_empty(c), standard_category)))
+    known = F.transform(or_empty(c), lambda x: standard_category(x, names))
+    return F.sort_array(F.array_distinct(known))
 
 
 def is_valid_category(c: ColumnLike) -> Column:

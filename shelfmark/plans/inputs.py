@@ -168,6 +168,20 @@ FROM {part}
 """
 
 
+# The listings' own sites; those of even size show a usable logo.
+_OWN_SITE = """
+SELECT 'https://site' || p_partkey || '.example.org/' AS url,
+  '<img src=x.png>' || CASE WHEN p_size % 2 = 0
+    THEN '<img src="/brand' || p_partkey || '.svg" alt=Brand width=50 height=50>' ELSE '' END AS html
+FROM {part}
+"""
+
+
+def own_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of each listing's own site."""
+    return spark.sql(_OWN_SITE, part=wide_table(spark, sf_dir, "part"))
+
+
 def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One detail page per part."""
     return spark.sql(_DETAIL_PAGE, part=wide_table(spark, sf_dir, "part"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfmark.functions.base import NOT_WS_OR_QUOTE, WS, WS_CHARS
+from shelfmark.functions.base import WS, WS_CHARS
 from shelfmark.functions.labels import CATEGORIES, DOMAIN, LABEL_QUESTION, OTHER, ALIASES
 from shelfmark.functions.sections import PROFILE_LINKS, WHOLE_LINKS
 from shelfmark.operators.rules import CONTEXT_STEMS, DOCUMENT_STEMS, RuleSet
@@ -212,11 +212,9 @@ def shot(kind: str) -> str:
     return f"'{SITE.asset_url}/' || {slug(H1)} || '_{kind}.png'"
 
 
-# The logo choice on the pages built from parts: image 1 is /img/p, its width
-# runs from 20 to 69 and its height is 40; image 2 is on the image host.
 _W1 = "(20 + p_partkey % 50)"
-_SCORE1 = f"5 + CASE WHEN {_W1} BETWEEN 32 AND 48 THEN 3 ELSE 0 END"
-_BRAND_IN_2 = "CASE WHEN contains(lower(p_brand), 'brand') THEN 5 ELSE 0 END"
+# On the pages built from parts the image on the image host always wins: it
+# names the listing and its brand (8 + 5 + 3), the other one gets 8 at most.
 DIRECTORY_LOGO = f"'https://assets.example.com/x' || p_partkey || '.png'"
 
 
@@ -249,20 +247,18 @@ def candidates(directory: bool) -> str:
             f"CASE WHEN contains(lower(alt), lower(name)) AND contains(src, 'x.example.com') THEN 8 ELSE 0 END + "
             f"CASE WHEN {words} THEN 5 ELSE 0 END + CASE WHEN {square} AND {fits} THEN 3 ELSE 0 END END"
         )
-        where = ""
     else:
         score = (
             f"CASE WHEN {words} THEN 5 ELSE 0 END + "
             "CASE WHEN contains(lower(alt), lower(name)) OR contains(lower(src), lower(name)) THEN 8 ELSE 0 END + "
             f"CASE WHEN {square} THEN 3 ELSE 0 END + CASE WHEN {fits} THEN 2 ELSE 0 END"
         )
-        where = "AND tool_id % 3 <> 1"
     return f"""
     SELECT tool_id, pos, src AS url, CAST(score AS INT) AS score, w, h FROM (
       SELECT *, {score} AS score FROM (
         SELECT tool_id, pos, name, alt, greatest(w, 1.0) AS w, greatest(h, 1.0) AS h,
           CASE WHEN starts_with(src, '//') THEN 'https:' || src WHEN starts_with(src, '/') THEN '{root}' || src ELSE src END AS src
-        FROM ({IMAGES}) WHERE src <> '' AND NOT starts_with(src, 'data:image/') {where}))
+        FROM ({IMAGES}) WHERE src <> '' AND NOT starts_with(src, 'data:image/')))
     WHERE score > 5
     """
 
@@ -327,7 +323,8 @@ SELECT tool_id, CASE WHEN tool_id % 19 <> 0 THEN name END AS name,
   CASE WHEN tool_id % 23 = 0 THEN 'N/A' ELSE '' END AS description, rating, image_url, pricing_link, support_email
 FROM ({LISTINGS})
 """
-FRONTIER = "SELECT page_id, url FROM pages UNION ALL SELECT page_id, url FROM pages WHERE page_id % 5 = 0"
+HTTPS = "url LIKE 'https:%'"
+FRONTIER = "SELECT page_id, url FROM pages UNION ALL SELECT page_id, url FROM pages WHERE url LIKE '%?%'"
 ALIAS_VALUES = ", ".join(
     f"({_q(a)}, {_q(c)})" for a, c in [*ALIASES.items(), *[(d, d) for d in DOMAIN]]
 )
@@ -357,7 +354,7 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {by_test_rules}, {verdict(documents=False, default='none')} SELECT key AS doc_id, category FROM verdict"
     )
     profile = ", ".join(f"count(*) FILTER (WHERE length({c}) > 0) AS {c}" for c in FLAT_NAMES)
-    done = "page_id % 10 <> 3"
+    done = "ends_with(rtrim(html), '</html>')"
     title = strip(decoded(in_titles))
     ai = "'https://directory.example.com'"
     dedup_first = f"SELECT name, min(tool_id) AS tool_id FROM ({LISTINGS})"
@@ -374,7 +371,7 @@ def oracle_sql() -> dict[str, str]:
             + " AS description"
         ),
         "clean_email": on_listings(
-            f"tool_id, {email(chr(99) + 'oalesce(support_email, ' + _q('') + ')', SITE.placeholder_email)} AS email, "
+            f"tool_id, {email('coalesce(support_email, ' + _q('') + ')', SITE.placeholder_email)} AS email, "
             f"{email('coalesce(support_email, ' + _q('') + ')', 'a@b.co')} AS email_without_placeholder"
         ),
         "clean_url": on_listings(
@@ -382,7 +379,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "slugify": f"SELECT doc_id, {slug('text')} AS slug FROM documents",
         "asset_names": on_listings(
-            f"tool_id, '{SITE.asset_url}/' || {slug(chr(40) + 'name || ' + _q(' / ') + ' || tool_id)')} || '_full.png' AS asset_url, "
+            f"tool_id, '{SITE.asset_url}/' || {slug('(name || ' + _q(' / ') + ' || tool_id)')} || '_full.png' AS asset_url, "
             f"{slug('(name || ' + _q(' / ') + ' || tool_id)')} || '_full.png' AS file_name"
         ),
         "collapse_once": "SELECT doc_id, "
@@ -510,26 +507,27 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT category, 'name', name, count(*) FROM c2 GROUP BY category, name""",
         "run_metrics": f"""
             SELECT count(*) AS n_rows, count(DISTINCT url) AS n_unique,
-              count(DISTINCT url) FILTER (WHERE page_id % 3 = 0) AS n_processed,
-              count(DISTINCT url) FILTER (WHERE page_id % 3 <> 0) AS n_remaining FROM ({FRONTIER})""",
+              count(DISTINCT url) FILTER (WHERE {HTTPS}) AS n_processed,
+              count(DISTINCT url) FILTER (WHERE NOT {HTTPS}) AS n_remaining FROM ({FRONTIER})""",
         "distinct_names": on_listings("DISTINCT name"),
         # joins and set operations
-        "frontier_minus_processed": "SELECT DISTINCT url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)",
-        "mark_processed": "SELECT DISTINCT url FROM pages WHERE page_id % 3 = 0 OR page_id % 2 = 0",
+        "frontier_minus_processed": f"SELECT DISTINCT url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE {HTTPS})",
+        "mark_processed": f"SELECT DISTINCT url FROM pages WHERE {HTTPS} OR url LIKE '%#%'",
         "dedup_first_by_name": f"""
             WITH l AS ({LISTINGS}) SELECT name, tool_id, full_description FROM l
             WHERE tool_id IN (SELECT min(tool_id) FROM l GROUP BY name)""",
         "unseen_names": f"""
-            {dedup_first} WHERE name NOT IN (SELECT name FROM ({LISTINGS}) WHERE tool_id % 50 = 7) GROUP BY name""",
+            {dedup_first} WHERE name NOT IN (SELECT name FROM ({LISTINGS}) WHERE rating = 'bad') GROUP BY name""",
         "first_k_per_name": f"""
             SELECT name, tool_id FROM ({LISTINGS}) QUALIFY row_number() OVER (PARTITION BY name ORDER BY tool_id) <= 5""",
         "overlay_enrichment": on_listings(
-            "tool_id, CASE WHEN tool_id % 2 = 0 AND tool_id % 4 <> 0 THEN upper(full_description) ELSE full_description END AS description, "
-            "CASE WHEN tool_id % 2 = 0 THEN 'New' ELSE 'Base' END AS category"
+            "tool_id, CASE WHEN pricing_link IS NOT NULL AND support_email IS NOT NULL THEN upper(full_description) "
+            "ELSE full_description END AS description, "
+            "CASE WHEN pricing_link IS NOT NULL THEN 'New' ELSE 'Base' END AS category"
         ),
-        "fallback_source": "SELECT page_id, url, CASE WHEN page_id % 4 <> 0 THEN 'A' ELSE 'B' END AS method FROM pages",
+        "fallback_source": f"SELECT page_id, url, CASE WHEN {HTTPS} THEN 'A' ELSE 'B' END AS method FROM pages",
         "append_records": on_listings(
-            "tool_id, CASE WHEN tool_id % 2 = 0 THEN name END AS name, CASE WHEN tool_id % 2 = 1 THEN rating END AS rating"
+            "tool_id, CASE WHEN rating <> 'bad' THEN name END AS name, CASE WHEN rating = 'bad' THEN rating END AS rating"
         ),
         "listing_page_sequence": """
             WITH n AS (SELECT c_nationkey, CAST(ceil(count(*) / 20.0) AS INT) AS n_pages FROM customer GROUP BY 1),
@@ -582,12 +580,11 @@ def oracle_sql() -> dict[str, str]:
               'https://www.linkedin.com/company/c' || p_partkey AS linkedin_link, 'N/A' AS header_twitter_link FROM part""",
         "catalogue_records": f"""
             WITH pg AS (SELECT *, p_partkey AS page_id, {H1} AS h1, {DETAIL_TEXT} AS descr FROM part WHERE {HAS_AREA}),
-            {classified("SELECT page_id AS key, h1 AS name, descr FROM pg")},
-            g AS (SELECT *, CAST({_SCORE1} AS INT) AS s1, 8 + {_BRAND_IN_2} + 3 AS s2 FROM pg)
+            {classified("SELECT page_id AS key, h1 AS name, descr FROM pg")}
             SELECT page_id, h1 AS name, CASE WHEN page_id % 2 = 1 THEN 'https://site' || page_id || '.example.org/' END AS website,
-              CASE WHEN page_id % 6 = 1 THEN 'https://site' || page_id || '.example.org/brand' || page_id || '.svg'
+              CASE WHEN page_id % 2 = 1 AND p_size % 2 = 0 THEN 'https://site' || page_id || '.example.org/brand' || page_id || '.svg'
                 ELSE {DIRECTORY_LOGO} END AS logo_url, category
-            FROM g JOIN verdict ON key = page_id""",
+            FROM pg JOIN verdict ON key = page_id""",
         "card_records": f"SELECT * FROM ({cards_cte()})",
         "card_urls": f"""
             SELECT {ai} || '/tool/' || p_partkey AS url FROM part UNION SELECT {ai} || '/tool/size-' || p_size FROM part""",
@@ -615,6 +612,6 @@ def oracle_sql() -> dict[str, str]:
             LEFT JOIN ({best(False)}) o ON o.tool_id = p_partkey LEFT JOIN ({best(True)}) d ON d.tool_id = p_partkey""",
         # incremental
         "incremental_batch": f"""
-            SELECT page_id, url, {title} AS name, CASE WHEN page_id % 3 = 0 THEN 0 ELSE 1 END AS batch_id FROM pages WHERE {done}""",
+            SELECT page_id, url, {title} AS name, CASE WHEN {HTTPS} THEN 0 ELSE 1 END AS batch_id FROM pages WHERE {done}""",
         "stream_results": f"SELECT page_id, url, {title} AS name FROM pages WHERE {done}",
     }

@@ -436,7 +436,7 @@ def category_summary(spark, sf_dir):
 
 def _frontier(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     pages = inputs.table(spark, sf_dir, "pages").select("page_id", "url")
-    return pages.union(pages.filter("page_id % 5 = 0")), pages.filter("page_id % 3 = 0")
+    return pages.union(pages.filter("url LIKE '%?%'")), pages.filter("url LIKE 'https:%'")
 
 
 @query
@@ -458,7 +458,7 @@ def frontier_minus_processed(spark, sf_dir):
 @query
 def mark_processed(spark, sf_dir):
     frontier, processed = _frontier(spark, sf_dir)
-    return merge.mark_processed(processed, frontier.filter("page_id % 2 = 0"))
+    return merge.mark_processed(processed, frontier.filter("url LIKE '%#%'"))
 
 
 @query
@@ -468,8 +468,8 @@ def dedup_first_by_name(spark, sf_dir):
 
 @query
 def unseen_names(spark, sf_dir):
-    tools = inputs.listings(spark, sf_dir).select("tool_id", "name")
-    return merge.unseen(tools, tools.filter("tool_id % 50 = 7"), "name", "tool_id").select("name", "tool_id")
+    tools = inputs.listings(spark, sf_dir).select("tool_id", "name", "rating")
+    return merge.unseen(tools, tools.filter("rating = 'bad'"), "name", "tool_id").select("name", "tool_id")
 
 
 @query
@@ -480,9 +480,11 @@ def first_k_per_name(spark, sf_dir):
 
 @query
 def overlay_enrichment(spark, sf_dir):
-    base = inputs.listings(spark, sf_dir).select("tool_id", F.col("full_description").alias("description"), F.lit("Base").alias("category"))
-    enriched = base.filter("tool_id % 2 = 0").select(
-        "tool_id", F.when(F.col("tool_id") % 4 != 0, F.upper("description")).alias("description"), F.lit("New").alias("category")
+    tools = inputs.listings(spark, sf_dir)
+    base = tools.select("tool_id", F.col("full_description").alias("description"), F.lit("Base").alias("category"))
+    enriched = tools.filter("pricing_link IS NOT NULL").select(
+        "tool_id", F.when(F.col("support_email").isNotNull(), F.upper("full_description")).alias("description"),
+        F.lit("New").alias("category"),
     )
     return merge.overlay(base, enriched, "tool_id", ["description", "category"])
 
@@ -490,7 +492,7 @@ def overlay_enrichment(spark, sf_dir):
 @query
 def fallback_source(spark, sf_dir):
     pages = inputs.table(spark, sf_dir, "pages").select("page_id", "url")
-    primary = pages.filter("page_id % 4 <> 0").withColumn("method", F.lit("A"))
+    primary = pages.filter("url LIKE 'https:%'").withColumn("method", F.lit("A"))
     return merge.fallback_source(primary, pages.withColumn("method", F.lit("B")), "page_id")
 
 
@@ -498,7 +500,7 @@ def fallback_source(spark, sf_dir):
 def append_records(spark, sf_dir):
     tools = inputs.listings(spark, sf_dir)
     return merge.append(
-        tools.filter("tool_id % 2 = 0").select("tool_id", "name"), tools.filter("tool_id % 2 = 1").select("tool_id", "rating")
+        tools.filter("rating <> 'bad'").select("tool_id", "name"), tools.filter("rating = 'bad'").select("tool_id", "rating")
     )
 
 
@@ -616,11 +618,7 @@ def platform_links(spark, sf_dir):
 @query
 def catalogue_records(spark, sf_dir):
     pages = inputs.detail_pages(spark, sf_dir)
-    key = F.col("page_id")
-    own = pages.filter(key % 2 == 1).filter(key % 6 == 1).select(
-        F.concat(F.lit("https://site"), key, F.lit(".example.org/")).alias("url"),
-        F.concat(F.lit("<img src='/brand"), key, F.lit(".svg' alt='Brand' width=50 height=50><img src=x.png>")).alias("html"),
-    )
+    own = inputs.own_sites(spark, sf_dir)
     return detail_records(pages, SITE, DEFAULT, own).select("page_id", "name", "website", "logo_url", "category")
 
 
@@ -663,8 +661,7 @@ def registry_fields(spark, sf_dir):
 
 # -- logos -----------------------------------------------------------------
 def _external(spark, sf_dir) -> DataFrame:
-    images = inputs.images(spark, sf_dir).filter("tool_id % 3 <> 1")
-    return logos.candidates(images, "tool_id", F.lit("https://shop.example.com/x"))
+    return logos.candidates(inputs.images(spark, sf_dir), "tool_id", F.lit("https://shop.example.com/x"))
 
 
 def _directory(spark, sf_dir) -> DataFrame:
@@ -694,9 +691,9 @@ def logo_with_fallback(spark, sf_dir):
 
 # -- incremental -----------------------------------------------------------
 def _titles(pages: DataFrame) -> DataFrame:
-    """Work of the incremental queries; every tenth page fails."""
-    titled = parse_pages(pages).select("page_id", "url", extract.title(Page()).alias("name"))
-    return titled.filter("page_id % 10 <> 3")
+    """Work of the incremental queries; pages that were cut short fail."""
+    whole = pages.filter(F.endswith(F.rtrim("html"), F.lit("</html>")))
+    return parse_pages(whole).select("page_id", "url", extract.title(Page()).alias("name"))
 
 
 _STORED = {"page_id": "bigint", "url": "string", "name": "string"}
@@ -710,7 +707,7 @@ def _progress(spark: SparkSession) -> Progress:
 def incremental_batch(spark, sf_dir):
     pages = inputs.table(spark, sf_dir, "pages")
     progress = _progress(spark)
-    run_batch(pages.filter("page_id % 3 = 0"), progress, _titles)
+    run_batch(pages.filter("url LIKE 'https:%'"), progress, _titles)
     run_batch(pages, progress, _titles)
     return progress.results().select("page_id", "url", "name", "batch_id")
 

@@ -2,11 +2,9 @@ import json
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
 
 from shelfmark.operators import records
 from shelfmark.schemas import FLAT_COLUMNS
-from shelfmark.settings import SiteProfile
 from shelfmark.sources import readers, writers
 from shelfmark.sources.progress import Progress
 
