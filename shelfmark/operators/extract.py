@@ -294,6 +294,13 @@ def has_no_results(page: Page, site: SiteProfile) -> Column:
     return (F.size(page.select(GRID_ITEM)) == 0) | (F.size(page.select(marker)) > 0)
 
 
+def fields_by(parsed: DataFrame, registry: dict[str, tuple[Sel, ...]],
+              keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+    """Text of the first match of each field, ``N/A`` when absent."""
+    page = Page()
+    return parsed.select(*keep, *[page.text_or(sels).alias(field) for field, sels in registry.items()])
+
+
 def registry_fields(parsed: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Text of each registered field with its fallback, ``N/A`` when absent."""
     page = Page()

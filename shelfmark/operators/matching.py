@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.base import ColumnLike, col, first, let, strip
@@ -191,6 +191,31 @@ class Page:
         return F.coalesce(F.nullif(main, F.lit("")), F.lit(default))
 
 
+_TABLE_COLUMNS = ("field", "priority", "tag", "class_name", "class_part", "attr", "attr_op", "attr_value", "ancestor_class")
+_MOST_SELECTORS = 1_000
+
+
+def selectors_from(table: DataFrame) -> dict[str, tuple[Sel, ...]]:
+    """A registry like REGISTRY out of a user's table of selectors.
+
+    One row per selector, NULL where a condition is not wanted; several tags or
+    classes are separated by spaces. The table is a setting, not data: more
+    than a thousand rows are refused.
+    """
+    rows = table.select(*_TABLE_COLUMNS).limit(_MOST_SELECTORS + 1).collect()
+    if len(rows) > _MOST_SELECTORS:
+        raise ValueError(f"more than {_MOST_SELECTORS} selectors")
+    registry: dict[str, tuple[Sel, ...]] = {}
+    for r in sorted(rows, key=lambda r: (r["field"], r["priority"])):
+        sel = Sel(
+            tags=tuple((r["tag"] or "").split()), classes=tuple((r["class_name"] or "").split()),
+            part_class=r["class_part"], attr=r["attr"], op=r["attr_op"] or "has", value=r["attr_value"] or "",
+            inside=Sel(classes=tuple(r["ancestor_class"].split())) if r["ancestor_class"] else None,
+        )
+        registry[r["field"]] = (*registry.get(r["field"], ()), sel)
+    return registry
+
+
 # The selectors of the directory's pages, by field.
 REGISTRY: dict[str, tuple[Sel, ...]] = {
     "tool_card": (Sel(tags=("div",), part_class="tool-item"),),

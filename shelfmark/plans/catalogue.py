@@ -11,6 +11,18 @@ from shelfmark.operators.rules import RuleSet, category_of
 from shelfmark.operators.matching import Page
 from shelfmark.schemas import DETAIL
 from shelfmark.settings import SiteProfile
+from shelfmark.sources.progress import Progress
+from shelfmark.streaming.ingest import run_batch
+
+
+def update(pages: DataFrame, progress: Progress, site: SiteProfile, rules: RuleSet | None = None,
+           own_sites: DataFrame | None = None) -> int:
+    """Add the pages that are new to the stored catalogue; gives the batch number.
+
+    ``progress`` stores the DETAIL layout. Pages without a detail area are not
+    marked as done and are tried again with the next batch.
+    """
+    return run_batch(pages, progress, lambda new: detail_records(new, site, rules, own_sites))
 
 
 def detail_records(pages: DataFrame, site: SiteProfile, rules: RuleSet | None = None,

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from shelfmark.operators import extract
 from shelfmark.operators.elements import parse_pages
 from shelfmark.operators.matching import Page
-from shelfmark.plans.catalogue import detail_records
+from shelfmark.plans.catalogue import detail_records, update
+from shelfmark.plans.export import json_to_csv, save_listings
 from shelfmark.schemas import DETAIL
 from shelfmark.settings import SiteProfile
 from shelfmark.sources.progress import Progress
@@ -85,6 +86,20 @@ def test_distinct_pages_of_a_stream(spark, folder):
     assert sorted(r["url"] for r in spark.table("seen").collect()) == ["https://h/1", "https://h/2"]
 
 
+def test_update_and_export(spark, folder):
+    html = '<h1>N{0}</h1><div class="tool-detail-information">What is N{0} newsletter aid How to use N{0}</div>'
+    pages = spark.createDataFrame([(i, f"https://h/{i}", html.format(i)) for i in range(5)], "page_id bigint, url string, html string")
+    progress = Progress(spark, f"{folder}/p", DETAIL)
+    assert update(pages.limit(2), progress, SiteProfile()) == 0 and update(pages, progress, SiteProfile()) == 1
+    stored = progress.results()
+    assert stored.count() == 5
+    shown = save_listings(stored.drop("social_links"), f"{folder}/json", SiteProfile())
+    assert [tuple(r) for r in shown.collect()][:2] == [("Email Marketing", "category", None, 5), ("Email Marketing", "name", "N0", 1)]
+    profile = {r["column_name"]: (r["non_empty"], r["n_rows"]) for r in json_to_csv(spark, f"{folder}/json", f"{folder}/csv").collect()}
+    assert profile["name"] == (5, 5) and profile["short_description"] == (5, 5) and profile["features"] == (0, 5)
+    assert save_listings(stored.filter("false"), f"{folder}/none", SiteProfile()) is None
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark, "x") == spark.conf.get("spark.checkpoint.dir").rstrip("/") + "/x"
 

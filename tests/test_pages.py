@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import extract, logos
 from shelfmark.operators.elements import explode_elements, parse_pages, register_html_elements
-from shelfmark.operators.matching import Page, Sel
+from shelfmark.operators.matching import Page, Sel, selectors_from
 from shelfmark.settings import SiteProfile
 
 SITE = SiteProfile()
@@ -119,6 +119,16 @@ def test_texts_and_fallbacks(parsed):
     ]
 
 
+def test_selectors_from_a_table(spark, parsed):
+    layout = ("field string, priority int, tag string, class_name string, class_part string, attr string, attr_op string, "
+              "attr_value string, ancestor_class string")
+    rows = [("who", 2, "h1 h2", None, None, None, None, None, None), ("who", 1, None, "n", None, None, None, None, "box"),
+            ("site", 1, "a", None, None, "href", "prefix", "http", None)]
+    registry = selectors_from(spark.createDataFrame(rows, layout))
+    df = parsed('<i class=n>no</i><div class="box"><i class="m n">yes</i></div><a href="/x">l</a><a href="http://y">far</a>', "<h2>H</h2>")
+    assert values(extract.fields_by(df, registry), "who", "site") == [("yes", "far"), ("H", "N/A")]
+
+
 def test_platform_links(parsed):
     df = parsed('<div class="s"><a href="https://x.twitter.com/a">t</a></div><a href="http://linkedin.com/b">l</a>')
     inside = extract.platform_links(PAGE, Sel(classes=("s",)))
