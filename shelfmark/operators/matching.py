@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.base import ColumnLike, col, first, let, strip
 
-Predicate = Callable[[Column], Column]
-
 
 @dataclass(frozen=True)
 class Sel:
@@ -99,6 +98,10 @@ class Page:
         """Elements matching any selector, in page order."""
         if len(sels) == 1:
             return self.select(sels[0], scope)
+        if all(s.after is None and s.holds is None and s.inside is None for s in sels):
+            return F.filter(self._within(scope), lambda e: reduce(or_, [
+                F.coalesce(self._own(e, s), F.lit(False)) for s in sels
+            ]))
         found = F.array_union(
             *[F.transform(self.select(s, scope), lambda e: e["pos"]) for s in sels[:2]]
         )
@@ -113,7 +116,7 @@ class Page:
     def _own(self, e: Column, sel: Sel) -> Column:
         tests = []
         if sel.tags:
-            tests.append(e["tag"].isin(*sel.tags))
+            tests.append(e["tag"] == sel.tags[0] if len(sel.tags) == 1 else e["tag"].isin(*sel.tags))
         tests += [F.array_contains(e["classes"], name) for name in sel.classes]
         if sel.part_class is not None:
             tests.append(F.exists(e["classes"], lambda c: F.contains(c, F.lit(sel.part_class))))
@@ -134,12 +137,8 @@ class Page:
         if sel.text_part is not None:
             tests.append(F.contains(self.text(e), F.lit(sel.text_part)))
         if sel.child_of is not None:
-            parent = self.at(e["parent_pos"])
-            tests.append(parent.isNotNull() & self._own(parent, sel.child_of))
-        result = F.lit(True)
-        for test in tests:
-            result = result & test
-        return F.coalesce(result, F.lit(False))
+            tests.append(self._own(self.at(e["parent_pos"]), sel.child_of))
+        return reduce(and_, tests) if tests else F.lit(True)
 
     def _following(self, sel: Sel, scope: Column | None) -> Column:
         """Matches of ``sel`` right after a sibling that matches ``sel.after``.
@@ -149,9 +148,8 @@ class Page:
 
         def leads(s: Column) -> Column:
             follower = self.at(s["last_pos"] + 1)
-            return F.coalesce(
-                (follower["parent_pos"] == s["parent_pos"]) & self._own(follower, sel), F.lit(False)
-            ) & self._own(s, sel.after)
+            together = follower["parent_pos"] == s["parent_pos"]
+            return F.when(together & self._own(follower, sel), self._own(s, sel.after))
 
         leaders = F.filter(self._within(scope), leads)
         return F.transform(F.sort_array(F.transform(leaders, lambda s: s["last_pos"] + 1)), self.at)
