@@ -4,6 +4,7 @@ The page is parsed once by a narrow Arrow job; every later question about it is
 a row-local expression (see matching.py). Text is held once per page, as the
 ordered text pieces in ``runs``; an element names its slice of them, so nested
 elements do not repeat their text and a page stays linear in its source size.
+``ink`` counts the characters of that text that are not white space.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ DEFAULT_ATTRS = ("href", "src", "alt", "name", "content", "width", "height")
 
 ELEMENT = (
     "struct<pos:int,parent_pos:int,last_pos:int,tag:string,classes:array<string>,attrs:map<string,string>,"
-    "run_from:int,run_to:int>"
+    "run_from:int,run_to:int,ink:int>"
 )
 ELEMENTS_COLUMNS = f"runs array<string>, elements array<{ELEMENT}>, parse_error string"
 
@@ -67,13 +68,13 @@ class _Columns:
         self.wanted = wanted
         self.errors: list[str | None] = []
         self.run_ends, self.element_ends = [0], [0]
-        self.parent, self.last, self.tags, self.run_from, self.run_to = [], [], [], [], []
+        self.parent, self.last, self.tags, self.run_from, self.run_to, self.ink = [], [], [], [], [], []
         self.class_ends, self.classes = [0], []
         self.attr_ends, self.keys, self.values = [0], [], []
         self.runs = []
 
     def add(self, html: str | None) -> None:
-        grown = (self.parent, self.last, self.tags, self.run_from, self.run_to, self.class_ends, self.classes,
+        grown = (self.parent, self.last, self.tags, self.run_from, self.run_to, self.ink, self.class_ends, self.classes,
                  self.attr_ends, self.keys, self.values, self.runs)
         before, error = [len(column) for column in grown], None
         try:
@@ -96,7 +97,12 @@ class _Columns:
         opened: list[int] = []
         counts: Counter[str] = Counter()
         items, lists = [-1], [-1]
-        at, length = 0, len(html)
+        at, length, ink = 0, len(html), 0
+
+        def read(raw: str) -> int:
+            text = _decoded(raw)
+            self.runs.append(text)
+            return sum(map(len, text.split()))
 
         def close(tag: str | None) -> None:
             while opened:
@@ -105,6 +111,7 @@ class _Columns:
                 counts[closed] -= 1
                 self.last[index] = len(self.tags) - 1 - first
                 self.run_to[index] = len(self.runs) - first_run
+                self.ink[index] = ink - self.ink[index]
                 if closed == "li":
                     items.pop()
                 elif closed in LIST_TAGS:
@@ -116,7 +123,7 @@ class _Columns:
             token = _TOKEN.search(html, at)
             start = token.start() if token else length
             if start > at:
-                self.runs.append(_decoded(html[at:start]))
+                ink += read(html[at:start])
             if token is None:
                 break
             at = token.end()
@@ -145,6 +152,7 @@ class _Columns:
             self.tags.append(tag)
             self.run_from.append(len(self.runs) - first_run)
             self.run_to.append(len(self.runs) - first_run)
+            self.ink.append(0 if tag in VOID_TAGS else ink)
             if attrs:
                 self._attributes(attrs)
             self.class_ends.append(len(self.classes))
@@ -160,7 +168,7 @@ class _Columns:
             elif tag in PLAIN_TAGS:
                 end = _END_OF[tag].search(html, at).start()
                 if end > at:
-                    self.runs.append(_decoded(html[at:end]))
+                    ink += read(html[at:end])
                 at = end
         close(None)
 
@@ -192,9 +200,9 @@ class _Columns:
                 pa.array(self.tags, text),
                 pa.ListArray.from_arrays(ends(self.class_ends), pa.array(self.classes, text)),
                 pa.MapArray.from_arrays(ends(self.attr_ends), pa.array(self.keys, text), pa.array(self.values, text)),
-                pa.array(self.run_from, i32), pa.array(self.run_to, i32),
+                pa.array(self.run_from, i32), pa.array(self.run_to, i32), pa.array(self.ink, i32),
             ],
-            names=["pos", "parent_pos", "last_pos", "tag", "classes", "attrs", "run_from", "run_to"],
+            names=["pos", "parent_pos", "last_pos", "tag", "classes", "attrs", "run_from", "run_to", "ink"],
         )
         return [
             pa.ListArray.from_arrays(ends(self.run_ends), pa.array(self.runs, text)),

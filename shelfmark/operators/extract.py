@@ -70,7 +70,7 @@ def features(page: Page, scope: Column | None = None) -> Column:
     other = page.select_any(FALLBACKS["features"], scope)
 
     def filled(elements: Column) -> Column:
-        return F.filter(F.transform(elements, page.joined), lambda t: t != "")
+        return F.transform(F.filter(elements, lambda e: e["ink"] > 0), page.joined)
 
     return F.when(F.size(main) > 0, filled(main)).otherwise(filled(other))
 

@@ -37,6 +37,10 @@ class Sel:
     holds: "Sel | None" = None
 
 
+def _ink(text: str) -> int:
+    return sum(map(len, text.split()))
+
+
 class Page:
     """Expressions over one parsed page: its ``elements`` and ``runs``."""
 
@@ -133,9 +137,10 @@ class Page:
             else:
                 raise ValueError(f"unknown op {sel.op!r}")
         if sel.text is not None:
-            tests.append(self.trimmed(e) == sel.text)
+            # Counting ink first spares joining the text of every container.
+            tests += [e["ink"] == _ink(sel.text), self.trimmed(e) == sel.text]
         if sel.text_part is not None:
-            tests.append(F.contains(self.text(e), F.lit(sel.text_part)))
+            tests += [e["ink"] >= _ink(sel.text_part), F.contains(self.text(e), F.lit(sel.text_part))]
         if sel.child_of is not None:
             tests.append(self._own(self.at(e["parent_pos"]), sel.child_of))
         return reduce(and_, tests) if tests else F.lit(True)
@@ -165,12 +170,13 @@ class Page:
 
     def first_filled_text(self, *sels: Sel, scope: Column | None = None) -> Column:
         """Trimmed text of the first match that has any."""
-        return first(self.texts(*sels, scope=scope))
+        filled = F.filter(self.select_any(sels, scope), lambda e: e["ink"] > 0)
+        return let(first(filled), self.trimmed)
 
     def texts(self, *sels: Sel, scope: Column | None = None) -> Column:
         """Trimmed non-blank texts of all matches, in page order."""
-        found = F.transform(self.select_any(sels, scope), self.trimmed)
-        return F.filter(found, lambda t: t != "")
+        filled = F.filter(self.select_any(sels, scope), lambda e: e["ink"] > 0)
+        return F.transform(filled, self.trimmed)
 
     def first_attr(self, name: str, *sels: Sel, scope: Column | None = None) -> Column:
         return F.try_element_at(first(self.select_any(sels, scope))["attrs"], F.lit(name))

@@ -71,6 +71,23 @@ def test_hostile_pages_stay_linear(parsed):
     assert len(counts) == 6 and time.time() - start < 60
 
 
+def test_hostile_pages_stay_linear_to_select(parsed):
+    import time
+
+    deep = "<div>" * 20_000 + "x" * 1_000_000 + "No Results Found"
+    grid = '<div class="grid">' + '<div><h3>n</h3><p>t<a href="/ai-tools/x">l</a></div>' * 3_000
+    df = parsed(deep, grid)
+    start = time.time()
+    no_results = extract.has_no_results(PAGE, SITE)
+    assert [v for (v,) in values(df, no_results)] == [True, False]
+    assert extract.listings(df, SITE).count() == 1 and time.time() - start < 90
+
+
+def test_ink(parsed):
+    (row,) = parsed("<div> a <b>b c</b><br> <i>\u00a0</i></div>").collect()
+    assert [(e["tag"], e["ink"]) for e in row["elements"]] == [("div", 3), ("b", 2), ("br", 0), ("i", 0)]
+
+
 def test_sql_form(spark):
     register_html_elements(spark)
     rows = spark.sql("SELECT e.tag, e.attrs['href'], e.text FROM html_elements('<a href=/x>t<br>u</a>') e").collect()
