@@ -19,10 +19,11 @@ def new_pages(pages: DataFrame, processed: DataFrame, key: str = "url", row_id:
 
     The choice is made on the two narrow columns, with partial aggregation;
     the page bodies move once at most, and not at all when the chosen keys are
-    few enough for Spark to broadcast them. ``row_id`` is unique per page.
+    few enough for Spark to broadcast them. ``row_id`` is unique per page;
+    pages without an address count as one address that is never processed.
     """
     chosen = pages.groupBy(key).agg(F.min(row_id).alias(row_id)).join(processed.select(key), key, "left_anti")
-    return pages.join(chosen, [key, row_id], "left_semi")
+    return pages.join(chosen.select(row_id), row_id, "left_semi")
 
 
 def first_by(df: DataFrame, key: str | list[str], *order: str | Column) -> DataFrame:
@@ -42,8 +43,11 @@ def first_k(df: DataFrame, key: str | list[str], k: int, *order: str | Column) -
 
 
 def unseen(df: DataFrame, history: DataFrame, key: str, *order: str | Column) -> DataFrame:
-    """First row of each key that ``history`` does not hold."""
-    return first_by(df.join(history.select(key), key, "left_anti"), key, *order)
+    """First row of each key that ``history`` does not hold.
+
+    Repeats go first, so only one row per key meets the history.
+    """
+    return first_by(df, key, *order).join(history.select(key), key, "left_anti")
 
 
 def overlay(base: DataFrame, enriched: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,8 +55,13 @@ def start_stream(spark: SparkSession, folder: str, progress: Progress, work: Wor
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A folder for ``name`` below the cluster's shared checkpoint folder."""
+    """A folder for ``name`` below the cluster's shared checkpoint folder.
+
+    A session in local mode without that setting gets a temporary folder.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.startswith("local"):
+        shared = tempfile.mkdtemp(prefix="run-")
     if not shared:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return f"{shared.rstrip('/')}/{name}"

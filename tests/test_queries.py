@@ -20,9 +20,18 @@ def duck():
     return connection
 
 
+_frames = {}
+
+
+def frame(spark, name):
+    if name not in _frames:
+        _frames[name] = QUERIES[name](spark, SF_DIR)
+    return _frames[name]
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_twin(spark, duck, name):
-    found = QUERIES[name](spark, SF_DIR)
+    found = frame(spark, name)
     got = rows_of(found.columns, found.collect())
     answer = duck.execute(TWINS[name])
     assert got == rows_of([d[0] for d in answer.description], answer.fetchall())
@@ -34,7 +43,7 @@ def test_entry(spark):
 
 
 def plan(spark, name):
-    return QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    return frame(spark, name)._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -104,10 +104,10 @@ def test_overlay_keeps_base_for_null(spark):
 
 
 def test_new_pages(spark):
-    pages = spark.createDataFrame([(1, "u", "h1"), (2, "u", "h2"), (3, "v", "h3"), (4, "w", "h4")],
+    pages = spark.createDataFrame([(1, "u", "h1"), (2, "u", "h2"), (3, "v", "h3"), (4, "w", "h4"), (5, None, "h5")],
                                   "page_id bigint, url string, html string")
     done = spark.createDataFrame([("v",)], "url string")
-    assert sorted(r["html"] for r in merge.new_pages(pages, done).collect()) == ["h1", "h4"]
+    assert sorted(r["html"] for r in merge.new_pages(pages, done).collect()) == ["h1", "h4", "h5"]
 
 
 def test_category_summary(spark):
