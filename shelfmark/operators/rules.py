@@ -183,6 +183,11 @@ def _any_stem(text: Column, stems: tuple[str, ...]) -> Column:
 
 
 def _texts(name: ColumnLike, description: ColumnLike) -> Column:
+    """Cleaned name and description, and both together between spaces.
+
+    Keywords neither start nor end with a space, so looking for one in
+    ``padded`` is looking for it in the text.
+    """
     clean = F.struct(
         match_text(F.coalesce(col(name), F.lit(""))).alias("name"),
         match_text(F.coalesce(col(description), F.lit(""))).alias("description"),
@@ -192,7 +197,6 @@ def _texts(name: ColumnLike, description: ColumnLike) -> Column:
         lambda t: F.struct(
             t["name"].alias("name"),
             t["description"].alias("description"),
-            F.concat(t["name"], F.lit(" "), t["description"]).alias("combined"),
             F.concat(F.lit(" "), t["name"], F.lit(" "), t["description"], F.lit(" ")).alias("padded"),
         ),
     )
@@ -212,9 +216,9 @@ def _hit_score(text: Column, keyword: Column, kind: Column, weight: Column) -> C
 
 def _hits(text: Column, rules: RuleSet) -> Column:
     # One scan per gate sorts out the many rules that do not occur at all.
-    groups = F.filter(rules.literal(), lambda g: F.contains(text["combined"], g["gate"]))
+    groups = F.filter(rules.literal(), lambda g: F.contains(text["padded"], g["gate"]))
     present = F.flatten(F.transform(
-        groups, lambda g: F.filter(g["rules"], lambda r: F.contains(text["combined"], r["keyword"]))
+        groups, lambda g: F.filter(g["rules"], lambda r: F.contains(text["padded"], r["keyword"]))
     ))
     scored = F.transform(
         present,
@@ -231,7 +235,7 @@ def _context_hits(text: Column, rules: RuleSet) -> Column:
     if not rules.context_stems:
         return F.array().cast("array<string>")
     stems = F.array(*[F.lit(s) for s in rules.context_stems])
-    return F.filter(stems, lambda s: F.contains(text["combined"], s))
+    return F.filter(stems, lambda s: F.contains(text["padded"], s))
 
 
 def _scores(hits: Column, context: Column, rules: RuleSet) -> Column:
@@ -277,7 +281,7 @@ def verdict(name: ColumnLike, description: ColumnLike, rules: RuleSet) -> Column
         found = F.struct(
             _hits(text, rules).alias("hits"),
             _context_hits(text, rules).alias("context"),
-            _any_stem(text["combined"], rules.document_stems).alias("document"),
+            _any_stem(text["padded"], rules.document_stems).alias("document"),
         )
         return let(found, decide)
 
@@ -335,7 +339,7 @@ def category_scores_by_join(
     # them however many rules there are; they fit into the plan.
     wanted = [row["fragment"] for row in cleaned.select("fragment").distinct().collect()]
     records = df.select(key, _texts(name, description).alias("text"))
-    found = F.concat(*[_fragments(F.col("text.combined"), size) for size in sorted({len(w) for w in wanted} or {3})])
+    found = F.concat(*[_fragments(F.col("text.padded"), size) for size in sorted({len(w) for w in wanted} or {3})])
     fragments = F.array_intersect(found, F.from_json(F.lit(json.dumps(wanted)), "array<string>"))
     salted = records.select(
         key, each(fragments).alias("fragment"), F.pmod(F.xxhash64(key), F.lit(_SALTS)).alias("salt")

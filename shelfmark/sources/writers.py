@@ -1,4 +1,8 @@
-"""Outputs: JSON Lines and CSV."""
+"""Outputs: JSON Lines and CSV.
+
+The check for no records runs the input up to its first row; store an input
+that is costly to reach before writing it.
+"""
 
 from __future__ import annotations
 
