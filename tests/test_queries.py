@@ -7,9 +7,10 @@ import pytest
 
 import __spark_entry__ as registered
 from check_queries import rows_of
+from shelfmark.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, TWINS = registered.queries(), registered.oracle_sql()
+TWINS = registered.oracle_sql()
 
 
 @pytest.fixture(scope="module")
