@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate
+from shelfmark.llm import decontaminate, ngram_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(docs, benchmark)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.report(table(spark, sf_dir, "documents"), ngram_join.Similarity(words=4, percent=85))
+
+
 QUERIES = {
+    "op6_ngram_join": op6_ngram_join,
     "op5_decontaminate": op5_decontaminate,
 }
