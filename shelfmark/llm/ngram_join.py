@@ -12,9 +12,9 @@ elements of their prefix. So no similar pair is without a shared signature.
 
 Sharers of a signature are not paired with each other: each is compared with
 the smallest of them, in full, on the sets themselves. Where the sharers of a
-signature are not all connected after that, the pairs between the parts that
-are left are compared as well, so no link between different sets is lost; pairs
-within one component need no test.
+signature are not all connected after that, they are compared with each other
+in blocks of bounded size, one task for two blocks, which hands back a forest
+of links and no pairs. So no link between different sets is lost.
 
 Edge cases. NULL and empty texts have the empty set and are linked with nothing;
 copies are one set; rows that repeat in full get the same answer; a document
@@ -43,6 +43,9 @@ from shelfmark.llm.graph import components
 # Signatures held by a task before it sends them on.
 _HELD = 400_000
 
+# Sets and elements of a block of a family, and elements compared at once within it.
+_BLOCK_SETS, _BLOCK_ELEMENTS, _COLUMNS = 1_000, 1_000_000, 4_096
+
 
 @dataclass(frozen=True)
 class Similarity:
@@ -174,85 +177,152 @@ def _shared(docs: DataFrame, similarity: Similarity) -> DataFrame:
     )
 
 
-class _Verifier:
-    """Exact comparison of pairs of sets."""
-
-    def __init__(self, docs: DataFrame, rows: DataFrame, similarity: Similarity) -> None:
-        self.docs, self.similarity = docs, similarity
-        # One row of each set, to read its text from.
-        self.where = stored(
-            rows.filter("n > 0").groupBy("set_id").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "mark")).alias("at"))
-        )
-
-    def sized(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (``a, b``) whose sizes allow the similarity."""
-        p = self.similarity.percent
-        n = self.where.select("set_id", "n")
-        both = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
-        return both.filter(100 * F.least("na", "nb") >= p * F.greatest("na", "nb")).select("a", "b")
-
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar."""
-        size, percent = self.similarity.words, self.similarity.percent
-        wanted = stored(
-            pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(self.where, "set_id")
-            .select("set_id", F.col("at.doc_id").alias("_d"), F.col("at.mark").alias("_m"))
-        )
-        docs = self.docs.select("doc_id", "text")
-        on = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_m"))
-
-        def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in tokens.slices(batch, 1):
-                    sets = [s.tobytes() for s in tokens.shingle_sets(part.column(1), size)]
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["set_id", "s"])
-
-        sets = stored(
-            docs.join(small(wanted), on).select("set_id", "text").mapInArrow(listed, "set_id long, s binary")
-        )
-
-        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep, last, mine = [], None, None
-                for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                    left, right = left.as_buffer(), right.as_buffer()
-                    a, b = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(a) + len(b) - both))
-                mask = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+def _read_sets(docs: DataFrame, ids: DataFrame, where: DataFrame, similarity: Similarity) -> DataFrame:
+    """``set_id, s`` (sorted elements as bytes) of the wanted sets, each read from one row."""
+    wanted = stored(
+        ids.distinct().join(where, "set_id")
+        .select("set_id", F.col("at.doc_id").alias("_d"), F.col("at.mark").alias("_m"))
+    )
+    docs, size = docs.select("doc_id", "text"), similarity.words
+    on = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_m"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tokens.slices(batch, 1):
+                sets = [s.tobytes() for s in tokens.shingle_sets(part.column(1), size)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["set_id", "s"])
+
+    found = docs.join(small(wanted), on).select("set_id", "text").mapInArrow(listed, "set_id long, s binary")
+    return stored(found).dropDuplicates(["set_id"])
+
 
-        once = sets.dropDuplicates(["set_id"])
-        return (
-            pairs.join(once.toDF("a", "sa"), "a").join(once.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-            .mapInArrow(compared, "a long, b long")
-        )
+def _elements(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint64)
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose sets are similar."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for left, right in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = _elements(left), _elements(right)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    return (
+        pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+        .mapInArrow(work, "a long, b long")
+    )
+
+
+def _links_of_block(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between sets of different components: a forest, not every pair."""
+    sizes = np.array([len(s) for s in sets])
+    values, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = counts[codes] > 1
+    column = (np.cumsum(counts > 1) - 1)[codes[shared]]
+    owner, order = owner[shared], np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        low, high = np.searchsorted(column, [start, start + _COLUMNS])
+        part = np.zeros((len(sets), _COLUMNS), np.float32)
+        part[owner[low:high], column[low:high] - start] = 1
+        both += part @ part.T
+    similar = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    parent: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while parent.get(r, r) != r:
+            r = parent[r]
+        return r
+
+    links = []
+    for i, j in np.argwhere(np.triu(similar & (roots[:, None] != roots[None, :]), 1)):
+        x, y = top(int(roots[i])), top(int(roots[j]))
+        if x != y:
+            parent[x] = y
+            links.append((int(ids[i]), int(ids[j])))
+    return links
+
+
+def _block_links(blocks: DataFrame, percent: int) -> DataFrame:
+    """Links found in each ``block`` of ``block, set_id, root, s`` rows."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def closed() -> pa.RecordBatch:
+            once = {i: (r, s) for i, r, s in held}
+            roots = np.array([r for r, _ in once.values()])
+            found = []
+            if len(set(roots.tolist())) > 1:
+                found = _links_of_block(np.array(list(once)), roots, [s for _, s in once.values()], percent)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            names, ids, roots = (batch.column(i).to_pylist() for i in range(3))
+            for name, i, r, s in zip(names, ids, roots, batch.column(3), strict=True):
+                if name != key and held:
+                    yield closed()
+                    held = []
+                key = name
+                held.append((i, r, _elements(s)))
+        if held:
+            yield closed()
+
+    return blocks.repartition("block").sortWithinPartitions("block").select(
+        "block", "set_id", "root", "s").mapInArrow(work, "a long, b long")
 
 
 def set_components(docs: DataFrame, similarity: Similarity = Similarity()) -> tuple[DataFrame, DataFrame]:
     """(``doc_id, mark, n, set_id`` per row; ``set_id, root`` of the sets with a link)."""
+    percent = similarity.percent
     rows = stored(_sets_of(docs, similarity))
     shared = stored(_shared(docs, similarity))
-    check = _Verifier(docs, rows, similarity)
-    tested = stored(check.sized(
-        shared.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()))
-    links = stored(check.linked(tested))
+    # One row of each set, to read its text from.
+    where = stored(
+        rows.filter("n > 0").groupBy("set_id").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "mark")).alias("at")))
+    n = where.select("set_id", "n")
+    pairs = shared.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = stored(
+        pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
+        .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
+    ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b"))
+    links = stored(_compared(pairs, _read_sets(docs, ids, where, similarity), percent))
     found = stored(components(links).toDF("set_id", "root"))
-    # Signatures whose sharers are in several components may hide links between these.
+
+    # Signatures whose sharers are in several components may hide links between these. Their sharers
+    # are compared in blocks: families by smallest sharer, in blocks of bounded size, each with each.
     placed = stored(
         shared.select("sig", F.col("id").alias("set_id")).distinct().join(found, "set_id", "left")
-        .withColumn("root", F.coalesce("root", "set_id"))
+        .withColumn("root", F.coalesce("root", "set_id")).join(n, "set_id"))
+    # The sizes of a signature's sharers must allow a link between two components.
+    split = placed.groupBy("sig").agg(
+        F.min("root").alias("x"), F.max("root").alias("y"), F.min("set_id").alias("family")
+    ).filter("x <> y").select("sig", "family")
+    members = stored(placed.join(split, "sig").select("family", "set_id", "root", "n").distinct())
+    parts = members.groupBy("family").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / _BLOCK_SETS), F.ceil(F.sum("n") / _BLOCK_ELEMENTS)).alias("parts"))
+    blocks = (
+        members.join(parts, "family")
+        .withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("parts")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        .select(F.struct("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("at"),
+                "set_id", "root")
+        .select(F.concat_ws("/", "at.family", "at.i", "at.j").alias("block"), "set_id", "root")
     )
-    split = placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("sig")
-    apart = placed.join(split, "sig", "left_semi")
-    pairs = apart.toDF("sig", "a", "ra").join(apart.toDF("sig", "b", "rb"), "sig").filter("ra < rb").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    new = stored(check.sized(pairs.distinct()).join(known, ["a", "b"], "left_anti"))
-    if new.isEmpty():
+    if members.isEmpty():
         return rows, found
-    more = stored(check.linked(new))
+    sets = _read_sets(docs, members.select("set_id"), where, similarity)
+    more = stored(_block_links(blocks.join(sets, "set_id"), percent))
     if more.isEmpty():
         return rows, found
     return rows, stored(components(links.union(more)).toDF("set_id", "root"))
