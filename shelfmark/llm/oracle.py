@@ -47,7 +47,73 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, least(d.doc_
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.x = d.doc_id GROUP BY d.doc_id
 """
 
+LINE_DEDUP = """
+WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents),
+bare AS (
+  SELECT doc_id, source, list_distinct(list_filter(list_transform(lines, lambda x: trim(x, chr(32) || chr(9) || chr(13))), lambda x: x <> '')) AS names
+  FROM l),
+totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
+seen AS (SELECT source, unnest(names) AS line FROM bare),
+counts AS (SELECT source, line, count(*) AS pages FROM seen GROUP BY source, line HAVING count(*) >= 10),
+bad AS (
+  SELECT c.source, list(c.line) AS lines FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
+  WHERE c.pages > 0.05 * t.total GROUP BY c.source),
+kept AS (
+  SELECT doc_id, l.lines AS before,
+    list_filter(l.lines, lambda x: NOT list_contains(coalesce(bad.lines, []), trim(x, chr(32) || chr(9) || chr(13)))) AS lines
+  FROM l LEFT JOIN bad ON l.source IS NOT DISTINCT FROM bad.source)
+SELECT doc_id, coalesce(len(before), 0)::BIGINT AS n_lines, coalesce(len(lines), 0)::BIGINT AS n_kept,
+  sha256(coalesce(array_to_string(lines, chr(10)), '')) AS text_sha256
+FROM kept
+"""
+
+MIX = """
+WITH RECURSIVE given AS (
+  SELECT doc_id, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3', 'src4') THEN source ELSE '(other)' END AS name FROM documents),
+numbered AS (
+  SELECT doc_id, name, row_number() OVER (PARTITION BY name ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS r FROM given),
+share(name, w) AS (VALUES ('src0', 6), ('src1', 5), ('src2', 4), ('src3', 3), ('src4', 2), ('(other)', 20)),
+src AS (
+  SELECT name, w, count(*) AS n, (count(*) + 31) // 32 AS blocks, ((count(*) + 31) // 32) // w AS f, ((count(*) + 31) // 32) % w AS rest
+  FROM numbered JOIN share USING (name) GROUP BY name, w),
+change AS (SELECT DISTINCT unnest([0, f, f + 1]) AS kind FROM src),
+run AS (SELECT kind, lead(kind) OVER (ORDER BY kind) - kind AS times FROM change),
+quota AS (
+  SELECT kind, times, name, (CASE WHEN kind < f THEN w ELSE rest END)::BIGINT AS q
+  FROM run, src WHERE times IS NOT NULL AND kind <= f AND (kind < f OR rest > 0)),
+kinds AS (
+  SELECT kind, any_value(times) AS times, sum(q)::BIGINT AS len, list(q ORDER BY q DESC, name) AS qs, list(name ORDER BY q DESC, name) AS names
+  FROM quota GROUP BY kind),
+edf AS (
+  SELECT kind, 0::BIGINT AS t, list_transform(qs, lambda q: 0::BIGINT) AS had, 0::BIGINT AS c FROM kinds
+  UNION ALL
+  SELECT kind, t + 1, list_transform(had, lambda h, i: CASE WHEN i = pick THEN h + 1 ELSE h END), pick
+  FROM (
+    SELECT e.kind, e.t, e.had, list_min(list_filter(list_transform(k.qs, lambda q, i:
+        CASE WHEN e.had[i] < q AND (e.had[i] * k.len) // q <= e.t
+          THEN ((e.had[i] + 1) * k.len + q - 1) // q * 1000000 + i END), lambda x: x IS NOT NULL)) % 1000000 AS pick
+    FROM edf e JOIN kinds k USING (kind) WHERE e.t < k.len)),
+slots AS (
+  SELECT kind, names[c] AS name, t - 1 AS off, row_number() OVER (PARTITION BY kind, c ORDER BY t) - 1 AS j
+  FROM edf JOIN kinds USING (kind) WHERE t > 0),
+starts AS (
+  SELECT kind, len, coalesce(sum(len * times) OVER (ORDER BY kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM kinds),
+had AS (
+  SELECT kind, name, q, times,
+    coalesce(sum(q * times) OVER (PARTITION BY name ORDER BY kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had
+  FROM quota),
+block AS (SELECT DISTINCT name, r // 32 AS b FROM numbered),
+placed AS (
+  SELECT block.name, b, start + ((b - had) // q) * len + off AS slot
+  FROM block JOIN had ON block.name = had.name AND b >= had.had AND b < had.had + q * times
+  JOIN starts USING (kind) JOIN slots ON slots.kind = had.kind AND slots.name = block.name AND slots.j = (b - had) % q)
+SELECT doc_id, name AS mix_source, slot::BIGINT AS mix_slot, (row_number() OVER (ORDER BY slot, r) - 1)::BIGINT AS mix_position
+FROM numbered JOIN placed USING (name) WHERE r // 32 = b
+"""
+
 ORACLE = {
+    "op1_mix_sources": MIX,
+    "op9_line_dedup": LINE_DEDUP,
     "op6_ngram_join": NGRAM_JOIN,
     "op5_decontaminate": DECONTAMINATE,
 }

@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, ngram_join
+from shelfmark.llm import decontaminate, line_dedup, mixing, ngram_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Target weights of the mixture; sources that are not listed share the pool's weight.
+MIXTURE, POOL_WEIGHT = {"src0": 6, "src1": 5, "src2": 4, "src3": 3, "src4": 2}, 20
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"), MIXTURE, POOL_WEIGHT)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.report(docs, benchmark)
@@ -21,7 +29,13 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.report(table(spark, sf_dir, "documents"), ngram_join.Similarity(words=4, percent=85))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op9_line_dedup": op9_line_dedup,
     "op6_ngram_join": op6_ngram_join,
     "op5_decontaminate": op5_decontaminate,
 }
