@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, line_dedup, mixing, ngram_join
+from shelfmark.llm import decontaminate, language_id, line_dedup, mixing, ngram_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"), MIXTURE, POOL_WEIGHT)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.report(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.report(docs, benchmark)
@@ -37,5 +41,6 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op9_line_dedup": op9_line_dedup,
     "op6_ngram_join": op6_ngram_join,
+    "op3_language_id": op3_language_id,
     "op5_decontaminate": op5_decontaminate,
 }
