@@ -111,9 +111,16 @@ SELECT doc_id, name AS mix_source, slot::BIGINT AS mix_slot, (row_number() OVER
 FROM numbered JOIN placed USING (name) WHERE r // 32 = b
 """
 
+EXACT_DEDUP = f"""
+WITH n AS (SELECT doc_id, {FOLD} AS norm FROM documents),
+g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM n JOIN g USING (norm)
+"""
+
 ORACLE = {
     "op1_mix_sources": MIX,
     "op9_line_dedup": LINE_DEDUP,
     "op6_ngram_join": NGRAM_JOIN,
+    "op2_exact_dedup": EXACT_DEDUP,
     "op5_decontaminate": DECONTAMINATE,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, language_id, line_dedup, mixing, ngram_join
+from shelfmark.llm import decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"), MIXTURE, POOL_WEIGHT)
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.report(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op9_line_dedup": op9_line_dedup,
     "op6_ngram_join": op6_ngram_join,
+    "op2_exact_dedup": op2_exact_dedup,
     "op3_language_id": op3_language_id,
     "op5_decontaminate": op5_decontaminate,
 }
