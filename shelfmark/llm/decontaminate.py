@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from shelfmark.llm.common import fold_ascii, small, stored
+from shelfmark.llm.common import fold_ascii, fresh, small, stored
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -76,90 +76,90 @@ def item_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     ).distinct()
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(``doc_id, mark, at, size, window_id``) of every hit, and (``window_id, item_id``).
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
+    """One row per document: ``doc_id, mark, n_words, n_hit, spans, item_ids``.
 
     ``mark`` hashes the text, so that ``doc_id, mark`` tells rows apart also
-    where an id was given twice.
+    where an id was given twice. ``spans`` are the disjoint word ranges covered,
+    as ``start, end`` (end not included); ``item_ids`` are sorted as strings.
     """
     items = stored(item_windows(benchmark, n))
     windows = items.select("size", "window", F.xxhash64("size", "window").alias("window_id")).distinct()
-    sizes = sorted(r[0] for r in windows.select("size").distinct().limit(n).collect())
+    counts = {r["size"]: r["count"] for r in windows.groupBy("size").count().limit(n).collect()}
     listed = (
         docs.select("doc_id", F.xxhash64("text").alias("mark"), words(F.col("text")).alias("w"))
         .withColumn("h", word_hashes("w"))
     )
-    found = docs.limit(0).select(
-        "doc_id", F.lit(0).cast("long").alias("mark"), F.lit(0).alias("at"), F.lit(0).alias("size"),
-        F.lit(0).cast("long").alias("window_id"),
-    )
-    for size in sizes:
+    # Sets of windows small enough to send to every executor; several where there are more windows.
+    sets = [(size, part, -(-count // BROADCAST_WINDOWS)) for size, count in sorted(counts.items())
+            for part in range(-(-count // BROADCAST_WINDOWS))] or [(n, 0, 1)]
+    seen = None
+    for size, part, parts in sets:
         wanted = with_window_hashes(
-            windows.filter(F.col("size") == size)
+            windows.filter((F.col("size") == size) & (F.pmod("window_id", F.lit(parts)) == part))
             .withColumn("h", word_hashes(F.split("window", " "))), size,
         ).select(F.col("h")[0].alias("key"), "window", "window_id")
-        placed = with_window_hashes(listed, size).select(
-            # The outer form: the inner one has the array worked out twice, for a filter on its size.
-            "doc_id", "mark", "w", F.posexplode_outer("h").alias("at", "key")
-        )
-        found = found.union(
-            placed.join(small(wanted, BROADCAST_WINDOWS), "key")
-            .filter(F.array_join(F.slice("w", F.col("at") + 1, F.lit(size)), " ") == F.col("window"))
-            .select("doc_id", "mark", "at", F.lit(size).alias("size"), "window_id")
-        )
+        placed = with_window_hashes(listed, size)
+        # A first entry that is no window carries the document's word count through the same pass.
+        # The outer form: the inner one has the array worked out twice, for a filter on its size.
+        keys = F.concat(F.array(F.xxhash64("doc_id", "mark")), "h") if seen is None else F.col("h")
+        first = 1 if seen is None else 0
+        placed = placed.select("doc_id", "mark", "w", F.posexplode_outer(keys).alias("at", "key")).withColumn(
+            "at", F.col("at") - first)
+        equal = F.array_join(F.slice("w", F.col("at") + 1, F.lit(size)), " ") == F.col("window")
+        rows = placed.join(F.broadcast(wanted), "key", "left").select(
+            "doc_id", "mark", F.when(F.col("at") < 0, F.size("w")).alias("n_words"), "at", F.lit(size).alias("size"),
+            F.when((F.col("at") >= 0) & F.col("window").isNotNull() & equal, F.col("window_id")).alias("window_id"),
+        ).filter((F.col("at") < 0) | F.col("window_id").isNotNull())
+        seen = rows if seen is None else seen.union(rows)
+    seen = stored(seen)
     pairs = items.select(F.xxhash64("size", "window").alias("window_id"), "item_id").distinct()
-    return found, pairs
-
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """Documents with a hit: ``doc_id, mark, n_hit, spans, item_ids``.
-
-    ``spans`` are the disjoint word ranges covered, as ``start, end`` (end not
-    included); ``item_ids`` are sorted as strings.
-    """
-    found, pairs = hits(docs, benchmark, n)
-    found = stored(found.distinct())
     key = ["doc_id", "mark"]
-    so_far = W.partitionBy(*key).orderBy("at", "size").rowsBetween(W.unboundedPreceding, -1)
+    found = seen.filter("at >= 0").select(*key, "at", "size", "window_id").distinct()
+    so_far = W.partitionBy(*key).orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    up_to = W.partitionBy(*key).orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     covered = (
         found.groupBy(*key, "at").agg(F.max("size").alias("size"))
         .withColumn("end", F.col("at") + F.col("size"))
         .withColumn("before", F.coalesce(F.max("end").over(so_far), F.lit(0)))
-        .withColumn("block", F.sum(F.when(F.col("at") > F.col("before"), 1).otherwise(0)).over(
-            W.partitionBy(*key).orderBy("at", "size").rowsBetween(W.unboundedPreceding, 0)))
+        .withColumn("block", F.sum(F.when(F.col("at") > F.col("before"), 1).otherwise(0)).over(up_to))
         .groupBy(*key, "block").agg(F.min("at").alias("start"), F.max("end").alias("end"))
         .groupBy(*key).agg(
             F.sum(F.col("end") - F.col("start")).cast("long").alias("n_hit"),
             F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"),
         )
     )
-    items = (
+    named = (
         found.select(*key, "window_id").distinct().join(pairs, "window_id")
         .groupBy(*key).agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     )
-    same = (F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))) & (F.col("a.mark") == F.col("b.mark"))
-    return covered.alias("a").join(items.alias("b"), same).select("a.doc_id", "a.mark", "n_hit", "spans", "item_ids")
+    all_rows = seen.filter("at < 0").select(*key, "n_words")
+    for part in (covered, named):
+        part = part.withColumnsRenamed({"doc_id": "_d", "mark": "_m"})
+        on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m"))
+        all_rows = all_rows.join(part, on, "left").drop("_d", "_m")
+    return all_rows
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """Every document with ``decon``: a struct of ``n_hit, spans, item_ids``, NULL if clean."""
-    found = stored(scan(docs, benchmark, n))
-    found = small(found.select(
-        F.col("doc_id").alias("_d"), F.col("mark").alias("_m"),
-        F.struct("n_hit", "spans", "item_ids").alias("decon"),
-    ))
-    on = docs["doc_id"].eqNullSafe(found["_d"]) & (F.xxhash64(docs["text"]) == found["_m"])
-    return docs.join(found, on, "left").drop("_d", "_m")
+def with_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> tuple[DataFrame, str]:
+    """(every document with a struct of ``n_hit, spans, item_ids``, NULL if clean; the struct's name)."""
+    name, d, m = fresh(docs, "decon"), fresh(docs, "_d"), fresh(docs, "_m")
+    found = stored(scan(docs, benchmark, n).filter("n_hit > 0").select(
+        F.col("doc_id").alias(d), F.col("mark").alias(m), F.struct("n_hit", "spans", "item_ids").alias(name)).distinct())
+    on = F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(m))
+    return docs.join(small(found), on, "left").drop(d, m), name
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """Documents without any hit, columns unchanged."""
-    return with_hits(docs, benchmark, n).filter(F.col("decon").isNull()).select(*docs.columns)
+    marked, name = with_hits(docs, benchmark, n)
+    return marked.filter(F.col(name).isNull()).drop(name)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """Documents with hit words cut out, and what stands between two of them."""
-    marked = with_hits(docs, benchmark, n)
+    marked, name = with_hits(docs, benchmark, n)
     text = F.col("text")
     # Every piece is a word with what stands before it; the rest follows the last word.
     gap = WORD_ANY_CASE.replace("[^", "[").replace("+", "*")
@@ -167,29 +167,18 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> Data
     rest = F.regexp_extract(text, gap + r"\z", 0)
 
     def outside(i: Column) -> Column:
-        return ~F.exists(F.col("decon.spans"), lambda s: (i >= s["start"]) & (i < s["end"]))
+        return ~F.exists(F.col(name)["spans"], lambda s: (i >= s["start"]) & (i < s["end"]))
 
     kept = F.concat(F.array_join(F.filter(pieces, lambda _, i: outside(i)), ""), rest)
-    return marked.withColumn("text", F.when(F.col("decon").isNull(), text).otherwise(kept)).select(*docs.columns)
-
-
-def counted_words(text: Column) -> Column:
-    """Number of words of a text without listing or folding them."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_ANY_CASE)).cast("long")
+    return marked.withColumn("text", F.when(F.col(name).isNull(), text).otherwise(kept)).drop(name)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """One row per document: word and hit counts, and a digest of the items found."""
-    found = stored(scan(docs, benchmark, n).select(
-        F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "n_hit",
-        F.size("item_ids").cast("long").alias("n_items"), F.array_join("item_ids", ",").alias("items"),
-    ))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), counted_words(F.col("text")).alias("n_words"))
-    on = rows["doc_id"].eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m"))
-    return rows.join(small(found), on, "left").select(
-        "doc_id", "n_words",
+    return scan(docs, benchmark, n).select(
+        "doc_id", F.col("n_words").cast("long"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
+        F.when(F.col("item_ids").isNull(), 0).otherwise(F.size("item_ids")).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(F.array_join("item_ids", ","), F.lit("")), 256).alias("items_sha256"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
