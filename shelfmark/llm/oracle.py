@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from shelfmark.llm.licenses import RULES, SENTENCES
+
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 DECONTAMINATE = f"""
@@ -117,7 +119,59 @@ g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP B
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM n JOIN g USING (norm)
 """
 
+
+def _license_scan() -> str:
+    """The rules one after another, each a step over the texts that have a licence sentence."""
+    known = ", ".join(f"('{s}', '{name}')" for name, s in SENTENCES.items())
+    steps, last = [], "r0"
+    for i, (name, rule) in enumerate(RULES, 1):
+        ids = " " + "  ".join(rule.split()) + " "
+        steps.append(f"""r{i} AS (SELECT doc_id, ids, replace(rest, '{ids}', ' - ') AS rest,
+  CASE WHEN contains(rest, '{ids}') AND NOT list_contains(found, '{name}') THEN list_append(found, '{name}') ELSE found END AS found
+  FROM r{i - 1})""")
+        last = f"r{i}"
+    return f"""
+WITH known(s, id) AS (VALUES {known}),
+parts AS (
+  SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '\\n|[.!?:]\\s')) AS s,
+    generate_subscripts(regexp_split_to_array(lower(coalesce(text, '')), '\\n|[.!?:]\\s'), 1) AS pos FROM documents),
+named AS (
+  SELECT doc_id, pos, coalesce(id, '-') AS id
+  FROM parts LEFT JOIN known ON known.s = trim(regexp_replace(parts.s, '[^a-z0-9]+', ' ', 'g'))),
+runs AS (SELECT *, lag(id) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM named),
+r0 AS (
+  SELECT doc_id, list(id ORDER BY pos) FILTER (id <> '-') AS ids, ' ' || string_agg(id, '  ' ORDER BY pos) || ' ' AS rest,
+    []::VARCHAR[] AS found
+  FROM runs WHERE id <> '-' OR before IS NULL OR before <> '-' GROUP BY doc_id),
+{", ".join(steps)}
+SELECT documents.doc_id, coalesce(array_to_string(found, ','), '') AS licences, coalesce(len(ids), 0)::BIGINT AS n_sentences,
+  coalesce(array_to_string(list_filter(regexp_split_to_array(rest, ' +'), lambda x: x <> '' AND x <> '-'), ','), '') AS unexplained
+FROM documents LEFT JOIN {last} USING (doc_id)
+"""
+
+
+PREFERENCES = """
+WITH t AS (
+  SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS chosen, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT pair_id, chosen, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role, text) AS turns FROM t GROUP BY pair_id, chosen),
+ab AS (
+  SELECT a.pair_id, a.turns AS a, b.turns AS b, least(len(a.turns), len(b.turns)) AS m
+  FROM c a JOIN c b ON a.pair_id = b.pair_id AND a.chosen AND NOT b.chosen),
+cut AS (SELECT *, coalesce(list_min(list_filter(range(1, m + 1), lambda i: a[i] <> b[i])) - 1, m) AS k FROM ab)
+SELECT pair_id, k::BIGINT AS n_shared,
+  coalesce(array_to_string(list_transform(a[:k], lambda x: '<|' || x.r || '|>' || chr(10) || x.t || '<|end|>' || chr(10)), ''), '') AS prompt,
+  coalesce(array_to_string(list_transform(a[k + 1:], lambda x: '<|' || x.r || '|>' || chr(10) || x.t || '<|end|>' || chr(10)), ''), '') AS chosen,
+  coalesce(array_to_string(list_transform(b[k + 1:], lambda x: '<|' || x.r || '|>' || chr(10) || x.t || '<|end|>' || chr(10)), ''), '') AS rejected,
+  coalesce(list_sum(list_transform(a[k + 1:], lambda x: CASE WHEN x.r = 'assistant' THEN length(x.t) + 8 ELSE 0 END)), 0)::BIGINT AS chosen_loss_chars,
+  coalesce(list_sum(list_transform(b[k + 1:], lambda x: CASE WHEN x.r = 'assistant' THEN length(x.t) + 8 ELSE 0 END)), 0)::BIGINT AS rejected_loss_chars
+FROM cut
+"""
+
 ORACLE = {
+    "op8_license_scan": _license_scan(),
+    "op10_preferences": PREFERENCES,
     "op1_mix_sources": MIX,
     "op9_line_dedup": LINE_DEDUP,
     "op6_ngram_join": NGRAM_JOIN,

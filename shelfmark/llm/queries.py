@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_join
+from shelfmark.llm import chat, decontaminate, exact_dedup, language_id, licenses, line_dedup, mixing, ngram_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,15 +37,25 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.report(table(spark, sf_dir, "documents"), ngram_join.Similarity(words=4, percent=85))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
-    "op9_line_dedup": op9_line_dedup,
-    "op6_ngram_join": op6_ngram_join,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_language_id": op3_language_id,
     "op5_decontaminate": op5_decontaminate,
+    "op6_ngram_join": op6_ngram_join,
+    "op8_license_scan": op8_license_scan,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_preferences": op10_preferences,
 }
