@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import chat, decontaminate, exact_dedup, language_id, licenses, line_dedup, mixing, ngram_join
+from shelfmark.llm import chat, decontaminate, exact_dedup, language_id, licenses, line_dedup, mixing, ngram_join, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.report(table(spark, sf_dir, "documents"), ngram_join.Similarity(words=4, percent=85))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op5_decontaminate": op5_decontaminate,
     "op6_ngram_join": op6_ngram_join,
+    "op7_quality": op7_quality,
     "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_preferences": op10_preferences,
