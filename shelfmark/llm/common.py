@@ -75,3 +75,17 @@ def fresh(df: DataFrame, stem: str) -> str:
         i += 1
         name = f"{stem}_{i}"
     return name
+
+
+def cut_words(text: Column, spans: Column, word: str) -> Column:
+    """Text without the words in ``spans`` (word numbers ``start, end``) and what stands before each.
+
+    ``word`` is the class of a word's characters, ``[^...]``.
+    """
+    gap = f"[{word[2:-1]}]*"
+    pieces = F.regexp_extract_all(text, F.lit(f"{gap}{word}+"), F.lit(0))
+
+    def outside(i: Column) -> Column:
+        return ~F.exists(spans, lambda s: (i >= s["start"]) & (i < s["end"]))
+
+    return F.concat(F.array_join(F.filter(pieces, lambda _, i: outside(i)), ""), F.regexp_extract(text, gap + r"\z", 0))

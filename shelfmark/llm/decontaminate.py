@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from shelfmark.llm.common import fold_ascii, fresh, small, stored
+from shelfmark.llm.common import cut_words, fold_ascii, fresh, small, stored
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -161,16 +161,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> Data
     """Documents with hit words cut out, and what stands between two of them."""
     marked, name = with_hits(docs, benchmark, n)
     text = F.col("text")
-    # Every piece is a word with what stands before it; the rest follows the last word.
-    gap = WORD_ANY_CASE.replace("[^", "[").replace("+", "*")
-    pieces = F.regexp_extract_all(text, F.lit(gap + WORD_ANY_CASE), F.lit(0))
-    rest = F.regexp_extract(text, gap + r"\z", 0)
-
-    def outside(i: Column) -> Column:
-        return ~F.exists(F.col(name)["spans"], lambda s: (i >= s["start"]) & (i < s["end"]))
-
-    kept = F.concat(F.array_join(F.filter(pieces, lambda _, i: outside(i)), ""), rest)
-    return marked.withColumn("text", F.when(F.col(name).isNull(), text).otherwise(kept)).drop(name)
+    kept = F.when(F.col(name).isNull(), text).otherwise(cut_words(text, F.col(name)["spans"], WORD_ANY_CASE[:-1]))
+    return marked.withColumn("text", kept).drop(name)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
