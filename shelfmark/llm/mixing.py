@@ -41,7 +41,7 @@ from shelfmark.llm.common import fresh, small, stored
 
 BLOCK_ROWS, POOL, POOL_WEIGHT = 32, "(other)", 1
 # Rows that one numbering range should have.
-_RANGE_ROWS = 20_000
+_RANGE_ROWS = 1_000
 
 
 def _first_due(had: Column, quotas: Column, length: Column, t: Column) -> Column:
