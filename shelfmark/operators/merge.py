@@ -8,22 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfmark.functions.base import ColumnLike, col
+
 
 def remaining(frontier: DataFrame, processed: DataFrame, key: str = "url") -> DataFrame:
     """Distinct keys of ``frontier`` that were not processed yet."""
     return frontier.select(key).distinct().join(processed.select(key), key, "left_anti")
 
 
-def new_pages(pages: DataFrame, processed: DataFrame, key: str = "url", row_id: str = "page_id") -> DataFrame:
-    """The first page of each address that was not processed yet.
+def page_key(url: ColumnLike = "url", row_id: ColumnLike = "page_id") -> Column:
+    """What tells pages apart: the address, or the page's own number where it has none."""
+    return F.coalesce(col(url), F.concat(F.lit("page:"), col(row_id).cast("string")))
+
+
+def new_pages(pages: DataFrame, processed: DataFrame) -> DataFrame:
+    """Pages whose key (``page_key``) was not processed yet, copies of an address included.
 
-    The choice is made on the two narrow columns, with partial aggregation;
-    the page bodies move once at most, and not at all when the chosen keys are
-    few enough for Spark to broadcast them. ``row_id`` is unique per page;
-    pages without an address count as one address that is never processed.
+    Which copy of an address is stored is decided after the work, among those
+    that succeeded; a copy that fails must not hide a whole one.
     """
-    chosen = pages.groupBy(key).agg(F.min(row_id).alias(row_id)).join(processed.select(key), key, "left_anti")
-    return pages.join(chosen.select(row_id), row_id, "left_semi")
+    done = processed.select(page_key().alias("_done")).distinct()
+    return pages.join(done, page_key() == F.col("_done"), "left_anti")
+
+
+def first_success(rows: DataFrame) -> DataFrame:
+    """Of the rows of each page key the one with the lowest ``page_id``."""
+    return first_by(rows.withColumn("_key", page_key()), "_key", "page_id").drop("_key")
 
 
 def first_by(df: DataFrame, key: str | list[str], *order: str | Column) -> DataFrame:

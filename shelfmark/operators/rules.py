@@ -78,8 +78,8 @@ CONTEXT_BONUS = 2.0
 FEATURE_BONUS = 1.0
 MIN_SCORE = 3.0
 
-# More rules than this are not put into the plan, see classify().
-MAX_INLINE_RULES = 5_000
+# Rules that one pass of the join form sends to every executor.
+BROADCAST_RULES = 100_000
 
 _RULE_STRUCT = "struct<cat_order:int,category:string,keyword:string,kind:string,weight:double>"
 _GROUP_SCHEMA = f"array<struct<gate:string,rules:array<{_RULE_STRUCT}>>>"
@@ -116,7 +116,10 @@ class RuleSet:
             Rule(r.category, r.cat_order, _clean_keyword(r.keyword), float(r.weight), r.kind) for r in self.rules
         )
         object.__setattr__(self, "rules", tuple(r for r in cleaned if r.keyword))
-        object.__setattr__(self, "categories", tuple(sorted({(r.cat_order, r.category) for r in cleaned})))
+        first: dict[str, int] = {}
+        for r in cleaned:
+            first[r.category] = min(r.cat_order, first.get(r.category, r.cat_order))
+        object.__setattr__(self, "categories", tuple(sorted((order, name) for name, order in first.items())))
 
     @staticmethod
     def default() -> "RuleSet":
@@ -136,15 +139,13 @@ class RuleSet:
         )
 
     @staticmethod
-    def from_dataframe(rules: DataFrame, default_category: str, max_rules: int = MAX_INLINE_RULES, **options):
+    def from_dataframe(rules: DataFrame, default_category: str, **options):
         """Rule set from a table ``category, cat_order, keyword, weight``.
 
-        Returns None when the table holds more than ``max_rules`` rows; at most
-        ``max_rules + 1`` rows ever reach the driver.
+        The table becomes part of the plan, so this is for tables a person
+        would write; the join form is for larger ones.
         """
-        rows = rules.select("category", "cat_order", "keyword", "weight").limit(max_rules + 1).collect()
-        if len(rows) > max_rules:
-            return None
+        rows = rules.select("category", "cat_order", "keyword", "weight").collect()
         ordered = sorted(rows, key=lambda r: (r["cat_order"], -r["weight"], r["keyword"]))
         return RuleSet(
             rules=tuple(Rule(r["category"], r["cat_order"], r["keyword"], r["weight"]) for r in ordered),
@@ -242,16 +243,16 @@ def _scores(hits: Column, context: Column, rules: RuleSet) -> Column:
     categories = [{"cat_order": order, "category": category} for order, category in rules.categories]
     known = F.from_json(F.lit(json.dumps(categories)), "array<struct<cat_order:int,category:string>>")
 
-    def total(order: Column) -> Column:
+    def total(category: Column) -> Column:
         return F.aggregate(
-            hits, F.lit(0.0), lambda sum_, h: sum_ + F.when(h["cat_order"] == order, h["score"]).otherwise(0.0)
+            hits, F.lit(0.0), lambda sum_, h: sum_ + F.when(h["category"] == category, h["score"]).otherwise(0.0)
         )
 
     base = F.size(context) * CONTEXT_BONUS
     return F.transform(
         known,
         lambda c: F.struct(
-            (base + total(c["cat_order"])).alias("score"),
+            (base + total(c["category"])).alias("score"),
             (-c["cat_order"]).alias("rank"),
             c["category"].alias("category"),
         ),
@@ -311,76 +312,97 @@ def explain_matches(df: DataFrame, key: str, name: ColumnLike, description: Colu
     )
 
 
-_SALTS = 16
-
-
 def _fragments(text: Column, size: int) -> Column:
     """Fragments of ``size`` characters at every place of a text."""
     return F.regexp_extract_all(text, F.lit(f"(?=(.{{{size}}}))"), F.lit(1))
 
 
-def category_scores_by_join(
-    df: DataFrame, key: str, name: ColumnLike, description: ColumnLike, rules: DataFrame
-) -> DataFrame:
-    """``category_scores`` for a rule table of any size, without context stems.
+def _rows(df: DataFrame, key: str, name: ColumnLike, description: ColumnLike) -> DataFrame:
+    """``key``, its cleaned texts, and ``_row``: equal for rows that repeat in full, else apart."""
+    return df.select(key, F.xxhash64(key, col(name), col(description)).alias("_row"), _texts(name, description).alias("text"))
+
 
-    A keyword can only occur in a text that holds the keyword's leading
-    fragment of up to three characters. Records and rules meet on that fragment
-    by equi-join, and each meeting is then tested on the whole text. Frequent
-    fragments are salted by record, so no fragment lands in one task.
+def _scores_by_join(records: DataFrame, key: str, rules: DataFrame) -> DataFrame:
+    """``_row, key, category, cat_order, score`` for every category with a score, shuffled once, by ``_row``.
+
+    A keyword can only occur in a text that holds one of its fragments of three
+    characters (or all of it, if shorter); the fragment that the fewest texts
+    hold is looked up. Rules go to the texts in parts of a bounded size, one
+    pass over the texts each, and are tested there, so no text is moved.
     """
+    firsts = rules.groupBy("category").agg(F.min("cat_order").alias("cat_order"))
     cleaned = (
-        rules.select("category", "cat_order", match_text("keyword").alias("keyword"),
-                     F.col("weight").cast("double").alias("weight"))
-        .filter("keyword <> ''")
-        .withColumn("fragment", F.left("keyword", F.lit(3)))
+        rules.select("category", match_text("keyword").alias("keyword"), F.col("weight").cast("double").alias("weight"))
+        .filter("keyword <> ''").groupBy("category", "keyword").agg(F.sum("weight").alias("weight"))
+        .join(firsts, "category")
     )
-    # Fragments are made of 37 characters, so there are fewer than 52,100 of
-    # them however many rules there are; they fit into the plan.
-    wanted = [row["fragment"] for row in cleaned.select("fragment").distinct().collect()]
-    records = df.select(key, _texts(name, description).alias("text"))
-    found = F.concat(*[_fragments(F.col("text.padded"), size) for size in sorted({len(w) for w in wanted} or {3})])
-    fragments = F.array_intersect(found, F.from_json(F.lit(json.dumps(wanted)), "array<string>"))
-    salted = records.select(
-        key, each(fragments).alias("fragment"), F.pmod(F.xxhash64(key), F.lit(_SALTS)).alias("salt")
+    sizes = sorted(r[0] for r in cleaned.select(F.least(F.length("keyword"), F.lit(3))).distinct().collect())
+    if not sizes:
+        return records.limit(0).select(
+            "_row", key, F.lit("").alias("category"), F.lit(0).alias("cat_order"), F.lit(0.0).alias("score"))
+    found = F.array_distinct(F.concat(*[_fragments(F.col("text.padded"), size) for size in sizes]))
+    # Fragments are made of 37 characters: there are fewer than 52,100 of them, whatever the number of texts.
+    uses = records.select(each(found).alias("fragment")).groupBy("fragment").agg(F.count(F.lit(1)).alias("uses"))
+    own = F.when(F.length("keyword") < 3, F.array("keyword")).otherwise(_fragments(F.col("keyword"), 3))
+    rarest = (
+        cleaned.withColumn("fragment", F.explode(own)).join(F.broadcast(uses), "fragment")
+        .groupBy("category", "keyword", "weight", "cat_order")
+        .agg(F.count(F.lit(1)).alias("known"), F.min_by("fragment", F.struct("uses", "fragment")).alias("fragment"))
+        # A fragment that no text holds rules the keyword out.
+        .filter(F.col("known") >= F.when(F.length("keyword") < 3, 1).otherwise(F.length("keyword") - 2))
+        .drop("known").persist()
     )
-    cleaned = cleaned.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)).cast("array<bigint>")))
-    meetings = salted.join(cleaned, ["fragment", "salt"]).drop("fragment", "salt")
-    text = F.col("text")
-    score = _hit_score(text, F.col("keyword"), F.lit("keyword"), F.col("weight"))
+    parts = max(1, -(-rarest.count() // BROADCAST_RULES))
+    pieces = records.select(key, "_row", "text", each(found).alias("fragment"))
+    hits = None
+    for part in range(parts):
+        some = rarest.filter(F.pmod(F.xxhash64("category", "keyword"), F.lit(parts)) == part)
+        score = _hit_score(F.col("text"), F.col("keyword"), F.lit("keyword"), F.col("weight"))
+        met = pieces.join(F.broadcast(some), "fragment").withColumn("score", score).filter("score > 0")
+        met = met.select("_row", key, "category", "cat_order", "keyword", "score")
+        hits = met if hits is None else hits.union(met)
     return (
-        meetings.join(records, key)
-        .withColumn("score", score)
-        .filter("score > 0")
-        .groupBy(key, "category")
-        .agg(F.sum("score").alias("score"))
+        # Rows that repeat count once; one exchange serves both groupings and what follows.
+        hits.repartition("_row").groupBy("_row", key, "category", "cat_order", "keyword").agg(F.max("score").alias("score"))
+        .groupBy("_row", key, "category", "cat_order").agg(F.sum("score").alias("score"))
     )
 
 
+def category_scores_by_join(
+    df: DataFrame, key: str, name: ColumnLike, description: ColumnLike, rules: DataFrame
+) -> DataFrame:
+    """``category_scores`` for a rule table of any size, without context stems."""
+    records = _rows(df, key, name, description)
+    scores = _scores_by_join(records, key, rules).drop(key)
+    return records.select(key, "_row").join(scores, "_row").select(key, "category", "score")
+
+
 def best_by_join(df: DataFrame, key: str, name: ColumnLike, description: ColumnLike, rules: DataFrame,
                  default_category: str, min_score: float = MIN_SCORE) -> DataFrame:
     """``key, category`` under a rule table of any size."""
-    scores = category_scores_by_join(df, key, name, description, rules)
-    orders = rules.groupBy("category").agg(F.min("cat_order").alias("cat_order"))
+    records = _rows(df, key, name, description)
     best = (
-        scores.join(orders, "category")
-        .groupBy(key)
+        _scores_by_join(records, key, rules).groupBy("_row")
         .agg(F.max(F.struct("score", (-F.col("cat_order")).alias("rank"), "category")).alias("best"))
         .filter(F.col("best.score") >= min_score)
-        .select(key, F.col("best.category").alias("category"))
+        .select("_row", F.col("best.category").alias("category"))
     )
-    return df.select(key).join(best, key, "left").select(
+    return records.select(key, "_row").join(best, "_row", "left").select(
         key, F.coalesce("category", F.lit(default_category)).alias("category")
     )
 
 
 def classify(df: DataFrame, key: str, name: ColumnLike, description: ColumnLike, rules: DataFrame,
-             default_category: str, min_score: float = MIN_SCORE) -> DataFrame:
+             default_category: str, min_score: float = MIN_SCORE, form: str = "fold") -> DataFrame:
     """``key, category`` under a user's rule table.
 
-    Small tables are scored in place; larger ones by ``best_by_join``.
+    Both forms give the same rows. ``fold`` puts the rules into the plan and
+    scores each record in place; ``join`` looks them up, for tables of
+    thousands of rules and more.
     """
-    inline = RuleSet.from_dataframe(rules, default_category, min_score=min_score)
-    if inline is None:
+    if form == "join":
         return best_by_join(df, key, name, description, rules, default_category, min_score)
+    if form != "fold":
+        raise ValueError(f"unknown form: {form}")
+    inline = RuleSet.from_dataframe(rules, default_category, min_score=min_score)
     return df.select(key, category_of(name, description, inline).alias("category"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -16,20 +14,16 @@ def category_counts(df: DataFrame, category: str = "category") -> DataFrame:
     return named.groupBy("category").agg(F.count("*").alias("n_tools"))
 
 
-def by_category(df: DataFrame, category: str = "category", max_inline: int = 10_000) -> DataFrame:
+def by_category(df: DataFrame, category: str = "category") -> DataFrame:
     """The records with their category filled in and its record count.
 
-    The counts are worked out first. Up to ``max_inline`` categories they go
-    into the plan and the records stay where they are; more are joined. Groups
-    stay as rows, so the largest category never gathers in one task.
+    Groups stay as rows, so the largest category never gathers in one task:
+    the counts are aggregated before they are shuffled, and skewed join
+    partitions are split.
     """
     filled = df.withColumn(category, F.coalesce(category, F.lit(OTHER)))
     counts = filled.groupBy(category).agg(F.count("*").alias("n_in_category"))
-    rows = counts.limit(max_inline + 1).collect()
-    if len(rows) > max_inline:
-        return filled.join(counts, category)
-    known = F.from_json(F.lit(json.dumps({r[0]: r[1] for r in rows})), "map<string,bigint>")
-    return filled.withColumn("n_in_category", F.try_element_at(known, F.col(category)))
+    return filled.join(counts, category).select(*filled.columns, "n_in_category")
 
 
 def category_summary(df: DataFrame, category: str = "category", name: str = "name") -> DataFrame:

@@ -354,7 +354,6 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {by_test_rules}, {verdict(documents=False, default='none')} SELECT key AS doc_id, category FROM verdict"
     )
     profile = ", ".join(f"count(*) FILTER (WHERE length({c}) > 0) AS {c}" for c in FLAT_NAMES)
-    done = "ends_with(rtrim(html), '</html>')"
     title = strip(decoded(in_titles))
     ai = "'https://directory.example.com'"
     dedup_first = f"SELECT name, min(tool_id) AS tool_id FROM ({LISTINGS})"
@@ -612,6 +611,13 @@ def oracle_sql() -> dict[str, str]:
             LEFT JOIN ({best(False)}) o ON o.tool_id = p_partkey LEFT JOIN ({best(True)}) d ON d.tool_id = p_partkey""",
         # incremental
         "incremental_batch": f"""
-            SELECT page_id, url, {title} AS name, CASE WHEN {HTTPS} THEN 0 ELSE 1 END AS batch_id FROM pages WHERE {done}""",
-        "stream_results": f"SELECT page_id, url, {title} AS name FROM pages WHERE {done}",
+            SELECT page_id, url, {title} AS name, CASE WHEN {HTTPS} THEN 0 ELSE 1 END AS batch_id FROM pages""",
+        "rejected_pages": f"""
+            SELECT page_id, CASE WHEN page_id % 7 <> 0 THEN url END AS url, 'no page' AS reason, 1 AS attempts
+            FROM pages WHERE page_id % 3 = 0""",
+        "retried_pages": f"""
+            SELECT page_id, CASE WHEN page_id % 7 <> 0 THEN url END AS url, {title} AS name,
+              CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS batch_id
+            FROM pages""",
+        "stream_results": f"SELECT page_id, url, {title} AS name FROM pages",
     }

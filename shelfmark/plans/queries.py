@@ -691,9 +691,8 @@ def logo_with_fallback(spark, sf_dir):
 
 # -- incremental -----------------------------------------------------------
 def _titles(pages: DataFrame) -> DataFrame:
-    """Work of the incremental queries; pages that were cut short fail."""
-    whole = pages.filter(F.endswith(F.rtrim("html"), F.lit("</html>")))
-    return parse_pages(whole).select("page_id", "url", extract.title(Page()).alias("name"))
+    """Work of the incremental queries; a page without a title fails."""
+    return parse_pages(pages).select("page_id", "url", extract.title(Page()).alias("name")).filter("name IS NOT NULL")
 
 
 _STORED = {"page_id": "bigint", "url": "string", "name": "string"}
@@ -712,11 +711,32 @@ def incremental_batch(spark, sf_dir):
     return progress.results().select("page_id", "url", "name", "batch_id")
 
 
+def _broken_first(spark, sf_dir) -> Progress:
+    """A first batch in which every third page came empty and some have no address, and a second with all whole."""
+    pages = inputs.table(spark, sf_dir, "pages").withColumn("url", F.expr("CASE WHEN page_id % 7 <> 0 THEN url END"))
+    progress = _progress(spark)
+    run_batch(pages.withColumn("html", F.expr("CASE WHEN page_id % 3 <> 0 THEN html END")), progress, _titles)
+    return progress
+
+
+@query
+def rejected_pages(spark, sf_dir):
+    return _broken_first(spark, sf_dir).rejected("batch").select("page_id", "url", "reason", "attempts")
+
+
+@query
+def retried_pages(spark, sf_dir):
+    progress = _broken_first(spark, sf_dir)
+    run_batch(inputs.table(spark, sf_dir, "pages").withColumn("url", F.expr("CASE WHEN page_id % 7 <> 0 THEN url END")),
+              progress, _titles)
+    return progress.results().select("page_id", "url", "name", "batch_id")
+
+
 @query
 def stream_results(spark, sf_dir):
     progress = _progress(spark)
-    # A pattern, since the table may be one file or a folder of files.
-    arriving = f"{sf_dir}/pages*.parquet"
+    # The table may be one file or a folder of files; the name ends there.
+    arriving = f"{sf_dir}/pages.parquet*"
     checkpoint = shared_folder(spark, f"shelfmark-stream-{uuid.uuid4().hex}")
     start_stream(spark, arriving, progress, _titles, checkpoint).awaitTermination()
     return progress.results().select("page_id", "url", "name")

@@ -1,37 +1,55 @@
-"""Stored results of earlier batches.
+"""Stored results of earlier batches, and the pages that failed.
 
 A result row exists only for a page that succeeded, so the processed addresses
 are the addresses of the results: one table, nothing to keep in step. Every
-batch of a run owns one folder and replaces it when it is repeated; a stream
-and hand-started batches use different run names, so their numbers never meet.
+batch of a run owns one folder and replaces it when it is repeated. A batch is
+finished when its mark is written, which is this module's own file and not the
+committer's. ``compact`` rewrites all finished batches of a run as one folder,
+so that a long-lived run has few to list and read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.schemas import Layout, ddl
+from shelfmark.schemas import PAGES, Layout, ddl
+
+#: Pages that gave no row, with the reason and how often they were tried.
+REJECTS: Layout = {**PAGES, "reason": "string", "attempts": "int"}
 
 
 class Progress:
-    """Results under ``path``, one folder ``run=r/batch_id=n`` per batch."""
+    """Results under ``path``, one folder ``run=r/batch_id=n`` per batch.
+
+    A run name belongs to one writer. Two that work at the same time need names
+    of their own, or they would take the same batch number.
+    """
 
     def __init__(self, spark: SparkSession, path: str, layout: Layout) -> None:
         self.spark, self.path, self.layout = spark, path.rstrip("/"), layout
 
-    def _finished(self) -> list[str]:
+    def _file(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _finished(self, run: str = "*") -> list[str]:
         """Folders of the batches that were written to the end."""
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/run=*/batch_id=*/_SUCCESS")
-        marks = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(root)
-        return sorted(mark.getPath().getParent().toString() for mark in marks or [])
+        pattern, files = self._file(f"marks/run={run}/*")
+        names = [m.getPath().toString().split("/marks/", 1)[1] for m in files.globStatus(pattern) or []]
+        return sorted(names)
 
     def results(self) -> DataFrame:
         """All stored rows with ``run`` and ``batch_id``; empty before the first batch."""
-        stored, folders = ddl({**self.layout, "run": "string", "batch_id": "int"}), self._finished()
+        return self._read("results", {**self.layout, "run": "string", "batch_id": "int"}, self._finished())
+
+    def _read(self, kind: str, layout: Layout, folders: list[str]) -> DataFrame:
         if not folders:
-            return self.spark.createDataFrame([], stored)
-        return self.spark.read.schema(stored).option("basePath", self.path).parquet(*folders)
+            return self.spark.createDataFrame([], ddl(layout))
+        root = f"{self.path}/{kind}"
+        return self.spark.read.schema(ddl(layout)).option("basePath", root).parquet(*[f"{root}/{f}" for f in folders])
 
     def processed(self, key: str = "url") -> DataFrame:
         """Addresses done so far."""
@@ -39,14 +57,47 @@ class Progress:
 
     def next_batch(self, run: str) -> int:
         """Number after the last finished batch; an unfinished one is redone."""
-        mine = [f.rsplit("/batch_id=", 1) for f in self._finished()]
-        return 1 + max((int(n) for folder, n in mine if folder.endswith(f"/run={run}")), default=-1)
+        return 1 + max((_number(f) for f in self._finished(run)), default=-1)
 
     def before(self, run: str, batch_id: int) -> DataFrame:
         """Rows stored by other runs and by earlier batches of this run."""
         return self.results().filter((F.col("run") != run) | (F.col("batch_id") < batch_id))
 
-    def save(self, rows: DataFrame, run: str, batch_id: int) -> None:
-        """Store a batch; repeating it replaces its earlier rows."""
-        kept = rows.select(*[F.col(name).cast(kind).alias(name) for name, kind in self.layout.items()])
-        kept.write.mode("overwrite").parquet(f"{self.path}/run={run}/batch_id={int(batch_id)}")
+    def rejected(self, run: str, before: int | None = None) -> DataFrame:
+        """Pages that failed and have not succeeded since: those left by the run's last batch (``before`` one)."""
+        mine = [f for f in self._finished(run) if before is None or _number(f) < before]
+        return self._read("rejects", REJECTS, [max(mine, key=_number)] if mine else []).select(*REJECTS)
+
+    def save(self, rows: DataFrame, rejects: Callable[[DataFrame], DataFrame], run: str, batch_id: int) -> None:
+        """Store a batch; repeating it replaces its earlier rows.
+
+        ``rejects`` gives the failed pages from the rows that were stored.
+        """
+        folder = f"run={run}/batch_id={int(batch_id)}"
+        rows.write.mode("overwrite").parquet(f"{self.path}/results/{folder}")
+        failed = rejects(self._read("results", self.layout, [folder]))
+        failed.select(*[F.col(name).cast(kind).alias(name) for name, kind in REJECTS.items()]).write.mode(
+            "overwrite").parquet(f"{self.path}/rejects/{folder}")
+        mark, files = self._file(f"marks/{folder}")
+        files.create(mark, True).close()
+
+    def compact(self, run: str) -> None:
+        """Rewrite the finished batches of a run as its last one."""
+        mine = self._finished(run)
+        if len(mine) < 2:
+            return
+        last = max(mine, key=_number)
+        rows = self._read("results", self.layout, mine)
+        whole = f"run={run}/batch_id={_number(last) + 1}"
+        rows.write.mode("overwrite").parquet(f"{self.path}/results/{whole}")
+        self._read("rejects", REJECTS, [last]).select(*REJECTS).write.mode("overwrite").parquet(f"{self.path}/rejects/{whole}")
+        # The new folder counts from its mark on; the old ones stop with theirs. Rows that are
+        # seen twice in between are the same rows, and a page is not processed again for them.
+        mark, files = self._file(f"marks/{whole}")
+        files.create(mark, True).close()
+        for name in mine:
+            files.delete(self._file(f"marks/{name}")[0], False)
+
+
+def _number(folder: str) -> int:
+    return int(folder.rsplit("batch_id=", 1)[1])

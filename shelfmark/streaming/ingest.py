@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfmark.operators.merge import new_pages
+from shelfmark.operators.merge import first_success, new_pages, page_key
 from shelfmark.schemas import PAGES, ddl
 from shelfmark.sources.progress import Progress
 
@@ -16,20 +17,41 @@ Work = Callable[[DataFrame], DataFrame]
 
 
 def _step(pages: DataFrame, progress: Progress, work: Work, run: str, batch_id: int) -> None:
-    """Process the new addresses of ``pages`` and store what succeeded.
+    """Process the new addresses of ``pages`` and store what succeeded, and what did not.
 
-    Rows of the batch itself do not count as processed: a repeated batch does
-    its work again and replaces its folder.
+    Pages that failed in the run's last batch are tried again with this one. Of
+    several copies of an address the first that succeeds is stored. Rows of the
+    batch itself do not count as processed: a repeated batch does its work
+    again and replaces its folder. A row of ``work`` with a ``parse_error`` is
+    a failure, and so is a page without a row.
     """
-    new = new_pages(pages, progress.before(run, batch_id))
-    progress.save(work(new), run, batch_id)
+    again = progress.rejected(run, before=batch_id)
+    tried = pages.select(*PAGES, F.lit(0).alias("attempts")).unionByName(again.select(*PAGES, "attempts"))
+    new = new_pages(tried, progress.before(run, batch_id))
+    rows = work(new.select(*PAGES))
+    failed = F.col("parse_error") if "parse_error" in rows.columns else F.lit(None).cast("string")
+    kept = first_success(rows.filter(failed.isNull()))
+    stored = kept.select(*[F.col(c).cast(t).alias(c) for c, t in progress.layout.items()])
+    # What is done is read from the result that was written, so the work is not run again for it.
+    progress.save(stored, lambda done: _rejects(new, rows, done, failed), run, batch_id)
+
+
+def _rejects(new: DataFrame, rows: DataFrame, done: DataFrame, failed: Column) -> DataFrame:
+    """Pages of which no copy succeeded, with the reason."""
+    left = new_pages(new, done)
+    reason = F.when(F.col("html").isNull(), "no page").otherwise("no record")
+    if "parse_error" in rows.columns:
+        told = rows.filter(failed.isNotNull()).groupBy(page_key().alias("_key")).agg(F.min("parse_error").alias("_told"))
+        left = left.join(told, page_key() == F.col("_key"), "left")
+        reason = F.coalesce(F.col("_told"), reason)
+    return left.select(*PAGES, reason.alias("reason"), (F.col("attempts") + 1).alias("attempts"))
 
 
 def run_batch(pages: DataFrame, progress: Progress, work: Work, run: str = "batch") -> int:
     """Process one batch and return its number.
 
-    Pages whose ``work`` gives no row are not marked, so a later batch tries
-    them again.
+    ``run`` belongs to one writer; see ``Progress``. Pages that fail are kept
+    with the reason (``Progress.rejected``) and tried again with the next batch.
     """
     batch_id = progress.next_batch(run)
     _step(pages, progress, work, run, batch_id)

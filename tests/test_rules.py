@@ -113,8 +113,32 @@ def test_join_form_equals_fold_form(spark):
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
 
 
-def test_large_tables_leave_the_plan(spark):
-    assert RuleSet.from_dataframe(_rule_table(spark), "none", max_rules=5) is None
+def test_forms_agree_on_any_rule_table(spark):
+    """Shared and repeated orders, NULL and repeated keys, repeated rules, keywords no text holds."""
+    rng = random.Random(9)
+    parts = ["ad hoc", "mad hocus", "x", "zz top", "q", "oc", "hoc q", "zz", "hoc hoc"]
+    rows = [(rng.choice([None, *range(30)]), rng.choice([None, *parts]), " ".join(rng.choices(parts, k=rng.randint(0, 4))))
+            for _ in range(200)]
+    df = spark.createDataFrame([*rows, *rows[:20]], "id int, name string, description string")
+    for trial in range(4):
+        table = [(rng.choice("abcd"), rng.randint(0, 2), rng.choice([*parts, "absent one", "--", "o"]), rng.randint(1, 4)) for _ in range(12)]
+        rule_table = spark.createDataFrame(table, "category string, cat_order int, keyword string, weight int")
+        inline = RuleSet.from_dataframe(rule_table, "none")
+        for fold, join in (
+            (rules.category_scores(df, "id", "name", "description", inline),
+             rules.category_scores_by_join(df, "id", "name", "description", rule_table)),
+            *[(rules.classify(df, "id", "name", "description", rule_table, "none"),
+               rules.classify(df, "id", "name", "description", rule_table, "none", form="join"))],
+        ):
+            assert sorted(map(repr, fold.collect())) == sorted(map(repr, join.collect())), (trial, table)
+
+
+def test_ten_thousand_rules(spark, monkeypatch):
+    monkeypatch.setattr(rules, "BROADCAST_RULES", 4_000)
+    table = spark.range(10_000).selectExpr("concat('c', id % 50) category", "cast(id % 50 as int) cat_order", "concat('w', id, ' x') keyword", "2 weight")
+    df = spark.createDataFrame([(1, "w77 x", ""), (2, "w5", "w6 x w9999 x w56 x"), (3, None, None)], "id int, name string, d string")
+    got = {r["id"]: r["category"] for r in rules.classify(df, "id", "name", "d", table, "none", form="join").collect()}
+    assert got == {1: "c27", 2: "c6", 3: "none"}
 
 
 def test_scores_for_one_category_are_explained(spark):
