@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.arrays import or_empty
@@ -26,20 +26,40 @@ CATEGORIES = (
 DOMAIN = (*CATEGORIES, OTHER)
 
 # Other names in use for each category.
-_ALIASES_TEXT = """
-Marketing & Advertising: Digital Advertising, PPC Tools, Ad Management, Display Advertising
-Social Media Marketing: Social Media Management, Social Media Analytics, Social Media Automation, Social Media Scheduling
-Content Marketing: Content Creation, Content Writing, Blog Writing, Copywriting, Content Strategy
-Email Marketing: Email Automation, Newsletter Tools, Email Campaign, Email Marketing Platform
-SEO Tools: SEO Software, Keyword Research, Rank Tracking, SEO Analytics
-Analytics & Insights: Marketing Analytics, Performance Analytics, Marketing Metrics, Data Analytics
-Marketing Automation: Workflow Automation, CRM Tools, Lead Management, Marketing Workflow
-Visual Marketing: Video Marketing, Image Creation, Design Tools, Visual Content
-"""
 ALIASES = {
-    alias: line.split(": ")[0]
-    for line in _ALIASES_TEXT.strip().splitlines()
-    for alias in line.split(": ")[1].split(", ")
+    "Digital Advertising": "Marketing & Advertising",
+    "PPC Tools": "Marketing & Advertising",
+    "Ad Management": "Marketing & Advertising",
+    "Display Advertising": "Marketing & Advertising",
+    "Social Media Management": "Social Media Marketing",
+    "Social Media Analytics": "Social Media Marketing",
+    "Social Media Automation": "Social Media Marketing",
+    "Social Media Scheduling": "Social Media Marketing",
+    "Content Creation": "Content Marketing",
+    "Content Writing": "Content Marketing",
+    "Blog Writing": "Content Marketing",
+    "Copywriting": "Content Marketing",
+    "Content Strategy": "Content Marketing",
+    "Email Automation": "Email Marketing",
+    "Newsletter Tools": "Email Marketing",
+    "Email Campaign": "Email Marketing",
+    "Email Marketing Platform": "Email Marketing",
+    "SEO Software": "SEO Tools",
+    "Keyword Research": "SEO Tools",
+    "Rank Tracking": "SEO Tools",
+    "SEO Analytics": "SEO Tools",
+    "Marketing Analytics": "Analytics & Insights",
+    "Performance Analytics": "Analytics & Insights",
+    "Marketing Metrics": "Analytics & Insights",
+    "Data Analytics": "Analytics & Insights",
+    "Workflow Automation": "Marketing Automation",
+    "CRM Tools": "Marketing Automation",
+    "Lead Management": "Marketing Automation",
+    "Marketing Workflow": "Marketing Automation",
+    "Video Marketing": "Visual Marketing",
+    "Image Creation": "Visual Marketing",
+    "Design Tools": "Visual Marketing",
+    "Visual Content": "Visual Marketing",
 }
 
 
@@ -56,6 +76,16 @@ def standard_category(c: ColumnLike, names: dict[str, str] | None = None) -> Col
     return F.coalesce(F.try_element_at(F.create_map(*pairs), col(c)), F.lit(OTHER))
 
 
+def standard_categories(df: DataFrame, names: DataFrame, category: str = "category") -> DataFrame:
+    """``standard_category`` with the names in a table ``alias, category`` of any size.
+
+    An alias listed twice takes the first category by name; NULL stays unknown.
+    """
+    one = names.groupBy(F.col("alias").alias("_alias")).agg(F.min("category").alias("_standard"))
+    found = df.join(one, F.col(category) == F.col("_alias"), "left")
+    return found.withColumn(category, F.coalesce("_standard", F.lit(OTHER))).select(*df.columns)
+
+
 def consolidate(c: ColumnLike, names: dict[str, str] | None = None) -> Column:
     """Standard names of a list of categories, distinct and sorted."""
     known = F.transform(or_empty(c), lambda x: standard_category(x, names))

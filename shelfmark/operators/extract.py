@@ -166,15 +166,14 @@ def _ranked(parsed: DataFrame, records: Column, keep: tuple[str, ...]) -> DataFr
 
 
 def first_per_name(records: Column) -> Column:
-    """Keep the first record of each name inside one page."""
+    """Keep the first record of each name inside one page, by sorting twice."""
+    ordered = F.array_sort(F.transform(records, lambda r, i: F.struct(r["name"].alias("name"), i.alias("at"), r.alias("r"))))
 
-    def keep(all_records: Column) -> Column:
-        return let(
-            F.transform(all_records, lambda r: r["name"]),
-            lambda names: F.filter(all_records, lambda r, i: F.array_position(names, r["name"]) == i + 1),
-        )
+    def keep(by_name: Column) -> Column:
+        firsts = F.filter(by_name, lambda x, i: (i == 0) | ~x["name"].eqNullSafe(F.get(by_name, i - 1)["name"]))
+        return F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["at"].alias("at"), x["r"].alias("r")))), lambda x: x["r"])
 
-    return let(records, keep)
+    return let(ordered, keep)
 
 
 def cards(parsed: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

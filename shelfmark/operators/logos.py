@@ -113,10 +113,11 @@ def best_in_page(images: Column, name: Column, page_url: Column, image_host: str
 
 
 def with_fallback(tools: DataFrame, external: DataFrame, directory: DataFrame, key: str) -> DataFrame:
-    """Best external logo of each tool, else the best of the directory."""
-    own = best(external, key).select(key, F.col("logo_url").alias("_own"))
-    shown = best(directory, key).select(key, F.col("logo_url").alias("_shown"))
-    return (
-        tools.select(key).join(own, key, "left").join(shown, key, "left")
-        .select(key, F.coalesce("_own", "_shown").alias("logo_url"))
-    )
+    """Best external logo of each tool, else the best of the directory: one grouping for all."""
+    rank = _rank(F.col("score"), F.col("w"), F.col("h"), F.col("pos"), F.col("url"))
+    own = external.select(key, rank.alias("own"))
+    shown = directory.select(key, rank.alias("shown"))
+    rows = tools.select(key, F.lit(True).alias("asked")).unionByName(own, allowMissingColumns=True).unionByName(
+        shown, allowMissingColumns=True)
+    best_of = rows.groupBy(key).agg(F.max("own").alias("own"), F.max("shown").alias("shown"), F.max("asked").alias("asked"))
+    return best_of.filter("asked").select(key, F.coalesce("own.url", "shown.url").alias("logo_url"))

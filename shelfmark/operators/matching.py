@@ -19,8 +19,8 @@ class Sel:
     ``part_class`` tests for a piece of a class name, ``op`` is one of ``has``,
     ``contains``, ``prefix``, ``equals`` and applies to ``attr``. ``text``
     tests the trimmed text, ``text_part`` a piece of it. ``inside`` is an
-    ancestor, ``child_of`` the parent, ``after`` the element just before.
-    ``holds`` is a descendant.
+    ancestor, ``child_of`` the parent, ``after`` the element just before,
+    ``later`` a sibling anywhere before. ``holds`` is a descendant.
     """
 
     tags: tuple[str, ...] = ()
@@ -34,6 +34,7 @@ class Sel:
     inside: "Sel | None" = None
     child_of: "Sel | None" = None
     after: "Sel | None" = None
+    later: "Sel | None" = None
     holds: "Sel | None" = None
 
 
@@ -88,6 +89,10 @@ class Page:
         own = self._following(sel, scope) if sel.after is not None else F.filter(
             self._within(scope), lambda e: self._own(e, sel)
         )
+        if sel.later is not None:
+            leaders = F.filter(self._within(scope), lambda s: self._own(s, sel.later))
+            own = let(F.transform(leaders, lambda s: F.struct(s["parent_pos"].alias("of"), s["pos"].alias("pos"))), lambda led: F.filter(
+                own, lambda e: F.exists(led, lambda s: (s["of"] == e["parent_pos"]) & (s["pos"] < e["pos"]))))
         if sel.holds is not None:
             own = let(self.select(sel.holds), lambda held: F.filter(
                 own, lambda e: F.exists(held, lambda d: self.below(d, e))
@@ -102,7 +107,7 @@ class Page:
         """Elements matching any selector, in page order."""
         if len(sels) == 1:
             return self.select(sels[0], scope)
-        if all(s.after is None and s.holds is None and s.inside is None for s in sels):
+        if all(s.after is None and s.later is None and s.holds is None and s.inside is None for s in sels):
             return F.filter(self._within(scope), lambda e: reduce(or_, [
                 F.coalesce(self._own(e, s), F.lit(False)) for s in sels
             ]))
@@ -195,26 +200,36 @@ class Page:
         return F.coalesce(F.nullif(main, F.lit("")), F.lit(default))
 
 
-_TABLE_COLUMNS = ("field", "priority", "tag", "class_name", "class_part", "attr", "attr_op", "attr_value", "ancestor_class")
-_MOST_SELECTORS = 1_000
+_TABLE_COLUMNS = (
+    "field", "priority", "tag", "class_name", "class_part", "attr", "attr_op", "attr_value", "ancestor_class",
+    "text", "text_part", "after_tag", "after_text", "later_tag", "later_text", "parent_tag", "parent_class", "held_tag", "held_class",
+)
 
 
 def selectors_from(table: DataFrame) -> dict[str, tuple[Sel, ...]]:
     """A registry like REGISTRY out of a user's table of selectors.
 
-    One row per selector, NULL where a condition is not wanted; several tags or
-    classes are separated by spaces. The table is a setting, not data: more
-    than a thousand rows are refused.
+    One row per selector; a column that is NULL or missing states no condition;
+    several tags or classes are separated by spaces. ``after_*``, ``later_*``,
+    ``parent_*`` and ``held_*`` describe the element just before, a sibling
+    anywhere before, the parent, and a descendant. The table is a setting and
+    becomes part of the plan.
     """
-    rows = table.select(*_TABLE_COLUMNS).limit(_MOST_SELECTORS + 1).collect()
-    if len(rows) > _MOST_SELECTORS:
-        raise ValueError(f"more than {_MOST_SELECTORS} selectors")
+    present = [c for c in _TABLE_COLUMNS if c in table.columns]
     registry: dict[str, tuple[Sel, ...]] = {}
-    for r in sorted(rows, key=lambda r: (r["field"], r["priority"])):
+
+    def other(r: dict, tag: str, classes: str | None = None, part: str | None = None) -> Sel | None:
+        tags, names, text = ((r.get(c) or "") if c else "" for c in (tag, classes, part))
+        return Sel(tags=tuple(tags.split()), classes=tuple(names.split()), text_part=text or None) if tags or names or text else None
+
+    for r in sorted((row.asDict() for row in table.select(*present).collect()), key=lambda r: (r["field"], r.get("priority") or 0)):
+        outer = r.get("ancestor_class")
         sel = Sel(
-            tags=tuple((r["tag"] or "").split()), classes=tuple((r["class_name"] or "").split()),
-            part_class=r["class_part"], attr=r["attr"], op=r["attr_op"] or "has", value=r["attr_value"] or "",
-            inside=Sel(classes=tuple(r["ancestor_class"].split())) if r["ancestor_class"] else None,
+            tags=tuple((r.get("tag") or "").split()), classes=tuple((r.get("class_name") or "").split()),
+            part_class=r.get("class_part"), attr=r.get("attr"), op=r.get("attr_op") or "has", value=r.get("attr_value") or "",
+            text=r.get("text"), text_part=r.get("text_part"), inside=Sel(classes=tuple(outer.split())) if outer else None,
+            after=other(r, "after_tag", None, "after_text"), later=other(r, "later_tag", None, "later_text"),
+            child_of=other(r, "parent_tag", "parent_class"), holds=other(r, "held_tag", "held_class"),
         )
         registry[r["field"]] = (*registry.get(r["field"], ()), sel)
     return registry
@@ -252,7 +267,7 @@ FALLBACKS: dict[str, tuple[Sel, ...]] = {
     "name": (Sel(tags=("h2", "h3", "h4")),),
     "description": (Sel(tags=("p",)),),
     "category": (Sel(tags=("a",), attr="href", op="contains", value="/category/"),),
-    "monthly_traffic": (Sel(tags=("span",), after=Sel(tags=("span",), text_part="Monthly Visits")),),
+    "monthly_traffic": (Sel(tags=("span",), later=Sel(tags=("span",), text_part="Monthly Visits")),),
     "rating": (Sel(tags=("span",), part_class="group-hover:text-purple-1300"),),
     "image_url": (Sel(tags=("img",), attr="src"),),
     "pricing_link": (Sel(tags=("a",), text_part="Pricing"),),

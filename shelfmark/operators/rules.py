@@ -19,57 +19,6 @@ from shelfmark.functions.base import ColumnLike, col, each, let
 from shelfmark.functions.labels import CATEGORIES
 from shelfmark.functions.text import match_text
 
-# Weighted keywords and feature stems per category, in tie-break
-# order. A keyword listed under two weights counts under both.
-DEFAULT_RULES_TEXT = """
-Marketing & Advertising
-3: ad campaign, ppc, advertising, ad management, media buying, display ads, google ads, facebook ads, ad optimization
-2: campaign management, digital advertising, marketing campaign, ad targeting
-1: marketing, advertising, ads
-features: ad, campaign, conversion, target
-
-Social Media Marketing
-3: social media management, social scheduling, social analytics, social engagement, instagram marketing, twitter marketing, linkedin marketing, tiktok marketing
-2: social strategy, social content, social media, social platform
-1: engagement, followers, social
-features: social, post, share, engage, follower
-
-Content Marketing
-3: content creation, blog writing, copywriting, content strategy, content planning, article writing, content generation
-2: content optimization, content calendar, content distribution, content analytics
-1: content, writing, blog
-features: document, pdf, text, content, write, edit
-
-Email Marketing
-3: email automation, newsletter, email campaign, email sequence, drip campaign, email template
-2: email analytics, email optimization, email deliverability, subscriber, autoresponder, broadcast
-1: email, newsletter, campaign
-features: email, newsletter, sequence, broadcast
-
-SEO Tools
-3: keyword research, rank tracking, backlink analysis, seo optimization, serp tracking, site audit
-2: technical seo, on page seo, off page seo, keyword tracking, seo analytics
-1: seo, ranking, search engine
-features: search, keyword, rank, traffic, seo
-
-Analytics & Insights
-3: marketing analytics, performance tracking, conversion tracking, attribution, marketing metrics, roi tracking
-2: data visualization, reporting, dashboard, metrics, kpi
-1: analytics, tracking, insights
-features: analyze, track, measure, report, insight
-
-Marketing Automation
-3: workflow automation, crm integration, marketing workflow, lead nurturing, automated campaign, trigger
-2: marketing pipeline, lead scoring, automation rules, marketing tasks
-1: automation, workflow, integration
-features: automate, workflow, process, generate
-
-Visual Marketing
-3: video generation, video creation, video marketing, social media image, ad creative, marketing design, thumbnail generator, visual content, video production
-2: banner design, social graphic, video editing, marketing template, brand visual, video content
-1: design, visual, creative, video
-features: video, image, visual, design, creative
-"""
 # Stems that add to every category, their bonus, and stems that
 # decide a listing with a low score.
 CONTEXT_STEMS = ("marketing", "advertis", "promotion", "campaign", "brand")
@@ -78,6 +27,113 @@ CONTEXT_BONUS = 2.0
 FEATURE_BONUS = 1.0
 MIN_SCORE = 3.0
 
+# Weighted keywords and feature stems per category, in tie-break
+# order. A keyword listed under two weights counts under both.
+DEFAULT_RULES = (
+    ("Marketing & Advertising", "keyword", 3.0, (
+        "ad campaign", "ppc", "advertising", "ad management", "media buying", "display ads", "google ads",
+        "facebook ads", "ad optimization",
+    )),
+    ("Marketing & Advertising", "keyword", 2.0, (
+        "campaign management", "digital advertising", "marketing campaign", "ad targeting",
+    )),
+    ("Marketing & Advertising", "keyword", 1.0, (
+        "marketing", "advertising", "ads",
+    )),
+    ("Marketing & Advertising", "feature", FEATURE_BONUS, (
+        "ad", "campaign", "conversion", "target",
+    )),
+    ("Social Media Marketing", "keyword", 3.0, (
+        "social media management", "social scheduling", "social analytics", "social engagement",
+        "instagram marketing", "twitter marketing", "linkedin marketing", "tiktok marketing",
+    )),
+    ("Social Media Marketing", "keyword", 2.0, (
+        "social strategy", "social content", "social media", "social platform",
+    )),
+    ("Social Media Marketing", "keyword", 1.0, (
+        "engagement", "followers", "social",
+    )),
+    ("Social Media Marketing", "feature", FEATURE_BONUS, (
+        "social", "post", "share", "engage", "follower",
+    )),
+    ("Content Marketing", "keyword", 3.0, (
+        "content creation", "blog writing", "copywriting", "content strategy", "content planning", "article writing",
+        "content generation",
+    )),
+    ("Content Marketing", "keyword", 2.0, (
+        "content optimization", "content calendar", "content distribution", "content analytics",
+    )),
+    ("Content Marketing", "keyword", 1.0, (
+        "content", "writing", "blog",
+    )),
+    ("Content Marketing", "feature", FEATURE_BONUS, (
+        "document", "pdf", "text", "content", "write", "edit",
+    )),
+    ("Email Marketing", "keyword", 3.0, (
+        "email automation", "newsletter", "email campaign", "email sequence", "drip campaign", "email template",
+    )),
+    ("Email Marketing", "keyword", 2.0, (
+        "email analytics", "email optimization", "email deliverability", "subscriber", "autoresponder", "broadcast",
+    )),
+    ("Email Marketing", "keyword", 1.0, (
+        "email", "newsletter", "campaign",
+    )),
+    ("Email Marketing", "feature", FEATURE_BONUS, (
+        "email", "newsletter", "sequence", "broadcast",
+    )),
+    ("SEO Tools", "keyword", 3.0, (
+        "keyword research", "rank tracking", "backlink analysis", "seo optimization", "serp tracking", "site audit",
+    )),
+    ("SEO Tools", "keyword", 2.0, (
+        "technical seo", "on page seo", "off page seo", "keyword tracking", "seo analytics",
+    )),
+    ("SEO Tools", "keyword", 1.0, (
+        "seo", "ranking", "search engine",
+    )),
+    ("SEO Tools", "feature", FEATURE_BONUS, (
+        "search", "keyword", "rank", "traffic", "seo",
+    )),
+    ("Analytics & Insights", "keyword", 3.0, (
+        "marketing analytics", "performance tracking", "conversion tracking", "attribution", "marketing metrics",
+        "roi tracking",
+    )),
+    ("Analytics & Insights", "keyword", 2.0, (
+        "data visualization", "reporting", "dashboard", "metrics", "kpi",
+    )),
+    ("Analytics & Insights", "keyword", 1.0, (
+        "analytics", "tracking", "insights",
+    )),
+    ("Analytics & Insights", "feature", FEATURE_BONUS, (
+        "analyze", "track", "measure", "report", "insight",
+    )),
+    ("Marketing Automation", "keyword", 3.0, (
+        "workflow automation", "crm integration", "marketing workflow", "lead nurturing", "automated campaign",
+        "trigger",
+    )),
+    ("Marketing Automation", "keyword", 2.0, (
+        "marketing pipeline", "lead scoring", "automation rules", "marketing tasks",
+    )),
+    ("Marketing Automation", "keyword", 1.0, (
+        "automation", "workflow", "integration",
+    )),
+    ("Marketing Automation", "feature", FEATURE_BONUS, (
+        "automate", "workflow", "process", "generate",
+    )),
+    ("Visual Marketing", "keyword", 3.0, (
+        "video generation", "video creation", "video marketing", "social media image", "ad creative",
+        "marketing design", "thumbnail generator", "visual content", "video production",
+    )),
+    ("Visual Marketing", "keyword", 2.0, (
+        "banner design", "social graphic", "video editing", "marketing template", "brand visual", "video content",
+    )),
+    ("Visual Marketing", "keyword", 1.0, (
+        "design", "visual", "creative", "video",
+    )),
+    ("Visual Marketing", "feature", FEATURE_BONUS, (
+        "video", "image", "visual", "design", "creative",
+    )),
+)
+
 # Rules that one pass of the join form sends to every executor.
 BROADCAST_RULES = 100_000
 
@@ -123,13 +179,8 @@ class RuleSet:
 
     @staticmethod
     def default() -> "RuleSet":
-        rules = []
-        for order, block in enumerate(DEFAULT_RULES_TEXT.strip().split("\n\n")):
-            category, *lines = block.splitlines()
-            for line in lines:
-                label, words = line.split(": ")
-                kind, weight = ("feature", FEATURE_BONUS) if label == "features" else ("keyword", float(label))
-                rules += [Rule(category, order, word, weight, kind) for word in words.split(", ")]
+        order = {name: i for i, name in enumerate(CATEGORIES)}
+        rules = [Rule(name, order[name], word, weight, kind) for name, kind, weight, words in DEFAULT_RULES for word in words]
         return RuleSet(
             rules=tuple(rules),
             default_category=CATEGORIES[0],

@@ -37,10 +37,14 @@ def detail_records(pages: DataFrame, site: SiteProfile, rules: RuleSet | None =
     if own_sites is None:
         logo = shown
     else:
-        pictures = parse_pages(own_sites, keep=("url",)).groupBy(F.col("url").alias("website")).agg(
-            F.max(extract.images(Page())).alias("_site_images")
+        # Of a site stored twice the page with the most images counts. Records without a
+        # site get a key of their own, so they do not meet in one task.
+        images = extract.images(Page())
+        pictures = parse_pages(own_sites, keep=("url",)).groupBy(F.col("url").alias("_site")).agg(
+            F.max(F.struct(F.size(images).alias("n"), images.alias("images")))["images"].alias("_site_images")
         )
-        found = found.join(pictures, "website", "left")
+        site_key = F.coalesce("website", F.concat(F.lit("none:"), F.xxhash64("page_id", "url").cast("string")))
+        found = found.join(pictures, site_key == F.col("_site"), "left")
         logo = F.coalesce(logos.best_in_page(F.col("_site_images"), F.col("name"), F.col("website")), shown)
     described = F.when(
         F.col("full_description") != "", category_of(F.col("name"), F.col("full_description"), rules)
