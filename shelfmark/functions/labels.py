@@ -63,7 +63,7 @@ ALIASES = {
 }
 
 
-def _standard_names() -> dict[str, str]:
+def standard_names() -> dict[str, str]:
     return {**{name: name for name in DOMAIN}, **ALIASES}
 
 
@@ -72,7 +72,7 @@ def standard_category(c: ColumnLike, names: dict[str, str] | None = None) -> Col
 
     ``names`` replaces the standard table of names.
     """
-    pairs = [F.lit(text) for pair in (names or _standard_names()).items() for text in pair]
+    pairs = [F.lit(text) for pair in (names or standard_names()).items() for text in pair]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), col(c)), F.lit(OTHER))
 
 

@@ -27,7 +27,8 @@ def new_pages(pages: DataFrame, processed: DataFrame) -> DataFrame:
     Which copy of an address is stored is decided after the work, among those
     that succeeded; a copy that fails must not hide a whole one.
     """
-    done = processed.select(page_key().alias("_done")).distinct()
+    number = "page_id" if "page_id" in processed.columns else F.lit(None).cast("string")
+    done = processed.select(page_key("url", number).alias("_done")).distinct()
     return pages.join(done, page_key() == F.col("_done"), "left_anti")
 
 

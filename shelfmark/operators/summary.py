@@ -65,8 +65,8 @@ def run_metrics(frontier: DataFrame, processed: DataFrame, key: str = "url") ->
     )
 
 
-def observed(df: DataFrame, key: str, label: str = "run") -> tuple[DataFrame, Observation]:
+def observed(df: DataFrame) -> tuple[DataFrame, Observation]:
     """Count rows and failures while ``df`` is written, without another job."""
-    seen = Observation(label)
-    failed = F.count_if(F.col("parse_error").isNotNull()) if "parse_error" in df.columns else F.lit(0)
-    return df.observe(seen, F.count(key).alias("rows"), failed.alias("failed")), seen
+    seen = Observation()
+    failed = F.count_if(F.col("parse_error").isNotNull()) if "parse_error" in df.columns else F.sum(F.lit(0))
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), failed.alias("failed")), seen

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.sources.readers import spread
 
 LISTINGS_SQL = """
 SELECT p_partkey AS tool_id,
@@ -84,9 +83,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Tasks for a given table that is a single small file and so would be one task.
+SMALL_FILE_TASKS = 8
+
+
 def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for work that is long per row."""
-    return spread(table(spark, sf_dir, name))
+    """A table for work that is long per row.
+
+    The given tables are single files of one row group, which Spark cannot
+    split. A table of several files is taken as it is.
+    """
+    rows = table(spark, sf_dir, name)
+    return rows.repartition(SMALL_FILE_TASKS) if len(rows.inputFiles()) == 1 else rows
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:

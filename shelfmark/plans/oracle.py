@@ -357,7 +357,7 @@ def oracle_sql() -> dict[str, str]:
     title = strip(decoded(in_titles))
     ai = "'https://directory.example.com'"
     dedup_first = f"SELECT name, min(tool_id) AS tool_id FROM ({LISTINGS})"
-    return {
+    twins = {
         # text
         "clean_match_text": f"SELECT doc_id, {match_text('text')} AS match_text FROM documents",
         "clean_display_text": f"SELECT doc_id, {display_text('text')} AS display_text FROM documents",
@@ -620,4 +620,16 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS batch_id
             FROM pages""",
         "stream_results": f"SELECT page_id, url, {title} AS name FROM pages",
+        # files
+        "sorted_json_keys": on_listings("tool_id, to_json({'name': name, 'rating': rating, 'tool_id': tool_id})::VARCHAR AS record"),
+        "text_preview": "SELECT doc_id, left(text, 80) AS preview FROM documents",
+        "html_files": f"SELECT page_id, {title} AS title FROM pages",
+        "aliases_by_table": f"""
+            WITH l AS ({LISTINGS}), names AS (SELECT tool_id, unnest(string_split(categories_csv, ';')) AS c FROM l),
+            m(alias, standard) AS (VALUES {ALIAS_VALUES})
+            SELECT tool_id, coalesce(standard, 'Other') AS category FROM names LEFT JOIN m ON c = alias""",
     }
+    twins["json_round_trip"] = twins["format_records"]
+    twins["csv_round_trip"] = twins["flatten_records"]
+    twins["category_folders"] = twins["category_counts"]
+    return twins

@@ -18,7 +18,8 @@ from shelfmark.plans.catalogue import detail_records
 from shelfmark.schemas import FLAT_COLUMNS
 from shelfmark.settings import SiteProfile
 from shelfmark.sources.progress import Progress
-from shelfmark.sources.readers import listing_pages
+from shelfmark.sources import writers
+from shelfmark.sources.readers import listing_pages, read_html_files
 from shelfmark.streaming.ingest import run_batch, shared_folder, start_stream
 
 SITE = SiteProfile()
@@ -513,6 +514,60 @@ def listing_page_sequence(spark, sf_dir):
     return listing_pages(bases).select("c_nationkey", "page_no", "url")
 
 
+# -- files written and read again ------------------------------------------
+def _folder(spark: SparkSession, name: str) -> str:
+    return shared_folder(spark, f"shelfmark-{name}-{uuid.uuid4().hex}")
+
+
+@query
+def json_round_trip(spark, sf_dir):
+    shaped, path = format_records(spark, sf_dir), _folder(spark, "json")
+    writers.write_json(shaped, path)
+    return spark.read.schema(shaped.schema).json(path)
+
+
+@query
+def csv_round_trip(spark, sf_dir):
+    flat, path = _flat(spark, sf_dir), _folder(spark, "csv")
+    writers.write_csv(flat, path)
+    back = spark.read.schema(flat.schema).options(header=True, quote='"', escape='"', multiLine=True).csv(path)
+    return back.na.fill("")
+
+
+@query
+def category_folders(spark, sf_dir):
+    path = _folder(spark, "folders")
+    writers.write_by_category(_categorised(spark, sf_dir), path)
+    return summary.category_counts(spark.read.parquet(path))
+
+
+@query
+def sorted_json_keys(spark, sf_dir):
+    tools = writers.sorted_fields(inputs.listings(spark, sf_dir).select("tool_id", "name", "rating"))
+    return tools.select("tool_id", F.to_json(F.struct(*tools.columns)).alias("record"))
+
+
+@query
+def text_preview(spark, sf_dir):
+    return inputs.table(spark, sf_dir, "documents").select("doc_id", text.preview("text", 80).alias("preview"))
+
+
+@query
+def html_files(spark, sf_dir):
+    path = _folder(spark, "html")
+    inputs.table(spark, sf_dir, "pages").select("page_id", "html").write.partitionBy("page_id").text(path)
+    pages = read_html_files(spark, f"{path}/page_id=*").withColumn(
+        "page_id", F.regexp_extract("url", "page_id=([0-9]+)", 1).cast("bigint"))
+    return parse_pages(pages).select("page_id", extract.title(Page()).alias("title"))
+
+
+@query
+def aliases_by_table(spark, sf_dir):
+    names = spark.createDataFrame(list(labels.standard_names().items()), "alias string, category string")
+    return labels.standard_categories(
+        inputs.listings(spark, sf_dir).select("tool_id", F.explode(_items("categories_csv")).alias("category")), names)
+
+
 # -- pages -----------------------------------------------------------------
 def _parsed(spark, sf_dir) -> DataFrame:
     return parse_pages(inputs.wide_table(spark, sf_dir, "pages"))

@@ -9,17 +9,6 @@ from shelfmark.functions.urls import listing_page_url
 from shelfmark.schemas import PAGES, RAW, Layout, ddl
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share a small input out over the cores.
-
-    A file with one row group is one task however long the work per row is.
-    Inputs that already give every core a task are returned as they are, so
-    large data is never shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_records(spark: SparkSession, path: str, layout: Layout = RAW, array_file: bool = False) -> DataFrame:
     """Listing records from JSON.
 

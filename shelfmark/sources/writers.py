@@ -1,15 +1,15 @@
-"""Outputs: JSON Lines and CSV.
-
-The check for no records runs the input up to its first row; store an input
-that is costly to reach before writing it.
-"""
+"""Outputs: JSON Lines, CSV and folders by category. Rows are counted while they are written."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from shelfmark.operators.summary import observed
+
 
 def _sorted(value: Column, kind: DataType) -> Column:
     """Fields of nested structs in name order."""
@@ -28,29 +28,26 @@ def sorted_fields(df: DataFrame) -> DataFrame:
                        for f in sorted(df.schema.fields, key=lambda f: f.name)])
 
 
+def _written(df: DataFrame, write: Callable[[DataFrame], None]) -> bool:
+    """Write, counting the rows on the way; whether there were any."""
+    counted, seen = observed(df)
+    write(counted)
+    return seen.get["rows"] > 0
+
+
 def write_json(df: DataFrame, path: str, sort_keys: bool = True, mode: str = "errorifexists") -> bool:
-    """Write JSON Lines with NULL fields; False, and no files, for no records."""
-    if df.isEmpty():
-        return False
-    (sorted_fields(df) if sort_keys else df).write.mode(mode).option("ignoreNullFields", False).json(path)
-    return True
+    """Write JSON Lines with NULL fields; False, and a folder without records, for none."""
+    rows = sorted_fields(df) if sort_keys else df
+    return _written(rows, lambda d: d.write.mode(mode).option("ignoreNullFields", False).json(path))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> bool:
-    """Write CSV with a header; False, and no files, for no records."""
-    if df.isEmpty():
-        return False
-    (
-        df.write.mode(mode)
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
-    return True
+    """Write CSV with a header; False, and a folder without records, for none."""
+    options = {
+        "header": True, "quote": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False,
+    }
+    return _written(df, lambda d: d.write.mode(mode).options(**options).csv(path))
 
 
 def write_by_category(df: DataFrame, path: str, category: str = "category", mode: str = "errorifexists") -> bool:
@@ -58,8 +55,5 @@ def write_by_category(df: DataFrame, path: str, category: str = "category", mode
 
     Tasks write their own files, so no category has to pass through one task.
     """
-    if df.isEmpty():
-        return False
     filled = df.withColumn(category, F.coalesce(category, F.lit("Other")))
-    filled.write.mode(mode).partitionBy(category).parquet(path)
-    return True
+    return _written(filled, lambda d: d.write.mode(mode).partitionBy(category).parquet(path))

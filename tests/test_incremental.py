@@ -117,3 +117,58 @@ def test_detail_records(spark):
     assert got[1]["category"] == "Email Marketing"
     assert got[1]["img_url"] == "https://assets.example.com/screenshots/acme_content.png"
     assert got[1]["features_screenshot_url"] is None
+
+
+def test_pages_without_address_are_all_kept_once(spark, folder):
+    progress = Progress(spark, f"{folder}/p", LAYOUT)
+    rows = [(i, None, f"<title>t{i}</title>") for i in (1, 2)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for _ in range(3):
+        run_batch(pages, progress, work)
+    assert [i for i, _, _ in final(progress)] == [1, 2]
+
+
+def test_a_failed_first_copy_does_not_hide_a_whole_one(spark, folder):
+    progress = Progress(spark, f"{folder}/p", LAYOUT)
+    rows = [(3, "https://h/x", "<p>cut"), (4, "https://h/x", "<title>whole</title>"), (5, "https://h/x", "<title>later</title>")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    run_batch(pages, progress, work)
+    assert final(progress) == [(4, "https://h/x", "whole")]
+    assert progress.rejected("batch").count() == 0
+
+
+def test_rejects_say_why_and_come_back(spark, folder):
+    progress = Progress(spark, f"{folder}/p", LAYOUT)
+    pages = spark.createDataFrame([(1, "u", None), (2, "v", "<p>x")], "page_id bigint, url string, html string")
+    run_batch(pages, progress, work)
+    run_batch(pages.limit(0), progress, work)
+    got = {r["page_id"]: (r["reason"], r["attempts"]) for r in progress.rejected("batch").collect()}
+    assert got == {1: ("no page", 2), 2: ("no record", 2)}
+    told = lambda p: p.selectExpr("page_id", "url", "'n' AS name", "CASE WHEN page_id = 2 THEN 'broken' END AS parse_error")
+    run_batch(pages.limit(0), progress, told)
+    assert [tuple(r) for r in progress.rejected("batch").select("page_id", "reason", "attempts").collect()] == [(2, "broken", 3)]
+    assert final(progress) == [(1, "u", "n")]
+
+
+def test_failed_pages_of_a_stream_come_back(spark, folder):
+    progress, open_ = Progress(spark, f"{folder}/p", LAYOUT), []
+
+    def later(pages):
+        return work(pages) if open_ else work(pages).filter("page_id <> 2")
+
+    for part in ([1, 2], [3]):
+        some_pages(spark, part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        start_stream(spark, f"{folder}/in", progress, later, f"{folder}/cp").awaitTermination()
+        open_.append(1)
+    assert [i for i, _, _ in final(progress)] == [1, 2, 3]
+
+
+def test_many_batches_are_compacted(spark, folder):
+    progress = Progress(spark, f"{folder}/p", LAYOUT)
+    for i in (1, 2, 3, 4):
+        run_batch(some_pages(spark, [i]), progress, work)
+    before = final(progress)
+    progress.compact("batch")
+    assert final(progress) == before and len(progress._finished("batch")) == 1
+    run_batch(some_pages(spark, [1, 6]), progress, work)
+    assert [i for i, _, _ in final(progress)] == [1, 2, 3, 4, 6]
