@@ -34,17 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
-from shelfmark.llm import tokens
+from shelfmark.llm import sharing, tokens
 from shelfmark.llm.common import fresh, small, stored
 from shelfmark.llm.graph import components
 
-# Signatures held by a task before it sends them on.
-_HELD = 400_000
-
 # Sets and elements of a block of a family, and elements compared at once within it.
-_BLOCK_SETS, _BLOCK_ELEMENTS, _COLUMNS = 1_000, 1_000_000, 4_096
+_BLOCK_SETS, _BLOCK_ELEMENTS, _COLUMNS = 400, 400_000, 4_096
 
 
 @dataclass(frozen=True)
@@ -96,6 +92,116 @@ def signatures(found: np.ndarray, similarity: Similarity) -> np.ndarray:
     return np.concatenate(out)
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Check bytes of a sorted set: of each of about as many parts of the domain as it has elements.
+
+    Sets that differ in d elements have at most d different check bytes, so too
+    many rule a pair out for certain. Neighbouring parts add up, which makes
+    sketches of different lengths comparable.
+    """
+    bits = max((len(found) - 1).bit_length() - 1, 3)
+    part = (found >> np.uint64(64 - bits)).astype(np.int64)
+    return np.bincount(part, weights=(tokens.mix(found) & np.uint64(255)), minlength=1 << bits).astype(np.int64).astype(np.uint8)
+
+
+def _folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    return sketches.reshape(len(sketches), width, -1).sum(2, dtype=np.uint8)
+
+
+def _most_different(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Most elements in which similar sets of these sizes differ; below zero if no such sets are similar."""
+    sized = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+    return np.where(sized, (na + nb) * (100 - percent) // (100 + percent), -1)
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that their sizes and sketches allow to be similar."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            na, nb = (batch.column(i).to_numpy() for i in (3, 4))
+            for most, x, y in zip(_most_different(na, nb, percent), batch.column(5), batch.column(6), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))
+                width = min(len(x), len(y))
+                keep.append(int((_folded(x[None], width) != _folded(y[None], width)).sum()) <= most)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in range(3)], names=["a", "b", "times"])
+
+    both = pairs.join(sketches.toDF("a", "na", "sa"), "a").join(sketches.toDF("b", "nb", "sb"), "b")
+    both = both.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return both.select("a", "b", "times", "na", "nb", "sa", "sb").mapInArrow(work, "a long, b long, times long")
+
+
+def _blocks(members: DataFrame, weight: str) -> DataFrame:
+    """Members with ``block``: families in parts of bounded size, every two parts of a family together."""
+    parts = members.groupBy("family").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / _BLOCK_SETS), F.ceil(F.sum(weight) / _BLOCK_ELEMENTS)).alias("parts"))
+    return (
+        members.join(parts, "family")
+        .withColumn("_own", F.pmod(F.xxhash64("set_id"), F.col("parts")))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        .withColumn("block", F.concat_ws("/", "family", F.least("_own", "_other"), F.greatest("_own", "_other")))
+        .drop("_own", "_other", "parts")
+    )
+
+
+def _partners(rows: list[tuple[int, int, int, np.ndarray]], percent: int) -> np.ndarray:
+    """For ``id, root, n, sketch`` rows whether another component has a set that it can be similar to."""
+    roots, n = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    widths, wanted = np.array([len(r[3]) for r in rows]), np.zeros(len(rows), bool)
+    for width in np.unique(widths):
+        own = np.flatnonzero(widths == width)
+        table = np.stack([rows[i][3] for i in own])
+        # Similar sets have the same width or the next one, which is folded.
+        for factor in (1 << i for i in range((400 // percent).bit_length())):
+            other = own if factor == 1 else np.flatnonzero(widths == width * factor)
+            if not len(other):
+                continue
+            against = table if factor == 1 else _folded(np.stack([rows[i][3] for i in other]), width)
+            for at, i in enumerate(own):
+                start = at + 1 if factor == 1 else 0
+                some = other[start:]
+                most = np.where(roots[some] == roots[i], -1, _most_different(n[some], n[i], percent))
+                near = np.flatnonzero(most >= 0)
+                good = near[(against[start:][near] != table[at]).sum(1) <= most[near]]
+                wanted[some[good]] = True
+                wanted[i] |= len(good) > 0
+    return wanted
+
+
+def _with_partner(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The members ``family, set_id`` that can be similar to one of their family in another component."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _grouped(batches):
+            once = list({r[1]: r for r in held}.values())
+            rows = [(i, root, n, np.frombuffer(s.as_buffer(), np.uint8)) for _, i, root, n, s in once]
+            wanted = np.flatnonzero(_partners(rows, percent))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([once[w][0] for w in wanted], pa.int64()), pa.array([once[w][1] for w in wanted], pa.int64())],
+                names=["family", "set_id"])
+
+    rows = _blocks(members, "n").join(sketches.select("set_id", "sketch"), "set_id")
+    rows = rows.repartition("block").sortWithinPartitions("block").select("block", "family", "set_id", "root", "n", "sketch")
+    return rows.mapInArrow(work, "family long, set_id long").distinct()
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of equal first column that follow each other; the last column stays an Arrow value."""
+    key, held = None, []
+    for batch in batches:
+        plain = [batch.column(i).to_pylist() for i in range(batch.num_columns - 1)]
+        for name, *values, last in zip(*plain, batch.column(batch.num_columns - 1), strict=True):
+            if name != key and held:
+                yield held
+                held = []
+            key = name
+            held.append((*values, last))
+    if held:
+        yield held
+
+
 def _identity(found: np.ndarray) -> int:
     """Identifier of a set: a hash of all its elements (0 for the empty set)."""
     if not len(found):
@@ -105,76 +211,42 @@ def _identity(found: np.ndarray) -> int:
 
 
 def _sets_of(docs: DataFrame, similarity: Similarity) -> DataFrame:
-    """``doc_id, mark, n, set_id`` for every row."""
+    """``doc_id, mark, n, set_id, sketch`` for every row."""
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("mark", T.LongType()),
-                           T.StructField("n", T.LongType()), T.StructField("set_id", T.LongType())])
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("mark", T.LongType()), T.StructField("n", T.LongType()),
+                           T.StructField("set_id", T.LongType()), T.StructField("sketch", T.BinaryType())])
     size = similarity.words
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tokens.slices(batch, 2):
-                listed = [(len(s), _identity(s)) for s in tokens.shingle_sets(part.column(2), size)]
-                n, ids = zip(*listed, strict=True)
+                listed = [(len(s), _identity(s), sketch(s).tobytes()) for s in tokens.shingle_sets(part.column(2), size)]
+                n, ids, sketches = zip(*listed, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.int64())],
-                    names=["doc_id", "mark", "n", "set_id"])
+                    [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketches, pa.binary())],
+                    names=["doc_id", "mark", "n", "set_id", "sketch"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(work, schema)
 
 
-def _shared(docs: DataFrame, similarity: Similarity) -> DataFrame:
-    """``sig, id, hub``: sets that share a signature, and the one each is compared with.
-
-    Within a task sharers are tied to the smallest of them before anything is
-    shuffled; only that one goes on under the signature. A signature that a
-    third of all sets share thus costs one row per task and hand-over.
-    """
-    size = similarity.words
+def _shared(docs: DataFrame, similarity: Similarity, elements: int, rows: int) -> DataFrame:
+    """``sig, id, hub``: sets that share a signature, and the one each is compared with."""
+    # A set has about twice its largest difference in signatures, for either band, and a few more.
+    ranges = sharing.ranges_for(5 * elements * (100 - similarity.percent) // (100 + similarity.percent) + 6 * rows)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, ids, held = [], [], 0
-
-        def handed() -> pa.RecordBatch:
-            sig = np.concatenate(sigs).view(np.int64)
-            who = np.repeat(np.array([i for i, _ in ids], np.int64), [c for _, c in ids])
-            order = np.lexsort((who, sig))
-            sig, who = sig[order], who[order]
-            fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])])
-            sig, who = sig[fresh], who[fresh]
-            first = np.concatenate([[True], sig[1:] != sig[:-1]])
-            hub = who[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
-            tied = ~first
-            leads = np.concatenate([tied[1:], [False]]) & first
-            key = np.where(tied, tokens.mix((sig ^ who).view(np.uint64)).view(np.int64), sig)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(sig), pa.array(who), pa.array(hub, mask=~(tied | leads))],
-                names=["key", "sig", "id", "hub"])
+        gathered = sharing.Gatherer(ranges)
 
-        for batch in batches:
+        def each(batch: pa.RecordBatch) -> None:
             for part in tokens.slices(batch, 0):
-                for found in tokens.shingle_sets(part.column(0), size):
+                for found in tokens.shingle_sets(part.column(0), similarity.words):
                     if len(found):
-                        own = signatures(found, similarity)
-                        sigs.append(own)
-                        ids.append((_identity(found), len(own)))
-                        held += len(own)
-                if held > _HELD:
-                    yield handed()
-                    sigs, ids, held = [], [], 0
-        if held:
-            yield handed()
-
-    rows = docs.filter(F.col("text").isNotNull()).select("text").mapInArrow(
-        work, "key long, sig long, id long, hub long")
-    group = W.partitionBy("key").orderBy("id")
-    return (
-        rows.select("*", F.first("id").over(group).alias("lead"), F.lead("id").over(group).alias("next"))
-        .select("sig", "id", F.when((F.col("hub") != F.col("id")), F.col("hub")).otherwise(F.col("lead")).alias("to"),
-                "hub", "next")
-        .filter(F.col("hub").isNotNull() | (F.col("to") != F.col("id")) | (F.col("next") != F.col("id")))
-        .select("sig", "id", F.col("to").alias("hub"))
-    )
+                        gathered.add(signatures(found, similarity), _identity(found))
+
+        yield from gathered.run(batches, each)
+
+    packed = docs.filter(F.col("text").isNotNull()).select("text").mapInArrow(work, sharing.PACKED)
+    return sharing.sharers(packed, ranges).select("sig", "id", "hub")
 
 
 def _read_sets(docs: DataFrame, ids: DataFrame, where: DataFrame, similarity: Similarity) -> DataFrame:
@@ -192,8 +264,7 @@ def _read_sets(docs: DataFrame, ids: DataFrame, where: DataFrame, similarity: Si
                 sets = [s.tobytes() for s in tokens.shingle_sets(part.column(1), size)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["set_id", "s"])
 
-    found = docs.join(small(wanted), on).select("set_id", "text").mapInArrow(listed, "set_id long, s binary")
-    return stored(found).dropDuplicates(["set_id"])
+    return docs.join(small(wanted), on).select("set_id", "text").mapInArrow(listed, "set_id long, s binary")
 
 
 def _elements(value: pa.Scalar) -> np.ndarray:
@@ -252,77 +323,68 @@ def _links_of_block(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray],
     return links
 
 
-def _block_links(blocks: DataFrame, percent: int) -> DataFrame:
-    """Links found in each ``block`` of ``block, set_id, root, s`` rows."""
+def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the sets of each family (``family, set_id, root, n``)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def closed() -> pa.RecordBatch:
-            once = {i: (r, s) for i, r, s in held}
-            roots = np.array([r for r, _ in once.values()])
-            found = []
+        for rows in _grouped(batches):
+            once = {i: (r, _elements(s)) for i, r, s in rows}
+            roots, found = np.array([r for r, _ in once.values()]), []
             if len(set(roots.tolist())) > 1:
                 found = _links_of_block(np.array(list(once)), roots, [s for _, s in once.values()], percent)
-            return pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-        for batch in batches:
-            names, ids, roots = (batch.column(i).to_pylist() for i in range(3))
-            for name, i, r, s in zip(names, ids, roots, batch.column(3), strict=True):
-                if name != key and held:
-                    yield closed()
-                    held = []
-                key = name
-                held.append((i, r, _elements(s)))
-        if held:
-            yield closed()
-
-    return blocks.repartition("block").sortWithinPartitions("block").select(
-        "block", "set_id", "root", "s").mapInArrow(work, "a long, b long")
+    rows = _blocks(members, "n").join(sets, "set_id").repartition("block").sortWithinPartitions("block")
+    return rows.select("block", "set_id", "root", "s").mapInArrow(work, "a long, b long")
 
 
 def set_components(docs: DataFrame, similarity: Similarity = Similarity()) -> tuple[DataFrame, DataFrame]:
     """(``doc_id, mark, n, set_id`` per row; ``set_id, root`` of the sets with a link)."""
     percent = similarity.percent
     rows = stored(_sets_of(docs, similarity))
-    shared = stored(_shared(docs, similarity))
+    total, elements = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shared = stored(_shared(docs, similarity, elements, total))
     # One row of each set, to read its text from.
     where = stored(
-        rows.filter("n > 0").groupBy("set_id").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "mark")).alias("at")))
+        rows.filter("n > 0").groupBy("set_id").agg(
+            F.min("n").alias("n"), F.min(F.struct("doc_id", "mark")).alias("at")))
     n = where.select("set_id", "n")
-    pairs = shared.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    pairs = stored(
-        pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
-        .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
-    ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b"))
-    links = stored(_compared(pairs, _read_sets(docs, ids, where, similarity), percent))
-    found = stored(components(links).toDF("set_id", "root"))
+    pairs = shared.filter("id <> hub").groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(
+        F.count(F.lit(1)).alias("times"))
+    # Sketches of the sets that share a signature. Copies of a set have the same one, whichever row it is read from.
+    first = where.select("set_id", F.col("at.doc_id").alias("_d"), F.col("at.mark").alias("_m"))
+    sharing_ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    sketches = rows.join(first.join(sharing_ids, "set_id"), "set_id").filter(
+        F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m")))
+    sketches = sketches.select("set_id", "n", "sketch")
+    pairs = stored(_likely(pairs, sketches, percent).distinct())
+
+    # First each set with the one it shares most signatures with; then the pairs that this leaves apart.
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    found = links.toDF("set_id", "root")
+    best = pairs.groupBy("a").agg(F.max(F.struct("times", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    for some in (best, pairs.select("a", "b").join(best, ["a", "b"], "left_anti")):
+        some = some.join(found.toDF("a", "ra"), "a", "left").join(found.toDF("b", "rb"), "b", "left")
+        some = stored(some.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+        ids = some.select(F.col("a").alias("set_id")).union(some.select("b"))
+        links = stored(links.union(_compared(some, _read_sets(docs, ids, where, similarity), percent)).distinct())
+        found = stored(components(links).toDF("set_id", "root"))
 
     # Signatures whose sharers are in several components may hide links between these. Their sharers
     # are compared in blocks: families by smallest sharer, in blocks of bounded size, each with each.
     placed = stored(
         shared.select("sig", F.col("id").alias("set_id")).distinct().join(found, "set_id", "left")
         .withColumn("root", F.coalesce("root", "set_id")).join(n, "set_id"))
-    # The sizes of a signature's sharers must allow a link between two components.
     split = placed.groupBy("sig").agg(
         F.min("root").alias("x"), F.max("root").alias("y"), F.min("set_id").alias("family")
     ).filter("x <> y").select("sig", "family")
-    members = stored(placed.join(split, "sig").select("family", "set_id", "root", "n").distinct())
-    parts = members.groupBy("family").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / _BLOCK_SETS), F.ceil(F.sum("n") / _BLOCK_ELEMENTS)).alias("parts"))
-    blocks = (
-        members.join(parts, "family")
-        .withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("parts")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .select(F.struct("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("at"),
-                "set_id", "root")
-        .select(F.concat_ws("/", "at.family", "at.i", "at.j").alias("block"), "set_id", "root")
-    )
+    members = placed.join(split, "sig").select("family", "set_id", "root", "n").distinct()
+    members = stored(members.join(stored(_with_partner(members, sketches, percent)), ["family", "set_id"], "left_semi"))
     if members.isEmpty():
         return rows, found
     sets = _read_sets(docs, members.select("set_id"), where, similarity)
-    more = stored(_block_links(blocks.join(sets, "set_id"), percent))
+    more = stored(_block_links(members, sets, percent))
     if more.isEmpty():
         return rows, found
     return rows, stored(components(links.union(more)).toDF("set_id", "root"))

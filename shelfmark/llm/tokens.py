@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 # Text handled at once; a longer single text is handled alone.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
