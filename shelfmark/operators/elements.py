@@ -33,7 +33,7 @@ PARAGRAPH_ENDERS = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre "
     "section table ul".split()
 )
-# Attributes the extraction operators read; others are not carried along.
+# Attributes the extraction operators read, for jobs that need no others.
 DEFAULT_ATTRS = ("href", "src", "alt", "name", "content", "width", "height")
 
 ELEMENT = (
@@ -228,7 +228,7 @@ def _parser(kept: list[str], wanted: frozenset[str] | None):
     return parse
 
 
-def parse_pages(pages: DataFrame, attrs: Iterable[str] | None = DEFAULT_ATTRS,
+def parse_pages(pages: DataFrame, attrs: Iterable[str] | None = None,
                 keep: Iterable[str] = ("page_id", "url")) -> DataFrame:
     """``keep`` columns plus ``runs, elements, parse_error`` for each page.
 

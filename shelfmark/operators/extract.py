@@ -233,15 +233,15 @@ def anchor_records(page: Page, site: SiteProfile) -> Column:
             page.nearest(link, blocks),
             lambda block: F.when(
                 block.isNotNull(),
-                _listing(page.joined(link), _paragraph(page, block),
-                         F.try_element_at(link["attrs"], F.lit("href")), site),
+                _listing(page.joined(link), block["paragraph"], F.try_element_at(link["attrs"], F.lit("href")), site),
             ),
         )
 
     links = page.select(_link_to(site.listing_path))
-    return _usable(
-        let(page.select(BLOCK), lambda blocks: F.transform(links, lambda link: record(link, blocks)))
-    )
+    # A block's paragraph is looked up once, not for every link in it.
+    described = F.transform(page.select(BLOCK), lambda b: F.struct(
+        b["pos"].alias("pos"), b["last_pos"].alias("last_pos"), _paragraph(page, b).alias("paragraph")))
+    return _usable(let(described, lambda blocks: F.transform(links, lambda link: record(link, blocks))))
 
 
 def _usable(records: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators import extract, logos
-from shelfmark.operators.elements import parse_pages
+from shelfmark.operators.elements import DEFAULT_ATTRS, parse_pages
 from shelfmark.operators.rules import RuleSet, category_of
 from shelfmark.operators.matching import Page
 from shelfmark.schemas import DETAIL
@@ -32,7 +32,7 @@ def detail_records(pages: DataFrame, site: SiteProfile, rules: RuleSet | None =
     The logo is the best image of the listing's own site when ``own_sites``
     (``url, html``) holds its page, else the best image of the detail area.
     """
-    found = extract.details(parse_pages(pages), site)
+    found = extract.details(parse_pages(pages, DEFAULT_ATTRS), site)
     shown = logos.best_in_page(F.col("images"), F.col("name"), F.lit(site.base_url), site.image_host)
     if own_sites is None:
         logo = shown
@@ -40,7 +40,7 @@ def detail_records(pages: DataFrame, site: SiteProfile, rules: RuleSet | None =
         # Of a site stored twice the page with the most images counts. Records without a
         # site get a key of their own, so they do not meet in one task.
         images = extract.images(Page())
-        pictures = parse_pages(own_sites, keep=("url",)).groupBy(F.col("url").alias("_site")).agg(
+        pictures = parse_pages(own_sites, DEFAULT_ATTRS, keep=("url",)).groupBy(F.col("url").alias("_site")).agg(
             F.max(F.struct(F.size(images).alias("n"), images.alias("images")))["images"].alias("_site_images")
         )
         site_key = F.coalesce("website", F.concat(F.lit("none:"), F.xxhash64("page_id", "url").cast("string")))

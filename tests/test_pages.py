@@ -146,6 +146,38 @@ def test_selectors_from_a_table(spark, parsed):
     assert values(extract.fields_by(df, registry), "who", "site") == [("yes", "far"), ("H", "N/A")]
 
 
+def test_selector_tables_can_say_what_the_registry_says(spark, parsed):
+    layout = ("field string, tag string, attr string, attr_op string, attr_value string, text_part string, "
+              "later_tag string, later_text string, parent_tag string, parent_class string, held_tag string")
+    rows = [("main", None, "id", "equals", "main", None, None, None, None, None, None),
+            ("visits", "span", None, None, None, None, "span", "Monthly Visits", None, None, None),
+            ("price", "a", None, None, None, "Pricing", None, None, None, None, None),
+            ("child", "li", None, None, None, None, None, None, "ul", "f", None),
+            ("holder", "div", None, None, None, None, None, None, None, None, "b")]
+    df = parsed('<div id=main>hello</div><p><span>Monthly Visits</span><i>x</i><span>12K</span></p><a>See Pricing</a>'
+                '<ol><li>no</ol><ul class=f><li>yes</ul><div>a</div><div><i><b>held</b></i></div>')
+    got = values(extract.fields_by(df, selectors_from(spark.createDataFrame(rows, layout))), "main", "visits", "price", "child", "holder")
+    assert got == [("hello", "12K", "See Pricing", "yes", "held")]
+
+
+def test_all_later_siblings_are_the_fallback(parsed):
+    df = parsed("<div><span>Monthly Visits</span><b>x</b><span>12K</span><span>5K</span></div><p><span>other</span></p>", "<span>12K</span>")
+    assert values(extract.registry_fields(df), "monthly_traffic") == [("12K 5K",), ("N/A",)]
+
+
+def test_many_distinct_names_on_one_page(spark, parsed):
+    from time import perf_counter
+
+    def spent(n):
+        html = "".join(f'<a href="/ai-tools/{i}">name {i}</a>' for i in range(n))
+        df, start = parsed(f"<div>{html}</div>"), perf_counter()
+        assert extract.listings(df, SITE).count() == n
+        return perf_counter() - start
+
+    spent(100)
+    assert spent(8_000) < 8 * max(spent(2_000), 1.0)
+
+
 def test_platform_links(parsed):
     df = parsed('<div class="s"><a href="https://x.twitter.com/a">t</a></div><a href="http://linkedin.com/b">l</a>')
     inside = extract.platform_links(PAGE, Sel(classes=("s",)))
