@@ -28,7 +28,7 @@ are represented by NULL. An empty table gives an empty result. Extra columns are
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,14 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
-from shelfmark.llm import tokens
+from shelfmark.llm import sharing, tokens
 from shelfmark.llm.common import cut_words, fresh, small, stored
 
-# Rows held by a task before it sends them on, and sharers of a signature compared in one block.
-_HELD, _BLOCK = 400_000, 500
-# Hash functions; a place packs a node and how far its window goes to both sides.
+# Texts and shingles of a block.
+_BLOCK, _BLOCK_SHINGLES = 400, 250_000
+# Hash functions. A place packs a node and how far its window goes to both sides.
 _FUNCTIONS = 4
 
 
@@ -64,6 +63,15 @@ class Passage:
         return min(2 * self.least, 255)
 
 
+def _sliding(best: np.ufunc, values: np.ndarray, width: int, neutral: np.uint64) -> np.ndarray:
+    """Minimum or maximum of every ``width`` consecutive values, from running ones within blocks."""
+    n = len(values)
+    blocks = np.concatenate([values, np.full(-n % width, neutral)]).reshape(-1, width)
+    ahead = best.accumulate(blocks, axis=1).reshape(-1)
+    back = best.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return best(back[: n - width + 1], ahead[width - 1: n])
+
+
 def windows(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(nodes, left ends, right ends) of the compact windows of at least ``least`` tokens.
 
@@ -73,8 +81,10 @@ def windows(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.
     n = len(hashes)
     if n < least:
         return (np.zeros(0, np.int64),) * 3
-    stretch = np.lib.stride_tricks.sliding_window_view(hashes, least)
-    nodes = np.unique(np.arange(n - least + 1) + stretch.argmin(1))
+    # A token is a node if the minima of all stretches it is in reach up to it.
+    lowest = _sliding(np.minimum, hashes, least, ~np.uint64(0))
+    around = np.concatenate([np.zeros(least - 1, np.uint64), lowest, np.zeros(least - 1, np.uint64)])
+    nodes = np.flatnonzero(_sliding(np.maximum, around, least, np.uint64(0)) == hashes)
     left, right = np.zeros(len(nodes), np.int64), np.full(len(nodes), n - 1)
     open_: list[int] = []
     values = hashes[nodes].tolist()
@@ -124,66 +134,6 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(work, schema)
 
 
-class _Gathered:
-    """Rows of a task, tied to the smallest sharer of their signature before they are shuffled.
-
-    Only the smallest sharer of a hand-over goes on under the signature; the
-    others know it and travel on their own. A signature of a third of all texts
-    thus meets itself in as many rows as there are hand-overs, not texts.
-    """
-
-    schema = "key long, sig long, id long, place long, hub long, at long"
-
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.held = 0
-
-    def add(self, sig: np.ndarray, owner: int, place: np.ndarray) -> None:
-        self.parts.append((sig, np.full(len(sig), owner, np.int64), place))
-        self.held += len(sig)
-
-    def handed(self) -> pa.RecordBatch:
-        sig, who, place = (np.concatenate(c) for c in zip(*self.parts, strict=True))
-        self.parts, self.held = [], 0
-        order = np.lexsort((place, who, sig))
-        sig, who, place = sig[order], who[order], place[order]
-        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (who[1:] != who[:-1]) | (place[1:] != place[:-1])])
-        sig, who, place = sig[new], who[new], place[new]
-        first = np.concatenate([[True], sig[1:] != sig[:-1]])
-        lead = np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))
-        tied = who != who[lead]
-        # A lead with another sharer behind it is known to be shared.
-        shared = np.zeros(len(sig), bool)
-        shared[lead[tied]] = True
-        key = np.where(tied, tokens.mix((sig ^ (who * 31 + place)).view(np.uint64)).view(np.int64), sig)
-        known = ~(tied | shared)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(sig), pa.array(who), pa.array(place), pa.array(who[lead], mask=known),
-             pa.array(place[lead], mask=known)], names=["key", "sig", "id", "place", "hub", "at"])
-
-    def run(self, batches: Iterator[pa.RecordBatch], each: Callable[[pa.RecordBatch], None]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            each(batch)
-            if self.held > _HELD:
-                yield self.handed()
-        if self.held:
-            yield self.handed()
-
-
-def _shared(rows: DataFrame) -> DataFrame:
-    """``sig, id, place, hub, at`` of the signatures that several texts share.
-
-    ``hub, at`` is the smallest sharer; a row that is its own hub is kept too.
-    """
-    group = W.partitionBy("key")
-    rows = rows.withColumn("lead", F.min(F.struct("id", "place")).over(group)).withColumn("last", F.max("id").over(group))
-    tied = F.col("hub") != F.col("id")
-    return rows.filter(F.col("hub").isNotNull() | (F.col("lead.id") != F.col("last"))).select(
-        "sig", "id", "place",
-        F.when(tied, F.col("hub")).otherwise(F.col("lead.id")).alias("hub"),
-        F.when(tied, F.col("at")).otherwise(F.col("lead.place")).alias("at"))
-
-
 def _node(place: str | Column) -> Column:
     return F.shiftright(place, 16)
 
@@ -200,36 +150,54 @@ def _packed(node: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return (node << 16) | ((node - low) << 8) | (high - node)
 
 
-def _window_rows(docs: DataFrame, passage: Passage) -> DataFrame:
-    """Compact windows of all texts under each hash function; the function is in the signature's last bits."""
+def _repeated_windows(docs: DataFrame, passage: Passage, words: int) -> DataFrame:
+    """``sig, id, place`` of compact windows that several texts have.
+
+    All texts are taken under each hash function, which is told by the
+    signature's last bits.
+    """
     least, reach = passage.least, passage.reach
+    # A text of n shingles has about 2 n / least windows under one function.
+    ranges = sharing.ranges_for(_FUNCTIONS * 2 * words // least)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered = _Gathered()
+        gathered = sharing.Gatherer(ranges)
 
         def each(batch: pa.RecordBatch) -> None:
             for part in tokens.slices(batch, 0):
-                for words, runs in _sequences(part.column(0), passage.size):
-                    if len(runs) < least:
-                        continue
-                    owner = _identity(words)
-                    for f in range(_FUNCTIONS):
-                        values = tokens.mix(runs ^ np.uint64(0x632BE59BD9B4E019 * (f + 1) % (1 << 64)))
-                        node, low, high = windows(values, least)
-                        sig = (values[node] & ~np.uint64(_FUNCTIONS - 1)) | np.uint64(f)
-                        place = _packed(node, np.maximum(low, node - reach), np.minimum(high, node + reach))
-                        gathered.add(sig.view(np.int64), owner, place)
+                texts = [(_identity(w), r) for w, r in _sequences(part.column(0), passage.size) if len(r) >= least]
+                if not texts:
+                    continue
+                # All texts in a row, with a smallest value between them that no window reaches over.
+                sizes = np.array([len(r) + 1 for _, r in texts])
+                starts = np.cumsum(sizes) - sizes
+                flat, owners = np.zeros(sizes.sum(), np.uint64), np.array([i for i, _ in texts], np.int64)
+                inside = np.ones(len(flat), bool)
+                inside[starts + sizes - 1] = False
+                flat[inside] = np.concatenate([r for _, r in texts])
+                for f in range(_FUNCTIONS):
+                    values = np.where(inside, tokens.mix(flat ^ np.uint64(0x632BE59BD9B4E019 * (f + 1) % (1 << 64))) | np.uint64(1), 0)
+                    node, low, high = windows(values, least)
+                    node, low, high = node[inside[node]], low[inside[node]], high[inside[node]]
+                    text = np.searchsorted(starts, node, side="right") - 1
+                    sig = (values[node] & ~np.uint64(_FUNCTIONS - 1)) | np.uint64(f)
+                    node, low, high = node - starts[text], low - starts[text], high - starts[text]
+                    place = _packed(node, np.maximum(low, node - reach), np.minimum(high, node + reach))
+                    gathered.add(sig, owners[text], place)
 
         yield from gathered.run(batches, each)
 
-    return docs.filter(F.col("text").isNotNull()).select("text").mapInArrow(work, _Gathered.schema)
+    packed = docs.filter(F.col("text").isNotNull()).select("text").mapInArrow(work, sharing.PACKED)
+    return sharing.sharers(packed, ranges).select("sig", "id", "place")
 
 
-def _overlap_rows(shared: DataFrame, least: int) -> DataFrame:
-    """Overlaps of two windows of different functions in one text, by the two signatures."""
+def _shared_overlaps(repeated: DataFrame, least: int) -> DataFrame:
+    """``sig, id, place, hub, at``: overlaps of two windows of different functions that several texts have."""
+    # A window meets some four others.
+    ranges = sharing.ranges_for(4 * repeated.count())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered, held = _Gathered(), []
+        gathered, held = sharing.Gatherer(ranges), []
 
         def close(owner: int, sig: np.ndarray, place: np.ndarray) -> None:
             node = place >> 16
@@ -244,7 +212,7 @@ def _overlap_rows(shared: DataFrame, least: int) -> DataFrame:
                 good = near & (to - from_ + 1 >= least) & (from_ <= node[a]) & (node[b] <= to)
                 good &= (sig[a] ^ sig[b]) & (_FUNCTIONS - 1) != 0
                 x, y = sig[a][good].view(np.uint64), sig[b][good].view(np.uint64)
-                both = tokens.mix(tokens.mix(np.minimum(x, y)) + np.maximum(x, y)).view(np.int64)
+                both = tokens.mix(tokens.mix(np.minimum(x, y)) + np.maximum(x, y))
                 gathered.add(both, owner, _packed(node[a][good], from_[good], to[good]))
 
         def each(batch: pa.RecordBatch) -> None:
@@ -260,13 +228,11 @@ def _overlap_rows(shared: DataFrame, least: int) -> DataFrame:
                 close(int(held[0][0]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]))
                 held.clear()
 
-        yield from gathered.run(batches, each)
-        flush()
-        if gathered.held:
-            yield gathered.handed()
+        yield from gathered.run(batches, each, flush)
 
-    own = shared.select("id", "sig", "place").distinct()
-    return own.repartition("id").sortWithinPartitions("id", "place", "sig").mapInArrow(work, _Gathered.schema)
+    own = repeated.select("id", "sig", "place").distinct()
+    packed = own.repartition("id").sortWithinPartitions("id", "place", "sig").mapInArrow(work, sharing.PACKED)
+    return sharing.sharers(packed, ranges)
 
 
 def _longest(match: np.ndarray, percent: int) -> tuple[int, int]:
@@ -285,24 +251,32 @@ def _longest(match: np.ndarray, percent: int) -> tuple[int, int]:
 
 
 def passages_of(x: np.ndarray, y: np.ndarray, passage: Passage) -> list[tuple[int, int, int, int]]:
-    """Verified passages of two shingle sequences: ``start, end`` in both."""
-    found, open_ = [], [(0, len(x))]
+    """Verified passages of two shingle sequences: ``start, end`` in both.
+
+    The longest stretch that may be similar is tried first, then what is left
+    and right of it; one that is not similar as a whole is searched again for
+    stretches of a higher share, up to unbroken runs.
+    """
+    found, open_ = [], [(0, len(x), passage.percent)]
     match = np.isin(x, y)
     while open_:
-        low, high = open_.pop()
+        low, high, percent = open_.pop()
         if high - low < passage.least:
             continue
-        a, b = _longest(match[low:high], passage.percent)
+        a, b = _longest(match[low:high], percent)
         a, b = low + a, low + b
         if b - a < passage.least:
             continue
-        c, d = _longest(np.isin(y, x[a:b]), passage.percent)
+        open_ += [(low, a, percent), (b, high, percent)]
+        c, d = _longest(np.isin(y, x[a:b]), percent)
         if d - c >= passage.least:
             both = len(np.intersect1d(x[a:b], y[c:d]))
             union = len(np.unique(x[a:b])) + len(np.unique(y[c:d])) - both
             if 100 * both >= passage.percent * union:
                 found.append((a, b, c, d))
-        open_ += [(low, a), (b, high)]
+                continue
+        if percent < 100:
+            open_.append((a, b, min(100, percent + 5)))
     return found
 
 
@@ -319,8 +293,7 @@ def _read_shingles(docs: DataFrame, ids: DataFrame, where: DataFrame, size: int)
                 runs = [r.tobytes() for _, r in _sequences(part.column(1), size)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(runs, pa.binary())], names=["text_id", "s"])
 
-    found = docs.join(small(wanted), on).select("text_id", "text").mapInArrow(listed, "text_id long, s binary")
-    return stored(found).dropDuplicates(["text_id"])
+    return docs.join(small(wanted), on).select("text_id", "text").mapInArrow(listed, "text_id long, s binary")
 
 
 def _part(s: str, low: Column, high: Column) -> Column:
@@ -355,61 +328,76 @@ def _verified(pairs: DataFrame, shingles: DataFrame, passage: Passage) -> DataFr
         "id", "hub", "a", "c", "x", _part("s", F.col("c"), F.col("d")).alias("y")).mapInArrow(work, _FOUND)
 
 
+def _compared(held: list[tuple[int, int, np.ndarray]], passage: Passage) -> list[tuple[int, ...]]:
+    """Passages among ``id, low, shingles``: enough to cover what each text shares with smaller ones.
+
+    For each text the places that match each of the smaller ones are marked,
+    all at once; only one that matches enough of a stretch is compared in full,
+    the best first. What a passage covers is no longer looked for.
+    """
+    held = sorted(held, key=lambda h: (h[0], h[1]))
+    sizes, least = [len(h[2]) for h in held], passage.least
+    codes = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(held)), sizes)
+    order = np.lexsort((owner, codes))
+    new = np.concatenate([[True], (codes[order][1:] != codes[order][:-1]) | (owner[order][1:] != owner[order][:-1])])
+    listed, by = owner[order][new], codes[order][new]
+    starts = np.searchsorted(by, np.arange(codes.max() + 2))
+    needed = int(least * passage.percent * 2 / (100 + passage.percent))
+    ends, rows = np.cumsum(sizes), []
+    for j in range(1, len(held)):
+        b, lb, y = held[j]
+        if len(y) < least:
+            continue
+        own = codes[ends[j] - sizes[j]:ends[j]]
+        low, count = starts[own], starts[own + 1] - starts[own]
+        at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+        place, other = np.repeat(np.arange(len(own)), count), listed[at]
+        match = np.zeros((len(own) + 1, j), bool)
+        match[place[other < j] + 1, other[other < j]] = True
+        match[:, [h[0] == b for h in held[:j]]] = False
+        while True:
+            total = match.cumsum(0, dtype=np.int32)
+            best = (total[least:] - total[:-least]).max(0)
+            i = int(best.argmax())
+            if best[i] < needed:
+                break
+            a, la, x = held[i]
+            match[:, i] = False
+            for s, e, p, q in passages_of(y, x, passage):
+                match[s + 1:e + 1] = False
+                rows.append((b, a, s + lb, e + lb, p + la, q + la))
+    return rows
+
+
 def _verified_in_blocks(members: DataFrame, shingles: DataFrame, passage: Passage) -> DataFrame:
-    """Passages among the sharers of a signature, ``sig, id, place, root``; sharers of one root need no test.
+    """Passages among the texts of a family, ``family, id, low, high``.
 
-    A block holds at most about _BLOCK sharers, and every two blocks of a
-    signature meet in one task, which gives enough pairs to connect all sharers
-    that have a passage in common.
+    A block holds at most about _BLOCK texts, and every two blocks of a family
+    meet in one task. It gives passages enough to cover what its texts share,
+    not every pair.
     """
-    parts = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).alias("parts"))
+    parts = members.groupBy("family").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / _BLOCK), F.ceil(F.sum(F.col("high") - F.col("low")) / _BLOCK_SHINGLES)).alias("parts"))
     rows = (
-        members.join(parts, "sig").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
+        members.join(parts, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .withColumn("block", F.concat_ws("/", "sig", F.least("own", "other"), F.greatest("own", "other")))
+        .withColumn("block", F.concat_ws("/", "family", F.least("own", "other"), F.greatest("own", "other")))
         .join(shingles.withColumnRenamed("text_id", "id"), "id")
-        .select("block", "id", "root", _low("place").alias("low"), _part("s", _low("place"), _high("place")).alias("x"))
+        .select("block", "id", "low", _part("s", F.col("low"), F.col("high")).alias("x"))
     )
-    least, share = passage.least, passage.percent * 2 / (100 + passage.percent)
-
-    def compared(held: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, ...]]:
-        held = sorted(held, key=lambda h: (h[0], h[2]))
-        values, codes, counts = np.unique(np.concatenate([h[3] for h in held]), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(held)), [len(h[3]) for h in held])
-        several = counts[codes] > 1
-        column = (np.cumsum(counts > 1) - 1)[codes[several]]
-        table = np.zeros((len(held), int((counts > 1).sum())), np.float32)
-        table[owner[several], column] = 1
-        both = table @ table.T
-        parent: dict[int, int] = {}
-
-        def top(r: int) -> int:
-            while parent.get(r, r) != r:
-                r = parent[r]
-            return r
-
-        rows = []
-        for i, j in np.argwhere(np.triu(both >= np.floor(least * share), 1)):
-            (a, ra, la, x), (b, rb, lb, y) = held[i], held[j]
-            if a == b or top(ra) == top(rb):
-                continue
-            found = passages_of(y, x, passage)
-            if found:
-                parent[top(rb)] = top(ra)
-                rows += [(b, a, s + lb, e + lb, p + la, q + la) for s, e, p, q in found]
-        return rows
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            for name, i, r, low, x in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4), strict=True):
+            for name, i, low, x in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
                 if name != key and held:
-                    yield _found(compared(held))
+                    yield _found(_compared(held, passage))
                     held = []
                 key = name
-                held.append((i, r, low, np.frombuffer(x.as_buffer(), np.uint64)))
+                held.append((i, low, np.frombuffer(x.as_buffer(), np.uint64)))
         if held:
-            yield _found(compared(held))
+            yield _found(_compared(held, passage))
 
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(work, _FOUND)
 
@@ -421,8 +409,9 @@ def text_passages(docs: DataFrame, passage: Passage = Passage()) -> tuple[DataFr
     """
     rows = stored(_rows(docs))
     where = stored(rows.filter("n > 0").groupBy("text_id").agg(F.min(F.struct("doc_id", "mark")).alias("at")))
-    repeated = stored(_shared(_window_rows(docs, passage)).select("sig", "id", "place"))
-    star = stored(_shared(_overlap_rows(repeated, passage.least)))
+    words = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    repeated = stored(_repeated_windows(docs, passage, words))
+    star = stored(_shared_overlaps(repeated, passage.least))
     pairs = stored(star.filter("id <> hub").groupBy("id", "hub").agg(
         F.min(_low("place")).alias("a"), F.max(_high("place")).alias("b"),
         F.min(_low("at")).alias("c"), F.max(_high("at")).alias("d")))
@@ -430,21 +419,20 @@ def text_passages(docs: DataFrame, passage: Passage = Passage()) -> tuple[DataFr
         docs, star.select(F.col("id").alias("text_id")).union(star.select("hub")), where, passage.size)
     found = stored(_verified(pairs, shingles, passage))
 
-    # Sharers without a passage there may have one with another sharer.
+    # Sharers without any passage there may have one with another sharer.
+    covered = found.select("id", "start", "end").union(found.select("hub", "hub_start", "hub_end")).distinct()
     at = _node("place")
-    here = found.select("id", "hub", "start", "end")
-    alone = star.filter("id <> hub").join(
-        here, (star["id"] == here["id"]) & (star["hub"] == here["hub"]) & (at >= F.col("start")) & (at < F.col("end")), "left_anti")
-    alone = stored(alone.select("sig", "id", "place"))
-    if alone.isEmpty():
+    alone = stored(star.select("sig", "id", "place").distinct().join(
+        covered.withColumnRenamed("id", "of"), (F.col("id") == F.col("of")) & (at >= F.col("start")) & (at < F.col("end")),
+        "left_anti").select("sig", "id").distinct())
+    # Two sharers have been compared already.
+    several = star.groupBy("sig").agg(F.countDistinct("id").alias("n"), F.min("id").alias("family")).filter("n > 2")
+    open_ = alone.select("sig").distinct().join(several, "sig").select("sig", "family")
+    # Sharers of several signatures with the same smallest text are compared once.
+    members = stored(star.join(open_, "sig").groupBy("family", "id").agg(
+        F.min(_low("place")).alias("low"), F.max(_high("place")).alias("high")))
+    if members.isEmpty():
         return rows, found
-    # Of two sharers both are known; beyond that the smallest sharer stands for those it has a passage with.
-    sizes = star.groupBy("sig").agg(F.countDistinct("id").alias("n")).filter("n > 2").select("sig")
-    open_ = alone.select("sig").distinct().join(sizes, "sig")
-    members = star.join(open_, "sig", "left_semi").select("sig", "id", "place", "hub")
-    lost = alone.withColumn("alone", F.lit(True))
-    members = stored(members.join(lost, ["sig", "id", "place"], "left").select(
-        "sig", "id", "place", F.when(F.col("alone"), F.col("id")).otherwise(F.col("hub")).alias("root")).distinct())
     more = _verified_in_blocks(members, shingles, passage)
     return rows, stored(found.union(more).distinct())
 
