@@ -1,13 +1,16 @@
 """Licence recognition by sentences and ordered rules.
 
-A text is cut into sentences; each is normalised (lower case, everything but
-``a-z0-9`` is one blank) and looked up among known licence sentences. The text
-becomes a sequence of their identifiers, with ``-`` where other sentences stand
-between. Rules are tried in order, the more demanding ones first: a rule holds
-if its identifiers occur next to each other, and takes them out of the
-sequence. Identifiers that no rule takes are reported.
+A text is cut into pieces at line ends and sentence marks; each is normalised
+(lower case, everything but ``a-z0-9`` is one blank). Known licence sentences
+are looked up in whole pieces, of which a sentence may take several: neither
+wrapped lines nor marks inside a sentence part it. The text becomes a sequence of
+identifiers, with ``-`` where other pieces stand between; empty pieces and the
+numbers of lists are not counted. Rules are tried in order, the more demanding
+ones first: a rule holds if its identifiers occur next to each other, and takes
+them out of the sequence. Identifiers that no rule takes are reported.
 
 Edge cases. NULL, empty and licence-free texts have no sentence and no licence.
+A ``*`` in a known sentence stands for one to twelve words (a holder's name).
 A licence given twice is named once. Rows that repeat, rows without id and an
 empty table are treated like any others. Other columns, whatever their names,
 are kept by ``scan``.
@@ -15,6 +18,8 @@ are kept by ``scan``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +68,14 @@ SENTENCES = {
     "reserved": "all rights reserved",
 }
 
+# Parts of whole licences that come between those above.
+CLAUSES = {
+    "apache-url": "http www apache org licenses license 2 0",
+    "apache-urls": "https www apache org licenses license 2 0",
+    "bsd-endorse": "neither the name of * nor the names of its contributors may be used to endorse or promote products "
+                   "derived from this software without specific prior written permission",
+}
+
 # Licence and the identifiers that prove it, in the order in which they are tried.
 RULES = (
     ("MIT", "mit-grant mit-keep as-is no-liability"),
@@ -86,13 +99,49 @@ RULES = (
 )
 
 
+# Rules of whole licences, tried before the others.
+WHOLE_RULES = (
+    ("Apache-2.0", "apache-the apache-comply apache-obtain apache-url apache-as-is"),
+    ("Apache-2.0", "apache-the apache-comply apache-obtain apache-urls apache-as-is"),
+    ("BSD-3-Clause", "bsd-redistribution bsd-source bsd-binary bsd-endorse"),
+)
+
+# Number or letter of a list at the start of a line, and a piece that is nothing else.
+_MARKER, _NUMBER = r"(?m)^([^a-z0-9\n]*(?:[0-9]{1,2}|[a-z]))\)", "^(?:[0-9]{1,2}|[a-z])$"
+
+
+def _cut(text: Column) -> Column:
+    """``| piece | piece |``: the normalised pieces of a text that are not empty."""
+    marked = F.regexp_replace(F.translate(F.lower(text), "|@", "  "), _MARKER, "$1\n")
+    marked = F.regexp_replace(F.regexp_replace(marked, r"\n|[.!?:;]\s", "|"), "[^a-z0-9|]+", " ")
+    return F.concat(F.lit("| "), F.btrim(F.regexp_replace(marked, r"[ |]*\|[ |]*", " | "), F.lit(" |")), F.lit(" |"))
+
+
+def _pattern(sentence: str) -> str:
+    """Whole pieces that make up a sentence, cut anywhere between its words."""
+    words = [r"[a-z0-9]+(?:(?: \|)? [a-z0-9]+){0,11}?" if w == "*" else w for w in sentence.split()]
+    return r"\| " + r"(?: \|)? ".join(words) + r"(?= \|)"
+
+
 def sentence_ids(text: Column, sentences: dict[str, str]) -> Column:
-    """Identifiers of a text's sentences in order, ``-`` for each that is not known."""
-    known = F.create_map(*[F.lit(v) for name, s in sentences.items() for v in (s, name)])
-    # The second blank of a pair separates; a sentence's own marks go with the normalising.
-    listed = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\n|[.!?:]\s")
-    return F.transform(listed, lambda s: F.coalesce(
-        F.try_element_at(known, F.btrim(F.regexp_replace(s, "[^a-z0-9]+", " "))), F.lit("-")))
+    """Identifiers of a text's sentences in order, ``-`` for each other piece; NULL if no sentence is known."""
+    plain = {name: " ".join(re.sub("[^a-z0-9*]+", " ", s.lower()).split()) for name, s in sentences.items()}
+    # The longer ones first, so that none takes a piece of another.
+    known = F.array(*[F.struct(
+        F.lit(f" {max(s.split('*'), key=len).strip()} ").alias("part"), F.lit(_pattern(s)).alias("pattern"),
+        F.lit(f"| @{name}").alias("id")) for name, s in sorted(plain.items(), key=lambda x: -len(x[1]))])
+    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
+    # Most texts do not have the words of any sentence; only the others are cut.
+    found = let(words, lambda w: F.filter(known, lambda k: F.contains(w, k["part"])))
+
+    def named(cut: Column, wanted: Column) -> Column:
+        return F.aggregate(wanted, cut, lambda state, k: F.regexp_replace(state, k["pattern"], k["id"]))
+
+    def listed(pieces: Column) -> Column:
+        kept = F.filter(F.split(pieces, r" ?\| ?"), lambda x: (x != "") & ~x.rlike(_NUMBER))
+        return F.transform(kept, lambda x: F.when(F.startswith(x, F.lit("@")), F.substr(x, F.lit(2))).otherwise("-"))
+
+    return let(found, lambda f: F.when(F.size(f) > 0, let(named(_cut(text), f), listed)))
 
 
 def _doubled(ids: Column) -> Column:
@@ -116,14 +165,14 @@ def apply_rules(ids: Column, rules: tuple[tuple[str, str], ...]) -> Column:
 
 
 def scan(docs: DataFrame, sentences: dict[str, str] | None = None,
-         rules: tuple[tuple[str, str], ...] = RULES) -> tuple[DataFrame, str]:
+         rules: tuple[tuple[str, str], ...] = WHOLE_RULES + RULES) -> tuple[DataFrame, str]:
     """(documents with a struct of ``ids, licences, rest``, the struct's name).
 
     ``ids`` are the known sentences in order, with one ``-`` for any others
     between them.
     """
     name, raw = fresh(docs, "licence"), fresh(docs, "_ids")
-    rows = docs.withColumn(raw, sentence_ids(F.col("text"), sentences or SENTENCES))
+    rows = docs.withColumn(raw, sentence_ids(F.col("text"), sentences or SENTENCES | CLAUSES))
     runs = F.filter(F.col(raw), lambda x, i: (x != "-") | (i == 0) | (F.get(F.col(raw), i - 1) != "-"))
     # Most texts have no licence sentence at all; only the others are worked on.
     hit = F.exists(F.col(raw), lambda x: x != "-")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -119,6 +120,73 @@ def test_licenses(spark):
     assert licenses.report(df.limit(0)).collect() == []
 
 
+MIT = (
+    "MIT License\n\nCopyright (c) 2020 Someone\n\n",
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation '
+    'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
+    "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+    "Software is furnished to do so, subject to the following conditions:",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+    "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+    "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+)
+GPL = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+    "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty "
+    "of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.",
+    "You should have received a copy of the GNU General Public License along with this program.",
+)
+MPL = (
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+    "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+)
+APACHE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the '
+    "License. You may obtain a copy of the License at",
+    "http://www.apache.org/licenses/LICENSE-2.0",
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS '
+    'IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+)
+BSD = (
+    "Copyright (c) 2020, Someone",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+    "disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+    "disclaimer in the documentation and/or other materials provided with the distribution.",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission.",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE '
+    "DISCLAIMED.",
+)
+WHOLE = {
+    "MIT": (MIT, "MIT", 4), "GPL": (GPL, "GPL-3.0-or-later", 2), "MPL": (MPL, "MPL-2.0", 1), "Apache": (APACHE, "Apache-2.0", 5),
+    "BSD-3": (BSD, "BSD-3-Clause", 4), "BSD-2": (BSD[:4] + BSD[5:], "BSD-2-Clause", 3),
+    "named": (tuple(p.replace("the copyright holder nor", "Some Company, Inc. nor") for p in BSD), "BSD-3-Clause", 4),
+    "braces": (tuple(re.sub(r"^(\d)\.", r" (\1)", p) for p in BSD), "BSD-3-Clause", 4),
+    "stars": (tuple(re.sub(r"^(\d)\.", " *", p) for p in BSD), "BSD-3-Clause", 4),
+}
+
+
+def test_whole_licences(spark):
+    """Whole licences: unwrapped, wrapped at several widths, in comments, with blank lines between and without."""
+    rows, want = [], {}
+    for name, (paragraphs, licence, n) in WHOLE.items():
+        for width in (50, 70, 80, 5000):
+            for between in ("\n\n", "\n", "\r\n \r\n"):
+                for before in ("", " * ", "# "):
+                    lines = [textwrap.wrap(p, width) for p in paragraphs]
+                    text = between.join("\n".join(before + x for x in p) for p in lines)
+                    want[len(rows)] = (name, width, between, before, licence, n, "")
+                    rows.append((len(rows), "Some words first.\n" + text + "\nLast words.\n"))
+    got = licenses.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r for r in got if (r.licences, r.n_sentences, r.unexplained) != want[r.doc_id][4:]] == []
+
+
 def test_line_dedup(spark, messy):
     rows = [(i, f"Menu\nown line {i}\n\nMenu ", "h", "x") for i in range(20)]
     rows += [(100 + i, f"own {i}\nrare" if i < 2 else f"own {i}", "g", "x") for i in range(40)]
