@@ -236,9 +236,8 @@ def _shared_overlaps(repeated: DataFrame, least: int) -> DataFrame:
 
 
 def _longest(match: np.ndarray, percent: int) -> tuple[int, int]:
-    """Longest stretch of which enough is matched for two equally long ones to be similar, matched at both ends."""
-    # Equal lengths and a similarity of s mean a matched share of 2 s / (1 + s).
-    step = np.where(match, 100 - percent, -2 * percent)
+    """Longest stretch of which ``percent`` are matched, matched at both ends."""
+    step = np.where(match, 100 - percent, -percent)
     total = np.concatenate([[0], np.cumsum(step)])
     least = np.minimum.accumulate(total)
     start = np.searchsorted(-least, -total, side="left")
@@ -250,33 +249,63 @@ def _longest(match: np.ndarray, percent: int) -> tuple[int, int]:
     return int(start[end] + hits[0]), int(start[end] + hits[-1] + 1)
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y))
+    return 100 * both >= percent * (len(np.unique(x)) + len(np.unique(y)) - both)
+
+
+def _fitted(x: np.ndarray, y: np.ndarray, a: int, b: int, share: int, passage: Passage) -> tuple[int, int, int, int] | None:
+    """The stretch ``a..b`` of x and the one of y that matches it, each narrowed to what the other has."""
+    while b - a >= passage.least:
+        c, d = _longest(np.isin(y, x[a:b]), share)
+        if d - c < passage.least:
+            return None
+        if _similar(x[a:b], y[c:d], passage.percent):
+            return a, b, c, d
+        low, high = _longest(np.isin(x[a:b], y[c:d]), share)
+        if high - low == b - a:
+            return None
+        a, b = a + low, a + high
+    return None
+
+
+def _between(taken: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """What the stretches leave of ``0..n``."""
+    gaps, low = [], 0
+    for a, b in sorted(taken):
+        gaps.append((low, a))
+        low = max(low, b)
+    return [*gaps, (low, n)]
+
+
 def passages_of(x: np.ndarray, y: np.ndarray, passage: Passage) -> list[tuple[int, int, int, int]]:
     """Verified passages of two shingle sequences: ``start, end`` in both.
 
-    The longest stretch that may be similar is tried first, then what is left
-    and right of it; one that is not similar as a whole is searched again for
-    stretches of a higher share, up to unbroken runs.
+    A Jaccard similarity of s needs a matched share of s on both sides. The
+    longest stretch of that share is tried first, then what is left and right
+    of it; where one is not similar as a whole, all that is not found yet is
+    searched again for stretches of a higher share, up to unbroken runs.
     """
-    found, open_ = [], [(0, len(x), passage.percent)]
-    match = np.isin(x, y)
-    while open_:
-        low, high, percent = open_.pop()
-        if high - low < passage.least:
-            continue
-        a, b = _longest(match[low:high], percent)
-        a, b = low + a, low + b
-        if b - a < passage.least:
-            continue
-        open_ += [(low, a, percent), (b, high, percent)]
-        c, d = _longest(np.isin(y, x[a:b]), percent)
-        if d - c >= passage.least:
-            both = len(np.intersect1d(x[a:b], y[c:d]))
-            union = len(np.unique(x[a:b])) + len(np.unique(y[c:d])) - both
-            if 100 * both >= passage.percent * union:
-                found.append((a, b, c, d))
+    match, least, found = np.isin(x, y), passage.least, []
+    for share in (*range(passage.percent, 100, 5), 100):
+        open_, failed = _between([f[:2] for f in found], len(x)), False
+        while open_:
+            low, high = open_.pop()
+            if high - low < least:
+                continue
+            a, b = _longest(match[low:high], share)
+            a, b = low + a, low + b
+            if b - a < least:
                 continue
-        if percent < 100:
-            open_.append((a, b, min(100, percent + 5)))
+            fit = _fitted(x, y, a, b, share, passage)
+            if fit:
+                found.append(fit)
+                a, b = fit[:2]
+            else:
+                failed = True
+            open_ += [(low, a), (b, high)]
+        if not failed:
+            break
     return found
 
 

@@ -120,6 +120,53 @@ def test_compact_windows_are_those_of_the_tree():
         assert set(zip(*map(list, substring_dedup.windows(h, 5)), strict=True)) == want
 
 
+def hashed(words, size):
+    return np.array([hash(tuple(words[i:i + size])) % (1 << 63) for i in range(len(words) - size + 1)], np.uint64)
+
+
+def passages_by_hand(x, y, passage):
+    """All pairs of stretches, matched at their ends, that reach the similarity."""
+    ends, out = (np.isin(x, y), np.isin(y, x)), []
+    for a in np.flatnonzero(ends[0]):
+        for b in np.flatnonzero(ends[0]) + 1:
+            for c in np.flatnonzero(ends[1]) if b - a >= passage.least else ():
+                for d in np.flatnonzero(ends[1]) + 1:
+                    if d - c >= passage.least:
+                        u, v = set(x[a:b].tolist()), set(y[c:d].tolist())
+                        if 100 * len(u & v) >= passage.percent * len(u | v):
+                            out.append((a, b, c, d))
+    return out
+
+
+def test_passages_with_insertions():
+    words = [f"w{i}" for i in range(50)]
+    x, y = hashed(words, 5), hashed([*words[:25], "new", "words", *words[25:]], 5)
+    assert substring_dedup.passages_of(x, y, substring_dedup.Passage()) == [(0, 46, 0, 48)]
+    assert substring_dedup.passages_of(y, x, substring_dedup.Passage()) == [(0, 48, 0, 46)]
+    passage, reached = substring_dedup.Passage(words=12, size=3), 0
+    for seed in range(60):
+        rng = random.Random(seed)
+        one = [f"w{i}" for i in range(rng.randint(12, 18))]
+        two = list(one)
+        for k in range(rng.randint(0, 2)):
+            at = rng.randrange(1, len(two) - 1)
+            two[at:at + rng.randint(0, 1)] = [f"n{k}{i}" for i in range(rng.randint(0, 2))]
+        x, y = (hashed([*(f"{s}a{i}" for i in range(rng.randint(0, 5))), *w, *(f"{s}z{i}" for i in range(rng.randint(0, 5)))], 3)
+                for s, w in (("x", one), ("y", two)))
+        want = passages_by_hand(x, y, passage)
+        reached += bool(want)
+        for u, v, stretches in ((x, y, [w[:2] for w in want]), (y, x, [w[2:] for w in want])):
+            found = substring_dedup.passages_of(u, v, passage)
+            assert all(any(a < f[1] and f[0] < b for f in found) for a, b in stretches), seed
+    assert reached > 20
+
+
+def test_two_passages_that_stand_apart_in_the_other_text():
+    one, two = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(70)]
+    x, y = hashed(one + two, 5), hashed([*one, *(f"c{i}" for i in range(90)), *two], 5)
+    assert sorted(f[:2] for f in substring_dedup.passages_of(x, y, substring_dedup.Passage())) == [(0, 56), (60, 126)]
+
+
 def test_substring_dedup(spark, messy):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for df in (docs, messy):
