@@ -357,12 +357,22 @@ def _verified(pairs: DataFrame, shingles: DataFrame, passage: Passage) -> DataFr
         "id", "hub", "a", "c", "x", _part("s", F.col("c"), F.col("d")).alias("y")).mapInArrow(work, _FOUND)
 
 
+def _best_stretches(match: np.ndarray, passage: Passage) -> np.ndarray:
+    """For each column the best stretch of least length and more; below 0, none has enough matches for a passage.
+
+    The first row of ``match`` stands before the places.
+    """
+    total = match.cumsum(0, dtype=np.int32) * np.int32(100)
+    total -= (np.arange(len(match), dtype=np.int32) * np.int32(passage.percent))[:, None]
+    return (total[passage.least:] - np.minimum.accumulate(total[:-passage.least])).max(0)
+
+
 def _compared(held: list[tuple[int, int, np.ndarray]], passage: Passage) -> list[tuple[int, ...]]:
     """Passages among ``id, low, shingles``: enough to cover what each text shares with smaller ones.
 
     For each text the places that match each of the smaller ones are marked,
-    all at once; only one that matches enough of a stretch is compared in full,
-    the best first. What a passage covers is no longer looked for.
+    all at once; only one that matches enough of a stretch of any length is
+    compared in full, the best first. What a passage covers is no longer looked for.
     """
     held = sorted(held, key=lambda h: (h[0], h[1]))
     sizes, least = [len(h[2]) for h in held], passage.least
@@ -372,7 +382,6 @@ def _compared(held: list[tuple[int, int, np.ndarray]], passage: Passage) -> list
     new = np.concatenate([[True], (codes[order][1:] != codes[order][:-1]) | (owner[order][1:] != owner[order][:-1])])
     listed, by = owner[order][new], codes[order][new]
     starts = np.searchsorted(by, np.arange(codes.max() + 2))
-    needed = int(least * passage.percent * 2 / (100 + passage.percent))
     ends, rows = np.cumsum(sizes), []
     for j in range(1, len(held)):
         b, lb, y = held[j]
@@ -385,17 +394,22 @@ def _compared(held: list[tuple[int, int, np.ndarray]], passage: Passage) -> list
         match = np.zeros((len(own) + 1, j), bool)
         match[place[other < j] + 1, other[other < j]] = True
         match[:, [h[0] == b for h in held[:j]]] = False
-        while True:
-            total = match.cumsum(0, dtype=np.int32)
-            best = (total[least:] - total[:-least]).max(0)
-            i = int(best.argmax())
-            if best[i] < needed:
-                break
+        live, best = np.arange(j), None
+        while len(live):
+            if best is None:
+                best = _best_stretches(match[:, live], passage)
+                live, best = live[best >= 0], best[best >= 0]
+                continue
+            at = int(best.argmax())
+            i = int(live[at])
+            live, best = np.delete(live, at), np.delete(best, at)
             a, la, x = held[i]
-            match[:, i] = False
-            for s, e, p, q in passages_of(y, x, passage):
+            found = passages_of(y, x, passage)
+            for s, e, p, q in found:
                 match[s + 1:e + 1] = False
                 rows.append((b, a, s + lb, e + lb, p + la, q + la))
+            if found:
+                best = None
     return rows
 
 

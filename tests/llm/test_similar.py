@@ -167,6 +167,13 @@ def test_two_passages_that_stand_apart_in_the_other_text():
     assert sorted(f[:2] for f in substring_dedup.passages_of(x, y, substring_dedup.Passage())) == [(0, 56), (60, 126)]
 
 
+def test_blocks_find_passages_longer_than_the_least():
+    words = [f"w{i}" for i in range(77)]
+    x, y = hashed(words, 5), hashed([*words[:37], "some", "other", "words", *words[40:]], 5)
+    rows = substring_dedup._compared([(1, 0, x), (2, 10, y)], substring_dedup.Passage())
+    assert rows == [(2, 1, 10, 83, 0, 73)]
+
+
 def test_substring_dedup(spark, messy):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for df in (docs, messy):
