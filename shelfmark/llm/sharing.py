@@ -22,7 +22,7 @@ from shelfmark.llm.tokens import mix
 
 # Rows that a task holds before it hands them over, and rows that a range should have.
 HELD, RANGE_ROWS = 150_000, 300_000
-PACKED, SHARED = "range int, data binary", "sig long, id long, place long, hub long, at long"
+PACKED, SHARED = "range int, data binary", "sig long, id long, place long, hub long, at long, till long"
 
 
 def ranges_for(rows: int) -> int:
@@ -47,6 +47,12 @@ def _pack(sig: np.ndarray, who: np.ndarray, place: np.ndarray, known: np.ndarray
     return b"".join((head, _planes(names), _planes(sig), _planes(at.astype(np.uint32)), _planes(place), known.tobytes()))
 
 
+def _last(who: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """For each row the last one of its signature's smallest owner; ``lead`` is the first."""
+    own = who == who[lead]
+    return np.maximum.reduceat(np.where(own, np.arange(len(who)), 0), np.unique(lead))[np.unique(lead, return_inverse=True)[1]]
+
+
 class Gatherer:
     """Rows of one task."""
 
@@ -70,14 +76,14 @@ class Gatherer:
         sig, who, place = sig[new], who[new], place[new]
         first = np.concatenate([[True], sig[1:] != sig[:-1]])
         lead = np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))
-        tied = who != who[lead]
+        tied, last = who != who[lead], _last(who, lead)
         known = np.zeros(len(sig), np.uint8)
         known[lead[tied]] = 1
         numbers, data = [], []
         if tied.any():
             # These need nobody else: any range will do.
             numbers.append(int(mix(sig[:1] ^ np.uint64(len(sig)))[0] % np.uint64(self.ranges)))
-            rows = [sig[tied].view(np.int64), who[tied], place[tied], who[lead][tied], place[lead][tied]]
+            rows = [sig[tied].view(np.int64), who[tied], place[tied], who[lead][tied], place[lead][tied], place[last][tied]]
             data.append(np.array([1, int(tied.sum()), 0], np.int64).tobytes() + b"".join(r.tobytes() for r in rows))
         sig, who, place, known = sig[~tied], who[~tied], place[~tied], known[~tied]
         number = ((sig >> np.uint64(32)) * np.uint64(self.ranges)) >> np.uint64(32)
@@ -103,14 +109,14 @@ def _sharers(rows: list[memoryview]) -> Iterator[pa.RecordBatch]:
     """Sharers of the signatures of one range."""
 
     def out(columns: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "id", "place", "hub", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "id", "place", "hub", "at", "till"])
 
     parts = []
     for data in rows:
         kind, n, names = np.frombuffer(data[:24], np.int64)
         data = data[24:]
         if kind:
-            yield out([np.frombuffer(data[8 * n * i:8 * n * (i + 1)], np.int64) for i in range(5)])
+            yield out([np.frombuffer(data[8 * n * i:8 * n * (i + 1)], np.int64) for i in range(6)])
             continue
         known = _unplaned(data, np.int64, names)
         data = data[8 * names:]
@@ -127,14 +133,15 @@ def _sharers(rows: list[memoryview]) -> Iterator[pa.RecordBatch]:
     size = np.diff(np.concatenate([start, [len(sig)]]))
     several = (who[start] != who[start + size - 1]) | (np.maximum.reduceat(known, start) > 0)
     keep, lead = np.repeat(several, size), np.repeat(start, size)
-    yield out([sig.view(np.int64)[keep], who[keep], place[keep], who[lead][keep], place[lead][keep]])
+    last = _last(who, lead)
+    yield out([sig.view(np.int64)[keep], who[keep], place[keep], who[lead][keep], place[lead][keep], place[last][keep]])
 
 
 def sharers(packed: DataFrame, ranges: int) -> DataFrame:
-    """``sig, id, place, hub, at`` of signatures with several owners.
+    """``sig, id, place, hub, at, till`` of signatures with several owners.
 
-    ``hub, at`` is the smallest owner and its place, of the range or of a
-    hand-over; an owner that is its own hub is listed too.
+    ``hub, at, till`` is the smallest owner and its first and last place, of the
+    range or of a hand-over; an owner that is its own hub is listed too.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

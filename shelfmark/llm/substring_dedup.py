@@ -21,7 +21,8 @@ The same words in the same order are one text, whatever the number of rows.
 
 Edge cases. NULL and empty texts, and texts of fewer words than a passage, have
 no passage. Rows that repeat and copies of one text are passages as a whole.
-Passages that repeat only inside one text are not reported. Rows without id
+Passages that repeat only inside one text are not reported; one that another
+text has as well is reported at every place. Rows without id
 are represented by NULL. An empty table gives an empty result. Extra columns are ignored by
 ``passages`` and kept by ``remove_repeats``.
 """
@@ -192,7 +193,7 @@ def _repeated_windows(docs: DataFrame, passage: Passage, words: int) -> DataFram
 
 
 def _shared_overlaps(repeated: DataFrame, least: int) -> DataFrame:
-    """``sig, id, place, hub, at``: overlaps of two windows of different functions that several texts have."""
+    """``sig, id, place, hub, at, till``: overlaps of two windows of different functions that several texts have."""
     # A window meets some four others.
     ranges = sharing.ranges_for(4 * repeated.count())
 
@@ -278,8 +279,8 @@ def _between(taken: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return [*gaps, (low, n)]
 
 
-def passages_of(x: np.ndarray, y: np.ndarray, passage: Passage) -> list[tuple[int, int, int, int]]:
-    """Verified passages of two shingle sequences: ``start, end`` in both.
+def _search(x: np.ndarray, y: np.ndarray, taken: list[tuple[int, int]], passage: Passage) -> list[tuple[int, int, int, int]]:
+    """Verified passages of what ``taken`` leaves of x and of y: ``start, end`` in both.
 
     A Jaccard similarity of s needs a matched share of s on both sides. The
     longest stretch of that share is tried first, then what is left and right
@@ -288,7 +289,7 @@ def passages_of(x: np.ndarray, y: np.ndarray, passage: Passage) -> list[tuple[in
     """
     match, least, found = np.isin(x, y), passage.least, []
     for share in (*range(passage.percent, 100, 5), 100):
-        open_, failed = _between([f[:2] for f in found], len(x)), False
+        open_, failed = _between([*taken, *(f[:2] for f in found)], len(x)), False
         while open_:
             low, high = open_.pop()
             if high - low < least:
@@ -309,6 +310,45 @@ def passages_of(x: np.ndarray, y: np.ndarray, passage: Passage) -> list[tuple[in
     return found
 
 
+def passages_of(x: np.ndarray, y: np.ndarray, passage: Passage) -> list[tuple[int, int, int, int]]:
+    """Verified passages of two shingle sequences, ``start, end`` in both: all places of either that the other has."""
+    found, more = _search(x, y, [], passage), passage.size - 1
+    taken = [(max(c - more, 0), min(d + more, len(y))) for _, _, c, d in found]
+    return found + [(a, b, c, d) for c, d, a, b in _search(y, x, taken, passage)] if found else found
+
+
+def _again(y: np.ndarray, places: set[tuple[int, int]], passage: Passage) -> list[tuple[int, int, int, int]]:
+    """Places of y that an earlier one represents: ``start, end`` of both."""
+    if len(places) < 2:
+        return []
+    codes = np.unique(y, return_inverse=True)[1]
+    owner, firsts, out = np.full(len(y), -1), [], []
+    for c, d in sorted(places):
+        own = owner[codes[c:d]]
+        if (own >= 0).any():
+            p, q = firsts[int(np.bincount(own[own >= 0]).argmax())]
+            if q + passage.size - 1 <= c and _similar(y[c:d], y[p:q], passage.percent):
+                out.append((c, d, p, q))
+                continue
+        new = codes[c:d][own < 0]
+        owner[new] = len(firsts)
+        firsts.append((c, d))
+    return out
+
+
+def _pair(i: int, hub: int, x: np.ndarray, y: np.ndarray, a: int, c: int, passage: Passage) -> list[tuple[int, ...]]:
+    """Rows of _FOUND for the stretches x (from ``a``) and y (from ``c``) of two texts.
+
+    Where the hub has a passage several times, its later places are represented
+    by its first: every passage points to a smaller text or an earlier place, so
+    one of them always stays.
+    """
+    found = passages_of(x, y, passage)
+    again = _again(y, {f[2:] for f in found}, passage)
+    return [(i, hub, s + a, e + a, p + c, q + c) for s, e, p, q in found] + [
+        (hub, hub, s + c, e + c, p + c, q + c) for s, e, p, q in again]
+
+
 def _read_shingles(docs: DataFrame, ids: DataFrame, where: DataFrame, size: int) -> DataFrame:
     """``text_id, s``: shingle hashes in order, as bytes, of the wanted texts."""
     wanted = stored(ids.distinct().join(where, "text_id").select(
@@ -346,9 +386,8 @@ def _verified(pairs: DataFrame, shingles: DataFrame, passage: Passage) -> DataFr
         for batch in batches:
             rows = []
             for i, hub, a, c, x, y in zip(*batch.columns, strict=True):
-                a, c = a.as_py(), c.as_py()
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                rows += [(i.as_py(), hub.as_py(), s + a, e + a, p + c, q + c) for s, e, p, q in passages_of(x, y, passage)]
+                rows += _pair(i.as_py(), hub.as_py(), x, y, a.as_py(), c.as_py(), passage)
             yield _found(rows)
 
     left = pairs.join(shingles.toDF("id", "s"), "id").select(
@@ -404,10 +443,11 @@ def _compared(held: list[tuple[int, int, np.ndarray]], passage: Passage) -> list
             i = int(live[at])
             live, best = np.delete(live, at), np.delete(best, at)
             a, la, x = held[i]
-            found = passages_of(y, x, passage)
-            for s, e, p, q in found:
-                match[s + 1:e + 1] = False
-                rows.append((b, a, s + lb, e + lb, p + la, q + la))
+            found = _pair(b, a, y, x, lb, la, passage)
+            for who, _, s, e, _, _ in found:
+                if who == b:
+                    match[s - lb + 1:e - lb + 1] = False
+            rows += found
             if found:
                 best = None
     return rows
@@ -448,7 +488,8 @@ def _verified_in_blocks(members: DataFrame, shingles: DataFrame, passage: Passag
 def text_passages(docs: DataFrame, passage: Passage = Passage()) -> tuple[DataFrame, DataFrame]:
     """(``doc_id, mark, n, text_id`` per row; verified ``id, hub, start, end, hub_start, hub_end`` between texts).
 
-    Ends are not included and count shingles; ``hub`` is the smaller text.
+    Ends are not included and count shingles; ``hub`` is the smaller text, or the
+    same one where an earlier place of it represents a passage that others have.
     """
     rows = stored(_rows(docs))
     where = stored(rows.filter("n > 0").groupBy("text_id").agg(F.min(F.struct("doc_id", "mark")).alias("at")))
@@ -457,7 +498,7 @@ def text_passages(docs: DataFrame, passage: Passage = Passage()) -> tuple[DataFr
     star = stored(_shared_overlaps(repeated, passage.least))
     pairs = stored(star.filter("id <> hub").groupBy("id", "hub").agg(
         F.min(_low("place")).alias("a"), F.max(_high("place")).alias("b"),
-        F.min(_low("at")).alias("c"), F.max(_high("at")).alias("d")))
+        F.min(_low("at")).alias("c"), F.max(_high("till")).alias("d")))
     shingles = _read_shingles(
         docs, star.select(F.col("id").alias("text_id")).union(star.select("hub")), where, passage.size)
     found = stored(_verified(pairs, shingles, passage))

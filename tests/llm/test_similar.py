@@ -208,6 +208,22 @@ def test_remove_repeats(messy, prose):
     assert sum(prose(7, 60) in (r.text or "") for r in out.collect()) == 1
 
 
+def test_passage_twice_in_one_text(spark, prose):
+    """The smaller text, which represents, or the larger one has the passage at top and bottom."""
+    passage, orders = prose(7, 60), set()
+    for seed in range(6):
+        rows = [(1, f"{passage} {prose(20 + seed, 300)} {passage}"), (2, f"{prose(40 + seed, 50)} {passage} {prose(60 + seed, 50)}")]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        ids = {r.doc_id: r.text_id for r in substring_dedup._rows(df).collect()}
+        if (ids[1] < ids[2]) in orders:
+            continue
+        orders.add(ids[1] < ids[2])
+        got = {(r.doc_id, r.start, r.end) for r in substring_dedup.report(df).collect()}
+        assert got == {(1, 0, 60), (1, 360, 420), (2, 50, 110)}
+        assert sum((r.text or "").count(passage) for r in substring_dedup.remove_repeats(df).collect()) == 1
+    assert orders == {True, False}
+
+
 def test_language_id(spark, messy):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = language_id.report(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
