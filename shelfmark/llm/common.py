@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -35,24 +34,19 @@ def fold_ascii(text: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one all executors share (``spark.checkpoint.dir``).
 
-    Where the setting is absent a local session gets its own temporary folder;
-    a cluster without it is refused.
+    Spark fixes that setting when a session starts, so a session without it is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("start the session with spark.checkpoint.dir, a folder that all executors share")
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
 @contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Send few rows at once to Python while a table is written: texts and sets can be large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, key: str, value: object) -> Iterator[None]:
+    """A session setting for as long as a table is written."""
     before = spark.conf.get(key)
-    spark.conf.set(key, BATCH_ROWS)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
@@ -67,7 +61,8 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_folder(spark)
-    with _small_batches(spark):
+    # Few rows at once go to Python: texts and sets can be large.
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

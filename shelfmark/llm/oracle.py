@@ -169,6 +169,78 @@ SELECT pair_id, k::BIGINT AS n_shared,
 FROM cut
 """
 
+FILTER_AUDIT = """
+WITH d AS (
+  SELECT coalesce(source, '') AS part, coalesce(text, '') AS t, doc_id,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+marked AS (
+  SELECT part, doc_id,
+    CASE WHEN len(w) < 50 THEN 'A' ELSE '' END ||
+    CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END ||
+    CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END ||
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END ||
+    CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM d),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+cell AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (doc_id IN (FROM good)) AS good,
+    count(*) FILTER (doc_id IN (FROM toxic)) AS toxic
+  FROM marked GROUP BY part, fails),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (
+  SELECT filter_order, step, filter_order[step] AS l, filter_order[1:step - 1] AS before
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+hits AS (
+  SELECT c.*, s.*, contains(fails, l) AS fail, before <> '' AND fails <> '' AND len(list_intersect(string_split(fails, ''), string_split(before, ''))) > 0 AS gone
+  FROM cell c, (SELECT filter_order, step, l, before FROM steps) s),
+found AS (
+  SELECT part, filter_order, step, l,
+    sum(CASE WHEN NOT gone AND NOT fail THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN NOT gone AND fail THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN gone AND fail THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = l THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN NOT gone AND fail THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN NOT gone AND fail THEN toxic ELSE 0 END) AS toxic_lost
+  FROM hits GROUP BY part, filter_order, step, l)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+  redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, l))::BIGINT AS shapley
+FROM found
+"""
+
+COLLOCATIONS = f"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({FOLD}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM piece),
+grams AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+cut AS (
+  SELECT lang, phrase, a, c, array_to_string(w[1:c], ' ') AS x, array_to_string(w[c + 1:], ' ') AS y
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM cand)),
+score AS (
+  SELECT cut.lang, cut.phrase, a, c, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.x JOIN f y ON y.lang = cut.lang AND y.phrase = cut.y),
+low AS (SELECT * FROM score QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inner_ AS (
+  SELECT lang, a AS f, array_to_string(w[i : i + n - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, k - n + 2)) AS i FROM cand, (SELECT unnest([2, 3]) AS n) WHERE n < k)),
+gone AS (
+  SELECT DISTINCT cand.lang, cand.phrase FROM cand JOIN inner_ USING (lang, phrase) WHERE 100::HUGEINT * inner_.f >= 80::HUGEINT * cand.a),
+kept AS (SELECT * FROM low ANTI JOIN gone USING (lang, phrase))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase,
+  a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
 ORACLE = {
     "op8_license_scan": _license_scan(),
     "op10_preferences": PREFERENCES,
@@ -177,4 +249,6 @@ ORACLE = {
     "op6_ngram_join": NGRAM_JOIN,
     "op2_exact_dedup": EXACT_DEDUP,
     "op5_decontaminate": DECONTAMINATE,
+    "op13_filter_audit": FILTER_AUDIT,
+    "op12_collocations": COLLOCATIONS,
 }
