@@ -7,6 +7,13 @@ shorter prefixes. As each contiguous occurrence of a phrase begins exactly one
 window, the prefix sums are the counts of all phrases of one to four words, and
 no text is gone through once per length.
 
+A window ends early, padded with NULL, after a word pair that cannot be frequent:
+no frequent phrase holds such a pair, so no count that matters changes, while
+most windows become short and equal. Pairs are counted by hash bucket in a pass
+before, and one bit per bucket says whether the bucket reaches the least count.
+The bit table has a fixed size of 8 MB at any input; pairs that share a bucket
+with others are kept for nothing, which costs rows and changes no result.
+
 Phrases that are frequent enough are written to a table, far smaller than the
 texts. All later steps use it alone: both parts of each cut of a phrase are at
 least as frequent as the phrase, so they are in the table as well.
@@ -33,21 +40,57 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import fold_ascii, small, stored
 
 MAX_WORDS, MIN_COUNT, INSIDE_PERCENT, TOP = 4, 30, 80, 2000
+# Bits of the table of word pairs, 8 MB.
+PAIR_BUCKETS = 1 << 26
 _SCALE = 2_000_000
 _ENDS, _BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 _WINDOW = [f"w{i}" for i in range(1, MAX_WORDS + 1)]
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """``lang, w1..w4``: one row per word, with the words that follow it in its piece."""
+def _zipped(docs: DataFrame, size: int) -> DataFrame:
+    """``lang, w1..``: one row per word, with the words that follow it in its piece."""
     pieces = docs.select(
         F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(fold_ascii(F.col("text")), _ENDS)).alias("piece"))
     words = pieces.select("lang", F.filter(F.split("piece", _BLANKS), lambda w: w != "").alias("w"))
     # Shifted copies of the words, zipped: the shorter ones end with NULL.
     shifted = [F.slice("w", i, F.size("w")).alias(name) if i > 1 else F.col("w").alias(name)
-               for i, name in enumerate(_WINDOW, 1)]
+               for i, name in enumerate(_WINDOW[:size], 1)]
     rows = words.filter(F.size("w") > 0).select("lang", F.explode(F.arrays_zip(*shifted)).alias("z"))
-    return rows.select("lang", *[F.col(f"z.{name}").alias(name) for name in _WINDOW])
+    return rows.select("lang", *[F.col(f"z.{name}").alias(name) for name in _WINDOW[:size]])
+
+
+def _bucket(first: str, second: str) -> Column:
+    return F.xxhash64("lang", first, second).bitwiseAND(PAIR_BUCKETS - 1)
+
+
+def frequent_pairs(docs: DataFrame, min_count: int) -> DataFrame:
+    """One row, ``bits``: a bit for each hash bucket of word pairs, set if it has ``min_count`` pairs.
+
+    An array of 64-bit numbers, put together from blocks so that no task reads more than 1,024 rows of it.
+    """
+    counted = (
+        _zipped(docs, 2).filter(F.col("w2").isNotNull()).groupBy(_bucket("w1", "w2").alias("bucket"))
+        .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
+        .select(F.shiftright("bucket", 6).alias("at"), F.expr("shiftleft(1L, cast(bucket & 63 AS int))").alias("bits"))
+    )
+    every = docs.sparkSession.range(0, PAIR_BUCKETS // 64, numPartitions=8).select(
+        F.col("id").alias("at"), F.lit(0).cast("long").alias("bits"))
+    dense = counted.unionByName(every).groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    blocks = dense.groupBy(F.shiftright("at", 10).alias("block")).agg(F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("part"))
+    rows = blocks.select("block", F.col("part.bits").alias("bits"))
+    return rows.agg(F.flatten(F.sort_array(F.collect_list(F.struct("block", "bits")))["bits"]).alias("bits"))
+
+
+def windows(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+    """``lang, w1..w4``: one row per word, with the words that follow as far as pairs can be frequent."""
+    bits = stored(frequent_pairs(docs, min_count)).scalar()
+    rows, kept, on = _zipped(docs, MAX_WORDS), [F.col("w1")], F.lit(True)
+    for first, second in zip(_WINDOW, _WINDOW[1:], strict=False):
+        word = F.get(bits, F.shiftright(_bucket(first, second), 6).cast("int"))
+        bit = F.getbit(word, _bucket(first, second).bitwiseAND(63).cast("int"))
+        on = on & F.col(second).isNotNull() & (bit == 1)
+        kept.append(F.when(on, F.col(second)).alias(second))
+    return rows.select("lang", *kept)
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
@@ -55,7 +98,7 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
 
     One row per language with ``words`` empty holds its number of words, however small.
     """
-    counted = windows(docs).groupBy("lang", *_WINDOW).agg(F.count(F.lit(1)).alias("n"))
+    counted = windows(docs, min_count).groupBy("lang", *_WINDOW).agg(F.count(F.lit(1)).alias("n"))
     summed = counted.rollup("lang", *_WINDOW).agg(F.sum("n").alias("f"), F.grouping_id().alias("left_out"))
     # grouping_id has a bit for each column that is summed away: k lead columns stay.
     full = (1 << MAX_WORDS) - 1
