@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from shelfmark.llm import secret_links
 from shelfmark.llm.licenses import RULES, SENTENCES
 
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -241,6 +242,67 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
 """
 
+
+def _secret_links() -> str:
+    """Places as running sums of what stands between the matches, links as joins of all parts of a text."""
+    def plain(pattern: str) -> str:
+        return pattern.replace("(", "(?:").replace("'", "''")
+
+    def quoted(pattern: str) -> str:
+        return pattern.replace("'", "''")
+
+    def places(kind: str, pattern: str, text: str, condition: str = "true") -> str:
+        return f"""
+  SELECT k, '{kind}' AS kind, m, s FROM (
+    SELECT k, m, i, sum(length(g) + length(m)) OVER (PARTITION BY k ORDER BY i) - length(m) AS s FROM (
+      SELECT k, unnest(m) AS m, unnest(g[1:len(m)]) AS g, unnest(range(1, len(m) + 1)) AS i FROM (
+        SELECT k, regexp_extract_all({text}, '{plain(pattern)}') AS m, regexp_split_to_array({text}, '{plain(pattern)}') AS g
+        FROM d WHERE regexp_matches({text}, '{plain(pattern)}')))) WHERE {condition}"""
+
+    def reaches(role: str) -> str:
+        return (f"EXISTS (SELECT 1 FROM part o WHERE o.k = p.k AND o.scope = p.scope AND {role} "
+                f"AND o.s <= p.e + {secret_links.REACH} AND o.e >= p.s - {secret_links.REACH})")
+
+    kinds = [
+        places("assign", secret_links.ASSIGN, "l", f"length(regexp_extract(m, '{quoted(secret_links.ASSIGN)}', 2)) >= 12"),
+        places("access", secret_links.ACCESS, "t", "length(m) >= 18"),
+        places("hex", secret_links.HEX, "t"),
+        places("login", secret_links.LOGIN, "l", f"length(regexp_extract(m, '{quoted(secret_links.LOGIN)}', 2)) >= 3"),
+        places("key", secret_links.KEY, "t",
+               "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]')"),
+        places("endpoint", secret_links.ENDPOINT, "l"),
+    ]
+    over = "SELECT 1 FROM {0} o WHERE o.k = p.k AND o.s < p.e AND o.e > p.s"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, {FOLD} AS l FROM documents),
+raw AS ({" UNION ALL ".join(kinds)}),
+ended AS ({places("end", secret_links.SCOPE_END, "t")}),
+p1 AS (
+  SELECT k, kind, s, s + length(m) AS e, kind IN ('assign', 'access', 'hex') AS strong,
+    (SELECT count(*) FROM ended x WHERE x.k = raw.k AND x.s < raw.s) AS scope FROM raw),
+base AS (FROM p1 WHERE strong),
+p2 AS (FROM p1 p WHERE strong OR NOT EXISTS ({over.format("base")})),
+named AS (FROM p2 WHERE kind IN ('login', 'endpoint')),
+part AS (FROM p2 p WHERE kind <> 'key' OR NOT EXISTS ({over.format("named")})),
+seen AS (
+  SELECT *, list_position(['assign', 'access', 'hex', 'login', 'key', 'endpoint'], kind) AS o,
+    {reaches("o.kind IN ('access', 'login')")} AS has_id, {reaches("o.kind IN ('assign', 'hex', 'key')")} AS has_secret
+  FROM part p),
+kept AS (
+  SELECT *, concat_ws(':', kind, s::BIGINT, e::BIGINT) AS span FROM seen
+  WHERE strong OR (kind = 'login' AND has_secret) OR (kind = 'key' AND has_id) OR (kind = 'endpoint' AND has_id AND has_secret)),
+per AS (
+  SELECT k, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (NOT strong) AS n_linked,
+    string_agg(span, ',' ORDER BY s, o) FILTER (strong) AS base, string_agg(span, ',' ORDER BY s, o) AS spans
+  FROM kept GROUP BY k)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+  coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_linked, 0)::BIGINT AS n_linked
+FROM d LEFT JOIN per USING (k)
+"""
+
+
 ORACLE = {
     "op8_license_scan": _license_scan(),
     "op10_preferences": PREFERENCES,
@@ -251,4 +313,5 @@ ORACLE = {
     "op5_decontaminate": DECONTAMINATE,
     "op13_filter_audit": FILTER_AUDIT,
     "op12_collocations": COLLOCATIONS,
+    "op11_secret_links": _secret_links(),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm import (
     chat, collocations, decontaminate, exact_dedup, filter_audit, language_id, licenses, line_dedup, mixing, ngram_join, quality,
-    substring_dedup,
+    secret_links, substring_dedup,
 )
 
 
@@ -60,6 +60,10 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(table(spark, sf_dir, "conversations"))
 
 
+def op11_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_links.report(table(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.report(table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_preferences": op10_preferences,
+    "op11_secret_links": op11_secret_links,
     "op12_collocations": op12_collocations,
     "op13_filter_audit": op13_filter_audit,
 }
