@@ -7,12 +7,13 @@ shorter prefixes. As each contiguous occurrence of a phrase begins exactly one
 window, the prefix sums are the counts of all phrases of one to four words, and
 no text is gone through once per length.
 
-A window ends early, padded with NULL, after a word pair that cannot be frequent:
-no frequent phrase holds such a pair, so no count that matters changes, while
-most windows become short and equal. Pairs are counted by hash bucket in a pass
-before, and one bit per bucket says whether the bucket reaches the least count.
-The bit table has a fixed size of 8 MB at any input; pairs that share a bucket
-with others are kept for nothing, which costs rows and changes no result.
+A window ends early, padded with NULL, after a word pair or triple that cannot
+be frequent: no frequent phrase holds such a part, so no count that matters
+changes, while most windows become short and equal. Pairs, and then triples of
+possible pairs, are counted by hash bucket in passes before, and one bit per
+bucket says whether the bucket reaches the least count. A bit table has a fixed
+size of 8 MB at any input; parts that share a bucket with others are kept for
+nothing, which costs rows and changes no result.
 
 Phrases that are frequent enough are written to a table, far smaller than the
 texts. All later steps use it alone: both parts of each cut of a phrase are at
@@ -40,8 +41,8 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import fold_ascii, small, stored
 
 MAX_WORDS, MIN_COUNT, INSIDE_PERCENT, TOP = 4, 30, 80, 2000
-# Bits of the table of word pairs, 8 MB.
-PAIR_BUCKETS = 1 << 26
+# Bits of a table of word pairs or triples, 8 MB.
+BUCKETS = 1 << 26
 _SCALE = 2_000_000
 _ENDS, _BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 _WINDOW = [f"w{i}" for i in range(1, MAX_WORDS + 1)]
@@ -59,21 +60,41 @@ def _zipped(docs: DataFrame, size: int) -> DataFrame:
     return rows.select("lang", *[F.col(f"z.{name}").alias(name) for name in _WINDOW[:size]])
 
 
-def _bucket(first: str, second: str) -> Column:
-    return F.xxhash64("lang", first, second).bitwiseAND(PAIR_BUCKETS - 1)
+def _set_bit(bits: Column, bucket: Column) -> Column:
+    word = F.get(bits, F.shiftright(bucket, 6).cast("int"))
+    return F.getbit(word, bucket.bitwiseAND(63).cast("int")) == 1
 
 
-def frequent_pairs(docs: DataFrame, min_count: int) -> DataFrame:
-    """One row, ``bits``: a bit for each hash bucket of word pairs, set if it has ``min_count`` pairs.
+def _cut(docs: DataFrame, size: int, tables: list[Column]) -> DataFrame:
+    """``lang, w1..``: windows of ``size`` words that end where a part of 2, 3.. words has no bit in its table."""
+    rows, names = _zipped(docs, size), _WINDOW[:size]
+    parts = {(n, end): names[end - n:end] for n in range(2, len(tables) + 2) for end in range(n, size + 1)}
+    # Buckets are columns of their own, as each is looked up in two steps.
+    hashed = rows.select("lang", *names, *[
+        F.xxhash64("lang", *words).bitwiseAND(BUCKETS - 1).alias(f"b{n}_{end}") for (n, end), words in parts.items()])
+    kept, on = [F.col("w1")], F.lit(True)
+    for end in range(2, size + 1):
+        on = on & F.col(names[end - 1]).isNotNull()
+        for n, bits in enumerate(tables, 2):
+            if (n, end) in parts:
+                on = on & _set_bit(bits, F.col(f"b{n}_{end}"))
+        kept.append(F.when(on, F.col(names[end - 1])).alias(names[end - 1]))
+    return hashed.select("lang", *kept)
+
+
+def frequent_parts(docs: DataFrame, size: int, tables: list[Column], min_count: int) -> DataFrame:
+    """One row, ``bits``: a bit for each hash bucket of parts of ``size`` words, set if it has ``min_count`` of them.
 
     An array of 64-bit numbers, put together from blocks so that no task reads more than 1,024 rows of it.
     """
+    names = _WINDOW[:size]
+    bucket = F.xxhash64("lang", *names).bitwiseAND(BUCKETS - 1)
     counted = (
-        _zipped(docs, 2).filter(F.col("w2").isNotNull()).groupBy(_bucket("w1", "w2").alias("bucket"))
+        _cut(docs, size, tables).filter(F.col(names[-1]).isNotNull()).groupBy(bucket.alias("bucket"))
         .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
         .select(F.shiftright("bucket", 6).alias("at"), F.expr("shiftleft(1L, cast(bucket & 63 AS int))").alias("bits"))
     )
-    every = docs.sparkSession.range(0, PAIR_BUCKETS // 64, numPartitions=8).select(
+    every = docs.sparkSession.range(0, BUCKETS // 64, numPartitions=8).select(
         F.col("id").alias("at"), F.lit(0).cast("long").alias("bits"))
     dense = counted.unionByName(every).groupBy("at").agg(F.bit_or("bits").alias("bits"))
     blocks = dense.groupBy(F.shiftright("at", 10).alias("block")).agg(F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("part"))
@@ -82,15 +103,11 @@ def frequent_pairs(docs: DataFrame, min_count: int) -> DataFrame:
 
 
 def windows(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
-    """``lang, w1..w4``: one row per word, with the words that follow as far as pairs can be frequent."""
-    bits = stored(frequent_pairs(docs, min_count)).scalar()
-    rows, kept, on = _zipped(docs, MAX_WORDS), [F.col("w1")], F.lit(True)
-    for first, second in zip(_WINDOW, _WINDOW[1:], strict=False):
-        word = F.get(bits, F.shiftright(_bucket(first, second), 6).cast("int"))
-        bit = F.getbit(word, _bucket(first, second).bitwiseAND(63).cast("int"))
-        on = on & F.col(second).isNotNull() & (bit == 1)
-        kept.append(F.when(on, F.col(second)).alias(second))
-    return rows.select("lang", *kept)
+    """``lang, w1..w4``: one row per word, with the words that follow as far as they can be in a frequent phrase."""
+    tables: list[Column] = []
+    for size in range(2, MAX_WORDS):
+        tables.append(stored(frequent_parts(docs, size, tables, min_count)).scalar())
+    return _cut(docs, MAX_WORDS, tables)
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
