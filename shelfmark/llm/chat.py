@@ -97,7 +97,7 @@ def loss_chars(side: Column) -> Column:
 def report(turns: DataFrame) -> DataFrame:
     """Pairs of neighbouring conversations: the even id is the chosen one."""
     conv = F.col("conv_id")
-    pairs = format_pairs(conversations(turns, F.floor(conv / 2).cast("long"), F.pmod(conv, F.lit(2)) == 0))
+    pairs = format_pairs(conversations(turns, F.shiftright(conv.cast("long"), 1), F.pmod(conv, F.lit(2)) == 0))
     return pairs.select(
         "pair_id", F.col("n_shared").cast("long"), "prompt", joined(F.col("chosen")).alias("chosen"),
         joined(F.col("rejected")).alias("rejected"), loss_chars(F.col("chosen")).alias("chosen_loss_chars"),

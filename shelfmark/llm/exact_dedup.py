@@ -69,10 +69,21 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_last(docs: DataFrame) -> DataFrame:
-    """Of equal texts the row with the largest id; columns are unchanged."""
-    d, gone = fresh(docs, "_d"), groups(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    gone = stored(gone.withColumnRenamed("doc_id", d))
-    return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col(d)), "left_anti")
+    """Of equal texts the row with the largest id; columns are unchanged.
+
+    Rows are known by id and text together. Of rows with the same id and equal texts one stays, so
+    one of those whose text has no id at all.
+    """
+    d, m = fresh(docs, "_d"), fresh(docs, "_m")
+    found = stored(groups(docs).select(F.col("doc_id").alias(d), F.col("text_sha256").alias(m), "kept"))
+    own = F.sha2(fold_ascii(F.col("text")), 256)
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & (own == F.col(m))
+    kept = docs.join(small(stored(found.filter("not kept").select(d, m).distinct())), same, "left_anti")
+    again = stored(found.filter("kept").groupBy(d, m).count().filter("count > 1").select(d, m))
+    if again.isEmpty():
+        return kept
+    twice = kept.join(small(again), same, "left_semi").withColumn(m, own)
+    return kept.join(small(again), same, "left_anti").unionByName(twice.dropDuplicates(["doc_id", m]).drop(m))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Line dedup by site-relative frequency.
 
 For every host the pages that contain a line are counted and divided by the
-host's pages. A line on more than ``ratio`` of them, and on at least
-``least_pages`` pages, is boilerplate of that host and is dropped from all of
-its pages. Lines are compared without the blanks around them; blank lines are
+host's pages. A line on more than ``ratio`` of them is boilerplate of that host
+and is dropped from all of its pages, at every size of the host; only a line on
+fewer than ``least_pages`` pages, which repeats nothing, stays. Lines are compared without the blanks around them; blank lines are
 neither counted nor dropped. A line is known by two 64-bit hashes.
 
 Edge cases. Rows without host form one host. NULL text stays NULL and counts as
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import BROADCAST_ROWS, fresh, stored
 
-RATIO, LEAST_PAGES = 0.05, 10
+RATIO, LEAST_PAGES = 0.05, 2
 _BLANKS = " \t\r"
 
 

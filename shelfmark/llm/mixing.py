@@ -12,9 +12,11 @@ source is at its share exactly, so it is worked out for one period and laid out
 again and again. A source that runs out leaves: in the period in which it does,
 its share is what it has left, and afterwards the others share its slots in
 their proportion. That gives at most two kinds of period for each source. The
-schedule's size depends on the weights alone: sources without a weight of their
-own are taken together as one, so a table of any number of sources needs no
-longer period. No row is left out and none is repeated.
+schedule's size depends on the weights alone. Sources that are not named are
+streams of their own with the weight ``each``, so the bound holds for them too
+and the period grows with their number; or, where there are very many, one pool
+with ``pool_weight`` (``each=None``), inside which rows keep the digest's order.
+No row is left out and none is repeated.
 
 Within a source rows are in the order of the MD5 digest of ``doc_id``, which
 mixes them and deals them evenly to numbering ranges: a source with a third of
@@ -23,7 +25,7 @@ each other, in any order.
 
 Edge cases. NULL sources are the source '' (with any empty ones). Rows without
 id, rows that repeat and empty texts take places like all others. An empty table gives an empty
-result; an empty weight table makes one pool. Weights are at least 1. The added
+result; an empty weight table gives all sources the same weight. Weights are at least 1. The added
 columns are ``mix_source, mix_slot, mix_position``, under other names (``_1``,
 ...) where the table has them.
 """
@@ -39,7 +41,7 @@ from pyspark.sql import Window as W
 from shelfmark.functions.base import let
 from shelfmark.llm.common import fresh, small, stored
 
-BLOCK_ROWS, POOL, POOL_WEIGHT = 32, "(other)", 1
+BLOCK_ROWS, POOL, POOL_WEIGHT, EACH = 32, "(other)", 1, 1
 # Rows that one numbering range should have.
 _RANGE_ROWS = 1_000
 
@@ -89,7 +91,7 @@ def period_kinds(counts: DataFrame) -> DataFrame:
     B div w and has B mod w blocks for that one. ``kind`` is the first period.
     """
     every = F.collect_list(F.struct(
-        "name", "weight", F.floor(F.col("blocks") / F.col("weight")).alias("full"),
+        "name", "weight", F.expr("blocks div weight").alias("full"),
         (F.col("blocks") % F.col("weight")).alias("rest")))
     changes = F.array_sort(F.array_distinct(F.flatten(F.transform(
         "every", lambda s: F.array(F.lit(0).cast("long"), s["full"], s["full"] + 1)))))
@@ -134,16 +136,19 @@ def _numbered(docs: DataFrame, pool: Column, columns: dict[str, str]) -> tuple[D
 
 
 def mix(docs: DataFrame, weights: dict[str, int], source: str = "source", block_rows: int = BLOCK_ROWS,
-        pool_weight: int = POOL_WEIGHT) -> DataFrame:
+        each: int | None = EACH, pool_weight: int = POOL_WEIGHT) -> DataFrame:
     """Documents with ``mix_source``, ``mix_slot`` (place of the block) and ``mix_position`` (of the row), from 0."""
     added = ("mix_source", "mix_slot", "mix_position")
     columns = {c: fresh(docs, c if c in added else f"_mix_{c}") for c in (*added, "range", "row", "of", "from", "before")}
     name, row = columns["mix_source"], columns["row"]
     given = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    pool = F.when(given.isin(*weights), given).otherwise(F.lit(POOL)) if weights else F.lit(POOL)
+    if each is not None:
+        pool = given
+    else:
+        pool = F.when(given.isin(*weights), given).otherwise(F.lit(POOL)) if weights else F.lit(POOL)
     rows, totals = _numbered(docs, pool, columns)
 
-    target = F.lit(pool_weight)
+    target = F.lit(pool_weight if each is None else each)
     if weights:
         target = F.coalesce(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[F.col("name")], target)
     counts = stored(totals.withColumn("weight", target.cast("long")).withColumn("blocks", F.ceil(F.col("rows") / block_rows)))
@@ -169,7 +174,7 @@ def mix(docs: DataFrame, weights: dict[str, int], source: str = "source", block_
             (block - F.col("had")) % F.col("quota") == F.col("j"))
         slot = F.col("first") + F.floor((block - F.col("had")) / F.col("quota")) * F.col("length")
         kept = [F.col(f"`{c}`") for c in frame.columns]
-        return frame.join(F.broadcast(plan), on).select(*kept, slot.cast("long").alias(out))
+        return frame.join(small(plan), on).select(*kept, slot.cast("long").alias(out))
 
     # The last block of a source may be short: rows after it move up. At most one row per source.
     last = placed(counts.withColumn("last", F.col("blocks") - 1), "name", F.col("last"), "slot")
@@ -177,11 +182,13 @@ def mix(docs: DataFrame, weights: dict[str, int], source: str = "source", block_
     slot = columns["mix_slot"]
     rows = placed(rows, name, F.floor(F.col(row) / block_rows), slot)
     position = F.col(slot) * block_rows + F.col(row) % block_rows
-    for s in short:
-        position = position - F.when(F.col(slot) > s["slot"], s["missing"]).otherwise(0)
+    if short:
+        gaps = F.array(*[F.struct(F.lit(s["slot"]).alias("slot"), F.lit(s["missing"]).alias("missing")) for s in short])
+        position = position - F.aggregate(
+            gaps, F.lit(0).cast("long"), lambda n, s: n + F.when(F.col(slot) > s["slot"], s["missing"]).otherwise(0))
     return rows.withColumn(columns["mix_position"], position.cast("long")).drop(row)
 
 
-def report(docs: DataFrame, weights: dict[str, int], pool_weight: int) -> DataFrame:
+def report(docs: DataFrame, weights: dict[str, int]) -> DataFrame:
     """Place of every document, without its text."""
-    return mix(docs, weights, pool_weight=pool_weight).select("doc_id", "mix_source", "mix_slot", "mix_position")
+    return mix(docs, weights).select("doc_id", "mix_source", "mix_slot", "mix_position")

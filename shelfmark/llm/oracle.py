@@ -57,7 +57,7 @@ bare AS (
   FROM l),
 totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
 seen AS (SELECT source, unnest(names) AS line FROM bare),
-counts AS (SELECT source, line, count(*) AS pages FROM seen GROUP BY source, line HAVING count(*) >= 10),
+counts AS (SELECT source, line, count(*) AS pages FROM seen GROUP BY source, line HAVING count(*) >= 2),
 bad AS (
   SELECT c.source, list(c.line) AS lines FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
   WHERE c.pages > 0.05 * t.total GROUP BY c.source),
@@ -72,10 +72,12 @@ FROM kept
 
 MIX = """
 WITH RECURSIVE given AS (
-  SELECT doc_id, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3', 'src4') THEN source ELSE '(other)' END AS name FROM documents),
+  SELECT doc_id, coalesce(source, '') AS name FROM documents),
 numbered AS (
   SELECT doc_id, name, row_number() OVER (PARTITION BY name ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS r FROM given),
-share(name, w) AS (VALUES ('src0', 6), ('src1', 5), ('src2', 4), ('src3', 3), ('src4', 2), ('(other)', 20)),
+share AS (
+  SELECT DISTINCT name, CASE name WHEN 'src0' THEN 6 WHEN 'src1' THEN 5 WHEN 'src2' THEN 4 WHEN 'src3' THEN 3 WHEN 'src4' THEN 2 ELSE 1 END AS w
+  FROM given),
 src AS (
   SELECT name, w, count(*) AS n, (count(*) + 31) // 32 AS blocks, ((count(*) + 31) // 32) // w AS f, ((count(*) + 31) // 32) % w AS rest
   FROM numbered JOIN share USING (name) GROUP BY name, w),

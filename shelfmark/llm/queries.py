@@ -15,12 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Target weights of the mixture; sources that are not listed share the pool's weight.
-MIXTURE, POOL_WEIGHT = {"src0": 6, "src1": 5, "src2": 4, "src3": 3, "src4": 2}, 20
+# Target weights of the mixture; every other source has weight 1.
+MIXTURE = {"src0": 6, "src1": 5, "src2": 4, "src3": 3, "src4": 2}
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.report(table(spark, sf_dir, "documents"), MIXTURE, POOL_WEIGHT)
+    return mixing.report(table(spark, sf_dir, "documents"), MIXTURE)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,17 @@ def test_exact_dedup(messy):
     assert Counter(tuple(r) for r in got) == want
     kept = exact_dedup.keep_last(messy)
     assert kept.columns == messy.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [2, 4, 5, 6, 7, 8, 9, 10]
+    # The empty text of row 4 stands for both NULL texts; the text without an id has one row.
+    assert sorted((r.doc_id or 0, fold(r.text)) for r in kept.collect()) == sorted(
+        (max((i for i in ids if i), default=0), text) for text, ids in groups.items())
+
+
+def test_keep_last_with_null_repeated_and_shared_ids(spark):
+    rows = [(1, "dup"), (1, "only once"), (5, "DUP"), (None, "unique"), (None, "dup"), (7, "x"), (7, "x"), (7, "X"),
+            (None, "no id"), (None, "NO id"), (8, None), (None, "")]
+    got = exact_dedup.keep_last(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, fold(r.text)) for r in got) == [
+        (0, "no id"), (0, "unique"), (1, "only once"), (5, "dup"), (7, "x"), (8, "")]
 
 
 def test_exact_dedup_without_valid_identifiers(spark, monkeypatch):
@@ -218,3 +228,21 @@ def test_chat(spark):
     assert got[2].chosen == got[2].rejected == [] and got[3].n_shared == 1 and got[3].chosen == [] and len(got[3].rejected) == 2
     assert sorted(got) == [1, 2, 3] and [r.pair_id for r in chat.unpaired(sides).collect()] == [4]
     assert chat.format_pairs(sides.limit(0)).collect() == []
+
+
+def test_pairs_of_wide_and_negative_ids(spark):
+    wide = 1 << 60
+    rows = [(wide + c, 0, "user", f"q{c // 2}") for c in range(4)] + [(wide + c, 1, "assistant", f"a{c}") for c in range(4)]
+    rows += [(-2, 0, "user", "n"), (-1, 0, "user", "n")]
+    got = {r.pair_id: (r.prompt.count("q0"), r.prompt.count("q1"), "a0" in r.chosen, "a3" in r.rejected)
+           for r in chat.report(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    assert got == {wide // 2: (1, 0, True, False), wide // 2 + 1: (0, 1, False, True), -1: (0, 0, False, False)}
+
+
+def test_line_ratio_decides_at_every_size_of_a_host(spark):
+    rows = []
+    for n, shared in ((2, 2), (9, 9), (50, 9), (50, 2), (200, 11), (200, 10)):
+        rows += [(len(rows) + i, ("banner\n" if i < shared else "") + f"own {n} {shared} {i}", f"h{n}/{shared}") for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = {r[0]: r[1] for r in line_dedup.drop_lines(df).filter("text LIKE 'banner%'").groupBy("source").count().collect()}
+    assert left == {"h50/2": 2, "h200/10": 10}  # 4 % and 5 % are not above the ratio

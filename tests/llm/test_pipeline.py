@@ -11,7 +11,7 @@ import corpus_pipeline
 from check_queries import rows_of
 from shelfmark.llm import language_id, mixing
 from shelfmark.llm.oracle import ORACLE
-from shelfmark.llm.queries import MIXTURE, POOL_WEIGHT, QUERIES
+from shelfmark.llm.queries import QUERIES
 from tests.llm.test_exact import scan_by_hand
 from tests.llm.test_similar import components_by_hand
 
@@ -34,7 +34,7 @@ def test_query_equals_its_twin(spark, duck, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 class Row:
@@ -54,7 +54,7 @@ def test_pipeline_by_brute_force(spark):
     for r in rows:
         r.text = "\n".join(
             x for x in r.text.split("\n")
-            if not x.strip(" \t\r") or not (pages[r.source, x.strip(" \t\r")] >= 10 and pages[r.source, x.strip(" \t\r")] > 0.05 * total[r.source]))
+            if not x.strip(" \t\r") or not (pages[r.source, x.strip(" \t\r")] >= 2 and pages[r.source, x.strip(" \t\r")] > 0.05 * total[r.source]))
     least = {d: c for d, _, c in components_by_hand(rows, 5, 80)}
     rows = [r for r in rows if least[r.doc_id] == r.doc_id]
     dirty = {k[0] for k in scan_by_hand(rows, benchmark) if k[5]}
@@ -66,7 +66,7 @@ def test_pipeline_by_brute_force(spark):
     order = defaultdict(list)
     for r in sorted(got, key=lambda r: r.mix_position):
         order[r.mix_source].append(hashlib.md5(str(r.doc_id).encode()).hexdigest())
-    assert all(x == sorted(x) for x in order.values()) and set(order) <= {*MIXTURE, mixing.POOL} and POOL_WEIGHT >= 1
+    assert all(x == sorted(x) for x in order.values())
 
 
 def test_stages_keep_the_columns(spark, messy, tmp_path):

@@ -181,11 +181,11 @@ def test_substring_dedup(spark, messy):
         seen = defaultdict(set)
         for k, (_, w) in enumerate(texts):
             for i in range(len(w) - 49):
-                seen[tuple(w[i:i + 50])].add((tuple(w), k, i))
+                seen[tuple(w[i:i + 50])].add((k, i))
         need = defaultdict(set)
         for places in seen.values():
-            if len({w for w, _, _ in places}) > 1 or len({k for _, k, _ in places}) > 1:
-                for _, k, i in places:
+            if len({k for k, _ in places}) > 1:
+                for k, i in places:
                     need[texts[k][0]].update(range(i, i + 50))
         got, cover, by_id = substring_dedup.report(df).collect(), defaultdict(set), {d: w for d, w in texts}
         for r in got:
@@ -258,7 +258,7 @@ def test_mixing(spark, messy):
     counts, weights = {"a": 4000, "b": 900, "c": 40, "d": 333, None: 60}, {"a": 5, "b": 3, "c": 2}
     rows = [(i, s) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))]
     df = spark.createDataFrame(rows, "doc_id long, source string")
-    got = mixing.mix(df, weights, block_rows=10).collect()
+    got = mixing.mix(df, weights, block_rows=10, each=None).collect()
     assert sorted(r.mix_position for r in got) == list(range(len(rows)))
     assert Counter(r.source for r in got) == Counter(counts)
     slots = {r.mix_slot: r.mix_source for r in got}
@@ -274,3 +274,16 @@ def test_mixing(spark, messy):
     out = mixing.mix(messy.withColumn("mix_slot", F.lit("own")), {"a": 2})
     assert out.columns[-3:] == ["mix_source", "mix_slot_1", "mix_position"] and out.count() == messy.count()
     assert mixing.mix(messy, {}).count() == messy.count() and mixing.mix(messy.limit(0), {"a": 1}).collect() == []
+
+
+def test_every_source_is_a_stream_of_its_own(spark):
+    weights, each = {"s0": 6, "s1": 5, "s2": 4}, 2
+    df = spark.range(20 * 400).selectExpr("id AS doc_id", "concat('s', id % 20) AS source")
+    got = mixing.mix(df, weights, block_rows=10, each=each).collect()
+    assert sorted(r.mix_position for r in got) == list(range(8000))
+    slots, had = {r.mix_slot: r.mix_source for r in got}, Counter()
+    share = {f"s{i}": weights.get(f"s{i}", each) for i in range(20)}
+    total = sum(share.values())
+    for t in range(total * (40 // 6)):  # as long as the heaviest source lasts
+        had[slots[t]] += 1
+        assert all(abs(had[s] - (t + 1) * w / total) < 1 for s, w in share.items())
