@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.llm import decontaminate, language_id, line_dedup, mixing, ngram_join
 from shelfmark.llm.common import stored
-from shelfmark.llm.queries import MIXTURE, POOL_WEIGHT, table
+from shelfmark.llm.queries import MIXTURE, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their place in the mixture."""
-    return mixing.mix(docs, MIXTURE, pool_weight=POOL_WEIGHT)
+    return mixing.mix(docs, MIXTURE)
 
 
 STAGES = [
