@@ -101,10 +101,17 @@ def images(page: Page, area: Sel | None = None) -> Column:
     return let(first(page.select(area)), listed)
 
 
-def details(parsed: DataFrame, site: SiteProfile, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """One detail record per page that has a detail area."""
+def details(parsed: DataFrame, site: SiteProfile, keep: tuple[str, ...] = ("page_id", "url"),
+            reasons: bool = False) -> DataFrame:
+    """One detail record per page that has a detail area; with ``reasons`` the other pages too, with ``parse_error``."""
     page = Page()
-    shown = parsed.withColumn("_area", first(page.select(DETAIL_AREA))).filter(F.col("_area").isNotNull())
+    shown = parsed.withColumn("_area", first(page.select(DETAIL_AREA)))
+    if reasons:
+        none = F.when(F.size("elements") == 0, "no page").when(F.col("_area").isNull(), "no detail area")
+        shown = shown.withColumn("parse_error", F.coalesce("parse_error", none))
+        keep = (*keep, "parse_error")
+    else:
+        shown = shown.filter(F.col("_area").isNotNull())
     named = shown.withColumn("name", page.first_text(Sel(tags=("h1",))))
 
     def shot(kind: str, part: Sel | None) -> Column:

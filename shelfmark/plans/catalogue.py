@@ -22,17 +22,19 @@ def update(pages: DataFrame, progress: Progress, site: SiteProfile, rules: RuleS
     ``progress`` stores the DETAIL layout. Pages without a detail area are not
     marked as done and are tried again with the next batch.
     """
-    return run_batch(pages, progress, lambda new: detail_records(new, site, rules, own_sites))
+    return run_batch(pages, progress, lambda new: detail_records(new, site, rules, own_sites, reasons=True))
 
 
 def detail_records(pages: DataFrame, site: SiteProfile, rules: RuleSet | None = None,
-                   own_sites: DataFrame | None = None) -> DataFrame:
+                   own_sites: DataFrame | None = None, reasons: bool = False) -> DataFrame:
     """Full detail records of raw pages.
 
+    With ``reasons`` there is a row for every page, and ``parse_error`` says why one has no record.
+
     The logo is the best image of the listing's own site when ``own_sites``
     (``url, html``) holds its page, else the best image of the detail area.
     """
-    found = extract.details(parse_pages(pages, DEFAULT_ATTRS), site)
+    found = extract.details(parse_pages(pages, DEFAULT_ATTRS), site, reasons=reasons)
     shown = logos.best_in_page(F.col("images"), F.col("name"), F.lit(site.base_url), site.image_host)
     if own_sites is None:
         logo = shown
@@ -49,4 +51,5 @@ def detail_records(pages: DataFrame, site: SiteProfile, rules: RuleSet | None =
     described = F.when(
         F.col("full_description") != "", category_of(F.col("name"), F.col("full_description"), rules)
     )
-    return found.withColumn("logo_url", logo).withColumn("category", described).select(*DETAIL)
+    return found.withColumn("logo_url", logo).withColumn("category", described).select(
+        *DETAIL, *(["parse_error"] if reasons else []))

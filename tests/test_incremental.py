@@ -1,3 +1,7 @@
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime, timedelta
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +12,9 @@ from shelfmark.plans.catalogue import detail_records, update
 from shelfmark.plans.export import json_to_csv, save_listings
 from shelfmark.schemas import DETAIL
 from shelfmark.settings import SiteProfile
-from shelfmark.sources.progress import Progress
+from shelfmark.sources.keys import KeyIndex
+from shelfmark.sources.manifest import KEPT, Manifest
+from shelfmark.sources.progress import Progress, Retries
 from shelfmark.streaming.ingest import distinct_pages, run_batch, shared_folder, start_stream
 
 LAYOUT = {"page_id": "bigint", "url": "string", "name": "string"}
@@ -169,6 +175,155 @@ def test_many_batches_are_compacted(spark, folder):
         run_batch(some_pages(spark, [i]), progress, work)
     before = final(progress)
     progress.compact("batch")
-    assert final(progress) == before and len(progress._finished("batch")) == 1
+    # The last batch stays by itself, as a stream may repeat it.
+    assert final(progress) == before and [(b["first"], b["last"]) for b in progress.batches("batch")] == [(0, 2), (3, 3)]
     run_batch(some_pages(spark, [1, 6]), progress, work)
     assert [i for i, _, _ in final(progress)] == [1, 2, 3, 4, 6]
+
+
+def streamed(spark, folder, progress, ids, retries=Retries(), then=work):
+    some_pages(spark, ids).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    start_stream(spark, f"{folder}/in", progress, then, f"{folder}/cp", files_per_trigger=1, retries=retries).awaitTermination()
+
+
+def test_a_stream_goes_on_after_compaction(spark, folder):
+    progress = Progress(spark, f"{folder}/p", LAYOUT)
+    for i in (1, 2, 3, 4):
+        streamed(spark, folder, progress, [i])
+    progress.compact("stream")
+    progress.index()
+    streamed(spark, folder, progress, [4, 6, 21])  # 21 has the address of 4
+    assert [i for i, _, _ in final(progress)] == [1, 2, 3, 4, 6]
+    progress.compact("stream")
+    streamed(spark, folder, progress, [1, 7])
+    assert [i for i, _, _ in final(progress)] == [1, 2, 3, 4, 6, 7]
+    assert progress.vacuum(0) > 0 and [i for i, _, _ in final(progress)] == [1, 2, 3, 4, 6, 7]
+
+
+def test_a_repeated_batch_takes_the_place_of_its_first_try(spark, folder):
+    from shelfmark.streaming.ingest import _step
+
+    progress = Progress(spark, f"{folder}/p", LAYOUT)
+    run_batch(some_pages(spark, [1]), progress, work)
+    run_batch(some_pages(spark, [2]), progress, work)
+    run_batch(some_pages(spark, [3]), progress, work)
+    progress.compact("batch")
+    progress.index()
+    _step(some_pages(spark, [3, 4, 1]), progress, work, "batch", 2)
+    assert [i for i, _, _ in final(progress)] == [1, 2, 3, 4] and progress.next_batch("batch") == 3
+
+
+def test_two_writers_at_once_lose_nothing(spark, folder):
+    manifest = Manifest(spark, f"{folder}/m")
+
+    def add(writer):
+        for i in range(25):
+            manifest.commit(lambda state: {"seen": [*state.get("seen", []), f"{writer}:{i}"]})
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(add, "abcd"))
+    version, state = manifest.read()
+    assert version == 100 and sorted(state["seen"]) == sorted(f"{w}:{i}" for w in "abcd" for i in range(25))
+    assert len([f for f in Path(f"{folder}/m").iterdir() if not f.name.startswith(".")]) == KEPT
+
+    progress = Progress(spark, f"{folder}/p", LAYOUT)
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda r: run_batch(some_pages(spark, [1, 2] if r == "x" else [3, 4]), progress, work, run=r), "xy"))
+    assert [i for i, _, _ in final(progress)] == [1, 2, 3, 4]
+
+
+def test_a_table_of_many_batches_opens_with_one_file(spark, folder):
+    progress = Progress(spark, f"{folder}/p", LAYOUT)
+    run_batch(some_pages(spark, [1]), progress, work)
+    one = progress.batches()[0]
+    progress.manifest.commit(lambda state: {**state, "batches": [{**one, "run": "r", "first": i, "last": i} for i in range(10_000)]})
+    opened = []
+
+    class Counting:
+        def __init__(self, files):
+            self.files = files
+
+        def __getattr__(self, name):
+            return (lambda *a: opened.append(1) or self.files.open(*a)) if name == "open" else getattr(self.files, name)
+
+    progress.manifest.files = Counting(progress.manifest.files)
+    assert progress.next_batch("r") == 10_000 and len(opened) == 1
+
+
+def test_queue_waits_gives_up_and_keeps_each_page_once(spark, folder):
+    progress, retries, start = Progress(spark, f"{folder}/p", LAYOUT), Retries(limit=3, wait_seconds=60), datetime(2024, 1, 1)
+    tried = []
+
+    def never(pages):
+        tried.append(sorted(r.page_id for r in pages.select("page_id").collect()))
+        return work(pages).filter("page_id <> 2")
+
+    nothing, at = some_pages(spark, [1]).limit(0), lambda s: start + timedelta(seconds=s)
+    run_batch(some_pages(spark, [1, 2]), progress, never, retries=retries, now=at(0))
+    for seconds in (59, 60, 179, 180, 1000):
+        run_batch(nothing, progress, never, retries=retries, now=at(seconds))
+    # Due after 60 seconds, then after 120 more; three times in all.
+    assert tried == [[1, 2], [], [2], [], [2], []]
+    assert progress.rejected("batch").count() == 0
+    assert [tuple(r) for r in progress.dead_letters("batch").drop("html").collect()] == [(2, "https://h/2", "no record", 3)]
+    assert len(list(Path(f"{folder}/p/stored").iterdir())) == 1
+    progress.compact("batch")
+    assert progress.dead_letters("batch").first()["html"] == "<title>t2</title>"
+    # A new copy of a dead page is tried, and its success ends the matter.
+    run_batch(some_pages(spark, [2]), progress, work, retries=retries, now=at(2000))
+    assert progress.dead_letters("batch").count() == 0 and [i for i, _, _ in final(progress)] == [1, 2]
+
+
+def test_work_runs_once_for_rows_and_reasons(spark, folder):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(pages):
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return pages.mapInArrow(count, pages.schema).selectExpr(
+            "page_id", "url", "'n' AS name", "CASE WHEN page_id = 2 THEN 'broken' END AS parse_error")
+
+    progress = Progress(spark, f"{folder}/p", LAYOUT)
+    run_batch(some_pages(spark, [1, 2, 3]), progress, told)
+    assert seen.value == 3
+    assert [(r.page_id, r.reason) for r in progress.rejected("batch").collect()] == [(2, "broken")]
+
+
+def test_catalogue_tells_why_a_page_cannot_be_read(spark, folder):
+    progress = Progress(spark, f"{folder}/p", DETAIL)
+    pages = spark.createDataFrame([(1, "u", "<h1>x</h1>"), (2, "v", None)], "page_id long, url string, html string")
+    update(pages, progress, SiteProfile())
+    assert {r.page_id: r.reason for r in progress.rejected("batch").collect()} == {1: "no detail area", 2: "no page"}
+
+
+def test_key_index(spark, folder):
+    index = KeyIndex(spark, f"{folder}/k")
+    index.build(spark.range(20_000).selectExpr("concat('k', id) AS key").union(spark.sql("SELECT cast(null AS string)")))
+    asked = spark.range(19_000, 24_000).selectExpr("concat('k', id) AS key")
+    assert index.candidates(asked).count() < 1000 + 0.05 * 4000
+    seen = index.seen(asked.union(asked))
+    assert sorted(r.key for r in seen.collect()) == sorted(f"k{i}" for i in range(19_000, 20_000))
+    few = index.seen(spark.createDataFrame([("k7",), ("k8",), (None,), ("new",)], "key string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = few._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(r.key for r in few.collect()) == ["k7", "k8"]
+    # The history is read by bucket and by folder, and what stands above it up to the join moves nothing.
+    lines = [line for line in plan.split("== Initial Plan ==")[-1].splitlines() if line.strip()]
+    at = next(i for i, line in enumerate(lines) if "Bucketed: true" in line)
+    assert "PartitionFilters: [slot" in lines[at]
+    depth, above = len(lines[at]) - len(lines[at].lstrip(" :+-")), []
+    for line in reversed(lines[:at]):
+        indent = len(line) - len(line.lstrip(" :+-"))
+        if indent < depth:
+            depth = indent
+            above.append(line.lstrip(" :+-"))
+    assert not any("Exchange" in line for line in above[:[i for i, line in enumerate(above) if "SortMergeJoin" in line][0]])
+    empty = KeyIndex(spark, f"{folder}/none")
+    empty.build(asked.limit(0))
+    assert empty.seen(asked).count() == 0
