@@ -308,12 +308,19 @@ def fields_by(parsed: DataFrame, registry: dict[str, tuple[Sel, ...]],
 
 
 def registry_fields(parsed: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """Text of each registered field with its fallback, ``N/A`` when absent."""
+    """Each registered field with its fallback, ``N/A`` when absent: the text, or the address of images and links."""
     page = Page()
-    texts = ("name", "description", "category", "monthly_traffic", "rating", "pricing_model", "api_info")
+    texts = ("tool_card", "name", "description", "category", "monthly_traffic", "rating", "pricing_model", "api_info")
+    addresses = {"image_url": "src", **dict.fromkeys(
+        ("pricing_link", "twitter_link", "facebook_link", "linkedin_link", "instagram_link", "support_email"), "href")}
+
+    def address(field: str, attr: str) -> Column:
+        return F.coalesce(page.first_attr(attr, *REGISTRY.get(field, ()), *FALLBACKS.get(field, ())), F.lit("N/A"))
+
     return parsed.select(
         *keep,
         *[page.text_or(REGISTRY[field], FALLBACKS.get(field, ())).alias(field) for field in texts],
+        *[address(field, attr).alias(field) for field, attr in addresses.items()],
         features(page).alias("features"),
     )
 

@@ -549,10 +549,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT page_id, CAST(ordinal AS INT) AS ordinal, {untagged(paragraph)} AS text FROM y""",
         "strip_non_content": f"""
             SELECT page_id, {untagged("regexp_replace(html, '(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->', '', 'g')")} AS content FROM pages""",
-        "page_tag_counts": "SELECT page_id, tag, n FROM (" + " UNION ALL ".join(
-            f"SELECT page_id, '{t}' AS tag, len(regexp_extract_all(html, '<{t}[ >]')) AS n FROM pages"
-            for t in ("a", "li", "p", "b", "h1", "br")
-        ) + ") WHERE n > 0",
+        "page_tag_counts": """
+            SELECT page_id, tag, count(*) AS n
+            FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages)
+            WHERE tag NOT IN ('script', 'style') GROUP BY page_id, tag""",
         "page_elements_by_sql": f"SELECT page_id, {untagged('regexp_extract(html, ' + _q('(?s)<h1>(.*?)</h1>') + ', 1)')} AS text FROM pages",
         "page_details": f"""
             SELECT p_partkey AS page_id, {H1} AS name, {shot('full')} AS full_screenshot_url, {shot('content')} AS content_screenshot_url,
@@ -580,7 +580,13 @@ def oracle_sql() -> dict[str, str]:
         "catalogue_records": f"""
             WITH pg AS (SELECT *, p_partkey AS page_id, {H1} AS h1, {DETAIL_TEXT} AS descr FROM part WHERE {HAS_AREA}),
             {classified("SELECT page_id AS key, h1 AS name, descr FROM pg")}
-            SELECT page_id, h1 AS name, CASE WHEN page_id % 2 = 1 THEN 'https://site' || page_id || '.example.org/' END AS website,
+            SELECT page_id, 'https://directory.example.com/tool/' || page_id AS url, h1 AS name,
+              CASE WHEN page_id % 2 = 1 THEN 'https://site' || page_id || '.example.org/' END AS website,
+              {shot('full')} AS full_screenshot_url, {shot('content')} AS content_screenshot_url, {shot('content')} AS img_url,
+              CASE WHEN page_id % 4 <> 0 THEN {shot('features')} END AS features_screenshot_url,
+              CASE WHEN page_id % 3 <> 0 THEN {shot('hero')} END AS hero_screenshot_url,
+              p_name || ' & ' || p_brand AS meta_description, pg.descr AS full_description, {FEATURE_TEXT} AS features,
+              {SOCIAL} AS social_links, CASE WHEN page_id % 5 <> 0 THEN '/pricing/' || page_id END AS pricing_link,
               CASE WHEN page_id % 2 = 1 AND p_size % 2 = 0 THEN 'https://site' || page_id || '.example.org/brand' || page_id || '.svg'
                 ELSE {DIRECTORY_LOGO} END AS logo_url, category
             FROM pg JOIN verdict ON key = page_id""",
@@ -601,7 +607,15 @@ def oracle_sql() -> dict[str, str]:
               'N/A' AS description, 'Cat ' || p_size AS category,
               CASE WHEN p_partkey % 2 = 0 THEN p_size || 'K' ELSE 'N/A' END AS monthly_traffic,
               CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size % 6 AS VARCHAR) ELSE CAST(p_size % 5 AS VARCHAR) END AS rating,
-              'N/A' AS pricing_model, 'N/A' AS api_info, 'Fast' || p_type AS features FROM part""",
+              'N/A' AS pricing_model, 'N/A' AS api_info, 'Fast' || p_type AS features,
+              p_name || 'Text ' || p_type AS tool_card, ' /i' || p_size || '.png ' AS image_url,
+              'N/A' AS pricing_link, 'N/A' AS twitter_link, 'N/A' AS facebook_link, 'N/A' AS linkedin_link,
+              'N/A' AS instagram_link, 'N/A' AS support_email FROM part""",
+        "fields_by_selector_table": f"""
+            SELECT page_id, {title} AS title, {strip(decoded("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"))} AS lead,
+              {strip(decoded("regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1)"))} AS notice,
+              {strip(decoded("regexp_extract(html, '<nav><ul><li><a href=\"[^\"]*\">(.*?)</a>', 1)"))} AS first_entry, 'N/A' AS price
+            FROM pages""",
         # logos
         "logo_candidates": candidates(directory=False),
         "logo_candidates_directory": candidates(directory=True),
@@ -620,6 +634,37 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS batch_id
             FROM pages""",
         "stream_results": f"SELECT page_id, url, {title} AS name FROM pages",
+        "compacted_stream": f"SELECT page_id, url, {title} AS name, page_id % 4 AS batch_id FROM pages",
+        "resumed_stream": f"SELECT page_id, url, {title} AS name, page_id % 2 AS batch_id FROM pages",
+        "retry_schedule": """
+            SELECT page_id, url, 'try ' || page_id % 5 AS reason, 2 AS attempts,
+              CASE WHEN page_id % 3 = 0 THEN 'open' ELSE 'done' END AS state, 180 AS due_after
+            FROM pages WHERE page_id % 3 = 0
+            UNION ALL SELECT page_id, url, 'no record', 2, 'done', 180 FROM pages WHERE page_id % 3 <> 0 AND page_id % 5 = 1""",
+        "dead_letters": """
+            SELECT page_id, url, 'try ' || page_id % 5 AS reason, 2 AS attempts, html FROM pages WHERE page_id % 3 = 0""",
+        "frontier_by_key_index": """
+            SELECT DISTINCT 'https://directory.example.com/order/' || l_orderkey AS url FROM lineitem
+            WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""",
+        "stream_distinct_pages": """
+            WITH v AS (
+              SELECT 'https://directory.example.com/' || event_type || '/' || user_id AS url,
+                date_diff('day', DATE '2024-01-01', ts::DATE) // 8 AS part, min(ts) AS seen FROM events GROUP BY 1, 2),
+            w AS (SELECT part, max(seen) - INTERVAL 2 DAY AS mark FROM v GROUP BY part),
+            e0 AS (FROM v WHERE part = 0),
+            e1 AS (FROM v WHERE part = 1 AND url NOT IN (
+              SELECT url FROM e0 WHERE seen + INTERVAL 2 DAY > (SELECT mark FROM w WHERE part = 0))),
+            e2 AS (FROM v WHERE part = 2 AND url NOT IN (
+              SELECT url FROM (FROM e0 UNION ALL FROM e1) WHERE seen + INTERVAL 2 DAY > (SELECT mark FROM w WHERE part = 1))),
+            e3 AS (FROM v WHERE part = 3 AND url NOT IN (
+              SELECT url FROM (FROM e0 UNION ALL FROM e1 UNION ALL FROM e2)
+              WHERE seen + INTERVAL 2 DAY > (SELECT mark FROM w WHERE part = 2)))
+            SELECT url, part::INTEGER AS came FROM (FROM e0 UNION ALL FROM e1 UNION ALL FROM e2 UNION ALL FROM e3)""",
+        "records_from_json": on_listings(
+            "name, full_description, support_email, image_url, links_json AS social_links, unnest(['lines', 'array']) AS form"),
+        "empty_write": """
+            SELECT form, kept, kept = 'all' AS had_rows, CASE WHEN kept = 'all' THEN (SELECT count(*) FROM part) ELSE 0 END AS n_rows
+            FROM (SELECT unnest(['json', 'csv', 'folders']) AS form), (SELECT unnest(['all', 'none']) AS kept)""",
         # files
         "sorted_json_keys": on_listings("tool_id, to_json({'name': name, 'rating': rating, 'tool_id': tool_id})::VARCHAR AS record"),
         "text_preview": "SELECT doc_id, left(text, 80) AS preview FROM documents",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +13,16 @@ from shelfmark.functions import arrays, labels, sections, text, urls
 from shelfmark.functions.base import first_filled, strip
 from shelfmark.operators import extract, logos, merge, quality, records, rules, summary
 from shelfmark.operators.elements import explode_elements, parse_pages, register_html_elements
-from shelfmark.operators.matching import Page, Sel
+from shelfmark.operators.matching import Page, Sel, selectors_from
 from shelfmark.plans import inputs
 from shelfmark.plans.catalogue import detail_records
 from shelfmark.schemas import FLAT_COLUMNS
 from shelfmark.settings import SiteProfile
-from shelfmark.sources.progress import Progress
+from shelfmark.sources.keys import KeyIndex
+from shelfmark.sources.progress import Progress, Retries
 from shelfmark.sources import writers
-from shelfmark.sources.readers import listing_pages, read_html_files
-from shelfmark.streaming.ingest import run_batch, shared_folder, start_stream
+from shelfmark.sources.readers import listing_pages, read_html_files, read_records
+from shelfmark.streaming.ingest import distinct_pages, run_batch, shared_folder, start_stream
 
 SITE = SiteProfile()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -604,9 +606,7 @@ def strip_non_content(spark, sf_dir):
 @query
 def page_tag_counts(spark, sf_dir):
     rows = explode_elements(_parsed(spark, sf_dir), "page_id")
-    return rows.filter(F.col("tag").isin("a", "li", "p", "b", "h1", "br")).groupBy("page_id", "tag").agg(
-        F.count("*").alias("n")
-    )
+    return rows.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 @query
@@ -674,7 +674,9 @@ def platform_links(spark, sf_dir):
 def catalogue_records(spark, sf_dir):
     pages = inputs.detail_pages(spark, sf_dir)
     own = inputs.own_sites(spark, sf_dir)
-    return detail_records(pages, SITE, DEFAULT, own).select("page_id", "name", "website", "logo_url", "category")
+    return detail_records(pages, SITE, DEFAULT, own).withColumns({
+        "features": F.array_join("features", "|"), "social_links": F.array_join("social_links", "|"),
+    })
 
 
 @query
@@ -714,6 +716,17 @@ def registry_fields(spark, sf_dir):
     return extract.registry_fields(_lists(spark, sf_dir)).drop("url").withColumn("features", F.array_join("features", "|"))
 
 
+@query
+def fields_by_selector_table(spark, sf_dir):
+    """Fields whose selectors are rows of a table; two of a field are tried by priority."""
+    table = spark.createDataFrame([
+        ("title", 1, "title", None, None), ("lead", 1, None, "no-such-class", None), ("lead", 2, "h1 h2", None, None),
+        ("notice", 1, "div", "ad", None), ("first_entry", 1, "a", None, "li"), ("price", 1, "span", "price", None),
+    ], "field string, priority int, tag string, class_name string, parent_tag string")
+    parsed = parse_pages(inputs.table(spark, sf_dir, "pages"))
+    return extract.fields_by(parsed, selectors_from(table)).drop("url")
+
+
 # -- logos -----------------------------------------------------------------
 def _external(spark, sf_dir) -> DataFrame:
     return logos.candidates(inputs.images(spark, sf_dir), "tool_id", F.lit("https://shop.example.com/x"))
@@ -795,3 +808,156 @@ def stream_results(spark, sf_dir):
     checkpoint = shared_folder(spark, f"shelfmark-stream-{uuid.uuid4().hex}")
     start_stream(spark, arriving, progress, _titles, checkpoint).awaitTermination()
     return progress.results().select("page_id", "url", "name")
+
+
+def _arrivals(spark, sf_dir, portions: int) -> tuple[list[DataFrame], str]:
+    """The pages table in portions that arrive one after the other, and the folder they arrive in."""
+    pages = inputs.table(spark, sf_dir, "pages")
+    return [pages.filter(F.pmod("page_id", F.lit(portions)) == i) for i in range(portions)], _folder(spark, "arriving")
+
+
+@query
+def compacted_stream(spark, sf_dir):
+    """Batches of a stream, compacted and indexed, then more batches of the same stream."""
+    progress, checkpoint = _progress(spark), _folder(spark, "stream")
+    portions, folder = _arrivals(spark, sf_dir, 4)
+    for i, portion in enumerate(portions):
+        # The last portion brings back pages of the first.
+        rows = portion if i < 3 else portion.unionByName(portions[0])
+        rows.write.mode("append").parquet(folder)
+        start_stream(spark, folder, progress, _titles, checkpoint).awaitTermination()
+        if i == 2:
+            progress.compact("stream")
+            progress.index()
+    return progress.results().select("page_id", "url", "name", "batch_id")
+
+
+@query
+def resumed_stream(spark, sf_dir):
+    """A stream whose second batch fails at first and is taken up by the next start."""
+    progress, checkpoint = _progress(spark), _folder(spark, "stream")
+    portions, folder = _arrivals(spark, sf_dir, 2)
+    calls = []
+
+    def shaky(pages: DataFrame) -> DataFrame:
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return _titles(pages)
+
+    for portion in portions:
+        portion.write.mode("append").parquet(folder)
+        stream = start_stream(spark, folder, progress, shaky, checkpoint)
+        try:
+            stream.awaitTermination()
+        except Exception:
+            if len(calls) != 2:
+                raise
+            start_stream(spark, folder, progress, shaky, checkpoint).awaitTermination()
+    return progress.results().select("page_id", "url", "name", "batch_id")
+
+
+_START = datetime(2024, 1, 1)
+
+
+def _failing(spark, sf_dir, retries: Retries, at: tuple[int, ...]) -> Progress:
+    """A batch of all pages and empty ones at later times; every third page always fails, others of every fifth at first."""
+    progress = _progress(spark)
+    pages = inputs.table(spark, sf_dir, "pages")
+    for n, seconds in enumerate((0, *at)):
+        fails = "page_id % 3 = 0 OR page_id % 5 = 1" if n == 0 else "page_id % 3 = 0"
+
+        def work(new: DataFrame, fails: str = fails) -> DataFrame:
+            told = F.expr(f"CASE WHEN {fails} THEN 'try ' || cast(page_id % 5 AS string) END")
+            return _titles(new).withColumn("parse_error", told)
+
+        run_batch(pages if n == 0 else pages.limit(0), progress, work, retries=retries, now=_START + timedelta(seconds=seconds))
+    return progress
+
+
+@query
+def retry_schedule(spark, sf_dir):
+    """State of every failed page: tried at once, at 30 seconds (none due) and at 60."""
+    progress = _failing(spark, sf_dir, Retries(limit=5, wait_seconds=60), (30, 60))
+    due = (F.unix_micros("due") - F.unix_micros(F.lit(_START).cast("timestamp"))) / 1_000_000
+    return progress.queue("batch").select(
+        "page_id", "url", "reason", "attempts", "state", F.round(due).cast("long").alias("due_after"))
+
+
+@query
+def dead_letters(spark, sf_dir):
+    """Pages given up after the second try, with the text that was kept when they came."""
+    progress = _failing(spark, sf_dir, Retries(limit=2, wait_seconds=60), (60, 600))
+    return progress.dead_letters("batch")
+
+
+@query
+def frontier_by_key_index(spark, sf_dir):
+    """Orders of line items that an index of the finished orders does not hold."""
+    def address(number: str) -> Column:
+        return F.concat(F.lit("https://directory.example.com/order/"), F.col(number)).alias("key")
+
+    index = KeyIndex(spark, _folder(spark, "keys"))
+    index.build(inputs.table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(address("o_orderkey")))
+    return index.unseen(inputs.table(spark, sf_dir, "lineitem").select(address("l_orderkey"))).withColumnRenamed("key", "url")
+
+
+@query
+def stream_distinct_pages(spark, sf_dir):
+    """First visits to an address within two days, over four files with a restart after each.
+
+    A visit is the day's first of a user and kind of event. The last file also brings the visits of the
+    first again, far behind the watermark.
+    """
+    events = inputs.table(spark, sf_dir, "events")
+    url = F.concat_ws("/", F.lit("https://directory.example.com"), "event_type", "user_id")
+    part = F.expr("cast(datediff(ts, date'2024-01-01') div 8 AS int)")
+    visits = events.select(url.alias("url"), part.alias("part"), F.col("ts").cast("timestamp").alias("ts")).groupBy("url", "part").agg(F.min("ts").alias("seen_at"))
+    folder, checkpoint, out = _folder(spark, "visits"), _folder(spark, "visits-state"), _folder(spark, "distinct")
+    for part in range(4):
+        # The time of a late visit is that of the first part; the column says when it came.
+        rows = visits.filter(F.col("part") == part)
+        if part == 3:
+            rows = rows.unionByName(visits.filter("part = 0"))
+        rows.select("url", "seen_at", F.lit(part).alias("came")).coalesce(1).write.mode("append").parquet(folder)
+        arriving = spark.readStream.schema("url string, seen_at timestamp, came int").parquet(folder)
+        (distinct_pages(arriving, "seen_at", "2 days").writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema("url string, seen_at timestamp, came int").parquet(out).select("url", "came")
+
+
+@query
+def records_from_json(spark, sf_dir):
+    """Records written one per line and as one array, each read by the reader for its form."""
+    shown = inputs.listings(spark, sf_dir).select(
+        "name", "full_description", "support_email", "image_url", F.col("links_json").alias("social_links"))
+    lines, array = _folder(spark, "lines"), _folder(spark, "array")
+    writers.write_json(shown, lines)
+    # As exports have it: a file is one array. Such a file cannot be split, so each has 5,000 records at most.
+    numbered = inputs.listings(spark, sf_dir).select(
+        F.expr("tool_id div 5000").alias("file"), F.to_json(F.struct(*[
+            c.alias(n) for n, c in zip(shown.columns, (F.col("name"), F.col("full_description"), F.col("support_email"),
+                                                       F.col("image_url"), F.col("links_json")), strict=True)])).alias("r"))
+    numbered.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ","), F.lit("]")).alias("value")).write.partitionBy(
+        "file").text(array)
+    both = [read_records(spark, path, array_file=one).select(shown.columns).withColumn("form", F.lit(name))
+            for path, one, name in ((lines, False, "lines"), (array, True, "array"))]
+    return both[0].unionByName(both[1])
+
+
+@query
+def empty_write(spark, sf_dir):
+    """Whether each form of output had rows: for all listings, and for those of a size no part has."""
+    parts = inputs.table(spark, sf_dir, "part").select("p_partkey", "p_name", F.coalesce("p_type", F.lit("")).alias("category"))
+    sizes = inputs.table(spark, sf_dir, "part").select("p_partkey").filter("p_size < 0")
+    rows = []
+    for name, write in (("json", writers.write_json), ("csv", writers.write_csv), ("folders", writers.write_by_category)):
+        for kept, df in (("all", parts), ("none", parts.join(sizes, "p_partkey", "left_semi"))):
+            path = _folder(spark, name)
+            told = write(df, path)
+            back = spark.read.schema("p_partkey bigint").json(path) if name == "json" else (
+                spark.read.schema("p_partkey bigint").option("header", True).csv(path) if name == "csv"
+                else spark.read.schema("p_partkey bigint").parquet(path))
+            rows.append(back.agg(F.count(F.lit(1)).alias("n_rows")).select(
+                F.lit(name).alias("form"), F.lit(kept).alias("kept"), F.lit(told).alias("had_rows"), "n_rows"))
+    return merge.append(*rows)

@@ -79,6 +79,10 @@ class KeyIndex:
             hit = hit & (F.getbit(F.get("bits", F.shiftright(place, 6).cast("int")), place.bitwiseAND(63).cast("int")) == 1)
         return found.filter(hit).select("key", "slot")
 
+    def unseen(self, keys: DataFrame) -> DataFrame:
+        """The distinct ``keys`` that the index does not hold."""
+        return keys.select("key").distinct().join(self.seen(keys), "key", "left_anti")
+
     def seen(self, keys: DataFrame) -> DataFrame:
         """Those of ``keys`` that the index holds. Slots are collected, at most their number."""
         maybe = self.candidates(keys)
