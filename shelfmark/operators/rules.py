@@ -12,6 +12,9 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -363,9 +366,37 @@ def explain_matches(df: DataFrame, key: str, name: ColumnLike, description: Colu
     )
 
 
-def _fragments(text: Column, size: int) -> Column:
-    """Fragments of ``size`` characters at every place of a text."""
-    return F.regexp_extract_all(text, F.lit(f"(?=(.{{{size}}}))"), F.lit(1))
+# Characters of cleaned text, and where the numbers of fragments of one, two and three of them begin.
+_LETTERS = " abcdefghijklmnopqrstuvwxyz0123456789"
+_STARTS = (0, len(_LETTERS), len(_LETTERS) + len(_LETTERS) ** 2)
+_FRAGMENTS = sum(len(_LETTERS) ** size for size in (1, 2, 3))
+
+
+def _fragment_numbers(texts: pa.Array) -> pa.Array:
+    """For each cleaned text the numbers of the fragments of one to three characters it holds, each once."""
+    codes = np.zeros(256, np.int32)
+    codes[np.frombuffer(_LETTERS.encode(), np.uint8)] = np.arange(len(_LETTERS))
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    letters = codes[np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]]] if data else np.zeros(0, np.int32)
+    found, ends = [], [0]
+    for start, end in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0], strict=True):
+        text, held = letters[start:end], np.zeros(_FRAGMENTS, bool)
+        number = text
+        for size, first in enumerate(_STARTS):
+            if size:
+                number = number[:-1] * len(_LETTERS) + text[size:]
+            held[first + number] = True
+        found.append(np.flatnonzero(held))
+        ends.append(ends[-1] + len(found[-1]))
+    return pa.ListArray.from_arrays(
+        pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int32()))
+
+
+def _fragments(text: Column) -> Column:
+    """Numbers of a cleaned text's fragments, worked out a batch at a time."""
+    return F.arrow_udf(_fragment_numbers, "array<int>")(text)
 
 
 def _rows(df: DataFrame, key: str, name: ColumnLike, description: ColumnLike) -> DataFrame:
@@ -376,35 +407,28 @@ def _rows(df: DataFrame, key: str, name: ColumnLike, description: ColumnLike) ->
 def _scores_by_join(records: DataFrame, key: str, rules: DataFrame) -> DataFrame:
     """``_row, key, category, cat_order, score`` for every category with a score, shuffled once, by ``_row``.
 
-    A keyword can only occur in a text that holds one of its fragments of three
-    characters (or all of it, if shorter); the fragment that the fewest texts
-    hold is looked up. Rules go to the texts in parts of a bounded size, one
-    pass over the texts each, and are tested there, so no text is moved.
+    A keyword can only occur in a text that holds all its fragments of three
+    characters (or all of it, if shorter); the one that fewest keywords have is
+    looked up. Rules go to the texts in parts of a bounded size, one pass over
+    the texts each, and are tested there, so no text is moved. The rules are
+    counted first; nothing else runs before the result is asked for.
     """
+    parts = max(1, -(-rules.count() // BROADCAST_RULES))
+    if parts == 1:
+        rules = rules.coalesce(1)  # few enough for one task, which then needs no shuffle for its groupings
     firsts = rules.groupBy("category").agg(F.min("cat_order").alias("cat_order"))
     cleaned = (
         rules.select("category", match_text("keyword").alias("keyword"), F.col("weight").cast("double").alias("weight"))
         .filter("keyword <> ''").groupBy("category", "keyword").agg(F.sum("weight").alias("weight"))
         .join(firsts, "category")
     )
-    sizes = sorted(r[0] for r in cleaned.select(F.least(F.length("keyword"), F.lit(3))).distinct().collect())
-    if not sizes:
-        return records.limit(0).select(
-            "_row", key, F.lit("").alias("category"), F.lit(0).alias("cat_order"), F.lit(0.0).alias("score"))
-    found = F.array_distinct(F.concat(*[_fragments(F.col("text.padded"), size) for size in sizes]))
-    # Fragments are made of 37 characters: there are fewer than 52,100 of them, whatever the number of texts.
-    uses = records.select(each(found).alias("fragment")).groupBy("fragment").agg(F.count(F.lit(1)).alias("uses"))
-    own = F.when(F.length("keyword") < 3, F.array("keyword")).otherwise(_fragments(F.col("keyword"), 3))
-    rarest = (
-        cleaned.withColumn("fragment", F.explode(own)).join(F.broadcast(uses), "fragment")
-        .groupBy("category", "keyword", "weight", "cat_order")
-        .agg(F.count(F.lit(1)).alias("known"), F.min_by("fragment", F.struct("uses", "fragment")).alias("fragment"))
-        # A fragment that no text holds rules the keyword out.
-        .filter(F.col("known") >= F.when(F.length("keyword") < 3, 1).otherwise(F.length("keyword") - 2))
-        .drop("known").persist()
-    )
-    parts = max(1, -(-rarest.count() // BROADCAST_RULES))
-    pieces = records.select(key, "_row", "text", each(found).alias("fragment"))
+    # The fragments of the keyword's own size, or of three characters.
+    longest = F.array(*[F.lit(start) for start in _STARTS])[F.least(F.length("keyword"), F.lit(3)) - 1]
+    held = cleaned.withColumn("fragment", F.explode(_fragments(F.col("keyword")))).filter(F.col("fragment") >= longest)
+    uses = held.groupBy("fragment").agg(F.count(F.lit(1)).alias("uses"))
+    rarest = held.join(uses, "fragment").groupBy("category", "keyword", "weight", "cat_order").agg(
+        F.min_by("fragment", F.struct("uses", "fragment")).alias("fragment"))
+    pieces = records.select(key, "_row", "text", each(_fragments(F.col("text.padded"))).alias("fragment"))
     hits = None
     for part in range(parts):
         some = rarest.filter(F.pmod(F.xxhash64("category", "keyword"), F.lit(parts)) == part)

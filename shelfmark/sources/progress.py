@@ -62,7 +62,8 @@ class Progress:
 
     def _read(self, kind: str, layout: Layout, folders: list[str]) -> DataFrame:
         if not folders:
-            return self.spark.createDataFrame([], ddl(layout))
+            # Empty in a way that the optimizer sees, so that joins with it fall away.
+            return self.spark.range(1).select(*[F.lit(None).cast(t).alias(c) for c, t in layout.items()]).filter(F.lit(False))
         return self.spark.read.schema(ddl(layout)).parquet(*[f"{self.path}/{kind}/{f}" for f in folders])
 
     def _outcomes(self, batches: list[dict]) -> DataFrame:
@@ -113,10 +114,15 @@ class Progress:
 
     def kept_pages(self, events: DataFrame) -> DataFrame:
         """The kept copies of the pages of queue events; only the folders they name are read."""
-        folders = sorted(r[0] for r in events.select(F.explode("stored")).distinct().collect())
+        folders = sorted(r[0] for r in events.select(F.explode("stored")).distinct().collect()) if self._waits(events) else []
         why = events.select("key", "reason", "attempts")
         return self._read("stored", STORED, folders).join(why, "key")
 
+    @staticmethod
+    def _waits(events: DataFrame) -> bool:
+        """False if there was no failed page at all, told from the plan without a job."""
+        return "LocalRelation <empty>" not in events._jdf.queryExecution().optimizedPlan().toString()
+
     def _write(self, df: DataFrame, kind: str, layout: Layout) -> str:
         folder = uuid.uuid4().hex
         df.select(*[F.col(c).cast(t).alias(c) for c, t in layout.items()]).write.parquet(f"{self.path}/{kind}/{folder}")

@@ -147,3 +147,23 @@ def test_scores_for_one_category_are_explained(spark):
     got = {(r["keyword"], r["kind"]): r["score"] for r in hits.collect()}
     assert got == {("keyword research", "keyword"): 6.0, ("seo", "keyword"): 2.0, ("seo", "feature"): 1.0,
                    ("search", "feature"): 1.0, ("keyword", "feature"): 1.0}
+
+
+def test_join_form_on_ten_thousand_rules(spark):
+    rng = random.Random(3)
+    letters = "abcdefghij0 "
+    keywords = {"".join(rng.choices(letters, k=rng.randint(1, 9))).strip() for _ in range(11_000)}
+    table = spark.createDataFrame(
+        [(f"c{i % 40}", i % 40, k, float(1 + i % 3)) for i, k in enumerate(sorted(keywords))],
+        "category string, cat_order int, keyword string, weight double")
+    rows = [(i, "".join(rng.choices(letters, k=12)), "".join(rng.choices(letters, k=rng.randint(0, 150)))) for i in range(40)]
+    df = spark.createDataFrame([*rows, (40, None, None), (41, "", "")], "id int, name string, description string")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("rules", "planning")
+    join = rules.category_scores_by_join(df, "id", "name", "description", table)
+    planned = len(jobs.getJobIdsForGroup("rules"))
+    fold = rules.category_scores(df, "id", "name", "description", rules.RuleSet.from_dataframe(table, "none"))
+    got, want = sorted(map(tuple, join.collect())), sorted(map(tuple, fold.collect()))
+    assert len(got) == len(want) > 400 and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6 for a, b in zip(got, want, strict=True))
+    assert planned <= 2  # the count of the rules alone
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == 0
