@@ -12,7 +12,7 @@ be frequent: no frequent phrase holds such a part, so no count that matters
 changes, while most windows become short and equal. Pairs, and then triples of
 possible pairs, are counted by hash bucket in passes before, and one bit per
 bucket says whether the bucket reaches the least count. A bit table has a fixed
-size of 8 MB at any input; parts that share a bucket with others are kept for
+size of 2 MB at any input; parts that share a bucket with others are kept for
 nothing, which costs rows and changes no result.
 
 Phrases that are frequent enough are written to a table, far smaller than the
@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import fold_ascii, small, stored
 
 MAX_WORDS, MIN_COUNT, INSIDE_PERCENT, TOP = 4, 30, 80, 2000
-# Bits of a table of word pairs or triples, 8 MB.
-BUCKETS = 1 << 26
+# Bits of a table of word pairs or triples, 2 MB: the driver and every task hold two such tables.
+BUCKETS = 1 << 24
 _SCALE = 2_000_000
 _ENDS, _BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 _WINDOW = [f"w{i}" for i in range(1, MAX_WORDS + 1)]
