@@ -272,4 +272,4 @@ def register_html_elements(spark: SparkSession, name: str = "html_elements") ->
         "pos int, parent_pos int, last_pos int, tag string, classes array<string>, attrs map<string,string>, "
         "text string"
     )
-    spark.udtf.register(name, F.udtf(HtmlElements, returnType=returns))
+    spark.udtf.register(name, F.udtf(HtmlElements, returnType=returns, useArrow=True))

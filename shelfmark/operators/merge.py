@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfmark.functions.arrays import parse_reply
 from shelfmark.functions.base import ColumnLike, col
 
 
@@ -86,3 +87,40 @@ def append(*parts: DataFrame) -> DataFrame:
 def mark_processed(processed: DataFrame, done: DataFrame, key: str = "url") -> DataFrame:
     """Processed keys after a batch; failed items are not in ``done``."""
     return processed.select(key).union(done.select(key)).distinct()
+
+
+def as_of(base: DataFrame, log: DataFrame, key: str, at: str, log_at: str, value: str, *order: str) -> DataFrame:
+    """``base`` with the ``value`` of the latest row of ``log`` for its key that is not after its time.
+
+    Rows of the log at the same time as a base row count; among themselves they go by ``order``. Both
+    sides pass one sort by key and time, so nothing is paired: work is linear in their rows. A key that
+    is NULL has no log, and its rows are spread over tasks. Rows of ``base`` all stay; ``value`` is NULL where no row of the log is early enough.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in base.columns])
+    asked = base.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(1).alias("_asked"), row.alias("_row"),
+                        F.when(F.col(key).isNull(), F.monotonically_increasing_id()).otherwise(0).alias("_spread"),
+                        *[F.lit(None).cast(log.schema[c].dataType).alias(f"_o{i}") for i, c in enumerate(order)],
+                        F.lit(None).cast(log.schema[value].dataType).alias("_value"))
+    told = log.filter(F.col(key).isNotNull() & F.col(log_at).isNotNull()).select(
+        F.col(key).alias("_key"), F.col(log_at).alias("_at"), F.lit(0).alias("_asked"),
+        F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), F.lit(0).cast("long").alias("_spread"),
+        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(value).alias("_value"))
+    by_time = W.partitionBy("_key", "_spread").orderBy("_at", "_asked", *[f"_o{i}" for i in range(len(order))])
+    latest = F.last("_value", ignorenulls=True).over(by_time.rowsBetween(W.unboundedPreceding, W.currentRow))
+    met = asked.unionByName(told).withColumn("_latest", F.when(F.col("_key").isNotNull() & F.col("_at").isNotNull(), latest))
+    return met.filter("_asked = 1").select("_row.*", F.col("_latest").alias(value))
+
+
+def enriched(listings: DataFrame, replies: DataFrame, key: str, at: str, reply_at: str, schema: str, *order: str) -> DataFrame:
+    """Listings with the fields of their latest good reply in place of their own.
+
+    ``replies`` has JSON text in ``reply``: an object or a list whose first counts. Text that is no such
+    reply is passed over, so an earlier good one stays in force. A field the reply lacks keeps its value;
+    ``enriched`` tells whether there was a reply.
+    """
+    good = replies.withColumn("reply", parse_reply("reply", schema)).filter("reply IS NOT NULL")
+    met = as_of(listings, good, key, at, reply_at, "reply", *order)
+    fields = met.schema["reply"].dataType.names
+    return met.select(
+        *[F.coalesce(F.col("reply")[c], F.col(c)).alias(c) if c in fields else F.col(c) for c in listings.columns],
+        F.col("reply").isNotNull().alias("enriched"))

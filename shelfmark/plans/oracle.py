@@ -634,6 +634,17 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS batch_id
             FROM pages""",
         "stream_results": f"SELECT page_id, url, {title} AS name FROM pages",
+        "enriched_listings": """
+            WITH p AS (SELECT p_partkey AS k, DATE '1995-01-01' + (p_partkey % 1000)::INTEGER AS seen FROM part),
+            r AS (
+              SELECT k, l_orderkey AS o, l_linenumber AS n FROM lineitem JOIN p ON k = l_partkey
+              WHERE l_shipdate::DATE <= seen AND l_linenumber % 4 <> 2
+              QUALIFY row_number() OVER (PARTITION BY k ORDER BY l_shipdate::DATE DESC, l_orderkey DESC, l_linenumber DESC) = 1),
+            l AS (""" + LISTINGS + """)
+            SELECT tool_id, CASE WHEN n % 4 < 2 THEN 'N' || o ELSE name END AS name,
+              CASE WHEN n % 4 < 2 THEN n::VARCHAR WHEN n % 4 = 3 THEN '0' ELSE rating END AS rating, n IS NOT NULL AS enriched,
+              (CASE WHEN n % 4 < 2 THEN 'N' || o ELSE name END) IS NOT NULL AND (n IS NOT NULL OR rating IS NOT NULL) AS complete
+            FROM l LEFT JOIN r ON k = tool_id""",
         "compacted_stream": f"SELECT page_id, url, {title} AS name, page_id % 4 AS batch_id FROM pages",
         "resumed_stream": f"SELECT page_id, url, {title} AS name, page_id % 2 AS batch_id FROM pages",
         "retry_schedule": """
@@ -676,5 +687,6 @@ def oracle_sql() -> dict[str, str]:
     }
     twins["json_round_trip"] = twins["format_records"]
     twins["csv_round_trip"] = twins["flatten_records"]
+    twins["summary_after_batches"] = twins["category_summary"]
     twins["category_folders"] = twins["category_counts"]
     return twins

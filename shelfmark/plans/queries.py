@@ -20,6 +20,7 @@ from shelfmark.schemas import FLAT_COLUMNS
 from shelfmark.settings import SiteProfile
 from shelfmark.sources.keys import KeyIndex
 from shelfmark.sources.progress import Progress, Retries
+from shelfmark.sources.summaries import Summaries
 from shelfmark.sources import writers
 from shelfmark.sources.readers import listing_pages, read_html_files, read_records
 from shelfmark.streaming.ingest import distinct_pages, run_batch, shared_folder, start_stream
@@ -961,3 +962,37 @@ def empty_write(spark, sf_dir):
             rows.append(back.agg(F.count(F.lit(1)).alias("n_rows")).select(
                 F.lit(name).alias("form"), F.lit(kept).alias("kept"), F.lit(told).alias("had_rows"), "n_rows"))
     return merge.append(*rows)
+
+
+@query
+def enriched_listings(spark, sf_dir):
+    """Listings under the latest good reply that had come before their page was seen.
+
+    Line items serve as the log of replies: objects, lists, text that is no reply, and objects without a
+    name; some come after the page, some twice on one day.
+    """
+    listings = inputs.listings(spark, sf_dir).select("tool_id", "name", "rating").withColumn(
+        "seen_on", F.expr("date_add(date'1995-01-01', cast(tool_id % 1000 AS int))"))
+    one = F.concat(F.lit('{"name": "N'), F.col("l_orderkey"), F.lit('", "rating": "'), F.col("l_linenumber"), F.lit('"}'))
+    reply = (F.when(F.col("l_linenumber") % 4 == 0, one).when(F.col("l_linenumber") % 4 == 1, F.concat(F.lit("["), one, F.lit("]")))
+             .when(F.col("l_linenumber") % 4 == 2, F.lit("sorry, no data")).otherwise(F.lit('{"rating": "0"}')))
+    replies = inputs.table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("tool_id"), F.col("l_shipdate").cast("date").alias("came_on"), "l_orderkey", "l_linenumber", reply.alias("reply"))
+    met = merge.enriched(listings, replies, "tool_id", "seen_on", "came_on", "name string, rating string", "l_orderkey", "l_linenumber")
+    return met.select("tool_id", "name", "rating", "enriched", quality.is_complete(("name", "rating")).alias("complete"))
+
+
+def _summed(spark, sf_dir) -> Summaries:
+    """Four batches of categorised listings, the second one repeated, and the first two summed in between."""
+    records = _categorised(spark, sf_dir)
+    kept = Summaries(spark, _folder(spark, "summaries"), ("name", "category"))
+    for n in (0, 1, 1, 2, 3):
+        kept.add(records.filter(F.pmod(F.xxhash64("name"), F.lit(4)) == n), "batch", n)
+        if n == 2:
+            kept.compact()
+    return kept
+
+
+@query
+def summary_after_batches(spark, sf_dir):
+    return _summed(spark, sf_dir).category_summary()

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.operators import extract
+from shelfmark.operators import extract, merge, summary
 from shelfmark.operators.elements import parse_pages
 from shelfmark.operators.matching import Page
 from shelfmark.plans.catalogue import detail_records, update
@@ -15,6 +15,7 @@ from shelfmark.settings import SiteProfile
 from shelfmark.sources.keys import KeyIndex
 from shelfmark.sources.manifest import KEPT, Manifest
 from shelfmark.sources.progress import Progress, Retries
+from shelfmark.sources.summaries import Summaries
 from shelfmark.streaming.ingest import distinct_pages, run_batch, shared_folder, start_stream
 
 LAYOUT = {"page_id": "bigint", "url": "string", "name": "string"}
@@ -327,3 +328,30 @@ def test_key_index(spark, folder):
     empty = KeyIndex(spark, f"{folder}/none")
     empty.build(asked.limit(0))
     assert empty.seen(asked).count() == 0
+
+
+def test_summaries_equal_the_whole(spark, folder):
+    rows = [(i, f"n{i % 7}" if i % 5 else None, [None, "A", "B"][i % 3], "" if i % 2 else "x") for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, name string, category string, note string")
+    kept = Summaries(spark, f"{folder}/s", ("name", "note"))
+    assert kept.category_summary().count() == 0 and kept.column_profile().count() == 0
+    for n, (low, high) in enumerate(((0, 10), (10, 11), (11, 40), (40, 60))):
+        kept.add(df.filter(f"id < {high}"), "r", n)  # a first try that reads too much, and its repeat
+        kept.add(df.filter(f"id >= {low} AND id < {high}"), "r", n)
+        if n == 2:
+            kept.compact()
+    assert kept.category_summary().collect() == summary.category_summary(df).collect()
+    assert sorted(kept.column_profile().collect()) == sorted(summary.column_profile(df, "name", "note").collect())
+    assert len(kept.manifest.read()[1]["deltas"]) == 2
+
+
+def test_latest_reply_before_the_page(spark):
+    base = spark.createDataFrame([(1, 10, "a"), (1, 20, "b"), (2, 5, "c"), (None, 5, "d"), (None, 5, "d"), (3, None, "e")], "k int, at int, name string")
+    log = spark.createDataFrame([
+        (1, 10, 1, '{"name": "same"}'), (1, 10, 2, '{"name": "time"}'), (1, 11, 1, "bad"), (1, 12, 1, '[{"name": "list"}]'),
+        (1, 12, 1, '[{"name": "list"}]'), (1, 21, 1, '{"name": "late"}'), (2, 6, 1, '{"name": "late"}'), (3, 1, 1, '{"name": "x"}'),
+        (None, 1, 1, '{"name": "x"}')], "k int, told int, n int, reply string")
+    got = [tuple(r) for r in merge.enriched(base, log, "k", "at", "told", "name string", "n").collect()]
+    assert sorted(got, key=repr) == sorted([
+        (1, 10, "time", True), (1, 20, "list", True), (2, 5, "c", False), (None, 5, "d", False), (None, 5, "d", False),
+        (3, None, "e", False)], key=repr)
