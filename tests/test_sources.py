@@ -70,12 +70,17 @@ def none(done):
     return done.selectExpr("1 AS page_id", "url", "'' AS html", "'' AS reason", "1 AS attempts").limit(0)
 
 
+def stored(progress, rows, run, batch):
+    own = rows.selectExpr("*", "url AS _key", "CAST(NULL AS string) AS _failed")
+    progress.finish(run, batch, progress.write_outcomes(own, run, batch)[0], [], [])
+
+
 def test_progress(spark, folder):
     progress = Progress(spark, f"{folder}/p", {"url": "string", "v": "int"})
     assert progress.results().count() == 0 and progress.next_batch("r") == 0
 
     def save(run, batch, *rows):
-        progress.save(spark.createDataFrame(rows, "url string, v int"), none, run, batch)
+        stored(progress, spark.createDataFrame(rows, "url string, v int"), run, batch)
 
     save("r", 0, ("a", 1))
     save("r", 1, ("b", 2))
@@ -84,13 +89,14 @@ def test_progress(spark, folder):
     assert sorted((r["url"], r["v"], r["run"], r["batch_id"]) for r in progress.results().collect()) == [
         ("a", 1, "r", 0), ("b", 9, "r", 1), ("c", 3, "s", 0)]
     assert (progress.next_batch("r"), progress.next_batch("s"), progress.next_batch("t")) == (2, 1, 0)
-    assert sorted(r["url"] for r in progress.before("r", 1).collect()) == ["a", "c"]
+    asked = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
+    assert sorted(r["key"] for r in progress.seen(asked, "r", 1).collect()) == ["a", "c"]
 
 
 def test_unfinished_batch_is_not_seen(spark, folder):
     progress = Progress(spark, f"{folder}/p", {"url": "string"})
-    progress.save(spark.createDataFrame([("a",)], "url string"), none, "r", 0)
-    spark.createDataFrame([("b",)], "url string").write.parquet(f"{folder}/p/results/run=r/batch_id=1")
+    stored(progress, spark.createDataFrame([("a",)], "url string"), "r", 0)
+    spark.createDataFrame([("b",)], "url string").write.parquet(f"{folder}/p/results/unfinished")
     assert [r["url"] for r in progress.results().collect()] == ["a"] and progress.next_batch("r") == 1
-    progress.save(spark.createDataFrame([("c",)], "url string"), none, "r", 1)
+    stored(progress, spark.createDataFrame([("c",)], "url string"), "r", 1)
     assert sorted(r["url"] for r in progress.results().collect()) == ["a", "c"]
