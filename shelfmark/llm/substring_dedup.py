@@ -14,8 +14,8 @@ both nodes share two min-hashes, which become the overlap's signature. Sharers
 of a signature are compared with the smallest of them, on the shingles
 themselves: a passage is verified if it is ``least`` shingles long on both
 sides and their Jaccard similarity is ``percent`` or more. Where this leaves
-sharers without a partner, the sharers of that signature are compared with
-each other in blocks of bounded size.
+sharers without a partner, they are compared with all sharers of that signature,
+in blocks of bounded size, for the stretches that are not covered yet.
 
 The same words in the same order are one text, whatever the number of rows.
 
@@ -29,6 +29,7 @@ are represented by NULL. An empty table gives an empty result. Extra columns are
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,8 +42,8 @@ from pyspark.sql import types as T
 from shelfmark.llm import sharing, tokens
 from shelfmark.llm.common import cut_words, fresh, small, stored
 
-# Texts and shingles of a block.
-_BLOCK, _BLOCK_SHINGLES = 400, 250_000
+# Texts and shingles of a block, shingles of a task's blocks, and cells of a comparison at once.
+_BLOCK, _BLOCK_SHINGLES, _TASK_SHINGLES, _CELLS = 400, 250_000, 100_000, 2_000_000
 # Hash functions. A place packs a node and how far its window goes to both sides.
 _FUNCTIONS = 4
 
@@ -250,20 +251,32 @@ def _longest(match: np.ndarray, percent: int) -> tuple[int, int]:
     return int(start[end] + hits[0]), int(start[end] + hits[-1] + 1)
 
 
+def _has(x: np.ndarray, kinds: int) -> np.ndarray:
+    """For each of the numbers below ``kinds``, whether x has it."""
+    has = np.zeros(kinds, bool)
+    has[x] = True
+    return has
+
+
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(x, y))
-    return 100 * both >= percent * (len(np.unique(x)) + len(np.unique(y)) - both)
+    kinds = int(max(x.max(), y.max())) + 1
+    one, two = _has(x, kinds), _has(y, kinds)
+    return 100 * np.count_nonzero(one & two) >= percent * np.count_nonzero(one | two)
 
 
 def _fitted(x: np.ndarray, y: np.ndarray, a: int, b: int, share: int, passage: Passage) -> tuple[int, int, int, int] | None:
     """The stretch ``a..b`` of x and the one of y that matches it, each narrowed to what the other has."""
+    kinds = int(max(x.max(), y.max())) + 1
     while b - a >= passage.least:
-        c, d = _longest(np.isin(y, x[a:b]), share)
+        match = _has(x[a:b], kinds)[y]
+        if 100 * np.count_nonzero(match) < share * passage.least:
+            return None
+        c, d = _longest(match, share)
         if d - c < passage.least:
             return None
         if _similar(x[a:b], y[c:d], passage.percent):
             return a, b, c, d
-        low, high = _longest(np.isin(x[a:b], y[c:d]), share)
+        low, high = _longest(_has(y[c:d], kinds)[x[a:b]], share)
         if high - low == b - a:
             return None
         a, b = a + low, a + high
@@ -280,19 +293,22 @@ def _between(taken: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 
 
 def _search(x: np.ndarray, y: np.ndarray, taken: list[tuple[int, int]], passage: Passage) -> list[tuple[int, int, int, int]]:
-    """Verified passages of what ``taken`` leaves of x and of y: ``start, end`` in both.
+    """Verified passages of what ``taken`` leaves of x and of y, numbered shingles: ``start, end`` in both.
 
     A Jaccard similarity of s needs a matched share of s on both sides. The
     longest stretch of that share is tried first, then what is left and right
     of it; where one is not similar as a whole, all that is not found yet is
     searched again for stretches of a higher share, up to unbroken runs.
     """
-    match, least, found = np.isin(x, y), passage.least, []
+    least, found = passage.least, []
+    if min(len(x), len(y)) < least:
+        return found
+    match = _has(y, int(max(x.max(), y.max())) + 1)[x]
     for share in (*range(passage.percent, 100, 5), 100):
         open_, failed = _between([*taken, *(f[:2] for f in found)], len(x)), False
         while open_:
             low, high = open_.pop()
-            if high - low < least:
+            if 100 * np.count_nonzero(match[low:high]) < share * least:
                 continue
             a, b = _longest(match[low:high], share)
             a, b = low + a, low + b
@@ -312,7 +328,9 @@ def _search(x: np.ndarray, y: np.ndarray, taken: list[tuple[int, int]], passage:
 
 def passages_of(x: np.ndarray, y: np.ndarray, passage: Passage) -> list[tuple[int, int, int, int]]:
     """Verified passages of two shingle sequences, ``start, end`` in both: all places of either that the other has."""
-    found, more = _search(x, y, [], passage), passage.size - 1
+    codes, more = np.unique(np.concatenate([x, y]), return_inverse=True)[1], passage.size - 1
+    x, y = codes[:len(x)], codes[len(x):]
+    found = _search(x, y, [], passage)
     taken = [(max(c - more, 0), min(d + more, len(y))) for _, _, c, d in found]
     return found + [(a, b, c, d) for c, d, a, b in _search(y, x, taken, passage)] if found else found
 
@@ -327,7 +345,7 @@ def _again(y: np.ndarray, places: set[tuple[int, int]], passage: Passage) -> lis
         own = owner[codes[c:d]]
         if (own >= 0).any():
             p, q = firsts[int(np.bincount(own[own >= 0]).argmax())]
-            if q + passage.size - 1 <= c and _similar(y[c:d], y[p:q], passage.percent):
+            if q + passage.size - 1 <= c and _similar(codes[c:d], codes[p:q], passage.percent):
                 out.append((c, d, p, q))
                 continue
         new = codes[c:d][own < 0]
@@ -396,93 +414,144 @@ def _verified(pairs: DataFrame, shingles: DataFrame, passage: Passage) -> DataFr
         "id", "hub", "a", "c", "x", _part("s", F.col("c"), F.col("d")).alias("y")).mapInArrow(work, _FOUND)
 
 
-def _best_stretches(match: np.ndarray, passage: Passage) -> np.ndarray:
-    """For each column the best stretch of least length and more; below 0, none has enough matches for a passage.
+def _best_stretches(places: np.ndarray, others: np.ndarray, wanted: np.ndarray, n: int, passage: Passage) -> np.ndarray:
+    """For each wanted text the best stretch of least length and more of ``n`` places; below 0, none has enough matches.
 
-    The first row of ``match`` stands before the places.
+    ``places`` are matched by the texts ``others``. A bounded number of texts is worked on at once.
     """
-    total = match.cumsum(0, dtype=np.int32) * np.int32(100)
-    total -= (np.arange(len(match), dtype=np.int32) * np.int32(passage.percent))[:, None]
-    return (total[passage.least:] - np.minimum.accumulate(total[:-passage.least])).max(0)
+    column, best, step = np.full(max(others.max(initial=0), wanted.max(initial=0)) + 1, -1), [], max(1, _CELLS // (n + 1))
+    for low in range(0, len(wanted), step):
+        part = wanted[low:low + step]
+        column[:] = -1
+        column[part] = np.arange(len(part))
+        of = column[others]
+        total = np.zeros((len(part), n + 1), np.int32)
+        total[of[of >= 0], places[of >= 0] + 1] = 100
+        total[:, 1:] -= passage.percent
+        np.cumsum(total, axis=1, out=total)
+        best.append((total[:, passage.least:] - np.minimum.accumulate(total[:, :-passage.least], axis=1)).max(1))
+    return np.concatenate(best) if best else np.zeros(0, np.int32)
+
+
+def _joined(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches that overlap as one, ends not included."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(stretches):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out
 
 
-def _compared(held: list[tuple[int, int, np.ndarray]], passage: Passage) -> list[tuple[int, ...]]:
-    """Passages among ``id, low, shingles``: enough to cover what each text shares with smaller ones.
+def _compared(held: list[tuple[int, int, np.ndarray]], passage: Passage,
+              wanted: dict[int, list[tuple[int, int]]] | None = None) -> list[tuple[int, ...]]:
+    """Passages among ``id, low, shingles``: enough to cover what the wanted stretches share with other texts.
 
-    For each text the places that match each of the smaller ones are marked,
-    all at once; only one that matches enough of a stretch of any length is
-    compared in full, the best first. What a passage covers is no longer looked for.
+    ``wanted`` has stretches by id (places of the text, ends not included); all
+    of every text if not given. Only texts that match enough of a stretch are
+    compared in full, the best first, and what a passage covers is no longer
+    looked for.
     """
-    held = sorted(held, key=lambda h: (h[0], h[1]))
-    sizes, least = [len(h[2]) for h in held], passage.least
+    held = sorted(held, key=lambda h: h[0])
+    sizes, least = np.array([len(h[2]) for h in held]), passage.least
+    begin = np.cumsum(sizes) - sizes
     codes = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)[1]
     owner = np.repeat(np.arange(len(held)), sizes)
     order = np.lexsort((owner, codes))
     new = np.concatenate([[True], (codes[order][1:] != codes[order][:-1]) | (owner[order][1:] != owner[order][:-1])])
     listed, by = owner[order][new], codes[order][new]
-    starts = np.searchsorted(by, np.arange(codes.max() + 2))
-    ends, rows = np.cumsum(sizes), []
-    for j in range(1, len(held)):
-        b, lb, y = held[j]
-        if len(y) < least:
-            continue
-        own = codes[ends[j] - sizes[j]:ends[j]]
-        low, count = starts[own], starts[own + 1] - starts[own]
-        at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-        place, other = np.repeat(np.arange(len(own)), count), listed[at]
-        match = np.zeros((len(own) + 1, j), bool)
-        match[place[other < j] + 1, other[other < j]] = True
-        match[:, [h[0] == b for h in held[:j]]] = False
-        live, best = np.arange(j), None
-        while len(live):
-            if best is None:
-                best = _best_stretches(match[:, live], passage)
-                live, best = live[best >= 0], best[best >= 0]
+    starts = np.searchsorted(by, np.arange(codes.max(initial=-1) + 2))
+    done: dict[tuple[int, int], list[tuple[int, ...]]] = {}
+
+    def compared(i: int, j: int) -> list[tuple[int, ...]]:
+        i, j = max(i, j), min(i, j)
+        if (i, j) not in done:
+            (a, la, x), (b, lb, y) = held[i], held[j]
+            done[i, j] = _pair(a, b, x, y, la, lb, passage)
+        return done[i, j]
+
+    for j, (text, offset, shingles) in enumerate(held):
+        whole = [(offset, offset + len(shingles))]
+        for low, high in _joined(whole if wanted is None else wanted.get(text, [])):
+            n = high - low
+            if n < least:
                 continue
-            at = int(best.argmax())
-            i = int(live[at])
-            live, best = np.delete(live, at), np.delete(best, at)
-            a, la, x = held[i]
-            found = _pair(b, a, y, x, lb, la, passage)
-            for who, _, s, e, _, _ in found:
-                if who == b:
-                    match[s - lb + 1:e - lb + 1] = False
-            rows += found
-            if found:
-                best = None
-    return rows
+            own = codes[begin[j] + low - offset:begin[j] + high - offset]
+            first, count = starts[own], starts[own + 1] - starts[own]
+            at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+            places, others = np.repeat(np.arange(n), count), listed[at]
+            places, others = places[others != j], others[others != j]
+            live = np.flatnonzero(100 * np.bincount(others, minlength=len(held)) >= passage.percent * least)
+            best = _best_stretches(places, others, live, n, passage)
+            # Scores only fall as places are covered: one that is up to date and the highest is the best.
+            queue = [(-int(score), 0, int(i)) for score, i in zip(best, live, strict=True) if score >= 0]
+            heapq.heapify(queue)
+            open_, covers = np.ones(n, bool), 0
+            while queue:
+                _, seen, i = heapq.heappop(queue)
+                if seen < covers:
+                    mine = places[others == i]
+                    mine = mine[open_[mine]]
+                    if 100 * len(mine) >= passage.percent * least:
+                        score = int(_best_stretches(mine, np.zeros(len(mine), np.int64), np.zeros(1, np.int64), n, passage)[0])
+                        if score >= 0:
+                            heapq.heappush(queue, (-score, covers, i))
+                    continue
+                for a, b, s, e, p, q in compared(i, j):
+                    for who, c, d in ((a, s, e), (b, p, q)):
+                        if who == text and c < high and d > low and open_[max(c - low, 0):d - low].any():
+                            open_[max(c - low, 0):d - low] = False
+                            covers += 1
+    return sorted({row for rows in done.values() for row in rows})
 
 
 def _verified_in_blocks(members: DataFrame, shingles: DataFrame, passage: Passage) -> DataFrame:
-    """Passages among the texts of a family, ``family, id, low, high``.
+    """Passages of a family's uncovered texts: ``family, id, low, high, open``.
 
-    A block holds at most about _BLOCK texts, and every two blocks of a family
-    meet in one task. It gives passages enough to cover what its texts share,
-    not every pair.
+    ``open`` lists the stretches of a text that nothing covers yet, if any. A block holds
+    at most about _BLOCK texts with such stretches and as many others, and every
+    uncovered text meets every text of its family in one task. It gives
+    passages enough to cover what the stretches share, not every pair.
     """
-    parts = members.groupBy("family").agg(F.greatest(
-        F.ceil(F.count(F.lit(1)) / _BLOCK), F.ceil(F.sum(F.col("high") - F.col("low")) / _BLOCK_SHINGLES)).alias("parts"))
-    rows = (
-        members.join(parts, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .withColumn("block", F.concat_ws("/", "family", F.least("own", "other"), F.greatest("own", "other")))
-        .join(shingles.withColumnRenamed("text_id", "id"), "id")
-        .select("block", "id", "low", _part("s", F.col("low"), F.col("high")).alias("x"))
-    )
+    is_open = F.size("open") > 0
+
+    def parts(wanted: Column, length: Column) -> Column:
+        return F.greatest(F.ceil(F.count(F.when(wanted, 1)) / _BLOCK), F.ceil(F.sum(F.when(wanted, length)) / _BLOCK_SHINGLES))
+
+    length = F.col("high") - F.col("low")
+    sizes = members.groupBy("family").agg(
+        parts(is_open, length).alias("rows"), parts(F.lit(True), length).alias("columns"),
+        F.sum(length).alias("shingles")).filter("rows > 0")
+    shingled = sizes.agg(F.coalesce(F.sum(F.col("shingles") * (F.col("rows") + F.col("columns"))), F.lit(0))).first()[0]
+    dealt = members.join(sizes, "family")
+
+    def laid(rows: DataFrame, own: str, all_: str, stretches: Column) -> DataFrame:
+        numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col(all_) - 1))
+        rows = rows.withColumn(f"_{own}", F.pmod(F.xxhash64("id"), F.col(own))).withColumn(f"_{all_}", numbers)
+        return rows.select(F.concat_ws("/", "family", "_rows", "_columns").alias("block"), "id", "low", "high", stretches.alias("open"))
+
+    nothing = F.lit(None).cast(members.schema["open"].dataType)
+    both = laid(dealt.filter(is_open), "rows", "columns", F.col("open")).union(laid(dealt, "columns", "rows", nothing))
+    rows = both.join(shingles.withColumnRenamed("text_id", "id"), "id").select(
+        "block", "id", "low", F.col("open.low").alias("from"), F.col("open.high").alias("to"),
+        _part("s", F.col("low"), F.col("high")).alias("x"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held, wanted = None, {}, {}
         for batch in batches:
-            for name, i, low, x in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
+            for name, i, low, from_, to, x in zip(*(batch.column(c).to_pylist() for c in range(5)), batch.column(5), strict=True):
                 if name != key and held:
-                    yield _found(_compared(held, passage))
-                    held = []
+                    yield _found(_compared(list(held.values()), passage, wanted))
+                    held, wanted = {}, {}
                 key = name
-                held.append((i, low, np.frombuffer(x.as_buffer(), np.uint64)))
+                held[i] = (i, low, np.frombuffer(x.as_buffer(), np.uint64))
+                if from_ is not None:
+                    wanted[i] = [(a, b + 1) for a, b in zip(from_, to, strict=True)]
         if held:
-            yield _found(_compared(held, passage))
+            yield _found(_compared(list(held.values()), passage, wanted))
 
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(work, _FOUND)
+    return rows.repartition(1 + shingled // _TASK_SHINGLES, "block").sortWithinPartitions("block").mapInArrow(work, _FOUND)
 
 
 def text_passages(docs: DataFrame, passage: Passage = Passage()) -> tuple[DataFrame, DataFrame]:
@@ -508,13 +577,14 @@ def text_passages(docs: DataFrame, passage: Passage = Passage()) -> tuple[DataFr
     at = _node("place")
     alone = stored(star.select("sig", "id", "place").distinct().join(
         covered.withColumnRenamed("id", "of"), (F.col("id") == F.col("of")) & (at >= F.col("start")) & (at < F.col("end")),
-        "left_anti").select("sig", "id").distinct())
+        "left_anti"))
     # Two sharers have been compared already.
     several = star.groupBy("sig").agg(F.countDistinct("id").alias("n"), F.min("id").alias("family")).filter("n > 2")
     open_ = alone.select("sig").distinct().join(several, "sig").select("sig", "family")
     # Sharers of several signatures with the same smallest text are compared once.
-    members = stored(star.join(open_, "sig").groupBy("family", "id").agg(
-        F.min(_low("place")).alias("low"), F.max(_high("place")).alias("high")))
+    marked = alone.withColumn("open", F.struct(_low("place").alias("low"), _high("place").alias("high")))
+    members = stored(star.join(open_, "sig").join(marked, ["sig", "id", "place"], "left").groupBy("family", "id").agg(
+        F.min(_low("place")).alias("low"), F.max(_high("place")).alias("high"), F.collect_set("open").alias("open")))
     if members.isEmpty():
         return rows, found
     more = _verified_in_blocks(members, shingles, passage)
