@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.base import starts_http
 from shelfmark.schemas import CONFORMED, with_columns_of
 
+# The keys that a complete record has.
 REQUIRED_KEYS = ("name", "description", "category")
 
 

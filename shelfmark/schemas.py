@@ -1,4 +1,7 @@
-"""Record layouts, as field name to Spark type."""
+"""Record layouts, as field name to Spark type.
+
+The field names are fixed values.
+"""
 
 from __future__ import annotations
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
-
 
 @dataclass(frozen=True)
 class SiteProfile:
@@ -30,22 +28,3 @@ class SiteProfile:
             "image_url": self.placeholder_image_path,
             "support_email": self.placeholder_email,
         }
-
-
-# Session settings the jobs are written for. Partition counts are left to
-# adaptive execution, which splits skewed joins and merges small partitions.
-RECOMMENDED_CONF = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
-    # Pages can be megabytes: keep the batches sent to Python small.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
-}
-
-
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply RECOMMENDED_CONF to a running session."""
-    for key, value in RECOMMENDED_CONF.items():
-        spark.conf.set(key, value)
-    return spark
