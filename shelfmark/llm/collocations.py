@@ -12,8 +12,10 @@ be frequent: no frequent phrase holds such a part, so no count that matters
 changes, while most windows become short and equal. Pairs, and then triples of
 possible pairs, are counted by hash bucket in passes before, and one bit per
 bucket says whether the bucket reaches the least count. A bit table has a fixed
-size of 2 MB at any input; parts that share a bucket with others are kept for
-nothing, which costs rows and changes no result.
+size of 16 MB at any input; parts that share a bucket with others are kept for
+nothing, which costs rows and changes no result. The passes go through Arrow
+batches: bytes are told apart by one look-up, words are numbers from then on,
+and equal windows of a batch leave it as one row.
 
 Phrases that are frequent enough are written to a table, far smaller than the
 texts. All later steps use it alone: both parts of each cut of a phrase are at
@@ -34,80 +36,206 @@ phrases, gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import fold_ascii, small, stored
+from shelfmark.llm import tokens
+from shelfmark.llm.common import LOWER, UPPER, small, stored
 
 MAX_WORDS, MIN_COUNT, INSIDE_PERCENT, TOP = 4, 30, 80, 2000
-# Bits of a table of word pairs or triples, 2 MB: the driver and every task hold two such tables.
-BUCKETS = 1 << 24
+# Bits of a table of word pairs or triples, 16 MB: the driver and every task hold two such tables.
+BUCKETS = 1 << 27
 _SCALE = 2_000_000
-_ENDS, _BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
+# Text of a batch that is numbered at once, buckets of a range, and windows of a row from Python.
+_TEXT_BYTES, _RANGE, _ROWS = 4_000_000, 1 << 16, 10_000
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_IN_WORD, _BLANK, _END = range(3)
+_KIND, _FOLDED = np.full(256, _IN_WORD, np.uint8), np.arange(256, dtype=np.uint8)
+_KIND[list(b"\x20\x09")] = _BLANK
+_KIND[list(b".,;:!?\x0A\x0B\x0C\x0D")] = _END
+_FOLDED[list(UPPER.encode())] = list(LOWER.encode())
 _WINDOW = [f"w{i}" for i in range(1, MAX_WORDS + 1)]
 
 
-def _zipped(docs: DataFrame, size: int) -> DataFrame:
-    """``lang, w1..``: one row per word, with the words that follow it in its piece."""
-    pieces = docs.select(
-        F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(fold_ascii(F.col("text")), _ENDS)).alias("piece"))
-    words = pieces.select("lang", F.filter(F.split("piece", _BLANKS), lambda w: w != "").alias("w"))
-    # Shifted copies of the words, zipped: the shorter ones end with NULL.
-    shifted = [F.slice("w", i, F.size("w")).alias(name) if i > 1 else F.col("w").alias(name)
-               for i, name in enumerate(_WINDOW[:size], 1)]
-    rows = words.filter(F.size("w") > 0).select("lang", F.explode(F.arrays_zip(*shifted)).alias("z"))
-    return rows.select("lang", *[F.col(f"z.{name}").alias(name) for name in _WINDOW[:size]])
-
-
-def _set_bit(bits: Column, bucket: Column) -> Column:
-    word = F.get(bits, F.shiftright(bucket, 6).cast("int"))
-    return F.getbit(word, bucket.bitwiseAND(63).cast("int")) == 1
-
-
-def _cut(docs: DataFrame, size: int, tables: list[Column]) -> DataFrame:
-    """``lang, w1..``: windows of ``size`` words that end where a part of 2, 3.. words has no bit in its table."""
-    rows, names = _zipped(docs, size), _WINDOW[:size]
-    parts = {(n, end): names[end - n:end] for n in range(2, len(tables) + 2) for end in range(n, size + 1)}
-    # Buckets are columns of their own, as each is looked up in two steps.
-    hashed = rows.select("lang", *names, *[
-        F.xxhash64("lang", *words).bitwiseAND(BUCKETS - 1).alias(f"b{n}_{end}") for (n, end), words in parts.items()])
-    kept, on = [F.col("w1")], F.lit(True)
-    for end in range(2, size + 1):
-        on = on & F.col(names[end - 1]).isNotNull()
-        for n, bits in enumerate(tables, 2):
-            if (n, end) in parts:
-                on = on & _set_bit(bits, F.col(f"b{n}_{end}"))
-        kept.append(F.when(on, F.col(names[end - 1])).alias(names[end - 1]))
-    return hashed.select("lang", *kept)
-
-
-def frequent_parts(docs: DataFrame, size: int, tables: list[Column], min_count: int) -> DataFrame:
-    """One row, ``bits``: a bit for each hash bucket of parts of ``size`` words, set if it has ``min_count`` of them.
-
-    An array of 64-bit numbers, put together from blocks so that no task reads more than 1,024 rows of it.
+def _word_codes(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(code of every word in order, distinct words, number of each word's piece, number of its text).
+
+    One look-up per byte tells words, blanks and ends of pieces: no byte of a longer UTF-8 character is one of these.
+    """
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    starts, kind = offsets[:-1] - offsets[0], _KIND[data]
+    first = np.zeros(len(data), bool)
+    first[starts[starts < len(data)]] = True
+    inside = kind == _IN_WORD
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | first[1:]
+    at = np.flatnonzero(begins)
+    letters = _FOLDED[data[inside]]
+    ends = np.append(np.cumsum(inside, dtype=np.int64)[at] - 1, len(letters))
+    words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(letters)).dictionary_encode()
+    piece = np.cumsum(first | (kind == _END), dtype=np.int32)[at]
+    return words.indices.to_numpy().astype(np.int64), words.dictionary, piece, np.searchsorted(starts, at, side="right") - 1
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """A hash of each string, the same in every task."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    sizes = np.diff(offsets)
+    powers = np.full(int(sizes.max(initial=0)) + 1, _FACTOR)
+    powers[0] = 1
+    place = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+    total = np.concatenate([[np.uint64(0)], np.cumsum((data + np.uint64(1)) * np.cumprod(powers)[place], dtype=np.uint64)])
+    return tokens.mix(total[offsets[1:] - offsets[0]] - total[offsets[:-1] - offsets[0]])
+
+
+@dataclass(frozen=True)
+class _Words:
+    """Words of some texts: ``codes`` of ``words``, number ``lang`` of ``langs``, ``near[k]`` if the one k places on is of the piece."""
+
+    codes: np.ndarray
+    words: pa.Array
+    lang: np.ndarray
+    langs: pa.Array
+    near: list[np.ndarray]
+
+    @staticmethod
+    def of(langs: pa.Array, texts: pa.Array) -> _Words:
+        codes, words, piece, text = _word_codes(texts)
+        langs = langs.cast(pa.large_string()).dictionary_encode()
+        near = [np.append(piece[k:] == piece[:-k], np.zeros(min(k, len(piece)), bool)) if k else piece >= 0 for k in range(MAX_WORDS)]
+        return _Words(codes, words, langs.indices.to_numpy().astype(np.int64)[text], langs.dictionary, near)
+
+    def buckets(self, size: int) -> list[np.ndarray]:
+        """For parts of 2 to ``size`` words the hash bucket of the one that begins at each word."""
+        word = _hashes(self.words)[self.codes]
+        part, out = tokens.mix(_hashes(self.langs)[self.lang] + word), []
+        for k in range(1, size):
+            part = tokens.mix(part * _FACTOR + np.append(word[k:], np.zeros(min(k, len(word)), np.uint64)))
+            out.append(part & np.uint64(BUCKETS - 1))
+        return out
+
+    def reach(self, size: int, tables: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(words of the window at each word, of at most ``size``; buckets). It ends where a part has no bit in its table."""
+        buckets = self.buckets(min(size, len(tables) + 2))
+        may = [(bits[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1) != 0 for bits, b in zip(tables, buckets, strict=False)]
+        on, reach = np.ones(len(self.codes), bool), np.ones(len(self.codes), np.int64)
+        for end in range(2, size + 1):
+            on = on & self.near[end - 1]
+            for n, bit in enumerate(may, 2):
+                if n <= end:
+                    on[:len(on) - (end - n)] &= bit[end - n:]
+            reach += on
+        return reach, buckets
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
+    """Words of batches ``lang, text``, about _TEXT_BYTES of text at once; a longer single text is handled alone."""
+    held, size = [], 0
+    for batch in batches:
+        for part in tokens.slices(batch, 1):
+            if size and size + part.nbytes > _TEXT_BYTES:
+                yield _Words.of(*(pa.concat_arrays([p.column(c) for p in held]) for c in range(2)))
+                held, size = [], 0
+            held.append(part)
+            size += part.nbytes
+    if held:
+        yield _Words.of(*(pa.concat_arrays([p.column(c) for p in held]) for c in range(2)))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.make_valid_utf8("text").alias("text"))
+
+
+def frequent_parts(docs: DataFrame, size: int, tables: list[np.ndarray], min_count: int) -> DataFrame:
+    """``block, bits``: a bit for each hash bucket of parts of ``size`` words, set if it has ``min_count`` of them.
+
+    A block is a range of buckets. Counts of a range are packed in two columns of bytes and summed in the
+    task that has the range.
     """
-    names = _WINDOW[:size]
-    bucket = F.xxhash64("lang", *names).bitwiseAND(BUCKETS - 1)
-    counted = (
-        _cut(docs, size, tables).filter(F.col(names[-1]).isNotNull()).groupBy(bucket.alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
-        .select(F.shiftright("bucket", 6).alias("at"), F.expr("shiftleft(1L, cast(bucket & 63 AS int))").alias("bits"))
-    )
-    every = docs.sparkSession.range(0, BUCKETS // 64, numPartitions=8).select(
-        F.col("id").alias("at"), F.lit(0).cast("long").alias("bits"))
-    dense = counted.unionByName(every).groupBy("at").agg(F.bit_or("bits").alias("bits"))
-    blocks = dense.groupBy(F.shiftright("at", 10).alias("block")).agg(F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("part"))
-    rows = blocks.select("block", F.col("part.bits").alias("bits"))
-    return rows.agg(F.flatten(F.sort_array(F.collect_list(F.struct("block", "bits")))["bits"]).alias("bits"))
+    least = max(min_count, 0)
+    # Counts are wanted up to the least one only.
+    kind = np.min_scalar_type(least)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _gathered(batches):
+            reach, buckets = found.reach(size, tables)
+            seen, n = np.unique(buckets[size - 2][reach == size].astype(np.uint32), return_counts=True)
+            n = np.minimum(n, least).astype(kind)
+            ranges = np.unique(seen // _RANGE)
+            cuts = [*np.searchsorted(seen, ranges * _RANGE), len(seen)]
+            low = (seen % _RANGE).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ranges, pa.int32()),
+                pa.array([low[a:b].tobytes() for a, b in pairwise(cuts)], pa.binary()),
+                pa.array([n[a:b].tobytes() for a, b in pairwise(cuts)], pa.binary())], names=["block", "at", "n"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = -1, np.zeros(_RANGE, np.int64)
+
+        def bits() -> pa.RecordBatch:
+            packed = np.packbits(total >= least, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([packed], pa.binary())], names=["block", "bits"])
+
+        for batch in batches:
+            for block, at, n in zip(*(batch.column(c) for c in range(3)), strict=True):
+                if block.as_py() != last:
+                    if last >= 0:
+                        yield bits()
+                    last, total[:] = block.as_py(), 0
+                total[np.frombuffer(at.as_buffer(), np.uint16)] += np.frombuffer(n.as_buffer(), kind)
+        if last >= 0:
+            yield bits()
+
+    every = docs.sparkSession.range(0, BUCKETS // _RANGE, numPartitions=1).select(
+        F.col("id").cast("int").alias("block"), F.lit(b"").alias("at"), F.lit(b"").alias("n"))
+    rows = _texts(docs).mapInArrow(counted, "block int, at binary, n binary").union(every)
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(summed, "block int, bits binary")
 
 
 def windows(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
-    """``lang, w1..w4``: one row per word, with the words that follow as far as they can be in a frequent phrase."""
-    tables: list[Column] = []
+    """``lang, w1..w4, n``: windows of a word and the words that follow as far as they can be in a frequent phrase.
+
+    Equal windows of some texts come as one row with their number. Every word begins one.
+    """
+    tables: list[np.ndarray] = []
     for size in range(2, MAX_WORDS):
-        tables.append(stored(frequent_parts(docs, size, tables, min_count)).scalar())
-    return _cut(docs, MAX_WORDS, tables)
+        blocks = sorted(stored(frequent_parts(docs, size, tables, min_count)).collect())
+        tables.append(np.frombuffer(b"".join(bytes(row["bits"]) for row in blocks), np.uint64))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _gathered(batches):
+            reach, _ = found.reach(MAX_WORDS, tables)
+            kinds, codes = len(found.words) + 1, found.codes
+            # Distinct windows by number: those of k words and their next word, or none.
+            key = found.lang * kinds + codes
+            for k in range(1, MAX_WORDS):
+                key = np.unique(key, return_inverse=True)[1] * kinds
+                key[reach > k] += codes[np.flatnonzero(reach > k) + k] + 1
+            _, at, n = np.unique(key, return_index=True, return_counts=True)
+            for low in range(0, len(at), _ROWS):
+                part, count = at[low:low + _ROWS], n[low:low + _ROWS]
+                columns = [found.langs.take(pa.array(found.lang[part]))]
+                for k in range(MAX_WORDS):
+                    none = reach[part] <= k
+                    columns.append(found.words.take(pa.array(codes[np.where(none, part, part + k)], mask=none)))
+                lists = [pa.ListArray.from_arrays([0, len(part)], c.cast(pa.string())) for c in columns]
+                yield pa.RecordBatch.from_arrays([*lists, pa.ListArray.from_arrays([0, len(part)], pa.array(count))], names=names)
+
+    names = ["lang", *_WINDOW, "n"]
+    schema = ", ".join([*(f"{name} array<string>" for name in names[:-1]), "n array<long>"])
+    rows = _texts(docs).mapInArrow(work, schema).select(F.explode_outer(F.arrays_zip(*names)).alias("z"))
+    return rows.select(*[F.col(f"z.{name}").alias(name) for name in names])
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
@@ -115,7 +243,7 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
 
     One row per language with ``words`` empty holds its number of words, however small.
     """
-    counted = windows(docs, min_count).groupBy("lang", *_WINDOW).agg(F.count(F.lit(1)).alias("n"))
+    counted = windows(docs, min_count).groupBy("lang", *_WINDOW).agg(F.sum("n").alias("n"))
     summed = counted.rollup("lang", *_WINDOW).agg(F.sum("n").alias("f"), F.grouping_id().alias("left_out"))
     # grouping_id has a bit for each column that is summed away: k lead columns stay.
     full = (1 << MAX_WORDS) - 1

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+
 from shelfmark.llm import collocations
 
 
@@ -74,3 +76,23 @@ def test_ties_go_to_the_first_cut(spark):
 def test_windows_are_counted_once_and_rolled_up(spark, messy):
     plan = collocations.phrase_counts(messy)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Expand") == 1 and plan.count("arrays_zip") == 1
+
+
+def test_words_are_numbered_from_bytes():
+    texts = pa.array([None, "A\tb  É.a", "", ".\x0b", "a b \U0001F600", "Z"])
+    found = collocations._Words.of(pa.array(["x"] * 6), texts)
+    words = found.words.to_pylist()
+    assert [words[c] for c in found.codes] == ["a", "b", "É", "a", "a", "b", "\U0001F600", "z"]
+    assert found.near[1].tolist() == [True, True, False, False, True, True, False, False]
+    assert found.near[2].tolist() == [True, False, False, False, True, False, False, False]
+
+
+def test_equal_windows_of_a_batch_are_one_row(spark):
+    """The passes leave text once per batch: counts are packed bytes, windows come with their number."""
+    docs = spark.createDataFrame([("a b c. " * 40, "x"), ("q r. " * 3, "x")], "text string, lang string").coalesce(1)
+    assert sorted(tuple(r) for r in collocations.windows(docs).collect()) == [
+        ("x", "a", "b", "c", None, 40), ("x", "b", "c", None, None, 40), ("x", "c", None, None, None, 40),
+        ("x", "q", None, None, None, 3), ("x", "r", None, None, None, 3)]
+    blocks = collocations.frequent_parts(docs, 2, [], 30).collect()
+    assert sum(bin(b).count("1") for r in blocks for b in r["bits"]) == 2
+    assert sorted(r["block"] for r in blocks) == list(range(collocations.BUCKETS // collocations._RANGE))
