@@ -557,9 +557,8 @@ def text_preview(spark, sf_dir):
 
 @query
 def html_files(spark, sf_dir):
-    path = _folder(spark, "html")
-    inputs.table(spark, sf_dir, "pages").select("page_id", "html").write.partitionBy("page_id").text(path)
-    pages = read_html_files(spark, f"{path}/page_id=*").withColumn(
+    folders = writers.write_html_files(inputs.table(spark, sf_dir, "pages"), _folder(spark, "html"))
+    pages = read_html_files(spark, folders).withColumn(
         "page_id", F.regexp_extract("url", "page_id=([0-9]+)", 1).cast("bigint"))
     return parse_pages(pages).select("page_id", extract.title(Page()).alias("title"))
 

@@ -24,8 +24,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ddl(PAGES)).parquet(path)
 
 
-def read_html_files(spark: SparkSession, path: str) -> DataFrame:
-    """Raw pages from a folder of page files; the file path is the address."""
+def read_html_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Raw pages from a folder, or folders, of page files; the file path is the address."""
     files = spark.read.text(path, wholetext=True)
     url = F.input_file_name()
     return files.select(F.xxhash64(url).alias("page_id"), url.alias("url"), F.col("value").alias("html"))

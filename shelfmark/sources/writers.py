@@ -1,9 +1,12 @@
-"""Outputs: JSON Lines, CSV and folders by category. Rows are counted while they are written."""
+"""Outputs: JSON Lines, CSV, page files and folders by category. Rows are counted while they are written."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
@@ -57,3 +60,32 @@ def write_by_category(df: DataFrame, path: str, category: str = "category", mode
     """
     filled = df.withColumn(category, F.coalesce(category, F.lit("Other")))
     return _written(filled, lambda d: d.write.mode(mode).partitionBy(category).parquet(path))
+
+
+def write_html_files(pages: DataFrame, path: str) -> list[str]:
+    """Write ``page_id, html`` as files ``page_id=<number>.html``, a line break after each row; the folders.
+
+    Rows of one number share a file. Every try of a task has a folder of its own,
+    and the folders of those that succeeded are returned, so folders grow with
+    the tasks and not with the pages.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        own = f"{path}/{context.partitionId()}-{context.taskAttemptId()}"
+        store, folder = fs.FileSystem.from_uri(own)
+        store.create_dir(folder)
+        last, out = None, None
+        for batch in batches:
+            for number, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if out is None or number != last:
+                    if out is not None:
+                        out.close()
+                    last, out = number, store.open_output_stream(f"{folder}/page_id={number}.html")
+                out.write((html or "").encode() + b"\n")
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([own])], names=["folder"])
+
+    rows = pages.select("page_id", "html").repartition("page_id").sortWithinPartitions("page_id")
+    return [row["folder"] for row in rows.mapInArrow(work, "folder string").collect()]

@@ -65,6 +65,29 @@ def test_html_files_and_listing_pages(spark, folder):
     assert [r["url"] for r in readers.listing_pages(bases).orderBy("page_no").collect()] == ["b", "b/page/2", "b/page/3"]
 
 
+def test_page_files_share_folders(spark, folder):
+    rows = [(i, f"<h1>é {i}</h1>\n<p>x") for i in range(300)] + [(7, "again"), (300, None), (301, "")]
+    folders = writers.write_html_files(spark.createDataFrame(rows, "page_id long, html string").repartition(5), f"{folder}/html")
+    assert len(folders) <= 8 == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A try that failed left a folder behind, which nobody reads.
+    Path(folder, "html", "0-999999").mkdir()
+    Path(folder, "html", "0-999999", "page_id=1.html").write_text("half", encoding="utf-8")
+    back = {int(r["url"].split("page_id=")[1].split(".")[0]): r["html"] for r in readers.read_html_files(spark, folders).collect()}
+    assert set(back[7].splitlines()) == {"<h1>é 7</h1>", "<p>x", "again"} and back.pop(7)
+    assert back == {i: (html or "") + "\n" for i, html in rows if i != 7}
+
+
+def test_html_files_query_makes_no_folder_for_each_page(spark, folder, monkeypatch):
+    from shelfmark.plans import queries
+
+    rows = [(i, "u", f"<title>t{i}</title>") for i in range(200)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    monkeypatch.setattr(queries, "_folder", lambda spark, name: f"{folder}/{name}")
+    found = queries.html_files(spark, folder).collect()
+    assert sorted(tuple(r) for r in found) == [(i, f"t{i}") for i in range(200)]
+    assert len([p for p in Path(folder, "html").rglob("*") if p.is_dir()]) <= 8
+
+
 
 def none(done):
     return done.selectExpr("1 AS page_id", "url", "'' AS html", "'' AS reason", "1 AS attempts").limit(0)
