@@ -182,7 +182,8 @@ def _repeated_windows(docs: DataFrame, passage: Passage, words: int) -> DataFram
                     node, low, high = windows(values, least)
                     node, low, high = node[inside[node]], low[inside[node]], high[inside[node]]
                     text = np.searchsorted(starts, node, side="right") - 1
-                    sig = (values[node] & ~np.uint64(_FUNCTIONS - 1)) | np.uint64(f)
+                    # Minima lie near zero: mixed, they spread over all ranges.
+                    sig = (tokens.mix(values[node]) & ~np.uint64(_FUNCTIONS - 1)) | np.uint64(f)
                     node, low, high = node - starts[text], low - starts[text], high - starts[text]
                     place = _packed(node, np.maximum(low, node - reach), np.minimum(high, node + reach))
                     gathered.add(sig, owners[text], place)

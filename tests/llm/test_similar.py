@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.llm import language_id, mixing, ngram_join, quality, substring_dedup
+from shelfmark.llm import language_id, mixing, ngram_join, quality, sharing, substring_dedup
 from shelfmark.llm.graph import components
 
 SF = "/root/testdata/sf0.001"
@@ -287,3 +287,20 @@ def test_every_source_is_a_stream_of_its_own(spark):
     for t in range(total * (40 // 6)):  # as long as the heaviest source lasts
         had[slots[t]] += 1
         assert all(abs(had[s] - (t + 1) * w / total) < 1 for s, w in share.items())
+
+
+def test_ranges_of_windows_are_of_one_size(spark, monkeypatch):
+    """Min-hashes lie near zero; no range of signatures may get many times its share for that."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(" ".join(f"w{rng.random()}" for _ in range(30_000)),) for _ in range(3)], "text string")
+
+    def counted(packed, ranges):
+        rows = packed.select("range", F.octet_length("data").alias("bytes"))
+        return rows.select(F.col("range").alias("sig"), F.col("bytes").alias("id"), F.lit(ranges).alias("place"))
+
+    monkeypatch.setattr(sharing, "sharers", counted)
+    rows = substring_dedup._repeated_windows(docs, substring_dedup.Passage(), 40 * 46 * 300_000 // 8).collect()
+    sizes = Counter()
+    for number, size, ranges in rows:
+        sizes[number] += size
+    assert ranges == 40 and max(sizes.values()) < 2 * sum(sizes.values()) / ranges
