@@ -361,7 +361,8 @@ def set_components(docs: DataFrame, similarity: Similarity = Similarity()) -> tu
     pairs = stored(_likely(pairs, sketches, percent).distinct())
 
     # First each set with the one it shares most signatures with; then the pairs that this leaves apart.
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    # The empty table is a range: a Python list would start a second set of Python workers on every executor.
+    links = docs.sparkSession.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     found = links.toDF("set_id", "root")
     best = pairs.groupBy("a").agg(F.max(F.struct("times", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     for some in (best, pairs.select("a", "b").join(best, ["a", "b"], "left_anti")):

@@ -3,11 +3,12 @@
 Nearly all signatures have one owner, so what counts is to bring equal ones
 together cheaply. Tasks sort their rows by signature and hand them over as
 packed columns for ranges of signatures; each range is then sorted and
-searched in one piece, whose size is set by the number of ranges. Before
-that, equal signatures of a hand-over are tied to the smallest owner: only
-that row goes on under the signature, the others travel on their own. A
-signature that a third of all owners share therefore meets itself in as many
-rows as there are hand-overs, not owners.
+searched in one piece, whose size is set by the number of ranges. For that,
+signatures must be spread evenly over 64 bits. Before that, equal signatures
+of a hand-over are tied to the smallest owner: only that row goes on under the
+signature, the others travel on their own. A signature that a third of all
+owners share therefore meets itself in as many rows as there are hand-overs,
+not owners.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from shelfmark.llm.tokens import mix
 
 # Rows that a task holds before it hands them over, and rows that a range should have.
 HELD, RANGE_ROWS = 150_000, 300_000
+# Rows of a part that is handed over, or handed back, at once where they need not be together.
+PART_ROWS = 20_000
 PACKED, SHARED = "range int, data binary", "sig long, id long, place long, hub long, at long, till long"
 
 
@@ -81,10 +84,12 @@ class Gatherer:
         known[lead[tied]] = 1
         numbers, data = [], []
         if tied.any():
-            # These need nobody else: any range will do.
-            numbers.append(int(mix(sig[:1] ^ np.uint64(len(sig)))[0] % np.uint64(self.ranges)))
+            # These need nobody else: any range will do, and parts of bounded size.
             rows = [sig[tied].view(np.int64), who[tied], place[tied], who[lead][tied], place[lead][tied], place[last][tied]]
-            data.append(np.array([1, int(tied.sum()), 0], np.int64).tobytes() + b"".join(r.tobytes() for r in rows))
+            for start in range(0, len(rows[0]), PART_ROWS):
+                part = [r[start:start + PART_ROWS] for r in rows]
+                numbers.append(int(mix(part[0][:1].view(np.uint64) ^ part[1][-1:].view(np.uint64))[0] % np.uint64(self.ranges)))
+                data.append(np.array([1, len(part[0]), 0], np.int64).tobytes() + b"".join(r.tobytes() for r in part))
         sig, who, place, known = sig[~tied], who[~tied], place[~tied], known[~tied]
         number = ((sig >> np.uint64(32)) * np.uint64(self.ranges)) >> np.uint64(32)
         cuts = np.concatenate([[0], np.flatnonzero(number[1:] != number[:-1]) + 1, [len(number)]])
@@ -134,7 +139,10 @@ def _sharers(rows: list[memoryview]) -> Iterator[pa.RecordBatch]:
     several = (who[start] != who[start + size - 1]) | (np.maximum.reduceat(known, start) > 0)
     keep, lead = np.repeat(several, size), np.repeat(start, size)
     last = _last(who, lead)
-    yield out([sig.view(np.int64)[keep], who[keep], place[keep], who[lead][keep], place[lead][keep], place[last][keep]])
+    last, lead = last[keep], lead[keep]
+    rows = [sig.view(np.int64)[keep], who[keep], place[keep], who[lead], place[lead], place[last]]
+    for start in range(0, len(lead), PART_ROWS):
+        yield out([r[start:start + PART_ROWS] for r in rows])
 
 
 def sharers(packed: DataFrame, ranges: int) -> DataFrame:

@@ -304,3 +304,29 @@ def test_ranges_of_windows_are_of_one_size(spark, monkeypatch):
     for number, size, ranges in rows:
         sizes[number] += size
     assert ranges == 40 and max(sizes.values()) < 2 * sum(sizes.values()) / ranges
+
+
+def test_tied_rows_are_handed_over_in_parts(monkeypatch):
+    """Signatures that all owners share come back whole, in pieces of bounded size."""
+    monkeypatch.setattr(sharing, "PART_ROWS", 100)
+    gathered = sharing.Gatherer(4)
+    for owner in range(1, 251):
+        gathered.add(np.array([5, 7, 1 << 63], np.uint64), owner)
+    batch = gathered._handed()
+    parts = [memoryview(d.as_buffer()) for d in batch.column(1)]
+    assert max(len(p) for p in parts) <= 24 + 100 * 48
+    out = [b for n in range(4) for b in sharing._sharers(
+        [p for p, r in zip(parts, batch.column(0).to_pylist(), strict=True) if r == n])]
+    assert max(b.num_rows for b in out) <= 100
+    got = Counter((r["sig"], r["id"], r["hub"]) for b in out for r in b.to_pylist())
+    assert got == Counter((s, i, 1) for s in (5, 7, -(1 << 63)) for i in range(1, 251))
+
+
+def test_ngram_join_starts_no_workers_for_a_table_of_the_driver(edited, monkeypatch):
+    """A table made of a Python list takes a second set of Python workers on every executor."""
+    def refused(*args, **options):
+        raise AssertionError("createDataFrame in the operator")
+
+    monkeypatch.setattr(type(edited.sparkSession), "createDataFrame", refused)
+    _, found = ngram_join.set_components(edited)
+    assert found.count() > 0
