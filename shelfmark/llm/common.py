@@ -15,8 +15,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Largest row count of a table that is sent to every executor by a hint.
 BROADCAST_ROWS = 200_000
 
-# Rows of a batch that goes to Python.
-BATCH_ROWS = 200
+# Rows and bytes of a batch that goes to Python; a larger row goes alone.
+BATCH_ROWS, BATCH_BYTES = 200, 4 << 20
 
 
 def fold_ascii(text: Column) -> Column:
@@ -61,8 +61,9 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_folder(spark)
-    # Few rows at once go to Python: texts and sets can be large.
-    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS):
+    # Few rows and bytes at once go to Python: texts, sets and packed columns can be large.
+    rows = setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    with rows, setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -23,8 +23,9 @@ from shelfmark.llm.tokens import mix
 
 # Rows that a task holds before it hands them over, and rows that a range should have.
 HELD, RANGE_ROWS = 150_000, 300_000
-# Rows of a part that is handed over, or handed back, at once where they need not be together.
-PART_ROWS = 20_000
+# Rows of a part that is handed over, or handed back, at once where they need not be together:
+# less than half a MB, so that no part is a humongous object of the JVM.
+PART_ROWS = 8_000
 PACKED, SHARED = "range int, data binary", "sig long, id long, place long, hub long, at long, till long"
 
 

@@ -47,10 +47,11 @@ def word_hashes(texts: pa.Array, pattern: str | None = None) -> tuple[np.ndarray
     offsets = listed.offsets.to_numpy().astype(np.int64)
     values = listed.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
     offsets = offsets - offsets[0]
-    known = values.dictionary.to_pylist()
-    table = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
+    # By to_numpy, as to_pylist makes a scalar of every word on the way.
+    known = values.dictionary.to_numpy(zero_copy_only=False)
+    table = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
     codes = values.indices.to_numpy(zero_copy_only=False)
-    empty = np.fromiter((w == "" for w in known), bool, len(known))
+    empty = pc.equal(values.dictionary, "").to_numpy(zero_copy_only=False)
     if len(codes) and empty.any():
         dropped = empty[codes]
         offsets = offsets - np.concatenate([[0], np.cumsum(dropped)])[offsets]

@@ -4,10 +4,11 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.llm import language_id, mixing, ngram_join, quality, sharing, substring_dedup
+from shelfmark.llm import common, language_id, mixing, ngram_join, quality, sharing, substring_dedup
 from shelfmark.llm.graph import components
 
 SF = "/root/testdata/sf0.001"
@@ -330,3 +331,15 @@ def test_ngram_join_starts_no_workers_for_a_table_of_the_driver(edited, monkeypa
     monkeypatch.setattr(type(edited.sparkSession), "createDataFrame", refused)
     _, found = ngram_join.set_components(edited)
     assert found.count() > 0
+
+
+def test_batches_to_python_are_bounded_in_bytes(spark):
+    """Rows of a MB, as packed columns can have, do not travel by their number alone."""
+    rows = spark.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 1_000_000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    got = [r.n for r in common.stored(rows.mapInArrow(sizes, "n long")).collect()]
+    assert sum(got) == 40 and max(got) * 1_000_000 <= common.BATCH_BYTES + 1_000_000
