@@ -65,13 +65,14 @@ class Passage:
         return min(2 * self.least, 255)
 
 
-def _sliding(best: np.ufunc, values: np.ndarray, width: int, neutral: np.uint64) -> np.ndarray:
-    """Minimum or maximum of every ``width`` consecutive values, from running ones within blocks."""
-    n = len(values)
-    blocks = np.concatenate([values, np.full(-n % width, neutral)]).reshape(-1, width)
-    ahead = best.accumulate(blocks, axis=1).reshape(-1)
-    back = best.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return best(back[: n - width + 1], ahead[width - 1: n])
+def _sliding(best: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum or maximum of every ``width`` consecutive values, by doubling."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        values = best(values[:len(values) - step], values[step:])
+        done += step
+    return values
 
 
 def windows(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,9 +85,9 @@ def windows(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.
     if n < least:
         return (np.zeros(0, np.int64),) * 3
     # A token is a node if the minima of all stretches it is in reach up to it.
-    lowest = _sliding(np.minimum, hashes, least, ~np.uint64(0))
+    lowest = _sliding(np.minimum, hashes, least)
     around = np.concatenate([np.zeros(least - 1, np.uint64), lowest, np.zeros(least - 1, np.uint64)])
-    nodes = np.flatnonzero(_sliding(np.maximum, around, least, np.uint64(0)) == hashes)
+    nodes = np.flatnonzero(_sliding(np.maximum, around, least) == hashes)
     left, right = np.zeros(len(nodes), np.int64), np.full(len(nodes), n - 1)
     open_: list[int] = []
     values = hashes[nodes].tolist()
@@ -238,18 +239,39 @@ def _shared_overlaps(repeated: DataFrame, least: int) -> DataFrame:
     return sharing.sharers(packed, ranges)
 
 
-def _longest(match: np.ndarray, percent: int) -> tuple[int, int]:
-    """Longest stretch of which ``percent`` are matched, matched at both ends."""
-    step = np.where(match, 100 - percent, -percent)
-    total = np.concatenate([[0], np.cumsum(step)])
+def _longest(match: np.ndarray, percent: int) -> tuple[int, int, int]:
+    """Longest stretch of which ``percent`` are matched: ``start, end``, matched at both ends, and its length before it is narrowed to that."""
+    total = np.zeros(len(match) + 1, np.int64)
+    np.cumsum(match * 100 - percent, out=total[1:])
     least = np.minimum.accumulate(total)
-    start = np.searchsorted(-least, -total, side="left")
-    length = np.arange(len(total)) - start
-    end = int(length.argmax())
-    hits = np.flatnonzero(match[start[end]:end])
+    # A stretch that ends at a new minimum is empty; of sparse matches nearly all places are.
+    ends = np.flatnonzero(total[1:] >= least[:-1]) + 1
+    if not len(ends):
+        return 0, 0, 0
+    length = ends - np.searchsorted(-least, -total[ends], side="left")
+    best = int(length.argmax())
+    end, wide = int(ends[best]), int(length[best])
+    hits = match[end - wide:end]
+    return end - wide + int(hits.argmax()), end - int(hits[::-1].argmax()), wide
+
+
+def _apart(match: np.ndarray, percent: int, shortest: int) -> list[tuple[int, int]]:
+    """Parts that no stretch of which ``percent`` are matched reaches out of, but those below ``shortest``."""
+    total = np.zeros(len(match) + 1, np.int64)
+    np.cumsum(match * 100 - percent, out=total[1:])
+    inside = np.zeros(len(match) + 2, np.int8)
+    inside[1:-1] = np.maximum.accumulate(total[:0:-1])[::-1] >= np.minimum.accumulate(total[:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return [(a, b) for a, b in edges.reshape(-1, 2).tolist() if b - a >= shortest]
+
+
+def _around(match: np.ndarray, percent: int) -> tuple[int, int]:
+    """The part of ``match`` from which no stretch of which ``percent`` are matched reaches out."""
+    hits = np.flatnonzero(match)
     if not len(hits):
         return 0, 0
-    return int(start[end] + hits[0]), int(start[end] + hits[-1] + 1)
+    over = len(hits) * (100 - percent) // percent + 1
+    return max(int(hits[0]) - over, 0), min(int(hits[-1]) + 1 + over, len(match))
 
 
 def _has(x: np.ndarray, kinds: int) -> np.ndarray:
@@ -272,12 +294,14 @@ def _fitted(x: np.ndarray, y: np.ndarray, a: int, b: int, share: int, passage: P
         match = _has(x[a:b], kinds)[y]
         if 100 * np.count_nonzero(match) < share * passage.least:
             return None
-        c, d = _longest(match, share)
+        from_, to = _around(match, share)
+        c, d, _ = _longest(match[from_:to], share)
+        c, d = from_ + c, from_ + d
         if d - c < passage.least:
             return None
         if _similar(x[a:b], y[c:d], passage.percent):
             return a, b, c, d
-        low, high = _longest(_has(y[c:d], kinds)[x[a:b]], share)
+        low, high, _ = _longest(_has(y[c:d], kinds)[x[a:b]], share)
         if high - low == b - a:
             return None
         a, b = a + low, a + high
@@ -306,22 +330,32 @@ def _search(x: np.ndarray, y: np.ndarray, taken: list[tuple[int, int]], passage:
         return found
     match = _has(y, int(max(x.max(), y.max())) + 1)[x]
     for share in (*range(passage.percent, 100, 5), 100):
-        open_, failed = _between([*taken, *(f[:2] for f in found)], len(x)), False
+        failed, open_ = False, []
+
+        def best(low: int, high: int) -> list[tuple[int, int, int, int, int]]:
+            """Length of the longest stretch of a part, its start and end, and the part."""
+            if high - low < least:
+                return []
+            a, b, wide = _longest(match[low:high], share)
+            return [(wide, low + a, low + b, low, high)]
+
+        for low, high in _between([*taken, *(f[:2] for f in found)], len(x)):
+            if 100 * np.count_nonzero(match[low:high]) >= share * least:
+                open_.append([best(low + p, low + q)[0] for p, q in _apart(match[low:high], share, least)])
         while open_:
-            low, high = open_.pop()
-            if 100 * np.count_nonzero(match[low:high]) < share * least:
-                continue
-            a, b = _longest(match[low:high], share)
-            a, b = low + a, low + b
-            if b - a < least:
+            some = open_.pop()
+            # The longest of all goes first; where it is too short, so are the others.
+            at = max(range(len(some)), key=lambda i: some[i][0], default=None)
+            if at is None or some[at][2] - some[at][1] < least:
                 continue
+            _, a, b, low, high = some[at]
             fit = _fitted(x, y, a, b, share, passage)
             if fit:
                 found.append(fit)
                 a, b = fit[:2]
             else:
                 failed = True
-            open_ += [(low, a), (b, high)]
+            open_ += [some[:at] + best(low, a), best(b, high) + some[at + 1:]]
         if not failed:
             break
     return found
@@ -390,11 +424,12 @@ def _part(s: str, low: Column, high: Column) -> Column:
 
 
 _FOUND = "id long, hub long, start long, end long, hub_start long, hub_end long"
+_FOUND_OR_LEFT = f"{_FOUND}, family long"
 
 
-def _found(rows: list[tuple[int, ...]]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 6
-    names = [c.split()[0] for c in _FOUND.split(", ")]
+def _found(rows: list[tuple[int | None, ...]], schema: str = _FOUND) -> pa.RecordBatch:
+    names = [c.split()[0] for c in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
@@ -445,14 +480,16 @@ def _joined(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _compared(held: list[tuple[int, int, np.ndarray]], passage: Passage,
-              wanted: dict[int, list[tuple[int, int]]] | None = None) -> list[tuple[int, ...]]:
+def _compared(held: list[tuple[int, int, np.ndarray]], passage: Passage, wanted: dict[int, list[tuple[int, int]]] | None = None,
+              left: dict[int, list[tuple[int, int]]] | None = None, still: list[tuple[int, ...]] | None = None) -> list[tuple[int, ...]]:
     """Passages among ``id, low, shingles``: enough to cover what the wanted stretches share with other texts.
 
     ``wanted`` has stretches by id (places of the text, ends not included); all
     of every text if not given. Only texts that match enough of a stretch are
     compared in full, the best first, and what a passage covers is no longer
-    looked for.
+    looked for. With ``left``, the open pieces of the stretches, wanted texts
+    are compared with the others only. ``still`` gets ``id, start, end, low, high``
+    of the pieces that stay open and of the stretches they are in.
     """
     held = sorted(held, key=lambda h: h[0])
     sizes, least = np.array([len(h[2]) for h in held]), passage.least
@@ -464,6 +501,7 @@ def _compared(held: list[tuple[int, int, np.ndarray]], passage: Passage,
     listed, by = owner[order][new], codes[order][new]
     starts = np.searchsorted(by, np.arange(codes.max(initial=-1) + 2))
     done: dict[tuple[int, int], list[tuple[int, ...]]] = {}
+    able = np.array([left is None or h[0] not in left for h in held], bool)
 
     def compared(i: int, j: int) -> list[tuple[int, ...]]:
         i, j = max(i, j), min(i, j)
@@ -482,13 +520,17 @@ def _compared(held: list[tuple[int, int, np.ndarray]], passage: Passage,
             first, count = starts[own], starts[own + 1] - starts[own]
             at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
             places, others = np.repeat(np.arange(n), count), listed[at]
-            places, others = places[others != j], others[others != j]
+            open_ = np.full(n, left is None)
+            for a, b in left[text] if left is not None else []:
+                open_[max(a - low, 0):max(b - low, 0)] = True
+            good = (others != j) & able[others] & open_[places]
+            places, others = places[good], others[good]
             live = np.flatnonzero(100 * np.bincount(others, minlength=len(held)) >= passage.percent * least)
             best = _best_stretches(places, others, live, n, passage)
             # Scores only fall as places are covered: one that is up to date and the highest is the best.
             queue = [(-int(score), 0, int(i)) for score, i in zip(best, live, strict=True) if score >= 0]
             heapq.heapify(queue)
-            open_, covers = np.ones(n, bool), 0
+            covers = 0
             while queue:
                 _, seen, i = heapq.heappop(queue)
                 if seen < covers:
@@ -504,55 +546,97 @@ def _compared(held: list[tuple[int, int, np.ndarray]], passage: Passage,
                         if who == text and c < high and d > low and open_[max(c - low, 0):d - low].any():
                             open_[max(c - low, 0):d - low] = False
                             covers += 1
+            if still is not None and 100 * np.count_nonzero(open_) >= passage.percent * least:
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]]).astype(np.int8))).tolist()
+                still += [(text, a + low, b + low, low, high) for a, b in zip(edges[::2], edges[1::2], strict=True)]
     return sorted({row for rows in done.values() for row in rows})
 
 
 def _verified_in_blocks(members: DataFrame, shingles: DataFrame, passage: Passage) -> DataFrame:
     """Passages of a family's uncovered texts: ``family, id, low, high, open``.
 
-    ``open`` lists the stretches of a text that nothing covers yet, if any. A block holds
-    at most about _BLOCK texts with such stretches and as many others, and every
-    uncovered text meets every text of its family in one task. It gives
+    ``open`` lists the stretches of a text that nothing covers yet, if any. A family is dealt in
+    parts of at most about _BLOCK texts, which are compared within themselves first. What this leaves open
+    then meets the other parts, so every uncovered text meets every text of its family, and a large
+    family of like texts is not searched for the same stretches part by part. It gives
     passages enough to cover what the stretches share, not every pair.
     """
-    is_open = F.size("open") > 0
+    length, mixed = F.col("high") - F.col("low"), F.xxhash64("id")
 
-    def parts(wanted: Column, length: Column) -> Column:
-        return F.greatest(F.ceil(F.count(F.when(wanted, 1)) / _BLOCK), F.ceil(F.sum(F.when(wanted, length)) / _BLOCK_SHINGLES))
+    def parts(long: Column) -> Column:
+        return F.greatest(F.ceil(F.count(F.lit(1)) / _BLOCK), F.ceil(F.sum(long) / _BLOCK_SHINGLES))
 
-    length = F.col("high") - F.col("low")
     sizes = members.groupBy("family").agg(
-        parts(is_open, length).alias("rows"), parts(F.lit(True), length).alias("columns"),
-        F.sum(length).alias("shingles")).filter("rows > 0")
-    shingled = sizes.agg(F.coalesce(F.sum(F.col("shingles") * (F.col("rows") + F.col("columns"))), F.lit(0))).first()[0]
-    dealt = members.join(sizes, "family")
+        parts(length).alias("parts"), F.max(F.size("open")).alias("_open")).filter("_open > 0").drop("_open")
+    dealt = members.join(sizes, "family").withColumn("part", F.pmod(mixed, F.col("parts")))
+    # Read once: both rounds need the shingles.
+    dealt = stored(dealt.join(shingles.withColumnRenamed("text_id", "id"), "id").select(
+        "family", "id", "low", "high", "open", "parts", "part", _part("s", F.col("low"), F.col("high")).alias("x")))
+    nothing = F.lit(None).cast(members.schema["open"].dataType)
+    first = stored(_blocks_compared(dealt.select(
+        F.concat_ws("/", "family", "part").alias("block"), "family", (F.col("parts") > 1).alias("several"), "id", "low",
+        F.when(F.size("open") > 0, F.col("open")).alias("open"), nothing.alias("left"), "x"), passage))
+    found = first.filter("hub is not null").drop("family")
+    left = first.filter("hub is null").groupBy("family", "id").agg(
+        F.collect_set(F.struct(F.col("hub_start").alias("low"), (F.col("hub_end") - 1).alias("high"))).alias("open"),
+        F.collect_set(F.struct(F.col("start").alias("low"), (F.col("end") - 1).alias("high"))).alias("left"))
+    left = stored(left)
+    if left.isEmpty():
+        return found
 
-    def laid(rows: DataFrame, own: str, all_: str, stretches: Column) -> DataFrame:
-        numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col(all_) - 1))
-        rows = rows.withColumn(f"_{own}", F.pmod(F.xxhash64("id"), F.col(own))).withColumn(f"_{all_}", numbers)
-        return rows.select(F.concat_ws("/", "family", "_rows", "_columns").alias("block"), "id", "low", "high", stretches.alias("open"))
+    again = dealt.drop("open").join(left, ["family", "id"])
+    rows = again.groupBy("family").agg(parts(length).alias("rows"))
+
+    def over(count: str, name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1)).alias(name)
+
+    asking = again.join(rows, "family").withColumn("_row", F.pmod(mixed, F.col("rows"))).select(
+        "*", over("parts", "_column")).filter("_column <> part")
+    asked = dealt.drop("open").join(rows, "family").withColumn("_column", F.col("part")).select("*", over("rows", "_row"))
+    both = asking.unionByName(asked.withColumn("open", nothing).withColumn("left", nothing))
+    second = _blocks_compared(both.select(
+        F.concat_ws("/", "family", "_row", "_column").alias("block"), "family", F.lit(False).alias("several"),
+        "id", "low", "open", "left", "x"), passage)
+    return found.union(second.drop("family"))
 
-    nothing = F.lit(None).cast(members.schema["open"].dataType)
-    both = laid(dealt.filter(is_open), "rows", "columns", F.col("open")).union(laid(dealt, "columns", "rows", nothing))
-    rows = both.join(shingles.withColumnRenamed("text_id", "id"), "id").select(
-        "block", "id", "low", F.col("open.low").alias("from"), F.col("open.high").alias("to"),
-        _part("s", F.col("low"), F.col("high")).alias("x"))
+
+def _blocks_compared(rows: DataFrame, passage: Passage) -> DataFrame:
+    """Passages of blocks, ``block, family, several, id, low, open, left, x``.
+
+    Where a family has several blocks, also a row without hub for each open piece that is left.
+    """
+    shingled = rows.agg(F.coalesce(F.sum(F.octet_length("x")), F.lit(0))).first()[0] // 8
+
+    def ends(column: str, end: str) -> Column:
+        return F.col(f"{column}.{end}").alias(f"{column}_{end}")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, wanted = None, {}, {}
+        key, held, wanted, left = None, {}, {}, {}
+
+        def close() -> pa.RecordBatch:
+            still = [] if key[2] else None
+            found = [(*row, None) for row in _compared(list(held.values()), passage, wanted, left or None, still)]
+            return _found(found + [(i, None, a, b, low, high, key[1]) for i, a, b, low, high in still or ()], _FOUND_OR_LEFT)
+
         for batch in batches:
-            for name, i, low, from_, to, x in zip(*(batch.column(c).to_pylist() for c in range(5)), batch.column(5), strict=True):
-                if name != key and held:
-                    yield _found(_compared(list(held.values()), passage, wanted))
-                    held, wanted = {}, {}
-                key = name
+            plain = (batch.column(c).to_pylist() for c in range(9))
+            for block, family, several, i, low, from_, to, a, b, x in zip(*plain, batch.column(9), strict=True):
+                if key and block != key[0]:
+                    yield close()
+                    held, wanted, left = {}, {}, {}
+                key = block, family, several
                 held[i] = (i, low, np.frombuffer(x.as_buffer(), np.uint64))
                 if from_ is not None:
-                    wanted[i] = [(a, b + 1) for a, b in zip(from_, to, strict=True)]
+                    wanted[i] = [(p, q + 1) for p, q in zip(from_, to, strict=True)]
+                if a is not None:
+                    left[i] = [(p, q + 1) for p, q in zip(a, b, strict=True)]
         if held:
-            yield _found(_compared(list(held.values()), passage, wanted))
+            yield close()
 
-    return rows.repartition(1 + shingled // _TASK_SHINGLES, "block").sortWithinPartitions("block").mapInArrow(work, _FOUND)
+    dealt = rows.repartition(1 + shingled // _TASK_SHINGLES, "block").sortWithinPartitions("block")
+    return dealt.select(
+        "block", "family", "several", "id", "low", ends("open", "low"), ends("open", "high"), ends("left", "low"), ends("left", "high"), "x"
+    ).mapInArrow(work, _FOUND_OR_LEFT)
 
 
 def text_passages(docs: DataFrame, passage: Passage = Passage()) -> tuple[DataFrame, DataFrame]:
@@ -588,7 +672,8 @@ def text_passages(docs: DataFrame, passage: Passage = Passage()) -> tuple[DataFr
         F.min(_low("place")).alias("low"), F.max(_high("place")).alias("high"), F.collect_set("open").alias("open")))
     if members.isEmpty():
         return rows, found
-    more = _verified_in_blocks(members, shingles, passage)
+    of_members = _read_shingles(docs, members.select(F.col("id").alias("text_id")), where, passage.size)
+    more = _verified_in_blocks(members, of_members, passage)
     return rows, stored(found.union(more).distinct())
 
 

@@ -343,3 +343,55 @@ def test_batches_to_python_are_bounded_in_bytes(spark):
 
     got = [r.n for r in common.stored(rows.mapInArrow(sizes, "n long")).collect()]
     assert sum(got) == 40 and max(got) * 1_000_000 <= common.BATCH_BYTES + 1_000_000
+
+
+def laid_out(spark, texts):
+    """Members and shingles of one family, all texts open from end to end."""
+    runs = [(i, hashed(text, 5)) for i, text in enumerate(texts, 1)]
+    members = spark.createDataFrame(
+        [(1, i, 0, len(r) - 1, [(0, len(r) - 1)]) for i, r in runs],
+        "family long, id long, low long, high long, open array<struct<low long, high long>>")
+    return members, spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in runs], "text_id long, s binary")
+
+
+def test_parts_of_a_family_do_not_search_for_the_same_stretch_again(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_BLOCK", 10)
+    same = [f"w{i}" for i in range(60)]
+    texts = [[f"a{k}", *same, f"b{k}"] for k in range(60)]
+    rows = substring_dedup._verified_in_blocks(*laid_out(spark, texts), substring_dedup.Passage()).collect()
+    assert {r.id for r in rows} | {r.hub for r in rows} == set(range(1, 61))
+    # Each text needs one other; every two parts of six once gave a passage of each of their texts.
+    assert len(rows) < 2 * len(texts)
+
+
+def test_texts_of_different_parts_meet(spark, monkeypatch):
+    """One stretch of each text is shared within the family by two texts only, wherever these are dealt to."""
+    monkeypatch.setattr(substring_dedup, "_BLOCK", 4)
+    common_ = [f"w{i}" for i in range(50)]
+    texts = [[*common_, f"x{k}", *(f"p{k // 2}-{i}" for i in range(55)), f"y{k}"] for k in range(24)]
+    members, shingles_ = laid_out(spark, texts)
+    rows = substring_dedup._verified_in_blocks(members, shingles_, substring_dedup.Passage()).collect()
+    covered = defaultdict(set)
+    for r in rows:
+        covered[r.id].update(range(r.start, r.end))
+        covered[r.hub].update(range(r.hub_start, r.hub_end))
+    for i in range(1, 25):
+        assert covered[i] >= {*range(46), *range(51, 102)}, i
+
+
+def test_longest_stretches_part_by_part():
+    """Parts hold every stretch that is matched well enough."""
+    rng = random.Random(3)
+    for seed in range(300):
+        share = rng.choice([80, 90, 100])
+        match = np.array([rng.random() < rng.choice([0.05, 0.95]) for _ in range(rng.randint(1, 60)) for _ in range(rng.randint(1, 9))])
+        a, b, wide = substring_dedup._longest(match, share)
+        apart = substring_dedup._apart(match, share, 1)
+        assert max([substring_dedup._longest(match[p:q], share)[2] for p, q in apart], default=0) == wide, seed
+        p, q = substring_dedup._around(match, share)
+        c, d, again = substring_dedup._longest(match[p:q], share)
+        assert again == wide and (not wide or (p + c, p + d) == (a, b)), seed
+        total = np.concatenate([[0], np.cumsum(np.where(match, 100 - share, -share))])
+        for s in range(len(match)):
+            ends = np.flatnonzero(total[s + 1:] >= total[s])
+            assert not len(ends) or any(p <= s and s + 1 + ends[-1] <= q for p, q in apart), seed
