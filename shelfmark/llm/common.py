@@ -53,7 +53,7 @@ def setting(spark: SparkSession, key: str, value: object) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage.
 
     A lost executor then costs a re-read, not the work before. The folder is
@@ -62,7 +62,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     # Few rows and bytes at once go to Python: texts, sets and packed columns can be large.
-    rows = setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    rows = setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
     with rows, setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

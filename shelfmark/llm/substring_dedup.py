@@ -40,10 +40,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.llm import sharing, tokens
-from shelfmark.llm.common import cut_words, fresh, small, stored
+from shelfmark.llm.common import cut_words, fresh, setting, small, stored
 
 # Texts and shingles of a block, shingles of a task's blocks, and cells of a comparison at once.
 _BLOCK, _BLOCK_SHINGLES, _TASK_SHINGLES, _CELLS = 400, 250_000, 100_000, 2_000_000
+# Rows of a few numbers that go to Python at once. Bytes of a word with what parts it, about.
+_NARROW_ROWS, _WORD_BYTES = 10_000, 6
 # Hash functions. A place packs a node and how far its window goes to both sides.
 _FUNCTIONS = 4
 
@@ -88,15 +90,21 @@ def windows(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.
     lowest = _sliding(np.minimum, hashes, least)
     around = np.concatenate([np.zeros(least - 1, np.uint64), lowest, np.zeros(least - 1, np.uint64)])
     nodes = np.flatnonzero(_sliding(np.maximum, around, least) == hashes)
-    left, right = np.zeros(len(nodes), np.int64), np.full(len(nodes), n - 1)
-    open_: list[int] = []
-    values = hashes[nodes].tolist()
-    for i, value in enumerate(values):
-        while open_ and values[open_[-1]] > value:
-            right[open_.pop()] = nodes[i] - 1
-        if open_:
-            left[i] = nodes[open_[-1]] + 1
-        open_.append(i)
+    # The nearest smaller one on each side (equal ones count on the left), over those that are passed already.
+    values = hashes[nodes]
+    before, after = np.arange(len(nodes)) - 1, np.arange(len(nodes)) + 1
+    late = np.flatnonzero(before >= 0)
+    while len(late):
+        late = late[values[before[late]] > values[late]]
+        before[late] = before[before[late]]
+        late = late[before[late] >= 0]
+    late = np.flatnonzero(after < len(nodes))
+    while len(late):
+        late = late[values[after[late]] >= values[late]]
+        after[late] = after[after[late]]
+        late = late[after[late] < len(nodes)]
+    ends = np.concatenate([nodes, [n, -1]])
+    left, right = ends[before] + 1, ends[after] - 1
     wide = right - left + 1 >= least
     return nodes[wide], left[wide], right[wide]
 
@@ -119,24 +127,6 @@ def _identity(words: np.ndarray) -> int:
     return int(tokens.mix(np.array([first ^ tokens.mix(np.array([second]))[0]]))[0].view(np.int64)) or 1
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, mark, n, text_id``: word count and identifier of every row's word sequence."""
-    kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("mark", T.LongType()),
-                           T.StructField("n", T.LongType()), T.StructField("text_id", T.LongType())])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tokens.slices(batch, 2):
-                words, offsets = tokens.word_hashes(part.column(2))
-                ids = [_identity(words[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.diff(offsets)), pa.array(ids, pa.int64())],
-                    names=["doc_id", "mark", "n", "text_id"])
-
-    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(work, schema)
-
-
 def _node(place: str | Column) -> Column:
     return F.shiftright(place, 16)
 
@@ -153,46 +143,87 @@ def _packed(node: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return (node << 16) | ((node - low) << 8) | (high - node)
 
 
-def _repeated_windows(docs: DataFrame, passage: Passage, words: int) -> DataFrame:
-    """``sig, id, place`` of compact windows that several texts have.
+def _window_ranges(passage: Passage, words: int) -> int:
+    # A text of n shingles has about 2 n / least windows under one function.
+    return sharing.ranges_for(_FUNCTIONS * 2 * words // passage.least)
 
-    All texts are taken under each hash function, which is told by the
-    signature's last bits.
+
+def _hashed(docs: DataFrame, passage: Passage, ranges: int) -> DataFrame:
+    """``doc_id, mark, n, text_id, range, data``: rows of two kinds, as all words are hashed in one pass.
+
+    Without range: word count and identifier of every row's word sequence. With range: packed
+    compact windows of all texts under each hash function, which is told by the signature's last bits.
     """
     least, reach = passage.least, passage.reach
-    # A text of n shingles has about 2 n / least windows under one function.
-    ranges = sharing.ranges_for(_FUNCTIONS * 2 * words // least)
+    kind = docs.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("mark", "n", "text_id")),
+                           T.StructField("range", T.IntegerType()), T.StructField("data", T.BinaryType())])
+    names = schema.fieldNames()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered = sharing.Gatherer(ranges)
+        gathered, doc_kind, rows = sharing.Gatherer(ranges), None, []
 
         def each(batch: pa.RecordBatch) -> None:
-            for part in tokens.slices(batch, 0):
-                texts = [(_identity(w), r) for w, r in _sequences(part.column(0), passage.size) if len(r) >= least]
-                if not texts:
-                    continue
-                # All texts in a row, with a smallest value between them that no window reaches over.
-                sizes = np.array([len(r) + 1 for _, r in texts])
-                starts = np.cumsum(sizes) - sizes
-                flat, owners = np.zeros(sizes.sum(), np.uint64), np.array([i for i, _ in texts], np.int64)
-                inside = np.ones(len(flat), bool)
-                inside[starts + sizes - 1] = False
-                flat[inside] = np.concatenate([r for _, r in texts])
-                for f in range(_FUNCTIONS):
-                    values = np.where(inside, tokens.mix(flat ^ np.uint64(0x632BE59BD9B4E019 * (f + 1) % (1 << 64))) | np.uint64(1), 0)
-                    node, low, high = windows(values, least)
-                    node, low, high = node[inside[node]], low[inside[node]], high[inside[node]]
-                    text = np.searchsorted(starts, node, side="right") - 1
-                    # Minima lie near zero: mixed, they spread over all ranges.
-                    sig = (tokens.mix(values[node]) & ~np.uint64(_FUNCTIONS - 1)) | np.uint64(f)
-                    node, low, high = node - starts[text], low - starts[text], high - starts[text]
-                    place = _packed(node, np.maximum(low, node - reach), np.minimum(high, node + reach))
-                    gathered.add(sig, owners[text], place)
+            nonlocal doc_kind
+            doc_kind = batch.column(0).type
+            for part in tokens.slices(batch, 2):
+                sequences = list(_sequences(part.column(2), passage.size))
+                ids = [_identity(w) for w, _ in sequences]
+                rows.append(pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([len(w) for w, _ in sequences], pa.int64()), pa.array(ids, pa.int64()),
+                     pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=names))
+                texts = [(i, r) for i, (_, r) in zip(ids, sequences, strict=True) if len(r) >= least]
+                if texts:
+                    windowed(texts)
+
+        def windowed(texts: list[tuple[int, np.ndarray]]) -> None:
+            # All texts in a row, with a smallest value between them that no window reaches over.
+            sizes = np.array([len(r) + 1 for _, r in texts])
+            starts = np.cumsum(sizes) - sizes
+            flat, owners = np.zeros(sizes.sum(), np.uint64), np.array([i for i, _ in texts], np.int64)
+            inside = np.ones(len(flat), bool)
+            inside[starts + sizes - 1] = False
+            flat[inside] = np.concatenate([r for _, r in texts])
+            for f in range(_FUNCTIONS):
+                values = np.where(inside, tokens.mix(flat ^ np.uint64(0x632BE59BD9B4E019 * (f + 1) % (1 << 64))) | np.uint64(1), 0)
+                node, low, high = windows(values, least)
+                node, low, high = node[inside[node]], low[inside[node]], high[inside[node]]
+                text = np.searchsorted(starts, node, side="right") - 1
+                # Minima lie near zero: mixed, they spread over all ranges.
+                sig = (tokens.mix(values[node]) & ~np.uint64(_FUNCTIONS - 1)) | np.uint64(f)
+                node, low, high = node - starts[text], low - starts[text], high - starts[text]
+                place = _packed(node, np.maximum(low, node - reach), np.minimum(high, node + reach))
+                gathered.add(sig, owners[text], place)
+
+        for handed in gathered.run(batches, each):
+            yield from rows
+            rows.clear()
+            n = handed.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(n, doc_kind), *(pa.nulls(n, pa.int64()) for _ in range(3)), handed.column(0), handed.column(1)], names=names)
+        yield from rows
 
-        yield from gathered.run(batches, each)
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(work, schema)
+
+
+def _rows(docs: DataFrame, passage: Passage = Passage()) -> DataFrame:
+    """``doc_id, mark, n, text_id``: word count and identifier of every row's word sequence."""
+    return _of_rows(_hashed(docs, passage, 1))
 
-    packed = docs.filter(F.col("text").isNotNull()).select("text").mapInArrow(work, sharing.PACKED)
-    return sharing.sharers(packed, ranges).select("sig", "id", "place")
+
+def _of_rows(hashed: DataFrame) -> DataFrame:
+    return hashed.filter("range is null").select("doc_id", "mark", "n", "text_id")
+
+
+def _repeated_windows(docs: DataFrame, passage: Passage, words: int) -> DataFrame:
+    """``sig, id, place`` of compact windows that several texts have."""
+    ranges = _window_ranges(passage, words)
+    texts = docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    return _of_windows(_hashed(texts, passage, ranges), ranges)
+
+
+def _of_windows(hashed: DataFrame, ranges: int) -> DataFrame:
+    return sharing.sharers(hashed.filter("range is not null").select("range", "data"), ranges).select("sig", "id", "place")
 
 
 def _shared_overlaps(repeated: DataFrame, least: int) -> DataFrame:
@@ -203,33 +234,44 @@ def _shared_overlaps(repeated: DataFrame, least: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered, held = sharing.Gatherer(ranges), []
 
-        def close(owner: int, sig: np.ndarray, place: np.ndarray) -> None:
+        def close(ids: np.ndarray, sig: np.ndarray, place: np.ndarray) -> None:
+            """Windows of whole texts, one text after the other."""
             node = place >> 16
             low, high = node - ((place >> 8) & 255), node + (place & 255)
+            near = np.arange(len(sig))
             for step in range(1, len(sig)):
                 # The window and the one ``step`` places further on; far enough, none can share a passage.
-                a, b = slice(0, len(sig) - step), slice(step, len(sig))
-                near = node[b] - node[a] < least
-                if not near.any():
+                near = near[:np.searchsorted(near, len(sig) - step)]
+                near = near[(ids[near + step] == ids[near]) & (node[near + step] - node[near] < least)]
+                if not len(near):
                     break
-                from_, to = np.maximum(low[a], low[b]), np.minimum(high[a], high[b])
-                good = near & (to - from_ + 1 >= least) & (from_ <= node[a]) & (node[b] <= to)
-                good &= (sig[a] ^ sig[b]) & (_FUNCTIONS - 1) != 0
-                x, y = sig[a][good].view(np.uint64), sig[b][good].view(np.uint64)
-                both = tokens.mix(tokens.mix(np.minimum(x, y)) + np.maximum(x, y))
-                gathered.add(both, owner, _packed(node[a][good], from_[good], to[good]))
+                x, y = near, near + step
+                from_, to = np.maximum(low[x], low[y]), np.minimum(high[x], high[y])
+                good = (to - from_ + 1 >= least) & (from_ <= node[x]) & (node[y] <= to)
+                good &= (sig[x] ^ sig[y]) & (_FUNCTIONS - 1) != 0
+                x, from_, to = x[good], from_[good], to[good]
+                one, two = sig[x].view(np.uint64), sig[x + step].view(np.uint64)
+                both = tokens.mix(tokens.mix(np.minimum(one, two)) + np.maximum(one, two))
+                gathered.add(both, ids[x], _packed(node[x], from_, to))
 
         def each(batch: pa.RecordBatch) -> None:
-            ids, sig, place = (batch.column(i).to_numpy() for i in range(3))
-            cuts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]])
-            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and held[0][0] != ids[start]:
-                    flush()
-                held.append((ids[start], sig[start:end], place[start:end]))
+            rows = [batch.column(i).to_numpy() for i in range(3)]
+            if not len(rows[0]):
+                return
+            # The last text of a batch may go on in the next one.
+            cut = int(np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))[-1])
+            if held and (cut or held[-1][0][-1] != rows[0][0]):
+                held.append([r[:cut] for r in rows])
+                flush()
+                rows = [r[cut:] for r in rows]
+            elif cut:
+                close(*(r[:cut] for r in rows))
+                rows = [r[cut:] for r in rows]
+            held.append(rows)
 
         def flush() -> None:
             if held:
-                close(int(held[0][0]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]))
+                close(*(np.concatenate(c) for c in zip(*held, strict=True)))
                 held.clear()
 
         yield from gathered.run(batches, each, flush)
@@ -257,14 +299,39 @@ def _longest(match: np.ndarray, percent: int) -> tuple[int, int, int]:
 
 def _apart(match: np.ndarray, percent: int, shortest: int) -> list[tuple[int, int]]:
     """Parts that no stretch of which ``percent`` are matched reaches out of, but those below ``shortest``."""
-    total = np.zeros(len(match) + 1, np.int64)
-    np.cumsum(match * 100 - percent, out=total[1:])
-    inside = np.zeros(len(match) + 2, np.int8)
+    return _held_by(match * 100 - percent, shortest)
+
+
+def _held_by(weights: np.ndarray, shortest: int) -> list[tuple[int, int]]:
+    """Parts that no stretch of weight 0 and more reaches out of, but those below ``shortest``."""
+    total = np.zeros(len(weights) + 1, np.int64)
+    np.cumsum(weights, out=total[1:])
+    inside = np.zeros(len(weights) + 2, np.int8)
     inside[1:-1] = np.maximum.accumulate(total[:0:-1])[::-1] >= np.minimum.accumulate(total[:-1])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     return [(a, b) for a, b in edges.reshape(-1, 2).tolist() if b - a >= shortest]
 
 
+def _dense(x: np.ndarray, match: np.ndarray, passage: Passage) -> np.ndarray:
+    """Places of x in stretches that may have the share of a passage's denser side.
+
+    Sides of which u and v are matched have at most the Jaccard similarity 1 / (1 / u + 1 / v - 1), so that
+    one of the two has 2 s / (1 + s) at least to reach s. Of shingles that x repeats only the
+    matched ones are counted, as they are one in the sets.
+    """
+    s, single = passage.percent, np.bincount(x)[x] == 1
+    weights = np.where(match, 100 - s, np.where(single, -2 * s, 0))
+    return _marked(_held_by(weights, passage.least), len(x))
+
+
+def _marked(parts: list[tuple[int, int]], n: int) -> np.ndarray:
+    """Whether each of ``n`` places is in one of the parts."""
+    mask = np.zeros(n, bool)
+    for a, b in parts:
+        mask[a:b] = True
+    return mask
+
+
 def _around(match: np.ndarray, percent: int) -> tuple[int, int]:
     """The part of ``match`` from which no stretch of which ``percent`` are matched reaches out."""
     hits = np.flatnonzero(match)
@@ -317,9 +384,12 @@ def _between(taken: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return [*gaps, (low, n)]
 
 
-def _search(x: np.ndarray, y: np.ndarray, taken: list[tuple[int, int]], passage: Passage) -> list[tuple[int, int, int, int]]:
+def _search(x: np.ndarray, y: np.ndarray, taken: list[tuple[int, int]], passage: Passage,
+            open_: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
     """Verified passages of what ``taken`` leaves of x and of y, numbered shingles: ``start, end`` in both.
 
+    With ``open_``, which tells it for each place of x, only stretches with open places are looked at.
+
     A Jaccard similarity of s needs a matched share of s on both sides. The
     longest stretch of that share is tried first, then what is left and right
     of it; where one is not similar as a whole, all that is not found yet is
@@ -329,21 +399,22 @@ def _search(x: np.ndarray, y: np.ndarray, taken: list[tuple[int, int]], passage:
     if min(len(x), len(y)) < least:
         return found
     match = _has(y, int(max(x.max(), y.max())) + 1)[x]
+    before = np.concatenate([[0], np.cumsum(match if open_ is None else match & open_)])
     for share in (*range(passage.percent, 100, 5), 100):
-        failed, open_ = False, []
+        failed, queue = False, []
 
         def best(low: int, high: int) -> list[tuple[int, int, int, int, int]]:
             """Length of the longest stretch of a part, its start and end, and the part."""
-            if high - low < least:
+            if high - low < least or before[low] == before[high]:
                 return []
             a, b, wide = _longest(match[low:high], share)
             return [(wide, low + a, low + b, low, high)]
 
         for low, high in _between([*taken, *(f[:2] for f in found)], len(x)):
-            if 100 * np.count_nonzero(match[low:high]) >= share * least:
-                open_.append([best(low + p, low + q)[0] for p, q in _apart(match[low:high], share, least)])
-        while open_:
-            some = open_.pop()
+            if 100 * np.count_nonzero(match[low:high]) >= share * least and before[low] < before[high]:
+                queue.append([b for p, q in _apart(match[low:high], share, least) for b in best(low + p, low + q)])
+        while queue:
+            some = queue.pop()
             # The longest of all goes first; where it is too short, so are the others.
             at = max(range(len(some)), key=lambda i: some[i][0], default=None)
             if at is None or some[at][2] - some[at][1] < least:
@@ -355,7 +426,7 @@ def _search(x: np.ndarray, y: np.ndarray, taken: list[tuple[int, int]], passage:
                 a, b = fit[:2]
             else:
                 failed = True
-            open_ += [some[:at] + best(low, a), best(b, high) + some[at + 1:]]
+            queue += [some[:at] + best(low, a), best(b, high) + some[at + 1:]]
         if not failed:
             break
     return found
@@ -365,6 +436,12 @@ def passages_of(x: np.ndarray, y: np.ndarray, passage: Passage) -> list[tuple[in
     """Verified passages of two shingle sequences, ``start, end`` in both: all places of either that the other has."""
     codes, more = np.unique(np.concatenate([x, y]), return_inverse=True)[1], passage.size - 1
     x, y = codes[:len(x)], codes[len(x):]
+    if min(len(x), len(y)) < passage.least:
+        return []
+    kinds = int(codes.max()) + 1
+    ours, theirs = _has(y, kinds)[x], _has(x, kinds)[y]
+    if not _dense(x, ours, passage).any() and not _dense(y, theirs, passage).any():
+        return []
     found = _search(x, y, [], passage)
     taken = [(max(c - more, 0), min(d + more, len(y))) for _, _, c, d in found]
     return found + [(a, b, c, d) for c, d, a, b in _search(y, x, taken, passage)] if found else found
@@ -486,8 +563,9 @@ def _compared(held: list[tuple[int, int, np.ndarray]], passage: Passage, wanted:
 
     ``wanted`` has stretches by id (places of the text, ends not included); all
     of every text if not given. Only texts that match enough of a stretch are
-    compared in full, the best first, and what a passage covers is no longer
-    looked for. With ``left``, the open pieces of the stretches, wanted texts
+    compared, the best first, around the places that are open yet; what a passage
+    covers, in either text, is no longer looked for, and one that covers nothing new is
+    left out. With ``left``, the open pieces of the stretches, wanted texts
     are compared with the others only. ``still`` gets ``id, start, end, low, high``
     of the pieces that stay open and of the stretches they are in.
     """
@@ -500,56 +578,163 @@ def _compared(held: list[tuple[int, int, np.ndarray]], passage: Passage, wanted:
     new = np.concatenate([[True], (codes[order][1:] != codes[order][:-1]) | (owner[order][1:] != owner[order][:-1])])
     listed, by = owner[order][new], codes[order][new]
     starts = np.searchsorted(by, np.arange(codes.max(initial=-1) + 2))
-    done: dict[tuple[int, int], list[tuple[int, ...]]] = {}
+    number = np.zeros(codes.max(initial=-1) + 1, np.int64)
     able = np.array([left is None or h[0] not in left for h in held], bool)
-
-    def compared(i: int, j: int) -> list[tuple[int, ...]]:
-        i, j = max(i, j), min(i, j)
-        if (i, j) not in done:
-            (a, la, x), (b, lb, y) = held[i], held[j]
-            done[i, j] = _pair(a, b, x, y, la, lb, passage)
-        return done[i, j]
-
-    for j, (text, offset, shingles) in enumerate(held):
+    stretches: list[list[tuple[int, int]]] = []
+    opened = np.zeros(len(codes), bool)
+    for at, (text, offset, shingles) in zip(begin, held, strict=True):
         whole = [(offset, offset + len(shingles))]
-        for low, high in _joined(whole if wanted is None else wanted.get(text, [])):
+        stretches.append([(low - offset, high - offset) for low, high in _joined(whole if wanted is None else wanted.get(text, []))
+                          if high - low >= least])
+        for low, high in stretches[-1] if left is None else [(a - offset, b - offset) for a, b in left.get(text, [])]:
+            opened[at + low:at + high] = True
+    covered = np.zeros(len(codes), bool)
+    rows: set[tuple[int, ...]] = set()
+
+    def cover(j: int, i: int, focus: bool = True) -> bool:
+        """Take the passages of two texts if some cover open places of the first, with ``focus`` where enough of these are matched."""
+        ours, theirs = (slice(begin[k], begin[k] + sizes[k]) for k in (j, i))
+        both = np.concatenate([codes[ours], codes[theirs]])
+        # Numbers below the number of shingles of the pair, equal ones alike.
+        number[both] = np.arange(len(both))
+        both, useful = number[both], []
+        x, y = both[:sizes[j]], both[sizes[j]:]
+        match, open_ = _has(y, len(both))[x], opened[ours]
+        near = match & open_
+        if focus:
+            near &= _marked(_apart(near, passage.percent, least), len(x))
+        around = match & _marked([(a, b) for a, b in _apart(match, passage.percent, least) if near[a:b].any()], len(x))
+        back = _has(x[around], len(both))[y]
+        near &= _dense(x, around, passage) | _has(y[back & _dense(y, back, passage)], len(both))[x]
+        found = _search(x, y, [], passage, near) if near.any() else []
+        if not any(open_[a:b].any() for a, b, _, _ in found):
+            return False
+        # A pair that gives something is looked at as a whole, for what is new in either text.
+        for a, b, c, d in found + passages_of(x, y, passage):
+            open_[a:b] = False
+            if not (covered[ours][a:b].all() and covered[theirs][c:d].all()):
+                covered[ours][a:b] = covered[theirs][c:d] = True
+                useful.append((a, b, c, d))
+        (ours_id, p, _), (theirs_id, q, _) = held[j], held[i]
+        if i < j:
+            rows.update((ours_id, theirs_id, a + p, b + p, c + q, d + q) for a, b, c, d in useful)
+            again, hub, at = _again(y, {f[2:] for f in useful}, passage), theirs_id, q
+        else:
+            rows.update((theirs_id, ours_id, c + q, d + q, a + p, b + p) for a, b, c, d in useful)
+            again, hub, at = _again(x, {f[:2] for f in useful}, passage), ours_id, p
+        rows.update((hub, hub, s + at, e + at, c + at, d + at) for s, e, c, d in again)
+        return True
+
+    for j, within in enumerate(stretches):
+        for low, high in within:
             n = high - low
-            if n < least:
-                continue
-            own = codes[begin[j] + low - offset:begin[j] + high - offset]
-            first, count = starts[own], starts[own + 1] - starts[own]
+            ours = slice(begin[j] + low, begin[j] + high)
+            own = codes[ours]
+            first, count = starts[own], np.where(opened[ours], starts[own + 1] - starts[own], 0)
             at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
             places, others = np.repeat(np.arange(n), count), listed[at]
-            open_ = np.full(n, left is None)
-            for a, b in left[text] if left is not None else []:
-                open_[max(a - low, 0):max(b - low, 0)] = True
-            good = (others != j) & able[others] & open_[places]
+            good = (others != j) & able[others]
+            places, others = places[good], others[good]
+            matched = np.bincount(others, minlength=len(held))
+            live = np.flatnonzero(100 * matched >= passage.percent * least)
+            good = 100 * matched[others] >= passage.percent * least
             places, others = places[good], others[good]
-            live = np.flatnonzero(100 * np.bincount(others, minlength=len(held)) >= passage.percent * least)
             best = _best_stretches(places, others, live, n, passage)
             # Scores only fall as places are covered: one that is up to date and the highest is the best.
             queue = [(-int(score), 0, int(i)) for score, i in zip(best, live, strict=True) if score >= 0]
+            if not queue:
+                continue
             heapq.heapify(queue)
+            places = places[np.argsort(others, kind="stable")]
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(others, minlength=len(held)))])
             covers = 0
             while queue:
                 _, seen, i = heapq.heappop(queue)
                 if seen < covers:
-                    mine = places[others == i]
-                    mine = mine[open_[mine]]
+                    mine = places[cuts[i]:cuts[i + 1]]
+                    mine = mine[opened[ours][mine]]
                     if 100 * len(mine) >= passage.percent * least:
-                        score = int(_best_stretches(mine, np.zeros(len(mine), np.int64), np.zeros(1, np.int64), n, passage)[0])
+                        total = np.zeros(n + 1, np.int64)
+                        total[mine + 1] = 100
+                        total[1:] -= passage.percent
+                        np.cumsum(total, out=total)
+                        score = int((total[least:] - np.minimum.accumulate(total[:-least])).max())
                         if score >= 0:
                             heapq.heappush(queue, (-score, covers, i))
                     continue
-                for a, b, s, e, p, q in compared(i, j):
-                    for who, c, d in ((a, s, e), (b, p, q)):
-                        if who == text and c < high and d > low and open_[max(c - low, 0):d - low].any():
-                            open_[max(c - low, 0):d - low] = False
-                            covers += 1
-            if still is not None and 100 * np.count_nonzero(open_) >= passage.percent * least:
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]]).astype(np.int8))).tolist()
-                still += [(text, a + low, b + low, low, high) for a, b in zip(edges[::2], edges[1::2], strict=True)]
-    return sorted({row for rows in done.values() for row in rows})
+                covers += cover(j, i)
+            # Small pieces that are left: with what is covered around them they may lie in a passage of another text.
+            share = passage.percent
+            for i in live if left is None and opened[ours].any() else ():
+                match = np.zeros(n, bool)
+                match[places[cuts[i]:cuts[i + 1]]] = True
+                near = match & opened[ours]
+                if near.any() and any(near[a:b].any() for a, b in _held_by(np.where(match, 100 - share, -2 * share), least)):
+                    cover(j, i, False)
+    if still is not None:
+        for (text, offset, _), at, within in zip(held, begin, stretches, strict=True):
+            for low, high in within:
+                here = opened[at + low:at + high] & ~covered[at + low:at + high]
+                if 100 * np.count_nonzero(here) >= passage.percent * least:
+                    edges = np.flatnonzero(np.diff(np.concatenate([[False], here, [False]]).astype(np.int8))).tolist()
+                    still += [(text, a + low + offset, b + low + offset, low + offset, high + offset)
+                              for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    return sorted(rows)
+
+
+def _with_partners(members: DataFrame, passage: Passage) -> DataFrame:
+    """``family, id, low, high, open, x``: what of the members other texts of the family may have.
+
+    A passage lies where enough shingles occur in another text of the family. That is counted for
+    each family as a whole, in proportion to its shingles: a family that has no more in common than
+    a line, however large, is not compared pair by pair.
+    """
+    least, percent = passage.least, passage.percent
+    shingled = members.agg(F.coalesce(F.sum(F.octet_length("x")), F.lit(0))).first()[0] // 8
+    if not shingled:
+        return members.select("family", "id", "low", "high", "open", "x")
+    ranges = sharing.ranges_for(shingled)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered = sharing.Gatherer(ranges)
+
+        def each(batch: pa.RecordBatch) -> None:
+            for member, family, x in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2), strict=True):
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                gathered.add(tokens.mix(x ^ tokens.mix(np.array([family]).view(np.uint64))), member, np.arange(len(x)))
+
+        yield from gathered.run(batches, each)
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for family, i, low, from_, to, x, shared in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+                match = np.zeros(len(x) // 8, bool)
+                match[shared] = True
+                apart = _apart(match, percent, least)
+                if not apart:
+                    continue
+                start, end = apart[0][0], apart[-1][1]
+                open_ = []
+                for p, q in sorted(zip(from_, to, strict=True)):
+                    # A stretch of the text, ends not included, within what is kept of it.
+                    p, q = max(p - low, start), min(q + 1 - low, end)
+                    if q - p >= least and _apart(match[p:q], percent, least):
+                        open_.append({"low": p + low, "high": q - 1 + low})
+                rows.append((family, i, start + low, end - 1 + low, open_, x[8 * start:8 * end]))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["family", "id", "low", "high", "open", "x"])
+
+    named = members.withColumn("member", F.xxhash64("family", "id"))
+    packed = named.select("member", "family", "x").mapInArrow(listed, sharing.PACKED)
+    # Numbers of rows only go to Python here; the places of a member go with its shingles.
+    shared = stored(sharing.sharers(packed, ranges).groupBy(F.col("id").alias("member")).agg(F.collect_list("place").alias("shared")))
+    kind = members.schema["open"].dataType.simpleString()
+    return stored(named.join(shared, "member").select(
+        "family", "id", "low", F.col("open.low").alias("from"), F.col("open.high").alias("to"), "x", "shared").mapInArrow(
+            narrowed, f"family long, id long, low long, high long, open {kind}, x binary"))
 
 
 def _verified_in_blocks(members: DataFrame, shingles: DataFrame, passage: Passage) -> DataFrame:
@@ -562,6 +747,7 @@ def _verified_in_blocks(members: DataFrame, shingles: DataFrame, passage: Passag
     passages enough to cover what the stretches share, not every pair.
     """
     length, mixed = F.col("high") - F.col("low"), F.xxhash64("id")
+    members = members.select("family", "id", "low", "high", "open")
 
     def parts(long: Column) -> Column:
         return F.greatest(F.ceil(F.count(F.lit(1)) / _BLOCK), F.ceil(F.sum(long) / _BLOCK_SHINGLES))
@@ -572,6 +758,11 @@ def _verified_in_blocks(members: DataFrame, shingles: DataFrame, passage: Passag
     # Read once: both rounds need the shingles.
     dealt = stored(dealt.join(shingles.withColumnRenamed("text_id", "id"), "id").select(
         "family", "id", "low", "high", "open", "parts", "part", _part("s", F.col("low"), F.col("high")).alias("x")))
+    large = _with_partners(dealt.filter("parts > 1"), passage)
+    sizes = stored(large.groupBy("family").agg(
+        parts(length).alias("parts"), F.max(F.size("open")).alias("_open")).filter("_open > 0").drop("_open"))
+    dealt = dealt.filter("parts = 1").unionByName(
+        large.join(sizes, "family").withColumn("part", F.pmod(mixed, F.col("parts"))))
     nothing = F.lit(None).cast(members.schema["open"].dataType)
     first = stored(_blocks_compared(dealt.select(
         F.concat_ws("/", "family", "part").alias("block"), "family", (F.col("parts") > 1).alias("several"), "id", "low",
@@ -645,16 +836,22 @@ def text_passages(docs: DataFrame, passage: Passage = Passage()) -> tuple[DataFr
     Ends are not included and count shingles; ``hub`` is the smaller text, or the
     same one where an earlier place of it represents a passage that others have.
     """
-    rows = stored(_rows(docs))
+    # By the bytes of the texts; only the size of a range depends on it.
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ranges = _window_ranges(passage, size // _WORD_BYTES)
+    hashed = stored(_hashed(docs, passage, ranges))
+    rows = _of_rows(hashed)
     where = stored(rows.filter("n > 0").groupBy("text_id").agg(F.min(F.struct("doc_id", "mark")).alias("at")))
-    words = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    repeated = stored(_repeated_windows(docs, passage, words))
-    star = stored(_shared_overlaps(repeated, passage.least))
+    # A row can be some 100 KB: few of them are read at once.
+    with setting(docs.sparkSession, "spark.sql.parquet.columnarReaderBatchSize", 64):
+        repeated = stored(_of_windows(hashed, ranges))
+    star = stored(_shared_overlaps(repeated, passage.least), _NARROW_ROWS)
     pairs = stored(star.filter("id <> hub").groupBy("id", "hub").agg(
         F.min(_low("place")).alias("a"), F.max(_high("place")).alias("b"),
         F.min(_low("at")).alias("c"), F.max(_high("till")).alias("d")))
-    shingles = _read_shingles(
-        docs, star.select(F.col("id").alias("text_id")).union(star.select("hub")), where, passage.size)
+    # Read once: both sides of the pairs and the members of families need them.
+    shingles = stored(_read_shingles(
+        docs, star.select(F.col("id").alias("text_id")).union(star.select("hub")), where, passage.size))
     found = stored(_verified(pairs, shingles, passage))
 
     # Sharers without any passage there may have one with another sharer.
@@ -672,8 +869,7 @@ def text_passages(docs: DataFrame, passage: Passage = Passage()) -> tuple[DataFr
         F.min(_low("place")).alias("low"), F.max(_high("place")).alias("high"), F.collect_set("open").alias("open")))
     if members.isEmpty():
         return rows, found
-    of_members = _read_shingles(docs, members.select(F.col("id").alias("text_id")), where, passage.size)
-    more = _verified_in_blocks(members, of_members, passage)
+    more = _verified_in_blocks(members, shingles, passage)
     return rows, stored(found.union(more).distinct())
 
 

@@ -395,3 +395,59 @@ def test_longest_stretches_part_by_part():
         for s in range(len(match)):
             ends = np.flatnonzero(total[s + 1:] >= total[s])
             assert not len(ends) or any(p <= s and s + 1 + ends[-1] <= q for p, q in apart), seed
+
+
+def test_a_line_in_common_is_no_family(spark, monkeypatch):
+    """Texts that share no more than a line and a word here and there are not compared pair by pair."""
+    monkeypatch.setattr(substring_dedup, "_BLOCK", 10)
+    line, passage = [f"l{i}" for i in range(13)], [f"p{i}" for i in range(60)]
+    texts = [[*line, *(f"t{k}-{i}" for i in range(90))] for k in range(100)]
+    texts += [[*line, *(f"t{k}-{i}" for i in range(90)), *passage] for k in (100, 101)]
+    members, shingles_ = laid_out(spark, texts)
+    runs = shingles_.select(F.col("text_id").alias("id"), F.col("s").alias("x"))
+    kept = substring_dedup._with_partners(members.join(runs, "id"), substring_dedup.Passage()).collect()
+    assert sorted((r.id, r.low, r.high, len(r.x)) for r in kept) == [(101, 89, 158, 8 * 70), (102, 89, 158, 8 * 70)]
+    compared = []
+    blocks = substring_dedup._blocks_compared
+    monkeypatch.setattr(substring_dedup, "_blocks_compared", lambda rows, p: compared.append(rows.count()) or blocks(rows, p))
+    found = substring_dedup._verified_in_blocks(members, shingles_, substring_dedup.Passage()).collect()
+    assert {(r.id, r.hub, r.start, r.end) for r in found} == {(102, 101, 103, 159)} and sum(compared) == 2
+
+
+def test_blocks_give_rows_for_what_is_covered():
+    """In a family of near copies each text needs a few passages, not those of every pair."""
+    rng, runs = random.Random(4), []
+    base = [f"w{i}" for i in range(300)]
+    for _ in range(40):
+        words = list(base)
+        for at in rng.sample(range(300), 6):
+            words[at] = f"x{rng.randrange(20)}"
+        runs.append(hashed(words, 5))
+    rows = substring_dedup._compared([(i, 0, x) for i, x in enumerate(runs)], substring_dedup.Passage())
+    covered = defaultdict(set)
+    for a, b, s, e, p, q in rows:
+        covered[a].update(range(s, e))
+        covered[b].update(range(p, q))
+        one, two = set(runs[a][s:e].tolist()), set(runs[b][p:q].tolist())
+        assert 100 * len(one & two) >= 80 * len(one | two)
+    for i, x in enumerate(runs):
+        need = set()
+        for j, y in enumerate(runs):
+            if i != j:
+                for s, e, _, _ in substring_dedup.passages_of(x, y, substring_dedup.Passage()):
+                    need.update(range(s, e))
+        assert len(need - covered[i]) <= 0.05 * len(need), i
+    # Each pair's passages were 173 rows.
+    assert len(rows) <= 4 * len(runs)
+
+
+def test_overlaps_do_not_depend_on_batches(spark, monkeypatch, prose):
+    """Windows of many texts are paired at once, whatever batches they come in."""
+    texts = [(k, f"{prose(200 + k, 30)} {prose(7, 60)} {prose(300 + k, 30)}") for k in range(12)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    repeated = common.stored(substring_dedup._repeated_windows(docs, substring_dedup.Passage(), 2_000))
+    got = []
+    for rows in (3, 10_000):
+        out = common.stored(substring_dedup._shared_overlaps(repeated, substring_dedup.Passage().least), rows)
+        got.append(sorted(map(tuple, out.collect())))
+    assert got[0] == got[1] and len({r[1] for r in got[0]}) == 12
