@@ -587,7 +587,7 @@ def _compared(held: list[tuple[int, int, np.ndarray]], passage: Passage, wanted:
         if not any(open_[a:b].any() for a, b, _, _ in found):
             return False
         # A pair that gives something is looked at as a whole, for what is new in either text.
-        for a, b, c, d in found + passages_of(x, y, passage):
+        for a, b, c, d in passages_of(x, y, passage) + found:
             open_[a:b] = False
             if not (covered[ours][a:b].all() and covered[theirs][c:d].all()):
                 covered[ours][a:b] = covered[theirs][c:d] = True
